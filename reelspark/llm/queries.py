@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
+from .fingerprints import fingerprints
+from .language_id import language_id
+from .licenses import license_scan
+from .licenses import oracle as license_oracle
 from .mixing import mix
 from .ngram_jaccard import ngram_jaccard
 from .packing import best_fit_packing
 from .sharding import shard
 from .substring_dedup import substring_dedup
 from .token_counts import token_counts
+from .topk_search import quantised, topk_inner_product
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -37,10 +43,29 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_inner_product(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", docs["source"], docs["lang"], F.concat(docs["doc_id"].cast("string"), F.lit(".txt")))
+    return license_scan(docs, path)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(read(spark, sf_dir, "documents")).drop("kept_text")
 
@@ -49,5 +74,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+OP5_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score
+  FROM v q JOIN v x ON q.vec_id % 50 = 0 AND x.vec_id <> q.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_topk_search": OP5_SQL, "op7_license_scan": license_oracle()}
