@@ -1,0 +1,315 @@
+"""Queries of ordered rows: sessions, alignment, peaks, thinning, suppression, orders and samples."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..operators import fusion
+from ..operators import sequences as seq
+from ..operators import vector
+from ..sources import shared, views
+from ..sources.views import with_views
+from .registry import query
+from .relational import hits
+
+_HITS = "frames queries hits"
+
+
+@query(with_views(_HITS, """ SELECT query_id, video_id, frame_id, rank::INTEGER AS rank FROM (SELECT query_id, video_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM
+  (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query_id, video_id, timestamp_ms // 10000 ORDER BY score DESC, frame_id) = 1)) WHERE rank <= 20"""))
+def rank_after_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks counted over first hits only (one for each ten seconds of a video)."""
+    h = hits(spark, d).withColumn("slot", F.expr("timestamp_ms div 10000"))
+    first = fusion.first_per(h, ["query_id", "video_id", "slot"], [F.desc("score"), F.col("frame_id")]).drop("rank")
+    return fusion.top_per(first, ["query_id"], [F.desc("score"), F.col("frame_id")], 20).select("query_id", "video_id", "frame_id", "rank")
+
+
+@query(with_views("segments timeline", """, m AS (SELECT s.segment_id, s.video_id, (length(s.text) % 37) / 37.0::DOUBLE AS score, t.frame_id, abs(t.timestamp_ms - (s.start_ms + s.end_ms) // 2) AS distance, t.timestamp_ms, t.frame_idx,
+  t.timestamp_ms >= s.start_ms AND t.timestamp_ms < s.end_ms AS inside FROM segments s JOIN timeline t USING (video_id)),
+  p AS (SELECT * FROM m WHERE inside OR distance <= 4000 QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY NOT inside, distance, timestamp_ms, frame_idx, frame_id) = 1)
+  SELECT frame_id, segment_id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, frame_id)::INTEGER AS rank FROM (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, segment_id) = 1) QUALIFY rank <= 50"""))
+def best_segment_per_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Segments projected to frames, the best segment of each frame, ranked anew."""
+    from ..operators.joins import nearest_frame
+
+    s = views.segments(spark, d)
+    score = s.select("segment_id", F.round((F.length("text") % 37) / 37.0, 6).alias("score"))
+    near = nearest_frame(s, views.timeline(spark, d), 4000).join(score, "segment_id")
+    best = fusion.first_per(near, ["frame_id"], [F.desc("score"), F.col("segment_id")]).orderBy(F.desc("score"), "frame_id").limit(50)
+    return best.select("frame_id", "segment_id", "score", F.row_number().over(W.orderBy(F.desc("score"), "frame_id")).alias("rank"))
+
+
+@query(with_views("timeline", """, g AS (SELECT *, coalesce((timestamp_ms - lag(timestamp_ms) OVER w > 3000)::INT, 0) AS new FROM timeline WINDOW w AS (PARTITION BY video_id ORDER BY timestamp_ms, frame_id))
+  SELECT video_id, session, count(*) AS frames, min(timestamp_ms) AS start_ms, max(timestamp_ms) AS end_ms FROM (SELECT *, (sum(new) OVER (PARTITION BY video_id ORDER BY timestamp_ms, frame_id))::BIGINT AS session FROM g) GROUP BY ALL"""))
+def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
+    s = seq.gap_sessions(views.timeline(spark, d), ["video_id"], "timestamp_ms", 3000, "frame_id")
+    return s.groupBy("video_id", "session").agg(F.count("*").alias("frames"), F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"))
+
+
+@query("WITH RECURSIVE " + views.SQL["timeline"] + """, o AS (SELECT video_id, timestamp_ms AS t, frame_idx AS i FROM timeline),
+  r(video_id, i, t, start, cluster) AS (SELECT video_id, i, t, t, 0::BIGINT FROM o WHERE i = 0 UNION ALL SELECT o.video_id, o.i, o.t, CASE WHEN o.t - r.t > 4000 OR o.t - r.start > 9000 THEN o.t ELSE r.start END,
+  r.cluster + (o.t - r.t > 4000 OR o.t - r.start > 9000)::BIGINT FROM r JOIN o ON o.video_id = r.video_id AND o.i = r.i + 1)
+  SELECT video_id, cluster, count(*) AS frames, min(t) AS start_ms, max(t) AS end_ms FROM r GROUP BY ALL""")
+def bounded_scenes(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that end at a gap or at a longest span."""
+    rows = views.timeline(spark, d).select("video_id", "timestamp_ms", "frame_id")
+    c = seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "cluster", "long", lambda p: seq.bounded_clusters(p["timestamp_ms"].to_numpy(), 4000, 9000))
+    return c.groupBy("video_id", "cluster").agg(F.count("*").alias("frames"), F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"))
+
+
+@query()
+def anchor_clusters(spark: SparkSession, d: str) -> DataFrame:
+    f = views.frames(spark, d).select("video_id", "frame_id", "frame_idx", "embedding")
+    return seq.fold(f, "video_id", ["frame_idx"], "cluster", "long", lambda p: seq.anchor_clusters(np.stack(p["embedding"].to_list()), 0.35)).drop("embedding")
+
+
+TWO_EVENTS = with_views("frames", """, s AS (SELECT f.video_id, q.vec_id AS event, f.frame_id, f.timestamp_ms, round(list_inner_product(q.embedding::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM frames f, embeddings q WHERE q.vec_id IN (0, 1)),
+  p AS (SELECT a.video_id, a.frame_id AS first_frame, b.frame_id AS second_frame, a.score + b.score - 1e-5::DOUBLE * (b.timestamp_ms - a.timestamp_ms) AS score, a.timestamp_ms AS ta, b.timestamp_ms AS tb FROM s a JOIN s b ON a.video_id = b.video_id AND a.event = 0 AND b.event = 1 AND a.timestamp_ms < b.timestamp_ms)""")
+
+
+@query(TWO_EVENTS + " SELECT video_id, round(max(score), 6) AS score FROM p GROUP BY video_id")
+def ordered_events_two(spark: SparkSession, d: str) -> DataFrame:
+    """The alignment's value for two events; a self-join says the same."""
+    return aligned(spark, d, [0, 1]).select("video_id", F.round("score", 6).alias("score"))
+
+
+def aligned(spark: SparkSession, d: str, events: list[int], paths: int = 1) -> DataFrame:
+    queries = views.queries(spark, d, max(events) + 1).where(F.col("query_id").isin(events))
+    corpus = views.frames(spark, d).select("video_id", "frame_id", "timestamp_ms", "embedding")
+    scored = corpus.join(F.broadcast(queries), F.lit(True))  # a row for each of a few events
+    scored = scored.select("video_id", F.col("query_id").alias("event"), "frame_id", "timestamp_ms", F.round(vector.dot("query", "embedding"), 6).alias("score"))
+    return seq.align_events(scored, events, paths=paths)
+
+
+@query()
+def ordered_events(spark: SparkSession, d: str) -> DataFrame:
+    """Three ordered events, the three best paths of each video, videos in turn."""
+    out = seq.round_robin(aligned(spark, d, [2, 4, 6], 3))
+    return out.select("video_id", "path_no", "level", "place", F.round("score", 6).alias("score"), F.array_join(F.col("frame_ids").cast("array<string>"), ",").alias("frame_ids"))
+
+
+@query()
+def ordered_events_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The submission file: video, then a frame for each event; written, and read again."""
+    path = shared.shared_path(spark, "submission")
+    rows = seq.round_robin(aligned(spark, d, [2, 4, 6], 3)).orderBy("place").limit(100)
+    rows.select(F.regexp_replace(F.col("video_id").cast("string"), r"\.mp4$", ""), *[F.col("frame_ids")[i].alias(f"f{i}") for i in range(3)]).coalesce(1).write.csv(path)
+    return spark.read.schema("video_id string, f0 long, f1 long, f2 long").csv(path)
+
+
+PEAKS = with_views("timeline", """, p AS (SELECT *, motion_score >= 50 AND motion_score > coalesce(lag(motion_score) OVER w, '-inf'::DOUBLE) AND motion_score >= coalesce(lead(motion_score) OVER w, '-inf'::DOUBLE) AS is_peak
+  FROM timeline WINDOW w AS (PARTITION BY video_id ORDER BY timestamp_ms, frame_id))""")
+
+
+@query(PEAKS + " SELECT video_id, frame_id FROM p WHERE is_peak")
+def local_maxima(spark: SparkSession, d: str) -> DataFrame:
+    return seq.peaks(views.timeline(spark, d), 50).where("is_peak").select("video_id", "frame_id")
+
+
+@query(with_views("timeline", " SELECT video_id, frame_id FROM timeline QUALIFY motion_score >= 50 AND motion_score = max(motion_score) OVER (PARTITION BY video_id ORDER BY timestamp_ms, frame_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)"))
+def motion_peaks(spark: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("video_id").orderBy("timestamp_ms", "frame_id").rowsBetween(-1, 1)
+    t = views.timeline(spark, d).withColumn("top", F.max("motion_score").over(w))
+    return t.where("motion_score >= 50 and motion_score = top").select("video_id", "frame_id")
+
+
+@query(PEAKS + " SELECT frame_id, video_id, (sum(is_peak::INT) OVER (PARTITION BY video_id ORDER BY timestamp_ms, frame_id))::BIGINT AS shot_id FROM p")
+def shot_ids(spark: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("video_id").orderBy("timestamp_ms", "frame_id").rowsBetween(W.unboundedPreceding, 0)
+    return seq.peaks(views.timeline(spark, d), 50).select("frame_id", "video_id", F.sum(F.col("is_peak").cast("int")).over(w).alias("shot_id"))
+
+
+@query()
+def burst_thinning(spark: SparkSession, d: str) -> DataFrame:
+    rows = seq.peaks(views.timeline(spark, d), 80).select("video_id", "frame_id", "timestamp_ms", "is_peak")
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", lambda p: seq.thin_bursts(p["timestamp_ms"].to_numpy(), p["is_peak"].to_numpy(bool), 2000, 500)).where("keep")
+
+
+@query()
+def coverage_anchors(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.timeline(spark, d).select("video_id", "frame_id", "timestamp_ms", "motion_score")
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", lambda p: seq.coverage_anchors(p["timestamp_ms"].to_numpy(), p["motion_score"].to_numpy(), 20000, 4000)).where("keep")
+
+
+@query()
+def frame_dedup(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.frames(spark, d).select("video_id", "frame_id", "timestamp_ms", "embedding", F.expr("frame_idx div 8").alias("shot"), ((F.col("frame_id") % 10) / 10.0).alias("motion"))
+    f = lambda p: seq.dedup_against_kept(p["timestamp_ms"].to_numpy(), p["shot"].to_numpy(), p["motion"].to_numpy(), np.stack(p["embedding"].to_list()), 4000, 0.7, 0.2)
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", f).drop("embedding")
+
+
+@query()
+def gap_repair(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.timeline(spark, d).select("video_id", "frame_id", "timestamp_ms", (F.col("frame_id") % 7 == 0).alias("kept"))
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "final", "boolean", lambda p: seq.repair_gaps(p["timestamp_ms"].to_numpy(), p["kept"].to_numpy(bool), 30000))
+
+
+@query()
+def temporal_suppression(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of a query and video, best first, within six seconds of a kept one are its alternates."""
+    h = hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", "rank").withColumn("key", F.concat_ws(":", "query_id", "video_id"))
+    return seq.fold(h, "key", ["rank"], "kept_by", "long", lambda p: p["frame_id"].to_numpy()[seq.temporal_nms(p["timestamp_ms"].to_numpy(), 6000)]).drop("key")
+
+
+@query(with_views(_HITS, """, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY rank) AS nth FROM hits)
+  SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY (rank > 20 OR nth > 2), rank)::INTEGER AS place FROM c"""))
+def early_diversity(spark: SparkSession, d: str) -> DataFrame:
+    """Of the best twenty at most two of a video come first, then the rest in order."""
+    nth = F.row_number().over(W.partitionBy("query_id", "video_id").orderBy("rank"))
+    later = (F.col("rank") > 20) | (F.col("nth") > 2)
+    return hits(spark, d).withColumn("nth", nth).select("query_id", "frame_id", F.row_number().over(W.partitionBy("query_id").orderBy(later, "rank")).alias("place"))
+
+
+@query(with_views(_HITS, """, w AS (SELECT query_id * 1000 + video_id AS k, greatest(0, timestamp_ms - 3000) AS start_ms, timestamp_ms + 3000 AS end_ms, score FROM hits),
+  i AS (SELECT *, sum(CASE WHEN prior IS NULL OR start_ms > prior THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM
+  (SELECT *, max(end_ms) OVER (PARTITION BY k ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM w))
+  SELECT k, min(start_ms) AS start_ms, max(end_ms) AS end_ms, round(max(score) + 0.05::DOUBLE * least(count(*) - 1, 4), 6) AS score, count(*) AS windows FROM i GROUP BY k, island"""))
+def window_coalescing(spark: SparkSession, d: str) -> DataFrame:
+    w = hits(spark, d).select((F.col("query_id") * 1000 + F.col("video_id")).alias("k"), F.greatest(F.lit(0), F.col("timestamp_ms") - 3000).alias("start_ms"), (F.col("timestamp_ms") + 3000).alias("end_ms"), "score")
+    return seq.coalesced(w, "k").drop("island")
+
+
+@query()
+def window_suppression(spark: SparkSession, d: str) -> DataFrame:
+    h = hits(spark, d).select(F.concat_ws(":", "query_id", "video_id").alias("key"), "frame_id", "rank", "timestamp_ms")
+    f = lambda p: seq.interval_nms(p["timestamp_ms"].to_numpy() - 3000, p["timestamp_ms"].to_numpy() + 3000, 0.6)
+    return seq.fold(h, "key", ["rank"], "kept", "boolean", f)
+
+
+@query(with_views("timeline", """, c AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM timeline)
+  SELECT DISTINCT video_id, frame_id, frame_idx FROM c, generate_series(0, 4) g(i) WHERE frame_idx = round_even(g.i * (n - 1) / 4.0::DOUBLE, 0)"""))
+def uniform_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Five rows of each video at even places, halves to even."""
+    t = views.timeline(spark, d).select("video_id", "frame_id", "frame_idx")
+    places = t.groupBy("video_id").agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    places = places.select("video_id", F.bround(F.col("i") * (F.col("n") - 1) / 4.0).cast("long").alias("frame_idx")).distinct()
+    return t.join(places, ["video_id", "frame_idx"])
+
+
+@query(with_views("segments", " SELECT video_id, count(*) FILTER (WHERE start_ms < prior) AS overlaps, count(*) FILTER (WHERE end_ms <= start_ms) AS empty FROM (SELECT *, lag(end_ms) OVER (PARTITION BY video_id ORDER BY segment_index) AS prior FROM segments) GROUP BY video_id"))
+def interval_violations(spark: SparkSession, d: str) -> DataFrame:
+    prior = F.lag("end_ms").over(W.partitionBy("video_id").orderBy("segment_index"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    s = views.segments(spark, d).withColumn("prior", prior)
+    return s.groupBy("video_id").agg(n(F.col("start_ms") < F.col("prior")).alias("overlaps"), n(F.col("end_ms") <= F.col("start_ms")).alias("empty"))
+
+
+@query()
+def score_interpolation(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of every third frame averaged and spread linearly over the others."""
+    t = views.timeline(spark, d).select("video_id", "frame_id", "timestamp_ms", F.when(F.col("frame_idx") % 3 == 0, F.col("motion_score")).alias("value"))
+    return seq.fold(t, "video_id", ["timestamp_ms", "frame_id"], "filled", "double", lambda p: np.round(seq.interpolated(p["value"].to_numpy(float)), 6))
+
+
+@query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM hits GROUP BY ALL),
+  r AS (SELECT h.query_id, h.frame_id, h.score, h.video_id, s.scene FROM hits h JOIN s ON h.query_id = s.query_id AND h.video_id = s.video_id AND h.timestamp_ms // 20000 = s.scene
+  QUALIFY row_number() OVER (PARTITION BY h.query_id, h.video_id, s.scene ORDER BY h.score DESC, abs(h.timestamp_ms - (a + b) // 2), h.frame_idx) = 1)
+  SELECT query_id, video_id, scene, frame_id FROM r QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY query_id, scene) = 1"""))
+def scene_representatives(spark: SparkSession, d: str) -> DataFrame:
+    """The best frame of each scene, nearest its middle among equals; a frame stands for one scene only."""
+    h = hits(spark, d).withColumn("scene", F.expr("timestamp_ms div 20000"))
+    keys = ["query_id", "video_id", "scene"]
+    spans = h.groupBy(*keys).agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b"))
+    order = F.struct("score", (-F.abs(F.col("timestamp_ms") - F.expr("(a + b) div 2"))).alias("near"), (-F.col("frame_idx")).alias("early"), "frame_id")
+    best = h.join(spans, keys).groupBy(*keys).agg(F.max(order).alias("m")).select(*keys, F.col("m.frame_id").alias("frame_id"))
+    return fusion.first_per(best, ["frame_id"], [F.col("query_id"), F.col("scene")])
+
+
+@query(with_views("timeline", " SELECT a.frame_id, b.frame_id AS other_id FROM timeline a JOIN timeline b ON a.video_id = b.video_id AND b.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx + 2 WHERE a.frame_id % 25 = 0"))
+def window_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """Two neighbours on either side, by place."""
+    t = views.timeline(spark, d).select("video_id", "frame_id", "frame_idx")
+    a = t.where("frame_id % 25 = 0").withColumn("at", F.explode(F.sequence(F.col("frame_idx") - 2, F.col("frame_idx") + 2))).select("video_id", "frame_id", F.col("at").alias("frame_idx"))
+    return a.join(t.withColumnRenamed("frame_id", "other_id"), ["video_id", "frame_idx"]).select("frame_id", "other_id")
+
+
+@query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, round(avg(score), 9) AS score, min(timestamp_ms) AS start_ms, count(*) AS n FROM hits GROUP BY ALL),
+  t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, n DESC, start_ms, scene) <= 3)
+  SELECT query_id, video_id, scene, score, n FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n DESC, start_ms, video_id, scene) <= 100"""))
+def scene_order(spark: SparkSession, d: str) -> DataFrame:
+    """Three scenes of a video, then a hundred over all."""
+    s = hits(spark, d).groupBy("query_id", "video_id", F.expr("timestamp_ms div 20000").alias("scene")).agg(F.round(F.avg("score"), 9).alias("score"), F.min("timestamp_ms").alias("start_ms"), F.count("*").alias("n"))
+    order = [F.desc("score"), F.desc("n"), F.col("start_ms")]
+    t = fusion.top_per(s, ["query_id", "video_id"], [*order, F.col("scene")], 3, "_a")
+    return fusion.top_per(t, ["query_id"], [*order, F.col("video_id"), F.col("scene")], 100, "_b").select("query_id", "video_id", "scene", "score", "n")
+
+
+@query(with_views(_HITS, " SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN -(frame_id % 13) ELSE 0 END, rank)::INTEGER AS place FROM hits"))
+def rerank_top(spark: SparkSession, d: str) -> DataFrame:
+    """The best ten by a second score, the tail as it was."""
+    top = F.col("rank") <= 10
+    order = W.partitionBy("query_id").orderBy(F.when(top, 0).otherwise(1), F.when(top, -(F.col("frame_id") % 13)).otherwise(0), "rank")
+    return hits(spark, d).select("query_id", "frame_id", F.row_number().over(order).alias("place"))
+
+
+@query("SELECT conv_id, turn, place::INTEGER AS place FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY (role <> 'user'), length(text), turn) AS place FROM conversations) WHERE place <= 3")
+def question_evidence_order(spark: SparkSession, d: str) -> DataFrame:
+    c = views.read(spark, d, "conversations").withColumn("len", F.length("text"))
+    return fusion.top_per(c, ["conv_id"], [F.col("role") != "user", F.col("len"), F.col("turn")], 3, "place").select("conv_id", "turn", "place")
+
+
+@query(with_views(_HITS, """, f AS (SELECT query_id, video_id, frame_idx % 10 AS answer, rank FROM hits), g AS (SELECT query_id, video_id, answer, min(rank) AS first FROM f GROUP BY ALL)
+  SELECT query_id, video_id, answer, row_number() OVER (PARTITION BY query_id ORDER BY first)::INTEGER AS rank FROM g"""))
+def submission_dedup(spark: SparkSession, d: str) -> DataFrame:
+    g = hits(spark, d).groupBy("query_id", "video_id", (F.col("frame_idx") % 10).alias("answer")).agg(F.min("rank").alias("first"))
+    return g.select("query_id", "video_id", "answer", F.row_number().over(W.partitionBy("query_id").orderBy("first")).alias("rank"))
+
+
+@query(with_views("timeline", " SELECT video_id, frame_id, row_number() OVER (ORDER BY video_id, timestamp_ms, frame_id) - 1 AS position FROM timeline"))
+def corpus_order(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus in its order: ranges sorted apart, whose positions are offsets of videos and places within."""
+    t = views.timeline(spark, d)
+    before = W.orderBy("video_id").rowsBetween(W.unboundedPreceding, -1)  # a row for each video
+    offsets = t.groupBy("video_id").agg(F.count("*").alias("n")).select("video_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    out = t.join(offsets, "video_id").select("video_id", "frame_id", (F.col("before") + F.col("frame_idx")).alias("position"))
+    return out.repartitionByRange("position").sortWithinPartitions("position")
+
+
+@query()
+def size_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of a source in order, in chunks of at most 100,000 characters."""
+    rows = views.read(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return seq.fold(rows, "source", ["doc_id"], "chunk", "long", lambda p: seq.next_fit(p["n_chars"].to_numpy(), 100_000))
+
+
+@query()
+def evidence_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of a conversation in order while they fit in 600 characters; one that does not is passed over."""
+    rows = views.read(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("len"))
+    return seq.fold(rows, "conv_id", ["turn"], "used", "boolean", lambda p: seq.within_budget(p["len"].to_numpy(), 600))
+
+
+@query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM hits WHERE query_id < 5 GROUP BY ALL)
+  SELECT s.query_id, s.video_id, s.scene, count(*) AS frames FROM s JOIN frames f ON f.video_id = s.video_id AND f.timestamp_ms BETWEEN s.a AND s.b GROUP BY ALL"""))
+def scene_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """All frames within each scene's span, by time bins of the scene's length."""
+    s = hits(spark, d).where("query_id < 5").groupBy("query_id", "video_id", F.expr("timestamp_ms div 20000").alias("scene")).agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b"))
+    f = views.frames(spark, d).select("video_id", "timestamp_ms", F.expr("timestamp_ms div 20000").alias("scene"))
+    return s.join(f, ["video_id", "scene"]).where("timestamp_ms between a and b").groupBy("query_id", "video_id", "scene").agg(F.count("*").alias("frames"))
+
+
+@query(with_views("frames queries", """, hits AS (SELECT q.query_id, f.*, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries q, frames f),
+  v AS (SELECT query_id, video_id, frame_id, timestamp_ms, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM hits QUALIFY rank <= 50),
+  r AS (SELECT query_id, frame_id, 1.0::DOUBLE / (60 + rank) AS s FROM v UNION ALL SELECT query_id, frame_id, 0.5::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY timestamp_ms, frame_id)) FROM v WHERE rank <= 20),
+  fused AS (SELECT query_id, frame_id, round(sum(s), 9) AS fusion FROM r GROUP BY ALL),
+  j AS (SELECT f.*, v.video_id, v.timestamp_ms, sum(CASE WHEN gap IS NULL OR gap <= 5000 THEN 0 ELSE 1 END) OVER (PARTITION BY f.query_id, v.video_id ORDER BY v.timestamp_ms, f.frame_id) AS scene FROM fused f JOIN
+    (SELECT *, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY query_id, video_id ORDER BY timestamp_ms, frame_id) AS gap FROM v) v USING (query_id, frame_id)),
+  s AS (SELECT query_id, video_id, scene, round(0.9::DOUBLE * max(fusion) * 60 / 1.5 + 0.1::DOUBLE / (1 + (max(timestamp_ms) - min(timestamp_ms)) / 10000.0::DOUBLE), 6) AS scene_score, arg_max(frame_id, (fusion, -frame_id)) AS frame_id, count(*) AS frames FROM j GROUP BY ALL)
+  SELECT query_id, video_id, frame_id, frames, scene_score, row_number() OVER (PARTITION BY query_id ORDER BY scene_score DESC, frame_id)::INTEGER AS rank FROM s QUALIFY rank <= 10"""))
+def kis_search(spark: SparkSession, d: str) -> DataFrame:
+    """Known-item search end to end: vector hits and a second source, fused; frames grouped into scenes; scenes scored by
+    meaning and compactness; the best frame stands for its scene."""
+    v = hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", "score", "rank")
+    early = v.where("rank <= 20").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("timestamp_ms", "frame_id")))
+    fused = fusion.reciprocal_rank(fusion.union_sources({"visual": v, "early": early}), {"visual": 1.0, "early": 0.5})
+    scenes = seq.gap_sessions(v.drop("score", "rank"), ["query_id", "video_id"], "timestamp_ms", 5000, "frame_id")
+    joined = scenes.join(fused.select("query_id", "frame_id", "fusion_score"), ["query_id", "frame_id"])
+    span = (F.max("timestamp_ms") - F.min("timestamp_ms")) / 10000.0
+    best = F.max(F.struct("fusion_score", (-F.col("frame_id")).alias("less")))
+    s = joined.groupBy("query_id", "video_id", "session").agg(
+        F.round(0.9 * F.max("fusion_score") * 60 / 1.5 + 0.1 / (1 + span), 6).alias("scene_score"), (-best["less"]).alias("frame_id"), F.count("*").alias("frames")
+    )
+    return fusion.top_per(s, ["query_id"], [F.desc("scene_score"), F.col("frame_id")], 10).drop("session")
