@@ -1,0 +1,297 @@
+"""Queries of scalar functions and of smaller operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..functions import numeric, text
+from ..operators import evidence, vector
+from ..sources import views
+from ..sources.views import with_views
+from .registry import query
+from .relational import hits
+
+_HITS = "frames queries hits"
+_C = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+def _collapse(x: str) -> str:
+    return _C.format(x)
+
+
+@query(f"SELECT conv_id, turn, {_collapse('nfc_normalize(text)')} AS clean, coalesce(lower(nullif(role, 'user')), 'und') AS language FROM conversations")
+def normalise_text(spark: SparkSession, d: str) -> DataFrame:
+    c = views.read(spark, d, "conversations")
+    return c.select("conv_id", "turn", text.nfc_collapse(F.col("text")).alias("clean"), F.coalesce(F.lower(F.nullif("role", F.lit("user"))), F.lit("und")).alias("language"))
+
+
+_SNAP = "trim(regexp_replace(regexp_replace(" + _collapse("{0}") + ", '\\s+([,.;:!?])', '\\1', 'g'), '([,.;:!?])([^\\s,.;:!?])', '\\1 \\2', 'g'))"
+
+
+@query(f"SELECT item_id, {_SNAP.format('text')} AS clean, lower(regexp_replace({_SNAP.format('text')}, '[\\p{{P}}\\p{{Z}}\\s]', '', 'g')) AS key FROM benchmark")
+def snapshot_keys(spark: SparkSession, d: str) -> DataFrame:
+    clean = text.snapshot(F.col("text"))
+    return views.read(spark, d, "benchmark").select("item_id", clean.alias("clean"), text.semantic_key(clean).alias("key"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, string_agg(split_part(text, '.', 1), ' ') OVER (PARTITION BY conv_id ORDER BY turn) || CASE WHEN turn = 3 THEN '.' ELSE '' END AS hint FROM conversations),
+  n AS (SELECT conv_id, turn, """ + _SNAP.format("hint") + """ AS b, lag(""" + _SNAP.format("hint") + """) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM s),
+  k AS (SELECT *, lower(regexp_replace(a, '[\\p{P}\\p{Z}\\s]', '', 'g')) = lower(regexp_replace(b, '[\\p{P}\\p{Z}\\s]', '', 'g')) AS same FROM n)
+  SELECT conv_id, turn, CASE WHEN a IS NULL THEN 'FIRST' WHEN same THEN 'NO_CHANGE' WHEN starts_with(b, a) THEN 'APPEND' ELSE 'REPLACEMENT' END AS kind,
+  CASE WHEN a IS NULL THEN b WHEN NOT same AND starts_with(b, a) THEN trim(substring(b, length(a) + 1)) END AS delta FROM k""")
+def snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
+    """Growing hints of a session: what each snapshot adds to the one before."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = views.read(spark, d, "conversations").withColumn("part", F.substring_index("text", ".", 1))
+    hint = F.concat(F.array_join(F.collect_list("part").over(w), " "), F.when(F.col("turn") == 3, ".").otherwise(""))
+    c = c.withColumn("hint", hint).withColumn("before", F.lag("hint").over(w))
+    kind, delta = text.snapshot_change(F.col("before"), F.col("hint"))
+    return c.select("conv_id", "turn", kind.alias("kind"), delta.alias("delta"))
+
+
+@query(with_views("evidence", f""" , j AS (SELECT b.frame_id, c.caption_text, o.ocr_text, x.object_summary FROM base b LEFT JOIN captions c USING (frame_id) LEFT JOIN ocr o USING (frame_id) LEFT JOIN objects x USING (frame_id))
+  SELECT frame_id, nullif(concat_ws(chr(10) || chr(10), CASE WHEN length({_collapse('caption_text')}) > 0 THEN '[CAPTION]' || chr(10) || array_to_string(string_split({_collapse('caption_text')}, ' ')[1:80], ' ') END,
+  CASE WHEN length({_collapse('ocr_text')}) > 0 THEN '[VISIBLE_TEXT]' || chr(10) || array_to_string(string_split({_collapse('ocr_text')}, ' ')[1:80], ' ') END,
+  CASE WHEN length({_collapse('object_summary')}) > 0 THEN '[OBJECTS]' || chr(10) || array_to_string(string_split({_collapse('object_summary')}, ' ')[1:2], ' ') END), '') AS context FROM j"""))
+def context_text(spark: SparkSession, d: str) -> DataFrame:
+    base, captions, ocr, objects = views.evidence(spark, d)
+    j = base.join(captions, "frame_id", "left").join(ocr, "frame_id", "left").join(objects, "frame_id", "left")
+    parts = [("CAPTION", F.col("caption_text"), 80), ("VISIBLE_TEXT", F.col("ocr_text"), 80), ("OBJECTS", F.col("object_summary"), 2)]
+    return j.select("frame_id", text.sections(parts).alias("context"))
+
+
+_HINT = "CASE turn % 4 WHEN 0 THEN 'a man walks' WHEN 1 THEN 'then he sits' WHEN 2 THEN 'Meanwhile a dog barks' ELSE 'finally he leaves, then rests' END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN lag(turn) OVER w IS NULL THEN NULL WHEN lower({_HINT}) LIKE '%finally%' THEN 'AT_END' WHEN lower({_HINT}) LIKE '%meanwhile%' THEN 'OVERLAP'
+  WHEN lower({_HINT}) LIKE '%then%' THEN 'BEFORE' END AS relation FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def temporal_phrases(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn") % 4
+    hint = F.when(t == 0, "a man walks").when(t == 1, "then he sits").when(t == 2, "Meanwhile a dog barks").otherwise("finally he leaves, then rests")
+    previous = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")).isNotNull()
+    return views.read(spark, d, "conversations").select("conv_id", "turn", text.temporal_relation(hint, previous).alias("relation"))
+
+
+
+
+@query(f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{text.QUESTIONS[0][1]}') THEN 'count' WHEN regexp_matches(lower(text), '{text.QUESTIONS[1][1]}') THEN 'color' WHEN regexp_matches(lower(text), '{text.QUESTIONS[2][1]}') THEN 'text' WHEN regexp_matches(lower(text), '{text.QUESTIONS[3][1]}') THEN 'who' WHEN regexp_matches(lower(text), '{text.QUESTIONS[4][1]}') THEN 'where' WHEN regexp_matches(lower(text), '{text.QUESTIONS[5][1]}') THEN 'when' ELSE 'open' END AS kind FROM documents WHERE lang = 'en'")
+def question_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return views.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.question_kind(F.col("text")).alias("kind"))
+
+
+_ANSWER = "string_split(" + _collapse("regexp_replace(lower(a), '[\\p{P}]', ' ', 'g')") + ", ' ')"
+_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.CANONICAL.items()) + "}"
+
+
+@query(f"SELECT event_id, array_to_string(list_transform({_ANSWER}, lambda w: coalesce({_MAP}[w], w)), ' ') AS answer FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Two ' WHEN 1 THEN '(Ba) ' WHEN 2 THEN 'Đỏ, ' ELSE 'x ' END || event_type AS a FROM events)")
+def answer_keys(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("event_id") % 4
+    a = F.concat(F.when(m == 0, "Two ").when(m == 1, "(Ba) ").when(m == 2, "Đỏ, ").otherwise("x "), F.col("event_type"))
+    return views.read(spark, d, "events").select("event_id", text.answer_key(a).alias("answer"))
+
+
+_TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1))"
+
+
+@query(f"""SELECT item_id, len({_TOK.format('b.text')}) AS n, round(CASE WHEN len({_TOK.format('b.text')}) > 0 THEN len(list_intersect({_TOK.format('b.text')}, {_TOK.format('d.text')})) / len({_TOK.format('b.text')})::DOUBLE ELSE 0 END, 6) AS overlap
+  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 5""")
+def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
+    b = views.read(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), (F.col("item_id") * 5).alias("doc_id"))
+    j = b.join(views.read(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return j.select("item_id", F.size(text.tokens(F.col("q"))).cast("long").alias("n"), F.round(text.token_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+
+
+@query("SELECT page_id, regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\\.[A-Za-z0-9]+$', '') AS video_id, left(trim(regexp_replace(regexp_replace(html, '(?i)(token|key|secret|password)\\s*[=:]\\s*\\S+', '\\1=***', 'g'), '\\s+', ' ', 'g')), 60) AS message FROM pages")
+def path_ids(spark: SparkSession, d: str) -> DataFrame:
+    return views.read(spark, d, "pages").select("page_id", text.video_id(F.col("url")).alias("video_id"), text.bounded_error(F.col("html"), 60).alias("message"))
+
+
+@query("""SELECT event_id, round(greatest(0, least(1, value / 100.0)), 6) AS clamped, round(pow(greatest(value - 50, 0), 1.5), 4) AS power, round(exp(-value / 100.0::DOUBLE), 6) AS penalty,
+  round(1.0::DOUBLE / (1 + exp((value - 50) / 20.0::DOUBLE)), 6) AS relevance FROM events""")
+def score_functions(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("value")
+    return views.read(spark, d, "events").select(
+        "event_id", F.round(numeric.clamp(v / 100.0), 6).alias("clamped"), F.round(numeric.clipped_power(v - 50, 1.5), 4).alias("power"),
+        F.round(F.exp(-v / 100.0), 6).alias("penalty"), F.round(numeric.relevance((v - 50) / 20.0, F.lit(0.0)), 6).alias("relevance"),
+    )
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm, abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) <= 0.0011 AS unit, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings")
+def vector_norms(spark: SparkSession, d: str) -> DataFrame:
+    n = vector.norm("embedding")
+    return views.read(spark, d, "embeddings").select("vec_id", F.round(n, 5).alias("norm"), (F.abs(n - 1) <= 0.0011).alias("unit"), F.round(vector.normalised("embedding")[0], 6).alias("first"))
+
+
+@query(with_views("segments turns", """ SELECT s.segment_id, (s.start_ms + s.end_ms) // 2 AS mid, s.start_ms // 15000 AS place, round(max(CASE WHEN least(s.end_ms - s.start_ms, t.end_ms - t.start_ms) > 0 THEN greatest(0, least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) / least(s.end_ms - s.start_ms, t.end_ms - t.start_ms)::DOUBLE ELSE 0 END), 6) AS ratio
+  FROM segments s JOIN turns t USING (video_id) GROUP BY ALL"""))
+def interval_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Middles, neighbourhoods and the largest overlap with a turn of the same conversation (a bounded group)."""
+    s, t = views.segments(spark, d), views.turns(spark, d).withColumnsRenamed({"start_ms": "t0", "end_ms": "t1"})
+    ratio = numeric.overlap_ratio(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1"))
+    j = s.join(t, "video_id").groupBy("segment_id", "start_ms", "end_ms").agg(F.round(F.max(ratio), 6).alias("ratio"))
+    return j.select("segment_id", F.expr("(start_ms + end_ms) div 2").alias("mid"), F.expr("start_ms div 15000").alias("place"), "ratio")
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 0.6 WHEN 2 THEN 0.9 WHEN 3 THEN 0.5 ELSE greatest(0, least(1, value / 100)) END::DOUBLE AS confidence FROM events")
+def confidence_coercion(spark: SparkSession, d: str) -> DataFrame:
+    m = F.col("event_id") % 5
+    said = F.when(m == 0, " Low").when(m == 1, "medium").when(m == 2, "HIGH").when(m == 3, "unsure").otherwise((F.col("value") / 100).cast("string"))
+    return views.read(spark, d, "events").select("event_id", numeric.confidence(said).alias("confidence"))
+
+
+@query("SELECT event_id, round_even(event_id * 1001.0::DOUBLE * 1000 / 30000, 0)::BIGINT AS ms, round_even(event_id * 40 * (CASE WHEN event_id % 3 = 0 THEN 25.0::DOUBLE ELSE 29.97::DOUBLE END) / 1000.0::DOUBLE, 0)::BIGINT AS frame_idx FROM events")
+def time_functions(spark: SparkSession, d: str) -> DataFrame:
+    fps = F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(29.97)
+    e = views.read(spark, d, "events")
+    return e.select("event_id", numeric.pts_to_ms(F.col("event_id").cast("double"), 1001, 30000).alias("ms"), numeric.ms_to_frame(F.col("event_id") * 40, fps).alias("frame_idx"))
+
+
+@query("SELECT vec_id, i - 1 AS pos, round(embedding[i]::DOUBLE, 6) AS x, i * 2 AS y FROM (SELECT vec_id, embedding, unnest(generate_series(1, 4)) AS i FROM embeddings)")
+def array_functions(spark: SparkSession, d: str) -> DataFrame:
+    e = views.read(spark, d, "embeddings").select("vec_id", F.posexplode(F.arrays_zip(F.slice("embedding", 1, 4).alias("x"), F.array(*map(F.lit, (2, 4, 6, 8))).alias("y"))).alias("pos", "z"))
+    return e.select("vec_id", F.col("pos").cast("long").alias("pos"), F.round(F.col("z.x").cast("double"), 6).alias("x"), F.col("z.y").cast("long").alias("y"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type AS key, n + (event_type = 'view')::INT * 100 AS value FROM c UNION ALL SELECT DISTINCT user_id, 'absent', -1 FROM events""")
+def map_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Counts as a map, merged with defaults where what is there wins, changed by key, and spread again."""
+    c = views.read(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    m = c.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+    base = F.create_map(F.lit("absent"), F.lit(-1).cast("long"))
+    merged = F.map_zip_with(base, "m", lambda k, a, b: F.coalesce(b, a) + F.when((k == "view") & b.isNotNull(), 100).otherwise(0))
+    return m.select("user_id", F.explode(merged).alias("key", "value"))
+
+
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN NULL ELSE json_extract(props, '$.k')::BIGINT END AS found FROM events")
+def json_functions(spark: SparkSession, d: str) -> DataFrame:
+    """A strict field, and the first object inside free text; what does not parse is null."""
+    free = F.concat(F.lit("the answer is "), F.when(F.col("event_id") % 3 == 0, F.lit("{broken")).otherwise(F.col("props")), F.lit(" indeed"))
+    found = F.from_json(F.regexp_extract(free, r"(\{[^{}]*\})", 1), "k long")["k"]
+    return views.read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), found.alias("found"))
+
+
+@query("SELECT doc_id, left(sha1(lang || '/' || source), 12) AS path_id, sha256(source || ':' || doc_id) AS version FROM documents")
+def hash_functions(spark: SparkSession, d: str) -> DataFrame:
+    p = F.substring(F.sha1(F.concat_ws("/", "lang", "source").cast("binary")), 1, 12)
+    return views.read(spark, d, "documents").select("doc_id", p.alias("path_id"), F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string")), 256).alias("version"))
+
+
+@query("SELECT count(*) FILTER (WHERE text <> trim(text)) AS untrimmed, count(*) FILTER (WHERE n_chars <> length(text)) AS wrong_length, count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr', 'es')) AS unknown_lang, count(*) AS rows FROM documents")
+def strict_validation(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda c: F.sum(c.cast("long"))
+    return views.read(spark, d, "documents").agg(
+        n(F.col("text") != F.trim("text")).alias("untrimmed"), n(F.col("n_chars") != F.length("text")).alias("wrong_length"), n(~F.col("lang").isin("en", "de", "fr", "es")).alias("unknown_lang"), F.count("*").alias("rows")
+    )
+
+
+@query(with_views("segments", """, u AS (SELECT video_id, min(start_ms) FILTER (WHERE segment_index % 2 = 0) AS a0, max(end_ms) FILTER (WHERE segment_index % 2 = 0) AS a1, min(start_ms) FILTER (WHERE segment_index % 2 = 1) AS b0, max(end_ms) FILTER (WHERE segment_index % 2 = 1) AS b1 FROM segments GROUP BY video_id)
+  SELECT video_id, b1 <= a0 AS before, b0 >= a1 AS after, a0 < b1 AND b0 < a1 AS overlap, greatest(greatest(a0, b0) - least(a1, b1), 0) <= 500 AS near FROM u"""))
+def relation_satisfaction(spark: SparkSession, d: str) -> DataFrame:
+    """Relations of the even turns' span to the odd ones'; null where a side has no evidence."""
+    even = F.col("segment_index") % 2 == 0
+    f = lambda agg, c, e: agg(F.when(even if e else ~even, F.col(c)))
+    u = views.segments(spark, d).groupBy("video_id").agg(f(F.min, "start_ms", True).alias("a0"), f(F.max, "end_ms", True).alias("a1"), f(F.min, "start_ms", False).alias("b0"), f(F.max, "end_ms", False).alias("b1"))
+    known = F.col("a0").isNotNull() & F.col("b0").isNotNull()
+    ab = [F.col(c) for c in ("a0", "a1", "b0", "b1")]
+    return u.select("video_id", *[F.when(known, evidence.relation_holds(r, *ab, 500)).alias(r.lower()) for r in ("BEFORE", "AFTER", "OVERLAP", "NEAR")])
+
+
+# ---- smaller operators
+
+
+@query(with_views("evidence", " SELECT frame_id, row_number() OVER (ORDER BY frame_id) - 1 AS position, ocr_text FROM base JOIN ocr USING (frame_id) WHERE quality >= 0.3 AND trim(ocr_text) <> ''"))
+def evidence_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """Usable evidence of known frames, with dense positions in order of id: ranges by id, offsets of ranges."""
+    base, _, ocr, _ = views.evidence(spark, d)
+    rows = base.join(ocr, "frame_id").where("quality >= 0.3 and trim(ocr_text) <> ''").select("frame_id", "ocr_text", F.expr("frame_id div 1000").alias("range"))
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range of ids
+    offsets = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("range").orderBy("frame_id"))
+    return rows.withColumn("place", place).join(offsets, "range").select("frame_id", (F.col("before") + F.col("place") - 1).alias("position"), "ocr_text")
+
+
+@query(with_views("frames", """ SELECT count(*) AS rows, count(*) - count(DISTINCT frame_id) AS repeated_ids, count(*) - count(DISTINCT frame_id) AS repeated_positions, 0::BIGINT AS negative_positions, max(frame_id) + 1 - count(*) AS position_gap,
+  count(DISTINCT len(embedding)) AS dimensions, count(*) FILTER (WHERE abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.0011) AS not_unit FROM frames"""))
+def index_validation(spark: SparkSession, d: str) -> DataFrame:
+    return vector.index_problems(views.frames(spark, d).withColumn("embedding_index", F.col("frame_id")))
+
+
+@query(with_views("detections", """, c AS (SELECT video_id, day, label, count(*) AS n FROM detections GROUP BY ALL) SELECT video_id, day, label, i AS nth FROM (SELECT *, unnest(generate_series(1, least(n, 3))) AS i FROM c)
+  UNION ALL SELECT video_id, day, '__unlisted__', i FROM (SELECT video_id, day, unnest(generate_series(1, m::BIGINT)) AS i FROM (SELECT video_id, day, sum(n - least(n, 3)) AS m FROM c GROUP BY video_id, day))"""))
+def counts_expansion(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each counted object, three of a label at most; the remainder unlisted."""
+    c = views.detections(spark, d).groupBy("video_id", "day", "label").agg(F.count("*").alias("n")).withColumn("shown", F.least("n", F.lit(3)))
+    listed = c.select("video_id", "day", "label", F.explode(F.sequence(F.lit(1).cast("long"), F.col("shown"))).alias("nth"))
+    rest = c.groupBy("video_id", "day").agg(F.sum(F.col("n") - F.col("shown")).alias("m")).where("m > 0")
+    return listed.unionByName(rest.select("video_id", "day", F.lit("__unlisted__").alias("label"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("nth")))
+
+
+@query("SELECT page_id AS frame_id, url AS image_path, 25.0::DOUBLE AS fps, NOT contains(url, '..') AND starts_with(url, 'http') AS contained, 640 AS width FROM pages")
+def canonical_rows(spark: SparkSession, d: str) -> DataFrame:
+    ok = ~F.col("url").contains("..") & F.col("url").startswith("http")
+    return views.read(spark, d, "pages").select(F.col("page_id").alias("frame_id"), F.col("url").alias("image_path"), F.lit(25.0).alias("fps"), ok.alias("contained"), F.lit(640).alias("width"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'failed' ELSE 'completed' END AS status, CASE WHEN event_id % 10 <> 0 THEN json_extract(props, '$.k')::BIGINT END AS k, CASE WHEN event_id % 10 = 0 THEN 'InvalidJson: x' || left(props, 20) END AS error FROM events")
+def error_isolating_map(spark: SparkSession, d: str) -> DataFrame:
+    """A row that does not parse is a failed row; the others go on."""
+    given = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), "props")).otherwise(F.col("props"))
+    k = F.from_json(given, "k long", {"mode": "PERMISSIVE"})["k"]
+    e = views.read(spark, d, "events").select("event_id", given.alias("given"), k.alias("k"))
+    failed = F.col("k").isNull()
+    return e.select("event_id", F.when(failed, "failed").otherwise("completed").alias("status"), "k", F.when(failed, F.concat(F.lit("InvalidJson: "), F.substring("given", 1, 21))).alias("error"))
+
+
+@query(with_views("regions", " SELECT frame_id, frame_id || ':' || region_order AS region_id, text FROM regions WHERE region_order < 4"))
+def ocr_child_rows(spark: SparkSession, d: str) -> DataFrame:
+    r = views.regions(spark, d).where("region_order < 4")
+    return r.select("frame_id", F.concat_ws(":", F.col("frame_id").cast("string"), F.col("region_order").cast("string")).alias("region_id"), "text")
+
+
+@query("SELECT vec_id, round(greatest(0, least(1, list_min([embedding[1], embedding[3], embedding[5], embedding[7]])))::DOUBLE, 6) AS x0, round(greatest(0, least(1, list_max([embedding[1], embedding[3], embedding[5], embedding[7]])))::DOUBLE, 6) AS x1 FROM embeddings")
+def clamped_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """A four-cornered region as an upright box within the picture."""
+    xs = F.array(*[F.col("embedding")[i].cast("double") for i in (0, 2, 4, 6)])
+    return views.read(spark, d, "embeddings").select("vec_id", F.round(numeric.clamp(F.array_min(xs)), 6).alias("x0"), F.round(numeric.clamp(F.array_max(xs)), 6).alias("x1"))
+
+
+@query("SELECT d.source, count(*) AS frames, count(l.doc_id) AS covered, count(*) - count(l.doc_id) AS missing FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source")
+def coverage_validation(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = views.read(spark, d, "documents").select("doc_id", "source"), views.read(spark, d, "labels").select("doc_id", F.lit(1).alias("h"))
+    j = docs.join(labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("frames"), F.count("h").alias("covered"))
+    return j.withColumn("missing", F.col("frames") - F.col("covered"))
+
+
+@query("SELECT conv_id, role, string_agg(left(text, 30), ' | ' ORDER BY turn) AS evidence FROM conversations GROUP BY ALL")
+def evidence_concat(spark: SparkSession, d: str) -> DataFrame:
+    c = views.read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 30).alias("t")))).alias("x"))
+    return c.select("conv_id", "role", F.array_join("x.t", " | ").alias("evidence"))
+
+
+@query(with_views(_HITS, " SELECT h.query_id, count(*) AS cells, count(*) FILTER (WHERE f.video_id <> h.video_id OR f.frame_idx <> h.frame_idx) AS wrong FROM hits h JOIN frames f USING (frame_id) GROUP BY h.query_id"))
+def matrix_identity(spark: SparkSession, d: str) -> DataFrame:
+    h = hits(spark, d)
+    f = views.frames(spark, d).select("frame_id", F.col("video_id").alias("v"), F.col("frame_idx").alias("i"))
+    return h.join(f, "frame_id").groupBy("query_id").agg(F.count("*").alias("cells"), F.sum(((F.col("v") != F.col("video_id")) | (F.col("i") != F.col("frame_idx"))).cast("long")).alias("wrong"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS segment_index, (turn * 16000 * 1000) // 44100 AS offset_ms FROM conversations WHERE trim(text) <> '' AND role <> 'system'")
+def speech_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Non-empty speech, numbered densely; sample offsets as milliseconds."""
+    c = views.read(spark, d, "conversations").where("trim(text) <> '' and role <> 'system'")
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn")) - 1
+    return c.select("conv_id", "turn", place.cast("long").alias("segment_index"), F.expr("(turn * 16000 * 1000) div 44100").alias("offset_ms"))
+
+
+@query(with_views("detections", ", c AS (SELECT video_id, day, label, count(*) AS n FROM detections GROUP BY ALL) SELECT video_id, day, '{' || string_agg('\"' || label || '\":' || n, ',' ORDER BY label) || '}' AS counts_json FROM c GROUP BY ALL"))
+def counts_json(spark: SparkSession, d: str) -> DataFrame:
+    c = views.detections(spark, d).groupBy("video_id", "day", "label").agg(F.count("*").alias("n"))
+    m = c.groupBy("video_id", "day").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("m"))
+    return m.select("video_id", "day", F.to_json("m").alias("counts_json"))
+
+
+@query("SELECT event_type AS stage, count(*) AS traces, round(sum(value), 3) AS total_ms, round(max(value), 6) AS slowest_ms FROM events GROUP BY event_type")
+def trace_summary(spark: SparkSession, d: str) -> DataFrame:
+    return views.read(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("traces"), F.round(F.sum("value"), 3).alias("total_ms"), F.round(F.max("value"), 6).alias("slowest_ms"))
