@@ -1,0 +1,139 @@
+"""Queries of progressive search, streams, bundles and ports."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..operators import ports, vector
+from ..sources import bundles, shared, views
+from ..sources.views import with_views
+from ..streaming import events, sessions
+from .registry import query
+from .relational import hits
+
+_HITS = "frames queries hits"
+
+ACQUIRE = with_views("frames queries", """, s AS (SELECT q.query_id, f.frame_id, f.video_id, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries q, frames f WHERE q.query_id < 2),
+  g AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 30),
+  v AS (SELECT DISTINCT video_id FROM g WHERE query_id = 0),
+  l AS (SELECT * FROM s WHERE query_id = 1 AND video_id IN (SELECT video_id FROM v) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 15),
+  r AS (SELECT DISTINCT video_id FROM g WHERE query_id = 1 AND video_id NOT IN (SELECT video_id FROM v)),
+  b AS (SELECT * FROM s WHERE query_id = 0 AND video_id IN (SELECT video_id FROM r) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_id) <= 5)""")
+
+
+@query(ACQUIRE + " SELECT query_id, video_id, frame_id, max(score) AS score, bool_or(local) AS local, bool_or(backfill) AS backfill FROM (SELECT *, false AS local, false AS backfill FROM g UNION ALL SELECT *, true, false FROM l UNION ALL SELECT *, false, true FROM b) GROUP BY ALL")
+def acquire_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """A second hint: the best frames of all videos and of those the first hint had found; videos that only the second one
+    finds are evaluated for the first one after all."""
+    corpus = views.frames(spark, d).select("frame_id", "video_id", "embedding")
+    one, two = views.queries(spark, d, 1), views.queries(spark, d, 2).where("query_id = 1")
+    found = vector.knn_join(one, corpus, 30).drop("rank")
+    new = vector.knn_join(two, corpus, 30).drop("rank")
+    before, after = found.select("video_id").distinct(), new.select("video_id").distinct()
+    local = vector.knn_join(two, corpus.join(before, "video_id", "left_semi").select(corpus.columns), 15).drop("rank")
+    rescued = corpus.join(after.join(before, "video_id", "left_anti"), "video_id", "left_semi")
+    scored = rescued.join(F.broadcast(one), F.lit(True))
+    scored = scored.select("query_id", "frame_id", "video_id", F.round(vector.dot("query", "embedding"), 6).alias("score"))
+    place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("score"), "frame_id"))
+    backfill = scored.withColumn("place", place).where("place <= 5").drop("place")
+    mark = lambda df, a, b: df.select("query_id", "video_id", "frame_id", "score", F.lit(a).alias("local"), F.lit(b).alias("backfill"))
+    rows = mark(found, False, False).unionByName(mark(new, False, False)).unionByName(mark(local, True, False)).unionByName(mark(backfill, False, True))
+    return rows.groupBy("query_id", "video_id", "frame_id").agg(F.max("score").alias("score"), F.bool_or("local").alias("local"), F.bool_or("backfill").alias("backfill"))
+
+
+@query(with_views(_HITS, """, v AS (SELECT DISTINCT video_id FROM frames), u AS (SELECT query_id FROM queries WHERE query_id < 10), e AS (SELECT DISTINCT query_id, video_id FROM hits), m AS (SELECT query_id, video_id, count(*) AS n FROM hits WHERE rank <= 15 GROUP BY ALL)
+  SELECT u.query_id, v.video_id, CASE WHEN e.video_id IS NULL THEN 'UNKNOWN' WHEN m.n IS NULL THEN 'NO_MATCH' ELSE 'MATCH' END AS state, coalesce(m.n, 0) AS frames
+  FROM u, v LEFT JOIN e ON e.query_id = u.query_id AND e.video_id = v.video_id LEFT JOIN m ON m.query_id = u.query_id AND m.video_id = v.video_id"""))
+def evaluation_state(spark: SparkSession, d: str) -> DataFrame:
+    """Each unit and video: matched, evaluated without a match, or never evaluated."""
+    h = hits(spark, d).where("query_id < 10")
+    keys = ["query_id", "video_id"]
+    units = views.frames(spark, d).select("video_id").distinct().withColumn("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    seen = h.select(*keys).distinct().withColumn("seen", F.lit(True))
+    matched = h.where("rank <= 15").groupBy(*keys).agg(F.count("*").alias("n"))
+    j = units.join(seen, keys, "left").join(matched, keys, "left")
+    state = F.when(F.col("seen").isNull(), "UNKNOWN").when(F.col("n").isNull(), "NO_MATCH").otherwise("MATCH")
+    return j.select(*keys, state.alias("state"), F.coalesce("n", F.lit(0)).alias("frames"))
+
+
+def _hints(spark: SparkSession, d: str) -> DataFrame:
+    """Growing hints: the first words of a conversation's turns so far; every fifth starts over."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = views.read(spark, d, "conversations").withColumn("part", F.substring_index("text", " ", 3))
+    hint = F.when(F.col("turn") % 5 == 4, F.col("part")).otherwise(F.array_join(F.collect_list("part").over(w), " "))
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), hint.alias("hint"))
+
+
+@query()
+def session_replay(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.replay(_hints(spark, d))
+
+
+@query()
+def session_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same hints as a stream with keyed state."""
+    path = shared.shared_path(spark, "hints")
+    _hints(spark, d).write.parquet(path)
+    hints = events.source(spark, path, "session long, seq long, hint string")
+    return events.drained(sessions.stream(hints), "session-stream", "append")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    e = events.source(spark, f"{d}/[e]vents.parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    return events.drained(events.tumbling(e), "tumbling")
+
+
+@query("""SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 6 HOURS THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+  (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY user_id, s""")
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    return events.session_windows(views.read(spark, d, "events")).select("user_id", "n", "total")
+
+
+@query(with_views("frames segments", " SELECT 'frames' AS name, count(*) AS rows FROM frames UNION ALL SELECT 'segments', count(*) FROM segments"))
+def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables published under a version, the manifest last, and loaded by the pointer, verified."""
+    root = shared.shared_path(spark, "bundle")
+    bundles.publish({"frames": views.frames(spark, d), "segments": views.segments(spark, d)}, root, "v1", {"dimension": 64})
+    out = None
+    for name, df in bundles.load(spark, root).items():
+        part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(with_views("frames", " SELECT frame_id, video_id FROM frames WHERE frame_idx // 16 NOT IN (SELECT i * 2 FROM generate_series(0, 1000000) g(i) WHERE i < 100000)"))
+def resume_shards(spark: SparkSession, d: str) -> DataFrame:
+    """Even shards of sixteen frames are done; the rest is left."""
+    f = views.frames(spark, d).withColumn("shard", F.expr("frame_idx div 16"))
+    done = f.where("shard % 2 = 0").select("video_id", "shard").distinct()
+    return bundles.todo(f, done, ["video_id", "shard"]).select("frame_id", "video_id")
+
+
+@query("SELECT source, lang, sha256(source || '|' || lang || '|v2') AS identity, count(*) AS rows, sha256(source || '|' || lang || '|v2') = sha256(source || '|' || lang || CASE WHEN source < 'src2' THEN '|v1' ELSE '|v2' END) AS complete FROM documents GROUP BY ALL")
+def stage_identity(spark: SparkSession, d: str) -> DataFrame:
+    """A stage is complete where its recorded identity (inputs and configuration) is what it would be now."""
+    ident = lambda v: F.sha2(F.concat_ws("|", "source", "lang", v), 256)
+    told = ident(F.when(F.col("source") < "src2", "v1").otherwise("v2"))
+    g = views.read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("rows"))
+    return g.select("source", "lang", ident(F.lit("v2")).alias("identity"), "rows", (ident(F.lit("v2")) == told).alias("complete"))
+
+
+@query()
+def text_index_build(spark: SparkSession, d: str) -> DataFrame:
+    """Segments encoded (each distinct text once), checked, and published as a vector bundle; its validation."""
+    s = views.segments(spark, d).where("status = 'completed'").select("segment_id", "video_id", "text")
+    coded = ports.encode(s, "text", ports.hashing_encoder()).drop("text").where("embedding is not null")
+    root = shared.shared_path(spark, "text-index")
+    bundles.publish({"vectors": coded}, root, "v1")
+    got = bundles.load(spark, root)["vectors"]
+    return got.groupBy("video_id").agg(F.count("*").alias("rows"), F.max(F.size("embedding")).alias("dimension"), F.round(F.max(F.abs(vector.norm("embedding") - 1)), 4).alias("off_unit"))
+
+
+@query(with_views(_HITS, " SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 15 THEN frame_id % 17 END DESC NULLS LAST, rank)::INTEGER AS place FROM hits"))
+def rerank_port(spark: SparkSession, d: str) -> DataFrame:
+    h = hits(spark, d).select("query_id", "frame_id", "rank")
+    return ports.rerank(h, lambda b: (b["frame_id"] % 17).to_numpy(np.float64), 15).select("query_id", "frame_id", "place")
