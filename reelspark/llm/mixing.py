@@ -71,7 +71,8 @@ def mix(
     placed = common.table(common.numbered(rows, [F.col("size"), F.col("doc_id")], "ranked", per="source"), "placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     wanted = targets(sizes, weights, share, most).withColumnRenamed("source", "_source")
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit(""))), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    drawn = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "source")), 1, 5)
+    offset = F.conv(drawn, 16, 10).cast("double") / F.lit(float(16**5))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor((F.col("position") + 1) * rate + offset) - F.floor(F.col("position") * rate + offset)
     joined = placed.join(wanted, F.col("source").eqNullSafe(F.col("_source")))
@@ -79,3 +80,19 @@ def mix(
     return joined.select(
         "doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies")
     )
+
+
+def oracle(weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: int = 17) -> str:
+    """The same over ``documents`` in DuckDB's SQL."""
+    return f"""
+WITH s AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size FROM documents),
+src AS (SELECT source, sum(size)::BIGINT AS source_size FROM s GROUP BY source),
+wt AS (SELECT *, {list(weights)}[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)} + 1]::DOUBLE AS weight, {most}::DOUBLE * source_size AS cap FROM src),
+lv AS (SELECT *, ({share}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+  row_number() OVER w AS place FROM wt WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
+tg AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, place) FROM lv WHERE level * weight < cap) * weight, cap)) AS target FROM lv),
+p AS (SELECT doc_id, size, source_size, target, row_number() OVER (PARTITION BY s.source ORDER BY size, doc_id) - 1 AS position,
+  CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, ('0x' || left(md5(concat_ws(':', '{seed}', s.source)), 5))::INTEGER / {16**5}.0::DOUBLE AS draw
+  FROM s JOIN tg ON s.source IS NOT DISTINCT FROM tg.source),
+c AS (SELECT *, least(floor((position + 1) * rate + draw) - floor(position * rate + draw), {int(most)})::BIGINT AS copies FROM p)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c"""
