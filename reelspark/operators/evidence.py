@@ -74,3 +74,28 @@ def relation_holds(relation: str, a_start: Column, a_end: Column, b_start: Colum
     gap = F.greatest(F.greatest(a_start, b_start) - F.least(a_end, b_end), F.lit(0))
     tests = {"BEFORE": b_end <= a_start, "AFTER": b_start >= a_end, "OVERLAP": (a_start < b_end) & (b_start < a_end), "NEAR": gap <= near_ms}
     return tests[relation]
+
+
+def scene_scores(evidence: DataFrame, unit: str, scene: list[str], units: int, scale_ms: float = 10000.0, relation: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Scenes of (scene keys with video_id, unit, score, timestamp_ms) by meaning (mean of scaled maxima of matched units,
+    .45), coverage times evaluation (.30), compactness (.15) and a BEFORE relation of two units (.10).
+
+    Evaluated units of a video are those with any evidence there.  A relation of which a side has no evidence is unknown
+    (null); only terms that are known count, in the weights too."""
+    first, second = relation
+    best = evidence.groupBy(*scene, unit).agg(F.max("score").alias("best"), F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"))
+    best = best.join(bounds(evidence, unit), unit)
+    at = lambda u, c, agg: agg(F.when(F.col(unit) == u, F.col(c)))
+    s = best.groupBy(*scene).agg(
+        F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))).alias("semantic"),
+        F.count("*").alias("matched"),
+        F.min("t0").alias("start_ms"),
+        F.max("t1").alias("end_ms"),
+        (at(first, "t0", F.min) <= at(second, "t1", F.max)).alias("related"),
+    )
+    s = s.join(evidence.groupBy("video_id").agg(F.count_distinct(unit).alias("evaluated")), "video_id")
+    relation_score = F.when(F.col("related"), 1.0).when(F.col("related").isNotNull(), 0.0)
+    compact = 1.0 / (1.0 + (F.col("end_ms") - F.col("start_ms")) / scale_ms)
+    total = 0.45 * F.col("semantic") + 0.30 * (F.col("matched") / F.col("evaluated")) * (F.col("evaluated") / units) + 0.15 * compact
+    known = F.when(relation_score.isNull(), 0.9).otherwise(1.0)
+    return s.select(*scene, "matched", "evaluated", "related", F.round((total + F.coalesce(0.10 * relation_score, F.lit(0.0))) / known, 9).alias("score"))

@@ -228,3 +228,35 @@ def probe_statistics(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("user_id").agg(
         F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_ms"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95_ms"), F.round(F.sum("k") / F.sum("value"), 6).alias("throughput")
     )
+
+
+@query(with_views(_HITS, """, e AS (SELECT *, timestamp_ms // 20000 AS scene FROM hits WHERE query_id < 5), p AS (SELECT query_id, video_id, max(score) AS m FROM e GROUP BY ALL), u AS (SELECT query_id, least(0, min(m)) AS low, max(m) AS high FROM p GROUP BY query_id),
+  b AS (SELECT video_id, scene, query_id, max(score) AS best, min(timestamp_ms) AS t0, max(timestamp_ms) AS t1 FROM e GROUP BY ALL),
+  s AS (SELECT video_id, scene, avg(CASE WHEN high <= low THEN 1.0::DOUBLE ELSE least(1, greatest(0, (best - low) / (high - low))) END) AS semantic, count(*) AS matched, max(t1) - min(t0) AS span,
+    min(t0) FILTER (WHERE query_id = 0) <= max(t1) FILTER (WHERE query_id = 1) AS related FROM b JOIN u USING (query_id) GROUP BY ALL),
+  v AS (SELECT video_id, count(DISTINCT query_id) AS evaluated FROM e GROUP BY video_id)
+  SELECT video_id, scene, matched, evaluated, related, round((0.45::DOUBLE * semantic + 0.30::DOUBLE * (matched / evaluated) * (evaluated / 5) + 0.15::DOUBLE / (1 + span / 10000.0::DOUBLE) + CASE WHEN related THEN 0.10::DOUBLE ELSE 0 END)
+    / CASE WHEN related IS NULL THEN 0.9::DOUBLE ELSE 1 END, 9) AS score FROM s JOIN v USING (video_id)"""))
+def scene_scores(spark: SparkSession, d: str) -> DataFrame:
+    e = hits(spark, d).where("query_id < 5").withColumn("scene", F.expr("timestamp_ms div 20000"))
+    return evidence.scene_scores(e, "query_id", ["video_id", "scene"], 5)
+
+
+@query(with_views(_HITS, " SELECT query_id, count(*) AS results, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM hits GROUP BY query_id"))
+def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
+    """The per-query report, written as JSON and CSV; the CSV read again."""
+    from ..sources.shared import shared_path
+
+    path = shared_path(spark, "report")
+    rows = hits(spark, d).groupBy("query_id").agg(F.count("*").alias("results"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+    rows.write.json(f"{path}/json")
+    rows.write.option("header", True).csv(f"{path}/csv")
+    return spark.read.schema("query_id long, results long, best double, mean double").option("header", True).csv(f"{path}/csv")
+
+
+@query(with_views("timeline", " SELECT video_id, count(*) AS frames, count(DISTINCT event_type) AS kinds, max(motion_score) AS peak, arg_max(frame_id, (motion_score, -frame_id)) AS peak_frame FROM timeline GROUP BY video_id"))
+def video_inventory(spark: SparkSession, d: str) -> DataFrame:
+    best = F.max(F.struct("motion_score", (-F.col("frame_id")).alias("less")))
+    return views.timeline(spark, d).groupBy("video_id").agg(
+        F.count("*").alias("frames"), F.count_distinct("event_type").alias("kinds"), F.max("motion_score").alias("peak"), (-best["less"]).alias("peak_frame")
+    )
