@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
-from .kernels import U64, Words, chunks, lists, mix, signed, utf8
+from .kernels import U64, Words, chunks, lists, mix, signed, sliced, utf8
 
 #: Sizes of band i: from FIRST * RATIO**i on, below FIRST * RATIO**(i+1).
 FIRST, RATIO = 4, 4
@@ -93,7 +93,7 @@ def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n (set size), c and c2 (hashes of the set), keys (emitted sketch words), bits (the bit sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n, c, c2, keys, bits = [], [], [], [], []
             for u in _sets(utf8(batch.column("text")), k):
                 one, two = _class(u)
@@ -123,7 +123,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     """c and the set itself, of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             sets = list(_sets(utf8(batch.column("text")), k))
             if sets:
                 c = signed(np.array([_class(u)[0] for u in sets], U64))
