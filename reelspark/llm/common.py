@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -84,30 +84,30 @@ def numbered(df: DataFrame, keys: list[Column], name: str, per: str | None = Non
     )
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _marked(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """``edges`` as a table, and their number and a digest of them, taken while they are written."""
+    seen = Observation()
+    h = F.xxhash64("u", "v")
+    out = table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(F.xxhash64(h)).alias("y")), name)
+    return out, tuple(seen.get.values())
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected edges (u, v): rows (node, root), root the smallest node reachable.
 
-    Alternates large and small stars (Kiveris et al., 2014) until nothing changes; every round is two joins on
-    the node, whose group minima are combined before the shuffle, and is written as a table."""
-    e = table(
+    Alternates large and small stars (Kiveris et al., 2014) until nothing changes; a round is one job, whose group minima
+    are combined before the shuffle, and is written as a table."""
+    e, mark = _marked(
         edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    mark = _mark(e)
     while mark[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = table(large, "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = table(small.where("u <> v").distinct(), "small")
-        now = _mark(e)
+        e, now = _marked(small.where("u <> v").distinct(), "stars")
         if now == mark:
             break
         mark = now

@@ -12,8 +12,9 @@ number of words (bits) that differ is a lower bound of the symmetric difference.
 2. Emitted words are joined.  Of the sets under a word one is the leader, the one with the most shared words, and the
    others are compared with it: pairs grow with the words, not with the square of a group of copies.
 3. Candidates whose sizes or bit sketches show too large a difference are dropped; the rest are verified on the sets.
-4. Links give components.  Where sets of different components remain under a word, further leaders are taken there (1,
-   4, 16, ...) until every pair of sets under a word is linked through others or has been compared.
+4. Links give components.  Where sets of different components remain under a word, each such pair is held against its
+   sizes and bit sketches, in tiles of bounded size, and what passes is verified too.  So every pair of sets under a word
+   is linked through others or has been compared.
 
 Equal sets are one class from the start, and copies are never expanded into pairs.
 """
@@ -26,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from . import common
 from .kernels import U64, Words, chunks, lists, mix, signed, sliced, utf8
@@ -35,6 +35,8 @@ from .kernels import U64, Words, chunks, lists, mix, signed, sliced, utf8
 FIRST, RATIO = 4, 4
 #: Bits of the sketch that candidates are held against.
 SKETCH_BITS = 1024
+#: Sets of one word that meet in a task, on either side.
+TILE = 1024
 
 
 def _difference(a: int, b: int, percent: int) -> int:
@@ -154,6 +156,86 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percen
     return common.table(linked.select(F.col("c").alias("u"), F.col("l").alias("v")), "links")
 
 
+def _apart(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c, l) of classes under one key, of different roots, that sizes and bit sketches allow to link.
+
+    Keys of the same members are taken once.  A key of two gives its pair; the members of a larger one are dealt into
+    blocks of TILE, each two blocks meet in one task, and only what passes the sketches leaves it as rows."""
+    hashed = F.xxhash64("c")
+    keys = rest.groupBy("key").agg(
+        F.min("root").alias("lo"),
+        F.max("root").alias("hi"),
+        F.count("*").alias("held"),
+        F.min("c").alias("c"),
+        F.max("c").alias("l"),
+        F.bit_xor(hashed).alias("m1"),
+        F.bit_xor(F.xxhash64(hashed)).alias("m2"),
+    )
+    keys = keys.where("lo <> hi").groupBy("held", "m1", "m2").agg(F.min("key").alias("key"), F.min("c").alias("c"), F.max("l").alias("l"))
+    keys = common.table(keys.select("key", "held", "c", "l"), "mixed")
+    blocks = F.ceil(F.col("held") / TILE).cast("int")
+    rows = rest.join(keys.where("held > 2").select("key", blocks.alias("blocks")), "key").join(classes.select("c", "n", "bits"), "c")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "c", "root", "n", "bits")
+    tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
+    return keys.where("held = 2").select("c", "l").union(tiles.mapInArrow(_tile_pairs(percent), "c long, l long"))
+
+
+def _tile_pairs(percent: int):
+    names = ("key", "i", "j", "b", "c", "root", "n")
+
+    def pairs(t: dict[str, np.ndarray], p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        i, j = t["i"][p], t["j"][p]
+        one, two = (p + np.flatnonzero(t["b"][p:q] == x) for x in (i, j))
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(0, len(one), 64):
+            a = one[at : at + 64]
+            na, nb = t["n"][a][:, None], t["n"][two][None]
+            ok = (t["root"][a][:, None] != t["root"][two][None]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            if i == j:
+                ok &= a[:, None] < two[None]
+            x, y = np.nonzero(ok)
+            for cut in range(0, len(x), 1 << 16):
+                u, v = a[x[cut : cut + (1 << 16)]], two[y[cut : cut + (1 << 16)]]
+                differ = np.bitwise_count(t["bits"][u] ^ t["bits"][v]).sum(1, dtype=np.int64)
+                near = differ <= (100 - percent) * (t["n"][u] + t["n"][v]) // (100 + percent)
+                left.append(t["c"][u[near]])
+                right.append(t["c"][v[near]])
+        return np.concatenate(left), np.concatenate(right)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def flush(t: dict[str, np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, dict | None]:
+            new = np.flatnonzero((np.diff(t["key"]) != 0) | (np.diff(t["i"]) != 0) | (np.diff(t["j"]) != 0)) + 1
+            cuts = [0, *new.tolist(), len(t["key"])]
+            done = cuts if last else cuts[:-1]
+            found = [pairs(t, p, q) for p, q in zip(done[:-1], done[1:])]
+            rest = None if last else {k: v[done[-1] :] for k, v in t.items()}
+            if not found:
+                return None, rest
+            c, l_ = (np.concatenate(x) for x in zip(*found))
+            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(l_)], ["c", "l"]), rest
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = {k: batch.column(k).to_numpy() for k in names}
+            bits = batch.column("bits")
+            t["bits"] = np.asarray(bits.flatten()).reshape(batch.num_rows, -1)
+            t = t if held is None else {k: np.concatenate([held[k], t[k]]) for k in t}
+            out, held = flush(t, False)
+            if out is not None:
+                yield out
+        if held is not None:
+            out, _ = flush(held, True)
+            if out is not None:
+                yield out
+
+    return run
+
+
 def similar_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members, roots): members has doc_id, n, c (the class of equal sets); roots has node (a class), root."""
     sketched = common.table(sketches(docs, k, percent), "sketches")
@@ -172,28 +254,15 @@ def similar_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, D
     open_ = common.table(open_.join(weight, "c").select("key", "c", "weight"), "weighted")
 
     leader = open_.groupBy("key").agg(F.max(F.struct("weight", "c")).alias("top")).select("key", F.col("top.c").alias("l"))
-    rest = open_.join(leader, "key").where("c <> l")
+    rest = common.table(open_.join(leader, "key").where("c <> l").select("key", "c", "l"), "followers")
     links = _links(docs, classes, rest.select("c", "l"), k, percent)
     roots = common.table(common.components(links), "roots")
-    leaders, edges = 4, links
-    while True:
-        labelled = rest.select("key", "c", "weight").join(roots.withColumnRenamed("node", "c"), "c", "left")
-        labelled = labelled.withColumn("root", F.coalesce("root", "c"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        rest = common.table(labelled.join(mixed, "key"), "rest")
-        if rest.isEmpty():
-            break
-        place = F.row_number().over(W.partitionBy("key").orderBy(F.desc("weight"), F.desc("c")))
-        lead = rest.withColumn("place", place).where(F.col("place") <= leaders)
-        ahead = lead.select("key", F.col("c").alias("l"), F.col("weight").alias("w_l"), F.col("root").alias("r_l"))
-        after = (F.col("weight") < F.col("w_l")) | ((F.col("weight") == F.col("w_l")) & (F.col("c") < F.col("l")))
-        pairs = rest.join(ahead, "key").where(after & (F.col("root") != F.col("r_l"))).select("c", "l")
-        links = _links(docs, classes, pairs, k, percent)
-        rest = rest.join(lead.select("key", "c"), ["key", "c"], "left_anti")
-        if not links.isEmpty():
-            edges = common.table(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links), "edges")
-            roots = common.table(common.components(edges), "roots")
-        leaders *= 4
+    labelled = rest.select("key", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
+    labelled = common.table(labelled.withColumn("root", F.coalesce("root", "c")), "labelled")
+    more = _links(docs, classes, _apart(labelled, classes, percent), k, percent)
+    if not more.isEmpty():
+        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
+        roots = common.table(common.components(edges), "roots")
     return sketched.select("doc_id", "n", "c"), roots
 
 
