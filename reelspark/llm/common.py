@@ -52,10 +52,17 @@ def shown(id_column: Column) -> Column:
 
 
 def pick(rows: DataFrame, wanted: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """Join the large ``rows`` with the slim ``wanted`` (a written table).  Up to BROADCAST_ROWS rows it is broadcast,
-    so that whole texts are not shuffled; above, both are shuffled by key."""
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(wanted) if few else wanted, on, how)
+    """Join the large ``rows`` with the slim ``wanted`` (a written table).  Up to BROADCAST_ROWS ids, with columns of at
+    most 8 bytes, are broadcast so that other rows' texts are not shuffled; more are a shuffle.  Columns of other types
+    are joined after."""
+    fixed = {"bigint", "int", "double", "boolean"}
+    ids = wanted.select(on, *[c for c, kind in wanted.dtypes if kind in fixed and c != on]) if how == "inner" else wanted.select(on)
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if how != "inner":
+        return rows.join(F.broadcast(ids) if few else ids, on, how)
+    if few and len(ids.columns) == len(wanted.columns):
+        return rows.join(F.broadcast(ids), on)
+    return (rows.join(F.broadcast(ids.select(on)), on, "left_semi") if few else rows).join(wanted, on)
 
 
 def numbered(df: DataFrame, keys: list[Column], name: str, per: str | None = None) -> DataFrame:

@@ -113,13 +113,16 @@ def repeats(docs: DataFrame, width: int = 50, k: int = SEED_WORDS) -> tuple[Data
     copies = common.table(seen.groupBy("c").agg(F.min("doc_id").alias("rep")), "copies")
     grams = seen.where(F.size("anchors") > 0).select(F.explode("anchors").alias("anchor"), "c")
     shared = grams.groupBy("anchor").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("anchor")
+    shared = common.table(shared, "shared")
     seeds = grams.join(shared, "anchor").groupBy("c").agg(F.collect_set("anchor").alias("shared"))
     seeds = common.table(seeds.join(copies, "c").select(F.col("rep").alias("doc_id"), "shared"), "seeds")
     spread = common.table(_windows(common.pick(docs, seeds, "doc_id"), width, k), "windows")
     each = spread.select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
     each = each.select("doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
     first = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    again = each.join(first.select("hash", "first"), "hash").where("doc_id > first")
+    # as a table of its own, so that Spark can split the join where a window is in a great many documents
+    first = common.table(first.select("hash", "first"), "first")
+    again = each.join(first, "hash").where("doc_id > first")
     parts = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
     return seen.drop("anchors"), copies, common.table(parts, "repeats")
 
