@@ -13,7 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from . import common
 
 # Short notices of common licences.
 TEMPLATES = {
@@ -39,16 +40,16 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"))
 
 
-def notices(docs: DataFrame) -> DataFrame:
-    """path, notice, n_words (of the whole text), notice_words."""
+def notices(rows: DataFrame) -> DataFrame:
+    """doc_id, path, and of texts with such lines notice, n_words (of the whole text), notice_words; one scan of texts."""
     lines = F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(HINT))
-    found = docs.where(F.col("text").rlike(HINT)).select("row_id", "path", F.concat_ws("\n", lines).alias("notice"), "text")
-    found = found.where("notice <> ''")
-    return found.select("row_id", "path", "notice", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"), F.regexp_count("notice", F.lit(r"\S+")).alias("notice_words"))
+    found = rows.withColumn("notice", F.when(F.col("text").rlike(HINT), F.nullif(F.concat_ws("\n", lines), F.lit(""))))
+    words = lambda c: F.when(F.col("notice").isNotNull(), F.regexp_count(c, F.lit(r"\S+")))
+    return found.select("doc_id", "path", "notice", words("text").alias("n_words"), words("notice").alias("notice_words"))
 
 
 def cosines(spark: SparkSession, found: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """row_id, licence, cosine of each notice and each template that share a word."""
+    """notice, licence, cosine of each distinct notice and each template that share a word."""
     bag = lambda df, key: df.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
     given = spark.createDataFrame(sorted(templates.items()), "licence string, text string")
     wanted = bag(given.select("licence", _words(F.col("text")).alias("words")), "licence")
@@ -92,21 +93,25 @@ def license_scan(
     file of the root; repeated rows get the same result each; other columns are ignored; an empty table gives no rows."""
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), docs[text_col].cast("string").alias("text")
-    ).withColumn("row_id", F.xxhash64("doc_id", "path", "text"))
-    found = notices(rows)
+    )
+    seen = common.table(notices(rows), "notices")
+    found = seen.where("notice is not null")
     cos = cosines(docs.sparkSession, found, templates or TEMPLATES).where(F.col("cosine") >= least)
     best = cos.groupBy("notice").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("b"))
-    best = best.select("notice", F.col("b.licence").alias("licence"), (-F.col("b.less")).alias("cosine"))
-    own = found.join(best, "notice").withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    best = best.select("notice", F.col("b.licence").alias("own_licence"), (-F.col("b.less")).alias("cosine"))
+    best = common.table(best, "best")  # so that Spark can split the join where a notice is in a great many documents
+    directory = F.regexp_replace("path", "/?[^/]*$", "")
+    # texts without a notice, most of them, are not joined on it
+    own = common.table(found.join(best, "notice", "left").withColumn("dir", directory), "licensed")
     file = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) | (2 * F.col("notice_words") >= F.col("n_words"))
-    holders = own.where(file).groupBy("dir").agg(F.min(F.struct("path", "licence")).alias("h"))
-    holders = holders.select(F.col("dir").alias("licence_dir"), F.col("h.licence").alias("dir_licence"))
-    placed = rows.select("row_id", "doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"))
+    holders = own.where(file & F.col("own_licence").isNotNull()).groupBy("dir").agg(F.min(F.struct("path", "own_licence")).alias("h"))
+    holders = holders.select(F.col("dir").alias("licence_dir"), F.col("h.own_licence").alias("dir_licence"))
+    columns = ["doc_id", "path", "dir", "own_licence", "cosine"]
+    bare = seen.where("notice is null").select("doc_id", "path", directory.alias("dir"), F.lit(None).cast("string").alias("own_licence"), F.lit(None).cast("double").alias("cosine"))
+    placed = own.select(*columns).unionByName(bare)
     above = placed.select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("up", "licence_dir"))
     near = above.join(holders, "licence_dir").groupBy("dir").agg(F.min(F.struct("up", "licence_dir", "dir_licence")).alias("n"))
-    near = near.select("dir", "n.licence_dir", "n.dir_licence")
-    mine = own.groupBy("row_id").agg(F.first("licence").alias("own_licence"), F.first("cosine").alias("cosine"))
-    out = placed.join(mine, "row_id", "left").join(near, "dir", "left")
+    out = placed.join(near.select("dir", "n.licence_dir", "n.dir_licence"), "dir", "left")
     has, inherits = F.col("own_licence").isNotNull(), F.col("dir_licence").isNotNull()
     return out.select(
         "doc_id",
