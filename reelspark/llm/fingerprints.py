@@ -7,13 +7,12 @@ features are hashed into a chain of Bloom filters of at most FEATURES each.  Two
 their filters' bits, normalised between the overlap that chance gives and the largest possible one.
 """
 
-from __future__ import annotations
-
 import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +32,8 @@ _PAIR = (_PLOGP[:, None] + _PLOGP[None, :]).astype(np.float32).ravel()
 ORDINARY, LEAST = 4.0, 1.0
 _R, _RINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 PART = 1 << 20
+#: Id ranges for each partition, so that hashing them to partitions comes out even.
+BLOCKS = 4
 
 
 def entropies(data: np.ndarray) -> np.ndarray:
@@ -140,24 +141,24 @@ def in_order(docs: DataFrame) -> DataFrame:
     a block before the one that follows it; ``spare`` rows are the first of the next block, for looking ahead only."""
     spark = docs.sparkSession
     ids = docs.select("doc_id")
-    blocks = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = ids.repartitionByRange(blocks, "doc_id").groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("lo"))
-    lows = np.array(sorted(r.lo for r in dealt.collect()), np.int64)  # one id for each block
-
-    @F.pandas_udf("int")
-    def block_of(column):
-        import pandas as pd
+    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ids.repartitionByRange(BLOCKS * parts, "doc_id").groupBy(F.spark_partition_id().alias("p"))
+    lows = np.array(sorted(r.lo for r in ranges.agg(F.min("doc_id").alias("lo")).collect()), np.int64)  # one id for each block
 
-        return pd.Series(np.searchsorted(lows, column.to_numpy(), side="right").astype(np.int32) - 1)
+    @F.pandas_udf("long")
+    def place(column: pd.Series) -> pd.Series:
+        """Twice the block, and 1 if the id is the block's first."""
+        block = np.searchsorted(lows, column.to_numpy(), side="right") - 1
+        return pd.Series(2 * block + (lows[block] == column.to_numpy()))
 
     last = max(0, len(lows) - 1)
-    blocked = docs.withColumn("block", block_of("doc_id"))
+    blocked = docs.withColumn("place", place("doc_id")).withColumn("block", F.shiftright("place", 1).cast("int"))
+    leads = F.col("place") % 2 == 1
     before = F.when(F.col("block") == 0, F.lit(last)).otherwise(F.col("block") - 1)
-    leads = F.col("doc_id").isin(lows.tolist()) if len(lows) <= 64 else F.array_contains(F.lit(lows.tolist()), F.col("doc_id"))
     own = F.struct(F.col("block").alias("block"), F.lit(False).alias("spare"))
     ahead = F.struct(before.cast("int").alias("block"), F.lit(True).alias("spare"))
     rows = blocked.select(F.explode(F.when(leads, F.array(own, ahead)).otherwise(F.array(own))).alias("b"), "doc_id", "text")
-    rows = rows.select("b.block", "b.spare", "doc_id", "text").repartition(blocks, "block")
+    rows = rows.select("b.block", "b.spare", "doc_id", "text").repartition(parts, "block")
     return rows.sortWithinPartitions("block", "spare", "doc_id", F.xxhash64("text"), "text")
 
 
