@@ -26,8 +26,8 @@ from . import common
 from .kernels import chunks, lists, sliced, utf8
 
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 13, 16, (2, 3, 4)
-#: The bound of the training sample, for each language, and the longest list of distinct languages.
-PER_LANGUAGE, LANGUAGES = 300, 500
+#: The bounds of the training sample: rows of each language, and rows in all, dealt to the languages in turn.
+PER_LANGUAGE, SAMPLE = 300, 4000
 EPOCHS, RATE = 12, 2.0
 #: N-grams of a calibration text.
 FEW = 30
@@ -137,7 +137,8 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
     ).where("not held_out and lang is not null and text is not null")
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE)
-    chosen = common.table(chosen.select("doc_id").distinct().limit(PER_LANGUAGE * LANGUAGES), "sample")
+    chosen = chosen.orderBy("rank", "lang").limit(SAMPLE)
+    chosen = common.table(chosen.select("doc_id").distinct(), "sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
