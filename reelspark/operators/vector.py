@@ -26,8 +26,38 @@ def normalised(a: str) -> Column:
     return F.when(norm(a) > 0, F.transform(F.col(a), lambda x: x.cast("double") / norm(a)))
 
 
-#: Queries that one task scores at a time, and the most that are shipped with the plan.
-BLOCK, SHIPPED = 1024, 10_000
+#: Queries that one task scores at a time, the most that are shipped with the plan, and corpus rows of a block beyond that.
+BLOCK, SHIPPED, ROWS = 1024, 10_000, 4096
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, batch: pd.DataFrame, kept: list[str], k: int, digits: int) -> Iterator[pd.DataFrame]:
+    """The k best rows of a batch of the corpus for each query, BLOCK queries at a time."""
+    batch = batch.sort_values("frame_id", kind="stable").reset_index(drop=True)
+    vectors = np.stack(batch["embedding"].to_list()).astype(float)
+    for at in range(0, len(ids), BLOCK):
+        scores = np.round(matrix[at : at + BLOCK] @ vectors.T, digits)
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        out = batch[kept].iloc[best.ravel()].reset_index(drop=True)
+        out.insert(0, "query_id", np.repeat(ids[at : at + BLOCK], best.shape[1]))
+        out["score"] = np.take_along_axis(scores, best, 1).ravel()
+        yield out
+
+
+def _block_join(queries: DataFrame, corpus: DataFrame, kept: list[str], schema: str, k: int, digits: int) -> DataFrame:
+    """The k best of each pair of blocks: every block of queries meets every block of the corpus in a task."""
+    qb, xb = max(1, -(-queries.count() // BLOCK)), max(1, -(-corpus.count() // ROWS))
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = queries.withColumn("_q", block("query_id", qb)).withColumn("_x", every(xb))
+    right = corpus.withColumn("_x", block("frame_id", xb)).withColumn("_q", every(qb))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["query_id", *kept, "score"])
+        matrix = np.stack(a["query"].to_list()).astype(float)
+        return pd.concat(_best(a["query_id"].to_numpy(), matrix, b, kept, k, digits))
+
+    return left.groupBy("_q", "_x").cogroup(right.groupBy("_q", "_x")).applyInPandas(run, schema)
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
@@ -35,30 +65,25 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) ->
     inner product, ties by frame_id: the columns of ``corpus`` but the vector, query_id, score, rank.
 
     Up to SHIPPED queries go to every task as one matrix, and each Arrow batch of the corpus is one product; only the k
-    best of a batch leave it.  More queries are taken in blocks of that many."""
+    best of a batch leave it.  More queries are rows of blocks that are joined with blocks of the corpus; the driver sees
+    their number only."""
     kept = [c for c in corpus.columns if c != "embedding"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema.fields if f.name in kept)
-    given = queries.select("query_id", "query").orderBy("query_id").limit(SHIPPED + 1).toPandas()
-    if len(given) > SHIPPED:
-        raise ValueError(f"more than {SHIPPED} queries: join them in parts")
-    ids = given["query_id"].to_numpy()
-    matrix = np.stack(given["query"].to_list()).astype(float) if len(given) else np.zeros((0, 1))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            batch = batch.sort_values("frame_id", kind="stable").reset_index(drop=True)
-            vectors = np.stack(batch["embedding"].to_list()).astype(float)
-            for at in range(0, len(ids), BLOCK):
-                scores = np.round(matrix[at : at + BLOCK] @ vectors.T, digits)
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                out = batch[kept].iloc[best.ravel()].reset_index(drop=True)
-                out.insert(0, "query_id", np.repeat(ids[at : at + BLOCK], best.shape[1]))
-                out["score"] = np.take_along_axis(scores, best, 1).ravel()
-                yield out
-
-    local = corpus.mapInPandas(run, f"query_id long, {schema}, score double")
+    schema = f"query_id long, {schema}, score double"
+    queries = queries.select("query_id", "query")
+    if queries.limit(SHIPPED + 1).count() > SHIPPED:
+        local = _block_join(queries, corpus, kept, schema, k, digits)
+    else:
+        given = queries.orderBy("query_id").toPandas()
+        ids = given["query_id"].to_numpy()
+        matrix = np.stack(given["query"].to_list()).astype(float) if len(given) else np.zeros((0, 1))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) and len(ids):
+                    yield from _best(ids, matrix, batch, kept, k, digits)
+
+        local = corpus.mapInPandas(run, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "frame_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from reelspark.operators import fusion, joins, ports
+from reelspark.operators import fusion, joins, ports, vector
 from reelspark.operators import sequences as seq
 from reelspark.sources import bundles
 from reelspark.streaming import sessions
@@ -116,3 +116,14 @@ def test_rerank_keeps_order_where_the_scorer_fails(spark):
 
     assert [r.frame_id for r in ports.rerank(ranked, broken, 3).orderBy("place").collect()] == [0, 1, 2, 3]
     assert [r.frame_id for r in ports.rerank(ranked, lambda b: b["frame_id"].to_numpy(float), 3).orderBy("place").collect()] == [2, 1, 0, 3]
+
+
+def test_more_queries_than_are_shipped(spark):
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-3, 4, (vector.SHIPPED + 50, 3)).astype(float), rng.integers(-3, 4, (5000, 3)).astype(float)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(q.tolist())], "query_id long, query array<double>")
+    corpus = spark.createDataFrame([(i, i % 7, v) for i, v in enumerate(x.tolist())], "frame_id long, video_id long, embedding array<double>")
+    got = vector.knn_join(queries, corpus, 3).toPandas().sort_values(["query_id", "rank"])
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :3]
+    assert got.frame_id.to_numpy().reshape(-1, 3).tolist() == want.tolist()
+    assert (got.video_id == got.frame_id % 7).all() and got["rank"].tolist() == [1, 2, 3] * len(q)
