@@ -23,9 +23,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def _unique(docs: DataFrame) -> DataFrame:
+    """``docs`` and ``_given``, its doc_id; where ids repeat (nulls, too), doc_id is the place by id, null first, and text."""
+    rows = docs.select(*COLUMNS, F.col("doc_id").alias("_given"))
+    if rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return rows
+    rows = common.numbered(rows.withColumn("_text", F.xxhash64("text")), [F.col("doc_id"), F.col("_text")], "unique")
+    return rows.select(F.col("position").alias("doc_id"), *COLUMNS[1:], "_given")
+
+
+def _as_given(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("_given").alias("doc_id"), *COLUMNS[1:])
+
+
 def _by_id(docs: DataFrame) -> DataFrame:
-    """The columns of ``documents`` and ``_id``, the id with null as the smallest."""
-    return docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("_id"))
+    """The columns of ``_unique`` and ``_id``, the id with null as the smallest."""
+    return docs.select(*COLUMNS, "_given", F.coalesce("doc_id", F.lit(common.NULL_ID)).alias("_id"))
 
 
 def _ids(rows: DataFrame, *more: str) -> DataFrame:
@@ -38,32 +51,32 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of at least 0.8 over five-word shingles connect, that of the smallest id."""
+    """One document of each group that links of at least 0.8 over five-word shingles connect, that of the smallest id.
+    Documents that only share an id, or have none, are different ones."""
+    docs = _unique(docs)
     groups = ngram_jaccard(docs, k=5, percent=80)
     first = common.table(_ids(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))), "first")
-    repeated = first.groupBy("_id").count().where("count > 1")
-    kept = common.pick(_by_id(docs), first, "_id", "left_semi")
-    if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["_id"])
-    return kept.select(*COLUMNS)
+    return _as_given(common.pick(_by_id(docs), first, "_id", "left_semi"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that an earlier document has; a text left without words goes."""
-    cut = common.table(_ids(substring_dedup(docs).where("n_removed > 0"), "kept_text").dropDuplicates(["_id"]), "cut")
+    docs = _unique(docs)
+    cut = common.table(_ids(substring_dedup(docs).where("n_removed > 0"), "kept_text"), "cut")
     ids, rows = cut.select("_id"), _by_id(docs)
-    same = common.pick(rows, ids, "_id", "left_anti").select(*COLUMNS)
+    same = common.pick(rows, ids, "_id", "left_anti")
     changed = common.pick(rows.drop("text"), ids, "_id", "left_semi").join(cut, "_id").where(F.col("kept_text").rlike(r"[^\x20\x09-\x0D]"))
     changed = changed.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return same.unionByName(changed.select(*COLUMNS))
+    return _as_given(same).unionByName(_as_given(changed))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    docs = _unique(docs)
     taken = mix(docs).where("copies > 0")
-    copies = common.table(_ids(taken, "copies").groupBy("_id").agg(F.min("copies").alias("copies")), "copies")
+    copies = common.table(_ids(taken, "copies"), "copies")
     rows = common.pick(_by_id(docs), copies, "_id")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return _as_given(rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

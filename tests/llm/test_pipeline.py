@@ -88,3 +88,27 @@ def test_packing_holds_every_copy(stages):
     first = stages[5][stages[5].piece == 0]
     assert Counter(first.doc_id) == Counter(stages[4].doc_id)
     assert np.array_equal(np.sort(stages[5].groupby("sequence_id").offset.min().unique()), [0])
+
+
+def test_documents_that_share_an_id_are_different_ones(spark):
+    word = iter(range(10**6))
+    text = lambda n: " ".join(f"w{next(word)}" for _ in range(n))
+    a, b, c, d, shared, blank = text(30), text(30), text(30), text(30), text(60), " "
+    e, f = f"{shared} {text(20)}", f"{text(20)} {shared} {text(20)}"
+    given = [(None, a), (None, b), (None, b), (7, c), (7, d), (7, e), (7, f), (8, d), (9, blank), (9, blank)]
+    rows = [(i, t, "en", "src0", len(t)) for i, t in given]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = common.table(corpus_pipeline.near_duplicates(spark, docs, SF), "kept")
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter([(None, a), (None, b), (7, c), (7, d), (7, e), (7, f), (9, blank), (9, blank)])
+
+    cut = common.table(corpus_pipeline.repeated_passages(spark, kept, SF), "cut")
+    texts = Counter((r.doc_id, r.text) for r in cut.collect())
+    assert {(None, a), (None, b), (7, c), (7, d)} <= set(texts)
+    assert sum(shared in t for _, t in texts) == 1 and sum(i == 7 for i, _ in texts) == 4
+
+    places = corpus_pipeline._unique(cut)
+    taken = {r.doc_id: r.copies for r in mixing.mix(places).collect()}
+    want = Counter((r._given, r.text) for r in places.collect() for _ in range(taken[r.doc_id]))
+    mixed = corpus_pipeline.mix_sources(spark, cut, SF)
+    assert Counter((r.doc_id, r.text) for r in mixed.collect()) == want
