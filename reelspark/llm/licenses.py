@@ -2,7 +2,9 @@
 
 A document's notice is the lines of its text that speak of licensing.  Notices and templates are bags of words, weighed by
 TF-IDF over all notices and templates; only words of templates can add to a cosine, so each notice is joined to templates
-on words and normalised by its full length.  The best template of enough likeness is the document's own licence.  A file
+on words and normalised by its full length.  The best template of enough likeness is the document's own licence.  Where no
+template is, the whole text is held against passages of real headers, licence files and SPDX lines: of those of which the
+text has enough three-word shingles, whatever else it has, the one with the most shingles decides.  A file
 of a licence file's name, or whose text is little but its notice, gives its licence to its directory.  A document without
 one of its own takes that of its nearest ancestor directory: directories, not documents, are joined with their ancestors.
 
@@ -30,6 +32,37 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."""
+_GNU_FILE = "GNU {0} Version {1} Copyright (C) {2} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
+# Passages of headers and licence files; those of TEMPLATES and an SPDX line for each licence are added.
+PASSAGES = [
+    ("AGPL-3.0", _GNU.format("Affero General Public License", 3)),
+    ("AGPL-3.0", _GNU_FILE.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", 2007)),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", _BSD),
+    ("BSD-3-Clause", _BSD + "\nmay be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", _GNU.format("General Public License", 2)),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-3.0", _GNU.format("General Public License", 3)),
+    ("GPL-3.0", _GNU_FILE.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", 2007)),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-3.0", _GNU.format("Lesser General Public License", 3)),
+    ("LGPL-3.0", _GNU_FILE.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", 2007)),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
+    ("MIT", "licensed under the MIT License"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+]
+#: Share of a passage's shingles that a text must have.
+COVER = 0.8
 HINT = "(?i)licen[sc]e|copyright|spdx|public domain"
 WORD = "[a-z0-9]+"
 LICENCE_FILE = "(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
@@ -41,11 +74,28 @@ def _words(text: Column) -> Column:
 
 
 def notices(rows: DataFrame) -> DataFrame:
-    """doc_id, path, and of texts with such lines notice, n_words (of the whole text), notice_words; one scan of texts."""
+    """doc_id, path, and of texts with such lines notice, n_words (of the whole text), notice_words, text; one scan of texts."""
     lines = F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(HINT))
     found = rows.withColumn("notice", F.when(F.col("text").rlike(HINT), F.nullif(F.concat_ws("\n", lines), F.lit(""))))
     words = lambda c: F.when(F.col("notice").isNotNull(), F.regexp_count(c, F.lit(r"\S+")))
-    return found.select("doc_id", "path", "notice", words("text").alias("n_words"), words("notice").alias("notice_words"))
+    return found.select("doc_id", "path", "notice", words("text").alias("n_words"), words("notice").alias("notice_words"), F.when(F.col("notice").isNotNull(), F.col("text")).alias("text"))
+
+
+def _shingles(text: Column) -> Column:
+    words = _words(text)
+    return F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))))
+
+
+def covered(texts: DataFrame, passages: list[tuple[str, str]]) -> DataFrame:
+    """Of the distinct ``text``: text, passage_licence, cover (share of the passage's shingles), held (their number)."""
+    given = texts.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(passages)], "passage int, licence string, given string")
+    given = given.select("passage", "licence", _shingles(F.col("given")).alias("s")).where("s is not null")
+    wanted = given.select("passage", "licence", F.size("s").alias("size"), F.explode("s").alias("shingle"))
+    rows = texts.select("text").distinct().select("text", F.explode(_shingles(F.col("text"))).alias("shingle"))
+    held = rows.join(F.broadcast(wanted), "shingle").groupBy("text", "passage", "licence", "size").agg(F.count("*").alias("held"))
+    held = held.withColumn("cover", F.round(F.col("held") / F.col("size"), 6)).where(F.col("cover") >= COVER)
+    best = held.groupBy("text").agg(F.min(F.struct((-F.col("held")).alias("less"), (-F.col("cover")).alias("low"), "licence")).alias("b"))
+    return best.select("text", F.col("b.licence").alias("passage_licence"), (-F.col("b.low")).alias("cover"), (-F.col("b.less")).alias("held"))
 
 
 def cosines(spark: SparkSession, found: DataFrame, templates: dict[str, str]) -> DataFrame:
@@ -102,8 +152,16 @@ def license_scan(
     best = common.table(best, "best")  # so that Spark can split the join where a notice is in a great many documents
     directory = F.regexp_replace("path", "/?[^/]*$", "")
     # texts without a notice, most of them, are not joined on it
-    own = common.table(found.join(best, "notice", "left").withColumn("dir", directory), "licensed")
-    file = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) | (2 * F.col("notice_words") >= F.col("n_words"))
+    own = common.table(found.join(best, "notice", "left").withColumn("dir", directory), "noticed")
+    all_ = [*(PASSAGES if templates is None else []), *(templates or TEMPLATES).items()]
+    names = sorted({licence for licence, _ in all_})
+    passages = covered(own.where("own_licence is null"), all_ + [(x, f"SPDX-License-Identifier: {x}") for x in names])
+    passages = common.table(passages, "passages")
+    rest = own.where("own_licence is null").drop("own_licence", "cosine").join(passages, "text", "left")
+    rest = rest.withColumns({"own_licence": F.col("passage_licence"), "cosine": F.col("cover")})
+    own = own.where("own_licence is not null").withColumn("held", F.lit(0).cast("long")).unionByName(rest.drop("passage_licence", "cover"))
+    own = common.table(own.drop("text", "notice"), "licensed")
+    file = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) | (2 * F.greatest("notice_words", F.col("held") + 2) >= F.col("n_words"))
     holders = own.where(file & F.col("own_licence").isNotNull()).groupBy("dir").agg(F.min(F.struct("path", "own_licence")).alias("h"))
     holders = holders.select(F.col("dir").alias("licence_dir"), F.col("h.own_licence").alias("dir_licence"))
     columns = ["doc_id", "path", "dir", "own_licence", "cosine"]
@@ -124,7 +182,7 @@ def license_scan(
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST) -> str:
-    """The same over ``documents`` in DuckDB's SQL, with the path source/lang/doc_id.txt."""
+    """The same but for PASSAGES over ``documents`` in DuckDB's SQL, with the path source/lang/doc_id.txt."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted((templates or TEMPLATES).items()))
     return f"""

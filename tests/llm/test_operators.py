@@ -227,6 +227,23 @@ def test_licenses(spark, none):
     assert licenses.license_scan(none, F.col("source")).count() == 0
 
 
+def test_real_licence_headers(spark):
+    from pyspark.sql import functions as F
+
+    apache = """# Copyright 2020 The Authors\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     https://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an "AS IS" BASIS"""
+    mit = """MIT License\n\nCopyright (c) 2019 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."""
+    gnu = """// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU %sGeneral Public License as published by\n// the Free Software Foundation, either version %d of the License, or\n// (at your option) any later version."""
+    bsd = """Copyright (c) 2018, Some One\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.\n"""
+    three = """3. Neither the name of the holder nor the names of its contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."""
+    long = "as was said before in this file the whole of it is Released under the MIT License. and more words"
+    cases = [(apache, "Apache-2.0"), (mit, "MIT"), (gnu % ("", 3), "GPL-3.0"), (gnu % ("", 2), "GPL-2.0"), (gnu % ("Lesser ", 3), "LGPL-3.0")]
+    cases += [(bsd, "BSD-2-Clause"), (bsd + three, "BSD-3-Clause"), ("x = 1 # SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), (long, "MIT")]
+    cases += [("you need a licence to drive a car", None), ("SPDX-License-Identifier: EPL-2.0", None)]
+    df = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, (t, _) in enumerate(cases)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.licence for r in licenses.license_scan(df, F.col("path")).collect()}
+    assert got == {i: x for i, (_, x) in enumerate(cases)}
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
