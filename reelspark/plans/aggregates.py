@@ -105,15 +105,15 @@ METRIC = with_views(_HITS, """, g AS (SELECT h.query_id, h.rank, (f.video_id = e
 
 @query(METRIC + " SELECT c.cutoff, avg((first_gold IS NOT NULL AND first_gold <= c.cutoff)::INT::DOUBLE) AS recall, count(*) AS queries, count(*) FILTER (WHERE first_gold IS NULL) AS failures FROM q, (VALUES (1), (5), (20), (50), (100)) c(cutoff) GROUP BY c.cutoff")
 def recall_at(spark: SparkSession, d: str) -> DataFrame:
-    q = first_gold(spark, d).withColumn("cutoff", F.explode(F.array(*map(F.lit, (1, 5, 20, 50, 100)))))
+    q = first_gold(spark, d, 100).withColumn("cutoff", F.explode(F.array(*map(F.lit, (1, 5, 20, 50, 100)))))
     hit = (F.col("first_gold").isNotNull() & (F.col("first_gold") <= F.col("cutoff"))).cast("double")
     return q.groupBy("cutoff").agg(F.avg(hit).alias("recall"), F.count("*").alias("queries"), F.sum(F.col("first_gold").isNull().cast("long")).alias("failures"))
 
 
-def first_gold(spark: SparkSession, d: str) -> DataFrame:
-    """For each query the first rank of another frame of its own label."""
+def first_gold(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """For each query the first rank of another frame of its own label among the k best."""
     gold = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("gold_video"))
-    h = hits(spark, d).join(gold, "query_id").withColumn("gold", (F.col("video_id") == F.col("gold_video")) & (F.col("frame_id") != F.col("query_id")))
+    h = hits(spark, d, k).join(gold, "query_id").withColumn("gold", (F.col("video_id") == F.col("gold_video")) & (F.col("frame_id") != F.col("query_id")))
     return h.groupBy("query_id").agg(F.min(F.when(F.col("gold"), F.col("rank"))).alias("first_gold"))
 
 
@@ -131,7 +131,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 def weight_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Mean hits at the cut-offs of each weight setting, best first, the smaller weight among equals."""
     grid = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.lit(c).alias("cutoff")) for w in (0.5, 1.0, 2.0) for c in (1, 5, 20, 50, 100)]))
-    rows = first_gold(spark, d).where("first_gold is not null").withColumn("g", grid).select("first_gold", "g.*")
+    rows = first_gold(spark, d, 200).where("first_gold is not null").withColumn("g", grid).select("first_gold", "g.*")
     s = rows.groupBy("weight").agg(F.round(F.avg((F.col("first_gold") <= F.col("cutoff") / F.col("weight")).cast("double")), 6).alias("score"))
     return s.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "weight")))
 

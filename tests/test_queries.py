@@ -60,3 +60,12 @@ def test_replay_says_what_the_stream_says(spark):
 def test_contract(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
+
+
+def test_gold_below_rank_50_counts(spark, tmp_path):
+    rows = [(0, 0, [1.0, 0.0])] + [(i, 1, [1.0, 0.0]) for i in range(1, 71)] + [(71, 0, [0.5, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.cutoff: (r.recall, r.failures) for r in registry.queries()["recall_at"](spark, str(tmp_path)).collect()}
+    assert got[50] == (0.95, 0) and got[100] == (1.0, 0)
+    got = {r.weight: r.score for r in registry.queries()["weight_calibration"](spark, str(tmp_path)).collect()}
+    assert got[0.5] == 0.96  # of the five cut-offs 2, 10, 40, 100, 200 query 0 (rank 72) has two, query 1 (rank 3) four, the others (rank 2) all
