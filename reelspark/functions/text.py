@@ -10,24 +10,31 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def nfc_collapse(c: Column) -> Column:
-    """Composed (NFC), and collapsed."""
+def composed(c: Column, form: str = "NFC", fold: bool = False) -> Column:
+    """In a Unicode normal form; with ``fold`` without case."""
+
     @F.pandas_udf("string")
-    def nfc(column: pd.Series) -> pd.Series:
-        return column.str.normalize("NFC")
+    def normal(column: pd.Series) -> pd.Series:
+        column = column.str.normalize(form)
+        return column.str.casefold() if fold else column
+
+    return normal(c)
 
-    return collapse(nfc(c))
+
+def nfc_collapse(c: Column) -> Column:
+    """Composed (NFC), and collapsed."""
+    return collapse(composed(c))
 
 
 def snapshot(c: Column) -> Column:
     """A hint as compared between snapshots: blanks collapsed, none before , . ; : ! ? and one after."""
-    c = F.regexp_replace(collapse(c), r"\s+([,.;:!?])", "$1")
+    c = F.regexp_replace(nfc_collapse(c), r"\s+([,.;:!?])", "$1")
     return F.trim(F.regexp_replace(c, r"([,.;:!?])(?=[^\s,.;:!?])", "$1 "))
 
 
 def semantic_key(c: Column) -> Column:
     """What is left without punctuation, separators and case."""
-    return F.lower(F.regexp_replace(c, r"[\p{P}\p{Z}\s]", ""))
+    return composed(F.regexp_replace(c, r"[\p{P}\p{Z}\s]", ""), fold=True)
 
 
 def snapshot_change(before: Column, now: Column) -> tuple[Column, Column]:
@@ -50,55 +57,78 @@ def sections(parts: list[tuple[str, Column, int]]) -> Column:
     return F.nullif(F.concat_ws("\n\n", *each), F.lit(""))
 
 
-# Phrases that state how a hint follows the one before it.
-PHRASES = {
-    "AT_END": ("cuối cùng", "ở cuối", "at the end", "finally"),
-    "OVERLAP": ("đồng thời", "cùng lúc", "at the same time", "meanwhile"),
-    "BEFORE": ("sau đó", "tiếp theo", "after that", "then"),
-}
+# Phrases that state how a hint stands to the one before it.
+AT_END = ("cuối cùng", "ở cuối cảnh", "at the end", "finally")
+OVERLAP = ("đồng thời", "cùng lúc", "trong lúc", "simultaneously", "at the same time")
+BEFORE = ("sau đó", "rồi", "then")
 
 
-def temporal_relation(c: Column, has_previous: Column) -> Column:
-    """The relation that a hint's phrases state, AT_END first, then OVERLAP, then BEFORE; null for a first hint."""
-    out = F.when(~has_previous, F.lit(None))
-    for relation, phrases in PHRASES.items():
-        said = F.lit(False)
-        for p in phrases:
-            said = said | F.lower(c).contains(p)
-        out = out.when(said, relation)
+def says(c: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a text holds one of some phrases."""
+    out = F.lit(False)
+    for p in phrases:
+        out = out | c.contains(p)
     return out
 
 
-# Question kinds by their first matching pattern.
-QUESTIONS = [
-    ("count", r"\b(how many|bao nhiêu|number of)\b"),
-    ("color", r"\b(color|colour|màu)\b"),
-    ("text", r"\b(what does .* say|written|chữ|biển)\b"),
-    ("who", r"\b(who|ai)\b"),
-    ("where", r"\b(where|ở đâu)\b"),
-    ("when", r"\b(when|khi nào|sau|after|before)\b"),
-]
+def temporal_relation(c: Column, has_previous: Column) -> Column:
+    """The relation that a hint's phrases state: AT_END, of a first hint too; after another one OVERLAP or BEFORE; null
+    where nothing is said."""
+    c = collapse(composed(c, fold=True))
+    return F.when(says(c, AT_END), "AT_END").when(has_previous & says(c, OVERLAP), "OVERLAP").when(has_previous & says(c, BEFORE), "BEFORE")
+
+
+# The kinds of questions, by the first of these that holds one of its terms.
+QUESTIONS = {
+    "COUNT": ("how many", "bao nhiêu", "mấy ", "số lượng"),
+    "COLOR": ("what color", "which color", "màu gì", "màu nào"),
+    "TEXT": ("what does", "written", "read", "chữ gì", "ghi gì", "biển"),
+    "SPEECH": ("say", "said", "tell", "nói gì", "đọc gì", "hỏi gì"),
+    "TEMPORAL": ("before", "after", "then", "trước", "sau", "tiếp theo", "vì sao"),
+    "IDENTITY": ("who", "what is", "which object", "ai ", "là gì", "vật gì"),
+}
+# The evidence asked for besides what is seen, letters and words that only Vietnamese has.
+EVIDENCE = {"TEXT": "OCR,VISUAL", "SPEECH": "ASR,VISUAL"}
+LETTERS = "ăâđêôơư"
+VIETNAMESE = ("gì", "nào", "bao", "người", "trước", "sau")
 
 
 def question_kind(c: Column) -> Column:
+    """The kind of a question; GENERAL if no term is there."""
+    c = composed(nfc_collapse(c), "NFKC", fold=True)
     out = F.when(F.lit(False), "")
-    for kind, pattern in QUESTIONS:
-        out = out.when(F.lower(c).rlike(pattern), kind)
-    return out.otherwise("open")
+    for kind, terms in QUESTIONS.items():
+        out = out.when(says(c, terms), kind)
+    return out.otherwise("GENERAL")
+
+
+def evidence_of(kind: Column) -> Column:
+    """The sources of evidence that a kind of question asks for."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv]), kind), F.lit("VISUAL"))
+
+
+def question_language(c: Column) -> Column:
+    """The language to answer in: vi or en."""
+    words = r"(^|[^\p{L}\p{N}_])(" + "|".join(VIETNAMESE) + r")($|[^\p{L}\p{N}_])"
+    c = composed(nfc_collapse(c), "NFKC", fold=True)
+    return F.when(c.rlike(f"[{LETTERS}]|{words}"), "vi").otherwise("en")
 
 
-# Number words and colours of both languages.
-CANONICAL = {
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "không": "0", "một": "1", "hai": "2", "ba": "3",
-    "bốn": "4", "năm": "5", "đỏ": "red", "xanh": "blue", "vàng": "yellow", "trắng": "white", "đen": "black",
+# Counts as digits, and the colours that are kept as they are.
+COUNTS = {
+    "zero": "0", "không": "0", "one": "1", "một": "1", "mot": "1", "two": "2", "hai": "2", "three": "3", "ba": "3",
+    "four": "4", "bốn": "4", "five": "5", "năm": "5", "six": "6", "sáu": "6", "seven": "7", "bảy": "7", "eight": "8",
+    "tám": "8", "nine": "9", "chín": "9", "ten": "10", "mười": "10",
 }
+COLORS = ("red", "đỏ", "blue", "xanh dương", "green", "xanh lá", "yellow", "vàng", "black", "đen", "white", "trắng")
 
 
-def answer_key(c: Column) -> Column:
-    """An answer as compared: no punctuation or case, number words as digits, colours in one language."""
-    words = F.split(collapse(F.regexp_replace(F.lower(c), r"\p{P}", " ")), " ")
-    table = F.create_map(*[F.lit(x) for kv in CANONICAL.items() for x in kv])
-    return F.array_join(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+def answer_key(c: Column, kind: Column) -> Column:
+    """An answer as compared: without case and marks but hyphens; for a COUNT, a number word as digits.  Colours stay in
+    their language."""
+    plain = collapse(F.regexp_replace(composed(c, fold=True), r"[^\p{L}\p{N}_\s-]", " "))
+    digits = F.create_map(*[F.lit(x) for kv in COUNTS.items() for x in kv])
+    return F.when(kind == "COUNT", F.coalesce(F.try_element_at(digits, plain), plain)).otherwise(plain)
 
 
 def tokens(c: Column) -> Column:

@@ -26,19 +26,19 @@ def distinct_text(rows: DataFrame, keys: list[str], order: str, text: str, glue:
 
 def region_quality(regions: DataFrame, least: float) -> DataFrame:
     """frame_id, kept, total, quality: min(1, kept / total * mean confidence), the mean over all scored regions."""
-    usable = (F.coalesce("confidence", F.lit(1.0)) >= least) & F.col("text").rlike("[A-Za-z0-9]")
+    usable = (F.coalesce("confidence", F.lit(1.0)) >= least) & F.col("text").rlike(r"[\p{L}\p{N}]")
     each = regions.groupBy("frame_id").agg(
         F.count_distinct(F.when(usable, F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))).alias("kept"),
         F.count("*").alias("total"),
-        F.coalesce(F.avg("confidence"), F.lit(1.0)).alias("mean"),
+        F.coalesce(F.round(F.avg("confidence"), 12), F.lit(1.0)).alias("mean"),
     )
     return each.select("frame_id", "kept", "total", F.round(F.least(F.lit(1.0), F.col("kept") / F.col("total") * F.col("mean")), 9).alias("quality"))
 
 
-def bounds(evidence: DataFrame, unit: str) -> DataFrame:
+def bounds(evidence: DataFrame, *unit: str) -> DataFrame:
     """unit, low, high over each unit's best score in each video; low is at most 0."""
-    best = evidence.groupBy(unit, "video_id").agg(F.max("score").alias("best"))
-    return best.groupBy(unit).agg(F.least(F.lit(0.0), F.min("best")).alias("low"), F.max("best").alias("high"))
+    best = evidence.groupBy(*unit, "video_id").agg(F.max("score").alias("best"))
+    return best.groupBy(*unit).agg(F.least(F.lit(0.0), F.min("best")).alias("low"), F.max("best").alias("high"))
 
 
 def scaled(score: Column, low: Column, high: Column) -> Column:
@@ -46,27 +46,49 @@ def scaled(score: Column, low: Column, high: Column) -> Column:
     return F.when(high <= low, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - low) / (high - low))))
 
 
-def video_scores(evidence: DataFrame, evaluated: DataFrame, units: int, unit: str, weights: tuple[float, float, float] = (0.45, 0.25, 0.30)) -> DataFrame:
-    """video_id, semantic, matched, evaluated, score: the mean of scaled maxima of matched units, the share of evaluated
-    units that match, the share of units that were evaluated; all three weights always count."""
-    best = evidence.groupBy(unit, "video_id").agg(F.max("score").alias("best")).join(bounds(evidence, unit), unit)
-    semantic = best.groupBy("video_id").agg(F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))).alias("semantic"), F.count("*").alias("matched"))
-    seen = evaluated.groupBy("video_id").agg(F.count_distinct(unit).alias("evaluated"))
-    joined = seen.join(semantic, "video_id", "left").fillna(0, ["matched"]).fillna(0.0, ["semantic"])
+def video_scores(evidence: DataFrame, evaluated: DataFrame, task: str, unit: str, units: int, weights: tuple[float, float, float] = (0.45, 0.25, 0.30)) -> DataFrame:
+    """task, video_id, semantic, matched, evaluated, score of the videos that a task's units have seen: the mean of scaled
+    maxima of matched units, the share of evaluated units that match, the share of units that were evaluated; all three
+    weights always count."""
+    keys = [task, "video_id"]
+    best = evidence.groupBy(*keys, unit).agg(F.max("score").alias("best")).join(bounds(evidence, task, unit), [task, unit])
+    semantic = best.groupBy(*keys).agg(F.round(F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))), 9).alias("semantic"), F.count("*").alias("matched"))
+    seen = evaluated.groupBy(*keys).agg(F.count_distinct(unit).alias("evaluated"))
+    joined = seen.join(semantic, keys, "left").fillna(0, ["matched"]).fillna(0.0, ["semantic"])
     a, b, c = weights
     score = (a * F.col("semantic") + b * F.col("matched") / F.col("evaluated") + c * F.col("evaluated") / units) / (a + b + c)
-    return joined.select("video_id", F.round("semantic", 6).alias("semantic"), "matched", "evaluated", F.round(score, 6).alias("score"))
+    return joined.select(*keys, "semantic", "matched", "evaluated", F.round(score, 12).alias("score"))
 
 
-def answer_ranking(answers: DataFrame, question: str, answer: str, fields: list[str], weight: float = 0.2) -> DataFrame:
-    """Answers of a question by the weighted sum of consistency (the share of equal answers) and fields scaled over the
-    question (a constant field counts as 1)."""
-    whole, same = W.partitionBy(question), W.partitionBy(question, answer)
-    score = weight * F.count("*").over(same) / F.count("*").over(whole)
-    for f in fields:
-        low, high = F.min(f).over(whole), F.max(f).over(whole)
-        score = score + weight * F.when(high > low, (F.col(f) - low) / (high - low)).otherwise(1.0)
-    return answers.withColumn("answer_score", F.round(score, 6))
+#: The terms of an answer's score.
+ANSWER_TERMS = ("video", "frame", "grounding", "answer", "consistency")
+
+
+def answer_ranking(answers: DataFrame, question: str, weights: tuple[float, ...] = (0.2, 0.2, 0.2, 0.2, 0.2)) -> DataFrame:
+    """Grounded answers of a question with joint_score and place: the weighted sum of ANSWER_TERMS, each scaled between its
+    least and its greatest over the question (a constant one counts as 1).
+
+    ``answers`` has question, answer_key, grounded, video_score, frame_score, localization, coverage, confidence, and
+    video_id, start_ms, frame_id for ties.  An answer that is not grounded, or empty, takes no part.  Grounding is half
+    localization and half coverage; consistency is the share of the answers that say the same."""
+    whole, same = W.partitionBy(question), W.partitionBy(question, "answer_key")
+    valid = answers.where("grounded and answer_key is not null and answer_key <> ''").withColumns(
+        {
+            "_video": F.col("video_score"),
+            "_frame": F.col("frame_score"),
+            "_grounding": 0.5 * F.col("localization") + 0.5 * F.col("coverage"),
+            "_answer": F.col("confidence"),
+            "_consistency": F.count("*").over(same) / F.count("*").over(whole),
+        }
+    )
+    total = F.lit(0.0)
+    for term, weight in zip(ANSWER_TERMS, weights):
+        x = F.col(f"_{term}")
+        low, high = F.min(x).over(whole), F.max(x).over(whole)
+        total = total + weight * F.when(high > low, (x - low) / (high - low)).otherwise(1.0)
+    scored = valid.withColumn("consistency", F.col("_consistency")).withColumn("joint_score", F.round(total, 9))
+    order = [F.desc("joint_score"), F.desc("confidence"), *map(F.col, ("video_id", "start_ms", "frame_id", "answer_key"))]
+    return scored.withColumn("place", F.row_number().over(whole.orderBy(*order))).drop(*[f"_{t}" for t in ANSWER_TERMS])
 
 
 def relation_holds(relation: str, a_start: Column, a_end: Column, b_start: Column, b_end: Column, near_ms: int) -> Column:
@@ -76,26 +98,44 @@ def relation_holds(relation: str, a_start: Column, a_end: Column, b_start: Colum
     return tests[relation]
 
 
-def scene_scores(evidence: DataFrame, unit: str, scene: list[str], units: int, scale_ms: float = 10000.0, relation: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Scenes of (scene keys with video_id, unit, score, timestamp_ms) by meaning (mean of scaled maxima of matched units,
-    .45), coverage times evaluation (.30), compactness (.15) and a BEFORE relation of two units (.10).
+def scene_scores(evidence: DataFrame, task: str, unit: str, scene: str, units: int, scale_ms: float = 10000.0, relation: tuple[int, int] = (0, 1)) -> DataFrame:
+    """A task's scenes (task, video_id, scene) of evidence (with unit, score, timestamp_ms): semantic (mean of scaled maxima
+    of matched units, .45), coverage times evaluation (.30), temporal (compactness, .15), related (whether unit a comes
+    before unit b, .10) and their sum, score.
 
     Evaluated units of a video are those with any evidence there.  A relation of which a side has no evidence is unknown
     (null); only terms that are known count, in the weights too."""
     first, second = relation
-    best = evidence.groupBy(*scene, unit).agg(F.max("score").alias("best"), F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"))
-    best = best.join(bounds(evidence, unit), unit)
+    keys = [task, "video_id", scene]
+    best = evidence.groupBy(*keys, unit).agg(F.max("score").alias("best"), F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"))
+    best = best.join(bounds(evidence, task, unit), [task, unit])
     at = lambda u, c, agg: agg(F.when(F.col(unit) == u, F.col(c)))
-    s = best.groupBy(*scene).agg(
-        F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))).alias("semantic"),
+    s = best.groupBy(*keys).agg(
+        F.round(F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))), 9).alias("semantic"),
         F.count("*").alias("matched"),
         F.min("t0").alias("start_ms"),
         F.max("t1").alias("end_ms"),
         (at(first, "t0", F.min) <= at(second, "t1", F.max)).alias("related"),
     )
-    s = s.join(evidence.groupBy("video_id").agg(F.count_distinct(unit).alias("evaluated")), "video_id")
+    s = s.join(evidence.groupBy(task, "video_id").agg(F.count_distinct(unit).alias("evaluated")), [task, "video_id"])
+    s = s.withColumns(
+        {
+            "coverage": F.col("matched") / F.col("evaluated"),
+            "evaluation": F.col("evaluated") / units,
+            "temporal": 1.0 / (1.0 + (F.col("end_ms") - F.col("start_ms")) / scale_ms),
+        }
+    )
     relation_score = F.when(F.col("related"), 1.0).when(F.col("related").isNotNull(), 0.0)
-    compact = 1.0 / (1.0 + (F.col("end_ms") - F.col("start_ms")) / scale_ms)
-    total = 0.45 * F.col("semantic") + 0.30 * (F.col("matched") / F.col("evaluated")) * (F.col("evaluated") / units) + 0.15 * compact
+    total = 0.45 * F.col("semantic") + 0.30 * F.col("coverage") * F.col("evaluation") + 0.15 * F.col("temporal")
     known = F.when(relation_score.isNull(), 0.9).otherwise(1.0)
-    return s.select(*scene, "matched", "evaluated", "related", F.round((total + F.coalesce(0.10 * relation_score, F.lit(0.0))) / known, 9).alias("score"))
+    score = F.round((total + F.coalesce(0.10 * relation_score, F.lit(0.0))) / known, 12)
+    places = {c: F.round(c, 9) for c in ("coverage", "evaluation", "temporal")}
+    return s.withColumn("score", score).withColumns(places).drop("matched", "evaluated")
+
+
+def scene_order(scenes: DataFrame, task: str, per_video: int = 3, most: int = 100) -> DataFrame:
+    """``place`` of a task's scenes by score, semantic, coverage, evaluation, temporal, video, start and name: the best few
+    of a video, then of all."""
+    order = [*map(F.desc, ("score", "semantic", "coverage", "evaluation", "temporal")), F.col("video_id"), F.col("start_ms"), F.col("scene")]
+    best = scenes.withColumn("_n", F.row_number().over(W.partitionBy(task, "video_id").orderBy(*order))).where(F.col("_n") <= per_video)
+    return best.drop("_n").withColumn("place", F.row_number().over(W.partitionBy(task).orderBy(*order))).where(F.col("place") <= most)

@@ -36,13 +36,41 @@ def reciprocal_rank(ranked: DataFrame, weights: dict[str, float], k: int = 60, t
     return fused.where(F.col("rank") <= top) if top else fused
 
 
-def video_shortlist(hits: DataFrame, event: str, k: int = 60, top: int | None = None) -> DataFrame:
-    """(video_id, coverage, votes, place): of each event the first hit in each video, whose rank counts from 0."""
-    first = hits.groupBy(event, "video_id").agg((F.min("rank") - 1).alias("rank0"))
-    votes = first.groupBy("video_id").agg(F.count("*").alias("coverage"), F.round(F.sum(1.0 / (k + F.col("rank0"))), 9).alias("votes"))
-    ordered = votes.orderBy(F.desc("coverage"), F.desc("votes"), "video_id")
-    ordered = ordered.limit(top) if top else ordered
-    return ordered.withColumn("place", F.row_number().over(W.orderBy(F.desc("coverage"), F.desc("votes"), "video_id")))
+def video_shortlist(hits: DataFrame, event: str, k: int = 60, top: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, video_id, coverage, votes, place): of each event the first hit in each video, whose rank counts from 0; the
+    videos of each ``by`` by coverage, votes and id."""
+    first = hits.groupBy(*by, event, "video_id").agg((F.min("rank") - 1).alias("rank0"))
+    votes = first.groupBy(*by, "video_id").agg(F.count("*").alias("coverage"), F.round(F.sum(1.0 / (k + F.col("rank0"))), 9).alias("votes"))
+    order = [F.desc("coverage"), F.desc("votes"), F.col("video_id")]
+    if not by:  # without a key rows are limited before they meet in one task
+        votes = votes.orderBy(*order).limit(top) if top else votes
+    placed = votes.withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return placed.where(F.col("place") <= top) if top else placed
+
+
+def calibrated(ranked: DataFrame, gold: DataFrame, configurations: list[dict[str, float]], cutoffs: tuple[int, ...] = (1, 5, 20, 50, 100), k: int = 60) -> DataFrame:
+    """How well weights of the sources find gold frames: (config, weights, score, place), the best first.
+
+    ``ranked`` has (query_id, source, frame_id, rank), ``gold`` (query_id, frame_id); queries with gold count.  For each
+    of ``configurations`` the candidates of a query are fused anew, by weight / (k + rank) and then by id; the score is
+    the mean over queries and cut-offs of whether a gold frame is among the first.  Equal scores go to the weights that
+    are smaller in the order of the sources."""
+    sources = sorted({s for c in configurations for s in c})
+    at = {s: F.max(F.when(F.col("source") == s, F.col("rank"))).alias(f"rank_{i}") for i, s in enumerate(sources)}
+    merged = ranked.groupBy("query_id", "frame_id").agg(*at.values())
+    grid = F.array(*[F.struct(F.lit(n).alias("config"), *[F.lit(float(c.get(s, 0.0))).alias(f"w_{i}") for i, s in enumerate(sources)]) for n, c in enumerate(configurations)])
+    each = merged.withColumn("g", F.explode(grid)).select("query_id", "frame_id", *[f"rank_{i}" for i in range(len(sources))], "g.*")
+    fused = sum((F.coalesce(F.col(f"w_{i}") / (k + F.col(f"rank_{i}")), F.lit(0.0)) for i in range(len(sources))), F.lit(0.0))
+    place = F.row_number().over(W.partitionBy("config", "query_id").orderBy(F.desc(F.round("fused", 12)), "frame_id"))
+    placed = each.withColumn("fused", fused).withColumn("place", place)
+    hit = placed.join(gold.select("query_id", "frame_id").distinct(), ["query_id", "frame_id"], "left_semi")
+    first = hit.groupBy("config", "query_id").agg(F.min("place").alias("first"))
+    weights = [f"w_{i}" for i in range(len(sources))]
+    asked = gold.select("query_id").distinct().withColumn("g", F.explode(grid)).select("query_id", "g.*")
+    found = sum(((F.col("first") <= c).cast("double") for c in cutoffs), F.lit(0.0)) / len(cutoffs)
+    scores = asked.join(first, ["config", "query_id"], "left").groupBy("config", *weights).agg(F.round(F.avg(F.coalesce(found, F.lit(0.0))), 9).alias("score"))
+    scores = scores.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), *weights, "config")))  # a row for each configuration
+    return scores.select("config", F.create_map(*[x for i, s in enumerate(sources) for x in (F.lit(s), F.col(f"w_{i}"))]).alias("weights"), "score", "place")
 
 
 def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -119,3 +119,11 @@ def rank_pairs(left: DataFrame, right: DataFrame, group: str, left_order: str, r
     """The n-th row of a group on the left with the n-th on the right."""
     place = lambda df, c: df.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(c)))
     return place(left, left_order).join(place(right, right_order), [group, "place"], "full")
+
+
+def every_pair(left: DataFrame, right: DataFrame, blocks: int = 16) -> DataFrame:
+    """Every row of one key set with every row of another.  The right set is dealt into blocks, each left row meets every
+    block, so that the pairs of one row spread over tasks and neither set is broadcast."""
+    a = left.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    b = right.withColumn("_b", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int"))
+    return a.join(b, "_b").drop("_b")

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -43,107 +43,115 @@ def anchor_clusters(vectors: np.ndarray, delta: float) -> np.ndarray:
     return out
 
 
-def align(scores: np.ndarray, times: np.ndarray, penalty: float, paths: int, clusters: np.ndarray | None = None) -> list[tuple[float, list[int]]]:
-    """The best strictly forward choice of one frame for each event, for the ``paths`` best last frames.
-
-    ``scores`` is events by frames.  A choice's value is its scores' sum less ``penalty`` for each millisecond between
-    neighbours; with ``clusters`` neighbours are of different clusters.  Of equal predecessors the latest is taken, of
-    equal last frames the first."""
-    events, n = scores.shape
-    if n < events or (clusters is not None and len(set(clusters.tolist())) < events):
-        return []
-    value, back = scores[0].astype(float), []
-    at = np.arange(n)
-    group = at if clusters is None else clusters
-    first = np.searchsorted(group, group)  # frames before it are of other clusters
-    for e in range(1, events):
-        shifted = value + penalty * times
-        running = np.maximum.accumulate(shifted)
-        latest = np.maximum.accumulate(np.where(shifted >= running, at, 0))
-        ok = first > 0
-        prev = np.where(ok, latest[np.maximum(first - 1, 0)], -1)
-        value = np.where(ok & np.isfinite(running[np.maximum(first - 1, 0)]), scores[e] + running[np.maximum(first - 1, 0)] - penalty * times, -np.inf)
-        back.append(prev)
-    out = []
-    for last in np.lexsort((at, -value)).tolist()[:paths]:
-        if not np.isfinite(value[last]):
-            break
-        path = [last]
-        for prev in reversed(back):
-            path.append(int(prev[path[-1]]))
-        out.append((float(value[last]), path[::-1]))
-    return out
-
-
-def align_events(scored: DataFrame, events: list, penalty: float = 1e-5, paths: int = 1) -> DataFrame:
-    """(video_id, path_no, score, frame_ids) from rows (video_id, event, frame_id, timestamp_ms, score), a row for each
-    event and frame of a shortlisted video."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot_table(index=["timestamp_ms", "frame_id"], columns="event", values="score").sort_index()
-        if list(table.columns) != sorted(events):
-            return pd.DataFrame({"video_id": [], "path_no": [], "score": [], "frame_ids": []})
-        found = align(table[events].to_numpy().T, table.index.get_level_values(0).to_numpy(), penalty, paths)
-        ids = table.index.get_level_values(1)
-        return pd.DataFrame([(key[0], i + 1, s, [int(ids[x]) for x in p]) for i, (s, p) in enumerate(found)], columns=["video_id", "path_no", "score", "frame_ids"])
-
-    return scored.groupBy("video_id").applyInPandas(run, "video_id long, path_no int, score double, frame_ids array<long>")
-
-
-def round_robin(paths: DataFrame) -> DataFrame:
-    """``place``: the best path of every video, by score, then every second-best, and so on."""
-    level = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("score"), "path_no"))
-    return paths.withColumn("level", level).withColumn("place", F.row_number().over(W.orderBy("level", F.desc("score"), "video_id")))
-
-
-def thin_bursts(times: np.ndarray, centres: np.ndarray, reach: int, step: int) -> np.ndarray:
-    """Which rows to keep around centres: within ``reach``, at least ``step`` apart; a centre always."""
+def align_events(scored: DataFrame, keys: list[str], events: int, penalty: float = 1e-5, paths: int = 1, power: float = 1.0, delta: float = 0.0) -> DataFrame:
+    """(keys, path_no, score, frame_ids): for the ``paths`` best last frames of each video (keys), the best choice of one
+    frame for each event, strictly forward in time.
+
+    ``scored`` has a row (keys, event, frame_id, timestamp_ms, score) for each of ``events`` events and each frame.  A
+    choice's score is the sum of its frames' scores (to the ``power``) less ``penalty`` for each millisecond between the
+    first and the last.  With ``delta`` frames whose scores are within it of their cluster's first are one cluster, and a
+    choice has one frame of a cluster at most.  Of equal predecessors the latest is taken, of equal last frames the first.
+    Fewer frames or clusters than events have no choice.
+
+    A running maximum for each event: the best end of the events so far among all frames before."""
+    score = F.pow(F.greatest("score", F.lit(0.0)), F.lit(power)) if power != 1.0 else F.col("score")
+    names = [f"s{e}" for e in range(events)]
+    each = [F.max(F.when(F.col("event") == e, score)).alias(n) for e, n in enumerate(names)]
+    rows = scored.groupBy(*keys, "frame_id", "timestamp_ms").agg(*each).dropna(subset=names)
+    order = W.partitionBy(*keys).orderBy("timestamp_ms", "frame_id")
+    if delta > 0:
+        rows = fold(rows, keys, ["timestamp_ms", "frame_id"], "cluster", "long", lambda p: anchor_clusters(p[names].to_numpy(), delta))
+    else:
+        rows = rows.withColumn("cluster", F.row_number().over(order).cast("long"))
+    before = W.partitionBy(*keys).orderBy("cluster").rangeBetween(W.unboundedPreceding, -1)
+    late = penalty * F.col("timestamp_ms")
+    rows = rows.withColumns({"value": F.col("s0"), "path": F.array("frame_id")})
+    for n in names[1:]:
+        end = F.struct((F.col("value") + late).alias("v"), "timestamp_ms", "frame_id", "path")
+        rows = rows.withColumn("best", F.max(F.when(F.col("value").isNotNull(), end)).over(before))
+        rows = rows.withColumns({"value": F.col(n) - late + F.col("best.v"), "path": F.concat("best.path", F.array("frame_id"))})
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("value"), "timestamp_ms", "frame_id"))
+    best = rows.where("value is not null").withColumn("path_no", place).where(F.col("path_no") <= paths)
+    return best.select(*keys, "path_no", F.col("value").alias("score"), F.col("path").alias("frame_ids"))
+
+
+def diversified(paths: DataFrame, shortlist: DataFrame, task: str, most: int = 100) -> DataFrame:
+    """``place``: the best path of every shortlisted video of a task by score, then every second-best, and so on, to the
+    depth at which ``most`` paths would be reached, and ``most`` at most."""
+    depth = shortlist.groupBy(task).agg(F.ceil(most / F.count("*")).alias("depth"))
+    deep = paths.join(depth, task).where(F.col("path_no") <= F.col("depth")).drop("depth")
+    place = F.row_number().over(W.partitionBy(task).orderBy("path_no", F.desc("score"), "video_id"))
+    return deep.withColumn("place", place).where(F.col("place") <= most)
+
+
+def thinned(times: np.ndarray, centres: np.ndarray, reach: int, step: int) -> np.ndarray:
+    """Which rows to keep around centres: within ``reach``, at least ``step`` apart from the one before; a centre always.
+
+    From one kept row the next is found by search, not by looking at those between."""
     keep = np.zeros(len(times), bool)
+    after = np.maximum(np.searchsorted(times, times + step), np.arange(len(times)) + 1)
     for c in np.flatnonzero(centres).tolist():
-        last = None
-        for i in range(np.searchsorted(times, times[c] - reach), np.searchsorted(times, times[c] + reach, side="right")):
-            if i == c or last is None or times[i] - last >= step:
-                keep[i], last = True, times[i]
+        at, stop = np.searchsorted(times, times[c] - reach), np.searchsorted(times, times[c] + reach, side="right")
+        while at < stop:
+            keep[at] = True
+            at = min(after[at], c) if at < c else after[at]
     return keep
 
 
-def coverage_anchors(times: np.ndarray, motion: np.ndarray, widest: int, narrowest: int) -> np.ndarray:
-    """Rows that keep the gap to the last anchor under a limit that shrinks as motion grows."""
-    keep, last = np.zeros(len(times), bool), None
-    top = max(float(motion.max(initial=0)), 1e-9)
-    for i, t in enumerate(times.tolist()):
-        limit = widest - (widest - narrowest) * min(1.0, float(motion[i]) / top)
-        if last is None or t - last >= limit:
-            keep[i], last = True, t
+def coverage_anchors(times: np.ndarray, motion: np.ndarray, marked: np.ndarray, threshold: float, widest: int, narrowest: int) -> np.ndarray:
+    """Rows to keep besides the marked ones, so that the gap to the last kept row stays under a limit that shrinks from
+    ``widest`` to ``narrowest`` as motion rises to ``threshold``; the row before the one that reaches it is taken."""
+    limit = np.rint(widest - np.minimum(motion / max(threshold, 1e-12), 1.0) * (widest - narrowest))
+    anchors, last = np.zeros(len(times), bool), 0
+    for i in range(1, len(times)):
+        if times[i] - times[last] >= limit[i]:
+            last = max(i - 1, last + 1)
+            anchors[last] = True
+        if marked[i]:
+            last = i
+    return anchors
+
+
+def dedup_against_kept(
+    times: np.ndarray, shots: np.ndarray, motion: np.ndarray, vectors: np.ndarray, protected: np.ndarray, text: np.ndarray,
+    within: int, still: float, likeness: float,
+) -> np.ndarray:
+    """Rows that are protected or no repeats of the last kept one: of its shot, soon after, with little motion, of the same
+    text regions and much alike."""
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    keep, last = np.ones(len(times), bool), 0
+    for i in range(1, len(times)):
+        near = shots[i] == shots[last] and times[i] - times[last] <= within and motion[i] <= still and text[i] == text[last]
+        keep[i] = protected[i] or not near or float(unit[i] @ unit[last]) < likeness
+        last = i if keep[i] else last
     return keep
 
 
-def dedup_against_kept(times: np.ndarray, shots: np.ndarray, motion: np.ndarray, vectors: np.ndarray, within: int, still: float, likeness: float) -> np.ndarray:
-    """Rows that are not repeats of the last kept one: of its shot, soon after, with little motion and much alike."""
-    keep, last = np.ones(len(times), bool), None
-    for i in range(len(times)):
-        if last is not None and shots[i] == shots[last] and times[i] - times[last] <= within and motion[i] <= still:
-            a, b = vectors[i], vectors[last]
-            scale = float(np.linalg.norm(a) * np.linalg.norm(b))
-            if scale > 0 and float(a @ b) / scale >= likeness:
-                keep[i] = False
-                continue
-        last = i
-    return keep
+def repaired(times: np.ndarray, kept: np.ndarray, widest: int) -> np.ndarray:
+    """0 for rows left out, 1 for kept ones: the first, those given, and the fewest more that leave no gap over ``widest``
+    between them, each the latest within reach; 2 for a given row before which the gap could not be closed."""
+    out = np.zeros(len(times), np.int64)
+    if not kept.any():
+        return out
+    reach = np.searchsorted(times, times + widest, side="right") - 1  # the last row within reach of each
+    at, out[0] = 0, 1
+    for target in (np.flatnonzero(kept[1:]) + 1).tolist():
+        while reach[at] < target and reach[at] > at:
+            at = reach[at]
+            out[at] = 1
+        out[target] = 1 if reach[at] >= target else 2
+        at = target
+    return out
 
 
-def repair_gaps(times: np.ndarray, kept: np.ndarray, widest: int) -> np.ndarray:
-    """``kept`` with the latest rows added that leave no gap over ``widest``, where there are such rows."""
-    kept = kept.copy()
-    last = None
-    for i in range(len(times)):
-        if last is not None and times[i] - times[last] > widest:
-            spare = i - 1
-            if spare > last:
-                kept[spare], last = True, spare
-        if kept[i]:
-            last = i
-    return kept
+def early_diversity(ranked: DataFrame, query: str, depth: int, most: int) -> DataFrame:
+    """``place`` of ranked rows (query, video_id, rank): the first ``depth`` places go to the best rows that are among the
+    ``most`` best of their video, the others follow in order."""
+    nth = F.row_number().over(W.partitionBy(query, "video_id").orderBy("rank"))
+    rows = ranked.withColumn("_first", (nth <= most).cast("int"))
+    so_far = F.sum("_first").over(W.partitionBy(query).orderBy("rank").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("_late", (F.col("_first") == 0) | (so_far > depth))
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(query).orderBy("_late", "rank"))).drop("_first", "_late")
 
 
 def temporal_nms(times: np.ndarray, window: int) -> np.ndarray:
@@ -180,22 +188,28 @@ def next_fit(sizes: np.ndarray, limit: int) -> np.ndarray:
     return out
 
 
-def within_budget(sizes: np.ndarray, budget: int) -> np.ndarray:
-    """Rows taken in order while they fit in what is left; one that does not fit is passed over."""
-    keep, left = np.zeros(len(sizes), bool), budget
-    for i, s in enumerate(sizes.tolist()):
-        if s <= left:
-            keep[i], left = True, left - s
+def within_budget(sizes: np.ndarray, values: list, budget: int, most: int) -> np.ndarray:
+    """Rows taken in order while they fit in what is left, ``most`` at most; one that does not fit, is empty or repeats a
+    value that was taken is passed over."""
+    keep, left, seen = np.zeros(len(sizes), bool), budget, set()
+    for i, (size, value) in enumerate(zip(sizes.tolist(), values)):
+        if 0 < size <= left and value not in seen and len(seen) < most:
+            keep[i], left = True, left - size
+            seen.add(value)
     return keep
 
 
-def interpolated(values: np.ndarray) -> np.ndarray:
-    """Missing (nan) values filled linearly, at the ends with the nearest."""
-    have = np.flatnonzero(~np.isnan(values))
-    return np.interp(np.arange(len(values)), have, values[have]) if len(have) else values
+def interpolated(value: str, order: str, key: str) -> Column:
+    """Missing values of a column filled linearly between the known ones, at the ends with the nearest."""
+    w = W.partitionBy(key).orderBy(order)
+    past, coming = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
+    at = F.when(F.col(value).isNotNull(), F.col(order))
+    a, i = F.last(value, True).over(past), F.last(at, True).over(past)
+    b, j = F.first(value, True).over(coming), F.first(at, True).over(coming)
+    return F.when(a.isNull(), b).when(b.isNull() | (i == j), a).otherwise(a + (b - a) * (F.col(order) - i) / (j - i))
 
 
-def fold(rows: DataFrame, key: str, order: list[str], name: str, kind: str, f: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+def fold(rows: DataFrame, key: str | list[str], order: list[str], name: str, kind: str, f: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
     """``rows`` with a column that ``f`` computes over each key's rows in order.  A key's rows are one task's: keys are
     videos, whose length bounds them."""
     schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields) + f", {name} {kind}"

@@ -30,17 +30,40 @@ def normalised(a: str) -> Column:
 BLOCK, SHIPPED, ROWS = 1024, 10_000, 4096
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, batch: pd.DataFrame, kept: list[str], k: int, digits: int) -> Iterator[pd.DataFrame]:
-    """The k best rows of a batch of the corpus for each query, BLOCK queries at a time."""
-    batch = batch.sort_values("frame_id", kind="stable").reset_index(drop=True)
-    vectors = np.stack(batch["embedding"].to_list()).astype(float)
-    for at in range(0, len(ids), BLOCK):
-        scores = np.round(matrix[at : at + BLOCK] @ vectors.T, digits)
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        out = batch[kept].iloc[best.ravel()].reset_index(drop=True)
-        out.insert(0, "query_id", np.repeat(ids[at : at + BLOCK], best.shape[1]))
-        out["score"] = np.take_along_axis(scores, best, 1).ravel()
-        yield out
+class _Best:
+    """The k best rows so far of each of some queries (ids, matrix), ties to the smaller frame_id; holds no other rows."""
+
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, kept: list[str], k: int, digits: int):
+        self.ids, self.matrix, self.kept, self.k, self.digits = ids, matrix, kept, k, digits
+        self.scores = np.full((len(ids), 0), -np.inf)
+        self.at = np.zeros((len(ids), 0), np.int64)
+        self.rows: pd.DataFrame | None = None
+
+    def add(self, batch: pd.DataFrame) -> None:
+        batch = batch.sort_values("frame_id", kind="stable").reset_index(drop=True)
+        vectors = np.stack(batch["embedding"].to_list()).astype(float).T
+        held = 0 if self.rows is None else len(self.rows)
+        rows = batch[self.kept] if self.rows is None else pd.concat([self.rows, batch[self.kept]], ignore_index=True)
+        frames, scores, at = rows["frame_id"].to_numpy(), [], []
+        for i in range(0, len(self.ids), BLOCK):
+            own = np.round(self.matrix[i : i + BLOCK] @ vectors, self.digits)
+            first = np.argsort(-own, axis=1, kind="stable")[:, : self.k]
+            both = np.concatenate([self.scores[i : i + BLOCK], np.take_along_axis(own, first, 1)], 1)
+            where = np.concatenate([self.at[i : i + BLOCK], first + held], 1)
+            order = np.lexsort((frames[where], -both), axis=1)[:, : self.k]
+            scores.append(np.take_along_axis(both, order, 1))
+            at.append(np.take_along_axis(where, order, 1))
+        self.scores = np.concatenate(scores)
+        used, at = np.unique(np.concatenate(at), return_inverse=True)
+        self.at, self.rows = at.reshape(self.scores.shape), rows.iloc[used].reset_index(drop=True)
+
+    def found(self) -> Iterator[pd.DataFrame]:
+        for i in range(0, len(self.ids) if self.rows is not None else 0, BLOCK):
+            at = self.at[i : i + BLOCK]
+            out = self.rows.iloc[at.ravel()].reset_index(drop=True)
+            out.insert(0, "query_id", np.repeat(self.ids[i : i + BLOCK], at.shape[1]))
+            out["score"] = self.scores[i : i + BLOCK].ravel()
+            yield out
 
 
 def _block_join(queries: DataFrame, corpus: DataFrame, kept: list[str], schema: str, k: int, digits: int) -> DataFrame:
@@ -54,8 +77,9 @@ def _block_join(queries: DataFrame, corpus: DataFrame, kept: list[str], schema:
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame(columns=["query_id", *kept, "score"])
-        matrix = np.stack(a["query"].to_list()).astype(float)
-        return pd.concat(_best(a["query_id"].to_numpy(), matrix, b, kept, k, digits))
+        best = _Best(a["query_id"].to_numpy(), np.stack(a["query"].to_list()).astype(float), kept, k, digits)
+        best.add(b)
+        return pd.concat(best.found())
 
     return left.groupBy("_q", "_x").cogroup(right.groupBy("_q", "_x")).applyInPandas(run, schema)
 
@@ -64,8 +88,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) ->
     """For each row of ``queries`` (query_id, query) the k rows of ``corpus`` (with frame_id and embedding) of the highest
     inner product, ties by frame_id: the columns of ``corpus`` but the vector, query_id, score, rank.
 
-    Up to SHIPPED queries go to every task as one matrix, and each Arrow batch of the corpus is one product; only the k
-    best of a batch leave it.  More queries are rows of blocks that are joined with blocks of the corpus; the driver sees
+    Up to SHIPPED queries go to every task as one matrix, and each Arrow batch of the corpus is one product; a task keeps
+    the k best so far of each query, and only those leave it.  More queries are rows of blocks that are joined with blocks of the corpus; the driver sees
     their number only."""
     kept = [c for c in corpus.columns if c != "embedding"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema.fields if f.name in kept)
@@ -79,9 +103,11 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) ->
         matrix = np.stack(given["query"].to_list()).astype(float) if len(given) else np.zeros((0, 1))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = _Best(ids, matrix, kept, k, digits)
             for batch in batches:
                 if len(batch) and len(ids):
-                    yield from _best(ids, matrix, batch, kept, k, digits)
+                    best.add(batch)
+            yield from best.found()
 
         local = corpus.mapInPandas(run, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "frame_id"))
@@ -98,6 +124,13 @@ def knn_expression(queries: DataFrame, corpus: DataFrame, k: int, digits: int =
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def scored_within(queries: DataFrame, corpus: DataFrame, videos: DataFrame, digits: int = 6) -> DataFrame:
+    """``score`` of every row of ``queries`` (query_id, query, ...) with every frame of the videos given for it in
+    ``videos`` (query_id, video_id, distinct): equi-joins on query and video."""
+    asked = videos.select("query_id", "video_id").join(queries, "query_id")
+    return asked.join(corpus, "video_id").withColumn("score", F.round(dot("query", "embedding"), digits)).drop("query", "embedding")
+
+
 def index_problems(index: DataFrame) -> DataFrame:
     """One row of violation counts of an index mapping (frame_id, embedding_index, embedding)."""
     size = F.size("embedding")

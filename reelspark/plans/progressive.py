@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import ports, vector
+from ..operators import fusion, ports, vector
 from ..sources import bundles, shared, views
 from ..sources.views import with_views
 from ..streaming import events, sessions
@@ -16,54 +16,64 @@ from .relational import hits
 
 _HITS = "frames queries hits"
 
-ACQUIRE = with_views("frames queries", """, s AS (SELECT q.query_id, f.frame_id, f.video_id, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries q, frames f WHERE q.query_id < 2),
-  g AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 30),
-  v AS (SELECT DISTINCT video_id FROM g WHERE query_id = 0),
-  l AS (SELECT * FROM s WHERE query_id = 1 AND video_id IN (SELECT video_id FROM v) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) <= 15),
-  r AS (SELECT DISTINCT video_id FROM g WHERE query_id = 1 AND video_id NOT IN (SELECT video_id FROM v)),
-  b AS (SELECT * FROM s WHERE query_id = 0 AND video_id IN (SELECT video_id FROM r) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY score DESC, frame_id) <= 5)""")
+ACQUIRE = with_views("frames queries tasks scored", """, now AS (SELECT * FROM scored WHERE event = 1), first AS (SELECT * FROM scored WHERE event = 0),
+  f AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) <= 100),
+  g AS (SELECT * FROM now QUALIFY row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) <= 100),
+  v AS (SELECT * FROM (SELECT task, video_id, max(score) AS best FROM f GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task ORDER BY best DESC, video_id) <= 10),
+  l AS (SELECT now.* FROM now JOIN v USING (task, video_id) QUALIFY row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) <= 50),
+  n AS (SELECT * FROM (SELECT task, video_id, max(score) AS best FROM g ANTI JOIN v USING (task, video_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task ORDER BY best DESC, video_id) <= 10),
+  b AS (SELECT first.* FROM first JOIN n USING (task, video_id)),
+  e AS (SELECT task, event, video_id, frame_id, score, 'first' AS branch FROM f JOIN v USING (task, video_id) UNION ALL SELECT task, event, video_id, frame_id, score, 'global' FROM g
+    UNION ALL SELECT task, event, video_id, frame_id, score, 'local' FROM l UNION ALL SELECT task, event, video_id, frame_id, score, 'backfill' FROM b),
+  m AS (SELECT task, event, video_id, frame_id, max(score) AS score, string_agg(DISTINCT branch, ',' ORDER BY branch) AS branches FROM e GROUP BY ALL)""")
 
 
-@query(ACQUIRE + " SELECT query_id, video_id, frame_id, max(score) AS score, bool_or(local) AS local, bool_or(backfill) AS backfill FROM (SELECT *, false AS local, false AS backfill FROM g UNION ALL SELECT *, true, false FROM l UNION ALL SELECT *, false, true FROM b) GROUP BY ALL")
+@query(ACQUIRE + " SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY task, event, video_id ORDER BY score DESC, frame_id) <= 5")
 def acquire_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """A second hint: the best frames of all videos and of those the first hint had found; videos that only the second one
-    finds are evaluated for the first one after all."""
+    """A task's second hint after its first: the hundred best frames of all videos and the fifty best of the ten videos the
+    first had found; the ten best videos that only the second finds are evaluated for the first one after all; five frames
+    of a hint and video are kept."""
     corpus = views.frames(spark, d).select("frame_id", "video_id", "embedding")
-    one, two = views.queries(spark, d, 1), views.queries(spark, d, 2).where("query_id = 1")
-    found = vector.knn_join(one, corpus, 30).drop("rank")
-    new = vector.knn_join(two, corpus, 30).drop("rank")
-    before, after = found.select("video_id").distinct(), new.select("video_id").distinct()
-    local = vector.knn_join(two, corpus.join(before, "video_id", "left_semi").select(corpus.columns), 15).drop("rank")
-    rescued = corpus.join(after.join(before, "video_id", "left_anti"), "video_id", "left_semi")
-    scored = rescued.join(F.broadcast(one), F.lit(True))
-    scored = scored.select("query_id", "frame_id", "video_id", F.round(vector.dot("query", "embedding"), 6).alias("score"))
-    place = F.row_number().over(W.partitionBy("video_id").orderBy(F.desc("score"), "frame_id"))
-    backfill = scored.withColumn("place", place).where("place <= 5").drop("place")
-    mark = lambda df, a, b: df.select("query_id", "video_id", "frame_id", "score", F.lit(a).alias("local"), F.lit(b).alias("backfill"))
-    rows = mark(found, False, False).unionByName(mark(new, False, False)).unionByName(mark(local, True, False)).unionByName(mark(backfill, False, True))
-    return rows.groupBy("query_id", "video_id", "frame_id").agg(F.max("score").alias("score"), F.bool_or("local").alias("local"), F.bool_or("backfill").alias("backfill"))
-
-
-@query(with_views(_HITS, """, v AS (SELECT DISTINCT video_id FROM frames), u AS (SELECT query_id FROM queries WHERE query_id < 10), e AS (SELECT DISTINCT query_id, video_id FROM hits), m AS (SELECT query_id, video_id, count(*) AS n FROM hits WHERE rank <= 15 GROUP BY ALL)
-  SELECT u.query_id, v.video_id, CASE WHEN e.video_id IS NULL THEN 'UNKNOWN' WHEN m.n IS NULL THEN 'NO_MATCH' ELSE 'MATCH' END AS state, coalesce(m.n, 0) AS frames
-  FROM u, v LEFT JOIN e ON e.query_id = u.query_id AND e.video_id = v.video_id LEFT JOIN m ON m.query_id = u.query_id AND m.video_id = v.video_id"""))
+    tasks = views.tasks(spark, d)
+    one, two = tasks.where("event = 0"), tasks.where("event = 1")
+    of = lambda df, t: df.join(t.select("query_id", "task", "event"), "query_id").select("task", "event", "video_id", "frame_id", "score")
+    by = [F.desc("best"), F.col("video_id")]
+    videos = lambda df: fusion.top_per(df.groupBy("task", "video_id").agg(F.max("score").alias("best")), ["task"], by, 10, "_n").drop("_n", "best")
+    found = shared.written(of(vector.knn_join(one, corpus, 100), one), "found")
+    new = shared.written(of(vector.knn_join(two, corpus, 100), two), "new")
+    before = shared.written(videos(found), "before")
+    local = vector.scored_within(two, corpus, two.select("query_id", "task").join(before, "task"))
+    local = fusion.top_per(local, ["task"], [F.desc("score"), F.col("frame_id")], 50, "_n")
+    rescued = videos(new.join(before, ["task", "video_id"], "left_anti"))
+    backfill = vector.scored_within(one, corpus, one.select("query_id", "task").join(rescued, "task"))
+    mark = lambda df, branch: df.select("task", "event", "video_id", "frame_id", "score", F.lit(branch).alias("branch"))
+    rows = mark(found.join(before, ["task", "video_id"], "left_semi"), "first").unionByName(mark(new, "global"))
+    rows = rows.unionByName(mark(local, "local")).unionByName(mark(backfill, "backfill"))
+    branches = F.array_join(F.sort_array(F.collect_set("branch")), ",").alias("branches")
+    merged = rows.groupBy("task", "event", "video_id", "frame_id").agg(F.max("score").alias("score"), branches)
+    return fusion.top_per(merged, ["task", "event", "video_id"], [F.desc("score"), F.col("frame_id")], 5, "_n").drop("_n")
+
+
+@query(with_views("frames queries tasks hits", """, h AS (SELECT hits.*, task FROM hits JOIN tasks USING (query_id)), v AS (SELECT DISTINCT task, video_id FROM h),
+  e AS (SELECT query_id, video_id, count(*) FILTER (WHERE rank <= 15) AS n FROM h GROUP BY ALL)
+  SELECT t.query_id, v.video_id, CASE WHEN e.n IS NULL THEN 'UNKNOWN' WHEN e.n = 0 THEN 'NO_MATCH' ELSE 'MATCH' END AS state, coalesce(e.n, 0) AS frames
+  FROM tasks t JOIN v USING (task) LEFT JOIN e ON e.query_id = t.query_id AND e.video_id = v.video_id"""))
 def evaluation_state(spark: SparkSession, d: str) -> DataFrame:
-    """Each unit and video: matched, evaluated without a match, or never evaluated."""
-    h = hits(spark, d).where("query_id < 10")
-    keys = ["query_id", "video_id"]
-    units = views.frames(spark, d).select("video_id").distinct().withColumn("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
-    seen = h.select(*keys).distinct().withColumn("seen", F.lit(True))
-    matched = h.where("rank <= 15").groupBy(*keys).agg(F.count("*").alias("n"))
-    j = units.join(seen, keys, "left").join(matched, keys, "left")
-    state = F.when(F.col("seen").isNull(), "UNKNOWN").when(F.col("n").isNull(), "NO_MATCH").otherwise("MATCH")
-    return j.select(*keys, state.alias("state"), F.coalesce("n", F.lit(0)).alias("frames"))
+    """Each unit of a task and each video that any of its units has found: matched, evaluated without a match, or never
+    evaluated."""
+    tasks = views.tasks(spark, d).select("query_id", "task")
+    h = shared.written(hits(spark, d).select("query_id", "video_id", "rank").join(tasks, "query_id"), "evaluated")
+    seen = h.groupBy("query_id", "video_id").agg(F.sum((F.col("rank") <= 15).cast("long")).alias("n"))
+    j = tasks.join(h.select("task", "video_id").distinct(), "task").join(seen, ["query_id", "video_id"], "left")
+    state = F.when(F.col("n").isNull(), "UNKNOWN").when(F.col("n") == 0, "NO_MATCH").otherwise("MATCH")
+    return j.select("query_id", "video_id", state.alias("state"), F.coalesce("n", F.lit(0)).alias("frames"))
 
 
 def _hints(spark: SparkSession, d: str) -> DataFrame:
-    """Growing hints: the first words of a conversation's turns so far; every fifth starts over."""
+    """Growing hints: a conversation's turns so far; every fifth starts over."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    c = views.read(spark, d, "conversations").withColumn("part", F.substring_index("text", " ", 3))
-    hint = F.when(F.col("turn") % 5 == 4, F.col("part")).otherwise(F.array_join(F.collect_list("part").over(w), " "))
+    c = views.read(spark, d, "conversations")
+    hint = F.when(F.col("turn") % 5 == 4, F.col("text")).otherwise(F.array_join(F.collect_list("text").over(w), " "))
     return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), hint.alias("hint"))
 
 

@@ -159,10 +159,10 @@ def lookup_many(spark: SparkSession, d: str) -> DataFrame:
     return joins.in_order_of([7, 3, 7, 19], views.frames(spark, d), "frame_id").select("position", "frame_id", "video_id")
 
 
-@query(with_views("timeline", """ SELECT video_id, count(*) AS known FROM timeline t WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id % 100 = t.video_id AND e.event_id % 50 = t.frame_idx) GROUP BY video_id"""))
+@query(with_views("timeline", """ SELECT video_id, count(*) AS known FROM timeline t WHERE EXISTS (SELECT 1 FROM events e WHERE e.user_id = t.video_id AND e.event_id % 50 = t.frame_idx) GROUP BY video_id"""))
 def membership(spark: SparkSession, d: str) -> DataFrame:
     """Which (video, index) pairs exist: a semi-join."""
-    known = views.read(spark, d, "events").select((F.col("user_id") % 100).alias("video_id"), (F.col("event_id") % 50).alias("frame_idx"))
+    known = views.read(spark, d, "events").select(F.col("user_id").alias("video_id"), (F.col("event_id") % 50).alias("frame_idx"))
     return views.timeline(spark, d).join(known, ["video_id", "frame_idx"], "left_semi").groupBy("video_id").agg(F.count("*").alias("known"))
 
 
@@ -191,10 +191,10 @@ def coordinate_override(spark: SparkSession, d: str) -> DataFrame:
     return f.groupBy("video_id").agg(F.count("*").alias("rows"), n(F.col("frame_idx") != F.col("src_idx")).alias("idx_changed"), n(F.col("timestamp_ms") != F.col("src_ms")).alias("time_changed"))
 
 
-@query(with_views("regions", " SELECT frame_id, region_order AS line, left(text, 10) AS head, confidence AS score FROM regions WHERE region_order < 3"))
+@query(with_views("regions", " SELECT frame_id, region_order AS line, text AS content, confidence AS score FROM regions"))
 def legacy_projection(spark: SparkSession, d: str) -> DataFrame:
-    r = views.regions(spark, d).where("region_order < 3")
-    return r.select("frame_id", F.col("region_order").alias("line"), F.substring("text", 1, 10).alias("head"), F.col("confidence").alias("score"))
+    r = views.regions(spark, d)
+    return r.select("frame_id", F.col("region_order").alias("line"), F.col("text").alias("content"), F.col("confidence").alias("score"))
 
 
 @query(with_views("frames queries hits", """ SELECT query_id, rank::INTEGER AS rank, frame_id, coalesce(CASE WHEN rank % 5 = 0 THEN NULL ELSE score END, CASE WHEN rank % 10 = 0 THEN NULL ELSE 0.5::DOUBLE END, 0.0::DOUBLE) AS shown_score,
@@ -317,18 +317,18 @@ def knn_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits(spark, d, 10).select("query_id", "frame_id", "score", "rank")
 
 
-@query(with_views("frames queries", """, s AS (SELECT query_id, frame_id, round(list_inner_product(query::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM queries, frames WHERE query_id < 4)
-  SELECT query_id, frame_id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM s) WHERE rank <= 10"""))
+@query(with_views("frames queries hits", " SELECT query_id, frame_id, score, rank::INTEGER AS rank FROM hits WHERE rank <= 10"))
 def knn_topk_expression(spark: SparkSession, d: str) -> DataFrame:
-    return vector.knn_expression(views.queries(spark, d, 4), views.frames(spark, d).select("frame_id", "embedding"), 10)
+    return vector.knn_expression(views.queries(spark, d), views.frames(spark, d).select("frame_id", "embedding"), 10)
 
 
-@query(with_views("frames queries", " SELECT query_id, frame_id, round(list_inner_product(query::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM queries, frames WHERE query_id < 3 AND video_id IN (2, 5)"))
+@query(with_views("frames queries hits", """, v AS (SELECT DISTINCT query_id, video_id FROM hits WHERE rank <= 10)
+  SELECT query_id, f.frame_id, round(list_inner_product(query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries JOIN v USING (query_id) JOIN frames f USING (video_id)"""))
 def score_subset(spark: SparkSession, d: str) -> DataFrame:
-    """Every event against every frame of shortlisted videos."""
-    corpus = views.frames(spark, d).where("video_id in (2, 5)").select("frame_id", "embedding")
-    events = views.queries(spark, d, 3)
-    return corpus.join(F.broadcast(events), F.lit(True)).select("query_id", "frame_id", F.round(vector.dot("query", "embedding"), 6).alias("score"))
+    """Every query against every frame of the videos that its ten best hits name."""
+    videos = hits(spark, d, 10).select("query_id", "video_id").distinct()
+    corpus = views.frames(spark, d).select("video_id", "frame_id", "embedding")
+    return vector.scored_within(views.queries(spark, d), corpus, videos).select("query_id", "frame_id", "score")
 
 
 @query(with_views("frames queries hits", """, r AS (SELECT query_id, 'visual' AS source, frame_id, rank FROM hits WHERE rank <= 30 UNION ALL
@@ -341,7 +341,7 @@ def modality_union_merge(spark: SparkSession, d: str) -> DataFrame:
 
 def two_sources(spark: SparkSession, d: str) -> DataFrame:
     """Ranks of two modalities: by likeness (30 frames a query), and the latest of the best 20."""
-    h = hits(spark, d).select("query_id", "frame_id", "timestamp_ms", "score", "rank")
+    h = shared.written(hits(spark, d).select("query_id", "frame_id", "timestamp_ms", "score", "rank"), "hits")
     late = h.where("rank <= 20").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("timestamp_ms"), "frame_id")))
     return fusion.union_sources({"visual": h.where("rank <= 30"), "late": late})
 
@@ -381,16 +381,16 @@ def parent_child_join(spark: SparkSession, d: str) -> DataFrame:
     return parents.join(child, ["video_id", "day"]).select("video_id", "day", F.array_join("x.label", ",").alias("labels"), F.size("x").cast("long").alias("n"))
 
 
-@query(with_views("frames", " SELECT count(*) AS rows, count(*) FILTER (WHERE f.video_id <> e.label) AS other_video FROM frames f LEFT JOIN embeddings e ON e.vec_id = f.frame_id"))
+@query(with_views("frames", " SELECT count(*) AS rows, count(*) FILTER (WHERE f.video_id % 10 <> e.label) AS other_video FROM frames f LEFT JOIN embeddings e ON e.vec_id = f.frame_id"))
 def index_alignment(spark: SparkSession, d: str) -> DataFrame:
     f, e = views.frames(spark, d), views.read(spark, d, "embeddings").select("vec_id", "label")
     joined = f.join(e, f.frame_id == e.vec_id, "left")
-    return joined.agg(F.count("*").alias("rows"), F.sum((F.col("video_id") != F.col("label")).cast("long")).alias("other_video"))
+    return joined.agg(F.count("*").alias("rows"), F.sum((F.col("video_id") % 10 != F.col("label")).cast("long")).alias("other_video"))
 
 
-@query(with_views("timeline", " SELECT video_id, count(*) AS n FROM timeline WHERE video_id IN (SELECT user_id % 100 FROM events WHERE value > 99) GROUP BY video_id"))
+@query(with_views("timeline", " SELECT video_id, count(*) AS n FROM timeline WHERE video_id IN (SELECT user_id FROM events WHERE value > 99) GROUP BY video_id"))
 def evidence_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    chosen = views.read(spark, d, "events").where("value > 99").select((F.col("user_id") % 100).alias("video_id")).distinct()
+    chosen = views.read(spark, d, "events").where("value > 99").select(F.col("user_id").alias("video_id")).distinct()
     return views.timeline(spark, d).join(chosen, "video_id", "left_semi").groupBy("video_id").agg(F.count("*").alias("n"))
 
 
@@ -414,18 +414,17 @@ def union_all_tables(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("kind").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
 
 
-@query(with_views("frames queries hits", " SELECT h.query_id, count(*) AS gold_found FROM hits h JOIN embeddings g ON g.vec_id = h.query_id AND g.label = h.video_id WHERE h.rank <= 20 GROUP BY h.query_id"))
+@query(with_views("frames queries gold hits", " SELECT query_id, count(*) AS gold_found FROM hits JOIN gold USING (query_id, frame_id) WHERE rank <= 20 GROUP BY query_id"))
 def gold_intersection(spark: SparkSession, d: str) -> DataFrame:
-    gold = views.read(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("label").cast("long").alias("video_id"))
-    return hits(spark, d, 20).join(gold, ["query_id", "video_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("gold_found"))
+    found = hits(spark, d, 20).join(views.gold(spark, d), ["query_id", "frame_id"], "left_semi")
+    return found.groupBy("query_id").agg(F.count("*").alias("gold_found"))
 
 
 @query("SELECT u.user_id, k.event_type FROM (SELECT DISTINCT user_id FROM events) u, (SELECT DISTINCT event_type FROM events) k EXCEPT SELECT user_id, event_type FROM events WHERE value > 40")
 def not_yet_evaluated(spark: SparkSession, d: str) -> DataFrame:
     """The kinds each user has not been evaluated for: all kinds less those seen."""
     events = views.read(spark, d, "events")
-    kinds = [r[0] for r in events.select("event_type").distinct().orderBy("event_type").limit(100).collect()]
-    wanted = events.select("user_id").distinct().withColumn("event_type", F.explode(F.array(*map(F.lit, kinds))))
+    wanted = joins.every_pair(events.select("user_id").distinct(), events.select("event_type").distinct())
     return wanted.join(events.where("value > 40"), ["user_id", "event_type"], "left_anti")
 
 

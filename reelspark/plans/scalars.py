@@ -21,31 +21,36 @@ def _collapse(x: str) -> str:
     return _C.format(x)
 
 
+def _fold(x: str) -> str:
+    """SQL that composes and folds case."""
+    return f"replace(lower(nfc_normalize({x})), 'ß', 'ss')"
+
+
 @query(f"SELECT conv_id, turn, {_collapse('nfc_normalize(text)')} AS clean, coalesce(lower(nullif(role, 'user')), 'und') AS language FROM conversations")
 def normalise_text(spark: SparkSession, d: str) -> DataFrame:
     c = views.read(spark, d, "conversations")
     return c.select("conv_id", "turn", text.nfc_collapse(F.col("text")).alias("clean"), F.coalesce(F.lower(F.nullif("role", F.lit("user"))), F.lit("und")).alias("language"))
 
 
-_SNAP = "trim(regexp_replace(regexp_replace(" + _collapse("{0}") + ", '\\s+([,.;:!?])', '\\1', 'g'), '([,.;:!?])([^\\s,.;:!?])', '\\1 \\2', 'g'))"
+_SNAP = "trim(regexp_replace(regexp_replace(" + _collapse("nfc_normalize({0})") + ", '\\s+([,.;:!?])', '\\1', 'g'), '([,.;:!?])([^\\s,.;:!?])', '\\1 \\2', 'g'))"
 
 
-@query(f"SELECT item_id, {_SNAP.format('text')} AS clean, lower(regexp_replace({_SNAP.format('text')}, '[\\p{{P}}\\p{{Z}}\\s]', '', 'g')) AS key FROM benchmark")
+@query(f"SELECT item_id, {_SNAP.format('text')} AS clean, {_fold("regexp_replace(" + _SNAP.format('text') + ", '[\\p{P}\\p{Z}\\s]', '', 'g')")} AS key FROM benchmark")
 def snapshot_keys(spark: SparkSession, d: str) -> DataFrame:
     clean = text.snapshot(F.col("text"))
     return views.read(spark, d, "benchmark").select("item_id", clean.alias("clean"), text.semantic_key(clean).alias("key"))
 
 
-@query("""WITH s AS (SELECT conv_id, turn, string_agg(split_part(text, '.', 1), ' ') OVER (PARTITION BY conv_id ORDER BY turn) || CASE WHEN turn = 3 THEN '.' ELSE '' END AS hint FROM conversations),
+@query("""WITH s AS (SELECT conv_id, turn, string_agg(text, ' ') OVER (PARTITION BY conv_id ORDER BY turn) || CASE WHEN turn = 3 THEN '.' ELSE '' END AS hint FROM conversations),
   n AS (SELECT conv_id, turn, """ + _SNAP.format("hint") + """ AS b, lag(""" + _SNAP.format("hint") + """) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM s),
-  k AS (SELECT *, lower(regexp_replace(a, '[\\p{P}\\p{Z}\\s]', '', 'g')) = lower(regexp_replace(b, '[\\p{P}\\p{Z}\\s]', '', 'g')) AS same FROM n)
+  k AS (SELECT *, """ + _fold("regexp_replace(a, '[\\p{P}\\p{Z}\\s]', '', 'g')") + " = " + _fold("regexp_replace(b, '[\\p{P}\\p{Z}\\s]', '', 'g')") + """ AS same FROM n)
   SELECT conv_id, turn, CASE WHEN a IS NULL THEN 'FIRST' WHEN same THEN 'NO_CHANGE' WHEN starts_with(b, a) THEN 'APPEND' ELSE 'REPLACEMENT' END AS kind,
   CASE WHEN a IS NULL THEN b WHEN NOT same AND starts_with(b, a) THEN trim(substring(b, length(a) + 1)) END AS delta FROM k""")
 def snapshot_delta(spark: SparkSession, d: str) -> DataFrame:
     """Growing hints of a session: what each snapshot adds to the one before."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    c = views.read(spark, d, "conversations").withColumn("part", F.substring_index("text", ".", 1))
-    hint = F.concat(F.array_join(F.collect_list("part").over(w), " "), F.when(F.col("turn") == 3, ".").otherwise(""))
+    c = views.read(spark, d, "conversations")
+    hint = F.concat(F.array_join(F.collect_list("text").over(w), " "), F.when(F.col("turn") == 3, ".").otherwise(""))
     c = c.withColumn("hint", hint).withColumn("before", F.lag("hint").over(w))
     kind, delta = text.snapshot_change(F.col("before"), F.col("hint"))
     return c.select("conv_id", "turn", kind.alias("kind"), delta.alias("delta"))
@@ -62,34 +67,51 @@ def context_text(spark: SparkSession, d: str) -> DataFrame:
     return j.select("frame_id", text.sections(parts).alias("context"))
 
 
-_HINT = "CASE turn % 4 WHEN 0 THEN 'a man walks' WHEN 1 THEN 'then he sits' WHEN 2 THEN 'Meanwhile a dog barks' ELSE 'finally he leaves, then rests' END"
+def _says(x: str, phrases: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{p}')" for p in phrases) + ")"
+
 
+_FOLDED = _collapse(_fold("text"))
 
-@query(f"""SELECT conv_id, turn, CASE WHEN lag(turn) OVER w IS NULL THEN NULL WHEN lower({_HINT}) LIKE '%finally%' THEN 'AT_END' WHEN lower({_HINT}) LIKE '%meanwhile%' THEN 'OVERLAP'
-  WHEN lower({_HINT}) LIKE '%then%' THEN 'BEFORE' END AS relation FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {_says("t", text.AT_END)} THEN 'AT_END' WHEN before IS NULL THEN NULL WHEN {_says("t", text.OVERLAP)} THEN 'OVERLAP'
+  WHEN {_says("t", text.BEFORE)} THEN 'BEFORE' END AS relation
+  FROM (SELECT conv_id, turn, {_FOLDED} AS t, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
 def temporal_phrases(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("turn") % 4
-    hint = F.when(t == 0, "a man walks").when(t == 1, "then he sits").when(t == 2, "Meanwhile a dog barks").otherwise("finally he leaves, then rests")
     previous = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn")).isNotNull()
-    return views.read(spark, d, "conversations").select("conv_id", "turn", text.temporal_relation(hint, previous).alias("relation"))
+    rows = views.read(spark, d, "conversations").withColumn("previous", previous)
+    return rows.select("conv_id", "turn", text.temporal_relation(F.col("text"), F.col("previous")).alias("relation"))
+
+
+def _kind(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_says(x, terms)} THEN '{kind}'" for kind, terms in text.QUESTIONS.items()) + " ELSE 'GENERAL' END"
 
 
+_WORDS = "(^|[^\\p{L}\\p{N}_])(" + "|".join(text.VIETNAMESE) + ")($|[^\\p{L}\\p{N}_])"
 
 
-@query(f"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{text.QUESTIONS[0][1]}') THEN 'count' WHEN regexp_matches(lower(text), '{text.QUESTIONS[1][1]}') THEN 'color' WHEN regexp_matches(lower(text), '{text.QUESTIONS[2][1]}') THEN 'text' WHEN regexp_matches(lower(text), '{text.QUESTIONS[3][1]}') THEN 'who' WHEN regexp_matches(lower(text), '{text.QUESTIONS[4][1]}') THEN 'where' WHEN regexp_matches(lower(text), '{text.QUESTIONS[5][1]}') THEN 'when' ELSE 'open' END AS kind FROM documents WHERE lang = 'en'")
+@query(f"""SELECT doc_id, {_kind("t")} AS kind, CASE WHEN regexp_matches(t, '[{text.LETTERS}]|{_WORDS}') THEN 'vi' ELSE 'en' END AS language,
+  CASE {_kind("t")} WHEN 'TEXT' THEN 'OCR,VISUAL' WHEN 'SPEECH' THEN 'ASR,VISUAL' ELSE 'VISUAL' END AS modalities FROM (SELECT doc_id, {_FOLDED} AS t FROM documents)""")
 def question_kinds(spark: SparkSession, d: str) -> DataFrame:
-    return views.read(spark, d, "documents").where("lang = 'en'").select("doc_id", text.question_kind(F.col("text")).alias("kind"))
+    """Each text as a question: its kind, the language to answer in, the evidence to look at."""
+    q = F.col("text")
+    rows = views.read(spark, d, "documents").select("doc_id", text.question_kind(q).alias("kind"), text.question_language(q).alias("language"))
+    return rows.withColumn("modalities", text.evidence_of(F.col("kind")))
 
 
-_ANSWER = "string_split(" + _collapse("regexp_replace(lower(a), '[\\p{P}]', ' ', 'g')") + ", ' ')"
-_MAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.CANONICAL.items()) + "}"
+_PLAIN = _collapse(f"regexp_replace({_fold('text')}, '[^\\p{{L}}\\p{{N}}_\\s-]', ' ', 'g')")
+_DIGITS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.COUNTS.items()) + "}"
 
 
-@query(f"SELECT event_id, array_to_string(list_transform({_ANSWER}, lambda w: coalesce({_MAP}[w], w)), ' ') AS answer FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Two ' WHEN 1 THEN '(Ba) ' WHEN 2 THEN 'Đỏ, ' ELSE 'x ' END || event_type AS a FROM events)")
+@query(f"""WITH t AS (SELECT conv_id, turn, {_PLAIN} AS plain, {_FOLDED} AS t FROM conversations),
+  q AS (SELECT *, {_kind("lag(t) OVER w")} AS kind FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+  SELECT conv_id, turn, kind, CASE WHEN kind = 'COUNT' THEN coalesce({_DIGITS}[plain], plain) ELSE plain END AS answer FROM q""")
 def answer_keys(spark: SparkSession, d: str) -> DataFrame:
-    m = F.col("event_id") % 4
-    a = F.concat(F.when(m == 0, "Two ").when(m == 1, "(Ba) ").when(m == 2, "Đỏ, ").otherwise("x "), F.col("event_type"))
-    return views.read(spark, d, "events").select("event_id", text.answer_key(a).alias("answer"))
+    """Each turn as the answer to the turn before it."""
+    asked = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = views.read(spark, d, "conversations").withColumn("asked", asked)
+    rows = rows.select("conv_id", "turn", "text", text.question_kind(F.col("asked")).alias("kind"))
+    return rows.select("conv_id", "turn", "kind", text.answer_key(F.col("text"), F.col("kind")).alias("answer"))
 
 
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1))"
@@ -244,9 +266,9 @@ def error_isolating_map(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.when(failed, "failed").otherwise("completed").alias("status"), "k", F.when(failed, F.concat(F.lit("InvalidJson: "), F.substring("given", 1, 21))).alias("error"))
 
 
-@query(with_views("regions", " SELECT frame_id, frame_id || ':' || region_order AS region_id, text FROM regions WHERE region_order < 4"))
+@query(with_views("regions", " SELECT frame_id, frame_id || ':' || region_order AS region_id, text FROM regions"))
 def ocr_child_rows(spark: SparkSession, d: str) -> DataFrame:
-    r = views.regions(spark, d).where("region_order < 4")
+    r = views.regions(spark, d)
     return r.select("frame_id", F.concat_ws(":", F.col("frame_id").cast("string"), F.col("region_order").cast("string")).alias("region_id"), "text")
 
 
@@ -264,9 +286,9 @@ def coverage_validation(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("missing", F.col("frames") - F.col("covered"))
 
 
-@query("SELECT conv_id, role, string_agg(left(text, 30), ' | ' ORDER BY turn) AS evidence FROM conversations GROUP BY ALL")
+@query("SELECT conv_id, role, string_agg(text, ' | ' ORDER BY turn) AS evidence FROM conversations GROUP BY ALL")
 def evidence_concat(spark: SparkSession, d: str) -> DataFrame:
-    c = views.read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.sort_array(F.collect_list(F.struct("turn", F.substring("text", 1, 30).alias("t")))).alias("x"))
+    c = views.read(spark, d, "conversations").groupBy("conv_id", "role").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("t")))).alias("x"))
     return c.select("conv_id", "role", F.array_join("x.t", " | ").alias("evidence"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import text
 from ..operators import fusion
 from ..operators import sequences as seq
 from ..operators import vector
@@ -60,44 +61,93 @@ def bounded_scenes(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("video_id", "cluster").agg(F.count("*").alias("frames"), F.min("timestamp_ms").alias("start_ms"), F.max("timestamp_ms").alias("end_ms"))
 
 
-@query()
-def anchor_clusters(spark: SparkSession, d: str) -> DataFrame:
-    f = views.frames(spark, d).select("video_id", "frame_id", "frame_idx", "embedding")
-    return seq.fold(f, "video_id", ["frame_idx"], "cluster", "long", lambda p: seq.anchor_clusters(np.stack(p["embedding"].to_list()), 0.35)).drop("embedding")
-
-
-TWO_EVENTS = with_views("frames", """, s AS (SELECT f.video_id, q.vec_id AS event, f.frame_id, f.timestamp_ms, round(list_inner_product(q.embedding::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM frames f, embeddings q WHERE q.vec_id IN (0, 1)),
-  p AS (SELECT a.video_id, a.frame_id AS first_frame, b.frame_id AS second_frame, a.score + b.score - 1e-5::DOUBLE * (b.timestamp_ms - a.timestamp_ms) AS score, a.timestamp_ms AS ta, b.timestamp_ms AS tb FROM s a JOIN s b ON a.video_id = b.video_id AND a.event = 0 AND b.event = 1 AND a.timestamp_ms < b.timestamp_ms)""")
+ALIGNED = with_views("frames queries tasks scored", """, f AS (SELECT task, event, video_id, min(rank) - 1 AS rank0 FROM
+    (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM scored QUALIFY rank <= 500) GROUP BY ALL),
+  short AS (SELECT task, video_id FROM (SELECT task, video_id, count(*) AS coverage, round(sum(1.0::DOUBLE / (60 + rank0)), 9) AS votes FROM f GROUP BY ALL)
+    QUALIFY row_number() OVER (PARTITION BY task ORDER BY coverage DESC, votes DESC, video_id) <= 200),
+  w AS (SELECT task, video_id, frame_id, timestamp_ms, max(score) FILTER (WHERE event = 0) AS s0, max(score) FILTER (WHERE event = 1) AS s1, max(score) FILTER (WHERE event = 2) AS s2
+    FROM scored JOIN short USING (task, video_id) GROUP BY ALL),
+  a AS (SELECT *, s1 - 1e-5::DOUBLE * timestamp_ms + m.v AS v1 FROM (SELECT *, max({'v': s0 + 1e-5::DOUBLE * timestamp_ms, 't': timestamp_ms, 'f': frame_id}) OVER before AS m FROM w
+    WHERE s0 IS NOT NULL AND s1 IS NOT NULL AND s2 IS NOT NULL
+    WINDOW before AS (PARTITION BY task, video_id ORDER BY timestamp_ms, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+  z AS (SELECT *, s2 - 1e-5::DOUBLE * timestamp_ms + n.v AS v2 FROM (SELECT *, max({'v': v1 + 1e-5::DOUBLE * timestamp_ms, 't': timestamp_ms, 'f': frame_id, 'p': m.f}) FILTER (WHERE v1 IS NOT NULL) OVER before AS n FROM a
+    WINDOW before AS (PARTITION BY task, video_id ORDER BY timestamp_ms, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))),
+  paths AS (SELECT task, video_id, row_number() OVER (PARTITION BY task, video_id ORDER BY v2 DESC, timestamp_ms, frame_id) AS path_no, v2 AS score, n.p AS f0, n.f AS f1, frame_id AS f2 FROM z WHERE v2 IS NOT NULL),
+  deep AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY path_no, score DESC, video_id) AS place FROM paths JOIN (SELECT task, ceil(100.0 / count(*)) AS depth FROM short GROUP BY task) USING (task)
+    WHERE path_no <= depth QUALIFY place <= 100)""")
+
+
+def aligned(spark: SparkSession, d: str, top_k: int = 500, max_videos: int = 200, paths: int = 100, delta: float = 0.0, power: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """(shortlist, paths) of every task: the videos that its events' best frames vote for, and the best ordered choices of
+    a frame for each event in each of them."""
+    tasks = views.tasks(spark, d)
+    found = hits(spark, d, top_k).join(tasks.select("query_id", "task", "event"), "query_id")
+    short = shared.written(fusion.video_shortlist(found, "event", top=max_videos, by=("task",)).select("task", "video_id"), "shortlist")
+    videos = tasks.select("query_id", "task").join(short, "task").select("query_id", "video_id")
+    corpus = views.frames(spark, d).select("video_id", "frame_id", "timestamp_ms", "embedding")
+    scored = vector.scored_within(tasks, corpus, videos)
+    return short, seq.align_events(scored, ["task", "video_id"], 3, paths=paths, delta=delta, power=power)
 
 
-@query(TWO_EVENTS + " SELECT video_id, round(max(score), 6) AS score FROM p GROUP BY video_id")
-def ordered_events_two(spark: SparkSession, d: str) -> DataFrame:
-    """The alignment's value for two events; a self-join says the same."""
-    return aligned(spark, d, [0, 1]).select("video_id", F.round("score", 6).alias("score"))
+@query(ALIGNED + " SELECT task, video_id, round(score, 6) AS score FROM paths WHERE path_no = 1")
+def event_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """The best choice of each shortlisted video."""
+    return aligned(spark, d, paths=1)[1].select("task", "video_id", F.round("score", 6).alias("score"))
 
 
-def aligned(spark: SparkSession, d: str, events: list[int], paths: int = 1) -> DataFrame:
-    queries = views.queries(spark, d, max(events) + 1).where(F.col("query_id").isin(events))
-    corpus = views.frames(spark, d).select("video_id", "frame_id", "timestamp_ms", "embedding")
-    scored = corpus.join(F.broadcast(queries), F.lit(True))  # a row for each of a few events
-    scored = scored.select("video_id", F.col("query_id").alias("event"), "frame_id", "timestamp_ms", F.round(vector.dot("query", "embedding"), 6).alias("score"))
-    return seq.align_events(scored, events, paths=paths)
+@query(ALIGNED + " SELECT task, video_id, path_no::INTEGER AS path_no, place::INTEGER AS place, round(score, 6) AS score, concat_ws(',', f0, f1, f2) AS frame_ids FROM deep")
+def ordered_events(spark: SparkSession, d: str) -> DataFrame:
+    """Three ordered events: shortlist, alignment, and a hundred paths of each task, one of a video before its second."""
+    short, paths = aligned(spark, d)
+    out = seq.diversified(paths, short, "task")
+    frames = F.array_join(F.col("frame_ids").cast("array<string>"), ",")
+    return out.select("task", "video_id", "path_no", "place", F.round("score", 6).alias("score"), frames.alias("frame_ids"))
 
 
 @query()
-def ordered_events(spark: SparkSession, d: str) -> DataFrame:
-    """Three ordered events, the three best paths of each video, videos in turn."""
-    out = seq.round_robin(aligned(spark, d, [2, 4, 6], 3))
-    return out.select("video_id", "path_no", "level", "place", F.round("score", 6).alias("score"), F.array_join(F.col("frame_ids").cast("array<string>"), ",").alias("frame_ids"))
+def ordered_events_clustered(spark: SparkSession, d: str) -> DataFrame:
+    """The same where events must fall into different clusters of frames, and weak events weigh more."""
+    short, paths = aligned(spark, d, delta=0.1, power=0.5)
+    out = seq.diversified(paths, short, "task")
+    frames = F.array_join(F.col("frame_ids").cast("array<string>"), ",")
+    return out.select("task", "video_id", "path_no", "place", F.round("score", 6).alias("score"), frames.alias("frame_ids"))
 
 
-@query()
+@query(ALIGNED + " SELECT task, video_id::VARCHAR AS video_id, f0, f1, f2 FROM deep")
 def ordered_events_csv(spark: SparkSession, d: str) -> DataFrame:
-    """The submission file: video, then a frame for each event; written, and read again."""
+    """The submission files: a folder for each task, in it rows of a video and a frame for each event; written, and read
+    again."""
     path = shared.shared_path(spark, "submission")
-    rows = seq.round_robin(aligned(spark, d, [2, 4, 6], 3)).orderBy("place").limit(100)
-    rows.select(F.regexp_replace(F.col("video_id").cast("string"), r"\.mp4$", ""), *[F.col("frame_ids")[i].alias(f"f{i}") for i in range(3)]).coalesce(1).write.csv(path)
-    return spark.read.schema("video_id string, f0 long, f1 long, f2 long").csv(path)
+    short, paths = aligned(spark, d)
+    rows = seq.diversified(paths, short, "task").repartition("task").sortWithinPartitions("task", "place")
+    video = F.regexp_replace(F.col("video_id").cast("string"), r"\.mp4$", "").alias("video_id")
+    rows.select("task", video, *[F.col("frame_ids")[i].alias(f"f{i}") for i in range(3)]).write.partitionBy("task").csv(path)
+    got = spark.read.schema("video_id string, f0 long, f1 long, f2 long").option("recursiveFileLookup", True).csv(path)
+    return got.withColumn("task", F.regexp_extract(F.col("_metadata.file_path"), "task=([0-9]+)/", 1).cast("long"))
+
+
+CLUSTERS = with_views("frames queries tasks scored hits", """, t AS (SELECT DISTINCT task, video_id FROM hits JOIN tasks USING (query_id) WHERE rank <= 10),
+  e AS (SELECT task, video_id, frame_id, timestamp_ms, max(score) FILTER (WHERE event = 0) AS a, max(score) FILTER (WHERE event = 1) AS b, max(score) FILTER (WHERE event = 2) AS c
+    FROM scored JOIN t USING (task, video_id) GROUP BY ALL),
+  v AS (SELECT *, row_number() OVER (PARTITION BY task, video_id ORDER BY timestamp_ms, frame_id) AS i FROM e WHERE a + b + c IS NOT NULL),
+  r(task, video_id, frame_id, i, a, b, c, cluster) AS (SELECT task, video_id, frame_id, i, a, b, c, 0::BIGINT FROM v WHERE i = 1 UNION ALL
+    SELECT task, video_id, frame_id, i, CASE WHEN far THEN a ELSE ra END, CASE WHEN far THEN b ELSE rb END, CASE WHEN far THEN c ELSE rc END, cluster + far::BIGINT FROM
+    (SELECT v.*, r.a AS ra, r.b AS rb, r.c AS rc, r.cluster, greatest(abs(v.a - r.a), abs(v.b - r.b), abs(v.c - r.c)) > 0.15 AS far FROM r JOIN v ON v.task = r.task AND v.video_id = r.video_id AND v.i = r.i + 1))
+  SELECT task, video_id, frame_id, cluster FROM r""").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(CLUSTERS)
+def anchor_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Frames in order, a new cluster where a frame's event scores are over 0.15 from those of the cluster's first."""
+    tasks = views.tasks(spark, d)
+    videos = hits(spark, d, 10).join(tasks.select("query_id", "task"), "query_id").select("task", "video_id").distinct()
+    corpus = views.frames(spark, d).select("video_id", "frame_id", "timestamp_ms", "embedding")
+    scored = vector.scored_within(tasks, corpus, tasks.select("query_id", "task").join(videos, "task"))
+    names = [f"s{e}" for e in range(3)]
+    each = [F.max(F.when(F.col("event") == e, F.col("score"))).alias(n) for e, n in enumerate(names)]
+    rows = scored.groupBy("task", "video_id", "frame_id", "timestamp_ms").agg(*each).dropna(subset=names)
+    f = lambda p: seq.anchor_clusters(p[names].to_numpy(), 0.15)
+    return seq.fold(rows, ["task", "video_id"], ["timestamp_ms", "frame_id"], "cluster", "long", f).drop("timestamp_ms", *names)
 
 
 PEAKS = with_views("timeline", """, p AS (SELECT *, motion_score >= 50 AND motion_score > coalesce(lag(motion_score) OVER w, '-inf'::DOUBLE) AND motion_score >= coalesce(lead(motion_score) OVER w, '-inf'::DOUBLE) AS is_peak
@@ -122,61 +172,121 @@ def shot_ids(spark: SparkSession, d: str) -> DataFrame:
     return seq.peaks(views.timeline(spark, d), 50).select("frame_id", "video_id", F.sum(F.col("is_peak").cast("int")).over(w).alias("shot_id"))
 
 
-@query()
+@query(PEAKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, c AS (SELECT video_id, frame_idx AS centre, timestamp_ms AS t FROM p WHERE is_peak AND motion_score >= 80),
+  n AS (SELECT c.video_id, c.centre, p.frame_idx AS i, p.frame_id, p.timestamp_ms AS t FROM c JOIN p ON p.video_id = c.video_id AND p.timestamp_ms BETWEEN c.t - 20000 AND c.t + 20000),
+  r(video_id, centre, i, frame_id, last, keep) AS (SELECT video_id, centre, i, frame_id, t, true FROM n QUALIFY row_number() OVER (PARTITION BY video_id, centre ORDER BY i) = 1 UNION ALL
+    SELECT n.video_id, n.centre, n.i, n.frame_id, CASE WHEN n.i = n.centre OR n.t - r.last >= 5000 THEN n.t ELSE r.last END, n.i = n.centre OR n.t - r.last >= 5000
+    FROM r JOIN n ON n.video_id = r.video_id AND n.centre = r.centre AND n.i = r.i + 1)
+  SELECT DISTINCT video_id, frame_id FROM r WHERE keep""")
 def burst_thinning(spark: SparkSession, d: str) -> DataFrame:
+    """Frames within twenty seconds of strong peaks, five seconds apart, and the peaks."""
     rows = seq.peaks(views.timeline(spark, d), 80).select("video_id", "frame_id", "timestamp_ms", "is_peak")
-    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", lambda p: seq.thin_bursts(p["timestamp_ms"].to_numpy(), p["is_peak"].to_numpy(bool), 2000, 500)).where("keep")
+    f = lambda p: seq.thinned(p["timestamp_ms"].to_numpy(), p["is_peak"].to_numpy(bool), 20000, 5000)
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", f).where("keep").select("video_id", "frame_id")
 
 
-@query()
+@query(PEAKS.replace("WITH ", "WITH RECURSIVE ", 1) + """, l AS (SELECT video_id, frame_idx AS i, frame_id, timestamp_ms AS t, is_peak,
+    round_even(30000 - least(motion_score / 80.0::DOUBLE, 1) * 20000, 0) AS gap FROM p),
+  r(video_id, i, last, last_t, anchor) AS (SELECT video_id, i, i, t, NULL::BIGINT FROM l WHERE i = 0 UNION ALL
+    SELECT x.video_id, x.i, CASE WHEN x.is_peak THEN x.i WHEN x.reached THEN x.chosen ELSE x.last END, CASE WHEN x.is_peak THEN x.t WHEN x.reached THEN a.t ELSE x.last_t END, CASE WHEN x.reached THEN x.chosen END
+    FROM (SELECT l.video_id, l.i, l.t, l.is_peak, r.last, r.last_t, l.t - r.last_t >= l.gap AS reached, greatest(l.i - 1, r.last + 1) AS chosen FROM r JOIN l ON l.video_id = r.video_id AND l.i = r.i + 1) x
+    JOIN l a ON a.video_id = x.video_id AND a.i = x.chosen)
+  SELECT l.video_id, l.frame_id FROM r JOIN l ON l.video_id = r.video_id AND l.i = r.anchor""")
 def coverage_anchors(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.timeline(spark, d).select("video_id", "frame_id", "timestamp_ms", "motion_score")
-    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", lambda p: seq.coverage_anchors(p["timestamp_ms"].to_numpy(), p["motion_score"].to_numpy(), 20000, 4000)).where("keep")
-
-
-@query()
+    """Rows kept besides the peaks so that gaps stay under 30 seconds, or less where there is motion."""
+    rows = seq.peaks(views.timeline(spark, d), 50).select("video_id", "frame_id", "timestamp_ms", "motion_score", "is_peak")
+    f = lambda p: seq.coverage_anchors(p["timestamp_ms"].to_numpy(), p["motion_score"].to_numpy(), p["is_peak"].to_numpy(bool), 80, 30000, 10000)
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "anchor", "boolean", f).where("anchor").select("video_id", "frame_id")
+
+
+@query(with_views("frames", """, f AS (SELECT *, frame_idx // 8 AS shot, (frame_id % 10) / 10.0::DOUBLE AS motion, frame_id % 11 = 0 AS protected, frame_id % 3 = 0 AS text FROM frames),
+  r(video_id, i, last, frame_id, keep) AS (SELECT video_id, frame_idx, frame_idx, frame_id, true FROM f WHERE frame_idx = 0 UNION ALL
+    SELECT video_id, i, CASE WHEN keep THEN i ELSE last END, frame_id, keep FROM (SELECT n.video_id, n.frame_idx AS i, r.last, n.frame_id,
+      n.protected OR NOT (n.shot = k.shot AND n.timestamp_ms - k.timestamp_ms <= 4000 AND n.motion <= 0.7 AND n.text = k.text AND list_cosine_similarity(n.embedding::DOUBLE[], k.embedding::DOUBLE[]) >= 0.1) AS keep
+      FROM r JOIN f n ON n.video_id = r.video_id AND n.frame_idx = r.i + 1 JOIN f k ON k.video_id = r.video_id AND k.frame_idx = r.last))
+  SELECT video_id, frame_id, keep FROM r""").replace("WITH ", "WITH RECURSIVE ", 1))
 def frame_dedup(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.frames(spark, d).select("video_id", "frame_id", "timestamp_ms", "embedding", F.expr("frame_idx div 8").alias("shot"), ((F.col("frame_id") % 10) / 10.0).alias("motion"))
-    f = lambda p: seq.dedup_against_kept(p["timestamp_ms"].to_numpy(), p["shot"].to_numpy(), p["motion"].to_numpy(), np.stack(p["embedding"].to_list()), 4000, 0.7, 0.2)
-    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", f).drop("embedding")
-
-
-@query()
+    """Frames of a shot that are much like the last kept one go, unless they are protected or show other text."""
+    i = F.col("frame_id")
+    rows = views.frames(spark, d).select(
+        "video_id", "frame_id", "timestamp_ms", "embedding", F.expr("frame_idx div 8").alias("shot"), ((i % 10) / 10.0).alias("motion"),
+        (i % 11 == 0).alias("protected"), (i % 3 == 0).alias("text"),
+    )
+    columns = ("timestamp_ms", "shot", "motion", "protected", "text")
+
+    def keep(p):
+        times, shots, motion, protected, text = (p[c].to_numpy() for c in columns)
+        return seq.dedup_against_kept(times, shots, motion, np.stack(p["embedding"].to_list()).astype(float), protected, text, 4000, 0.7, 0.1)
+
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "keep", "boolean", keep).select("video_id", "frame_id", "keep")
+
+
+@query(with_views("timeline", """, o AS (SELECT video_id, frame_idx AS i, frame_id, timestamp_ms AS t, frame_id % 7 = 0 OR frame_idx = 0 AS kept, frame_id % 7 = 0 AS own FROM timeline),
+  n AS (SELECT *, min(CASE WHEN own THEN i END) OVER (PARTITION BY video_id ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS target,
+    max(i) OVER (PARTITION BY video_id ORDER BY t RANGE BETWEEN CURRENT ROW AND 15000 FOLLOWING) AS reach, bool_or(own) OVER (PARTITION BY video_id) AS owns FROM o),
+  r(video_id, i, status) AS (SELECT video_id, i, 1 FROM n WHERE i = 0 AND owns UNION ALL
+    SELECT r.video_id, CASE WHEN n.reach >= n.target OR n.reach = n.i THEN n.target ELSE n.reach END, CASE WHEN n.reach >= n.target OR n.reach > n.i THEN 1 ELSE 2 END
+    FROM r JOIN n ON n.video_id = r.video_id AND n.i = r.i WHERE n.target IS NOT NULL)
+  SELECT o.video_id, o.frame_id, coalesce(r.status, 0)::BIGINT AS status FROM o LEFT JOIN r USING (video_id, i)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def gap_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Rows put back so that no gap between kept ones is over 15 seconds; 2 marks where that can't be done."""
     rows = views.timeline(spark, d).select("video_id", "frame_id", "timestamp_ms", (F.col("frame_id") % 7 == 0).alias("kept"))
-    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "final", "boolean", lambda p: seq.repair_gaps(p["timestamp_ms"].to_numpy(), p["kept"].to_numpy(bool), 30000))
+    f = lambda p: seq.repaired(p["timestamp_ms"].to_numpy(), p["kept"].to_numpy(bool), 15000)
+    return seq.fold(rows, "video_id", ["timestamp_ms", "frame_id"], "status", "long", f).select("video_id", "frame_id", "status")
 
 
-@query()
+@query(with_views(_HITS, """, o AS (SELECT query_id, video_id, frame_id, timestamp_ms AS t, row_number() OVER (PARTITION BY query_id, video_id ORDER BY rank) AS i FROM hits),
+  r(query_id, video_id, frame_id, i, kept, kept_by) AS (SELECT query_id, video_id, frame_id, i, [{'t': t, 'f': frame_id}], frame_id FROM o WHERE i = 1 UNION ALL
+    SELECT query_id, video_id, frame_id, i, CASE WHEN prior IS NULL THEN list_append(kept, {'t': t, 'f': frame_id}) ELSE kept END, coalesce(prior, frame_id) FROM
+    (SELECT o.*, r.kept, list_filter(r.kept, lambda k: abs(k.t - o.t) <= 6000)[1].f AS prior FROM r JOIN o ON o.query_id = r.query_id AND o.video_id = r.video_id AND o.i = r.i + 1))
+  SELECT query_id, video_id, frame_id, kept_by FROM r""").replace("WITH ", "WITH RECURSIVE ", 1))
 def temporal_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Hits of a query and video, best first, within six seconds of a kept one are its alternates."""
-    h = hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", "rank").withColumn("key", F.concat_ws(":", "query_id", "video_id"))
-    return seq.fold(h, "key", ["rank"], "kept_by", "long", lambda p: p["frame_id"].to_numpy()[seq.temporal_nms(p["timestamp_ms"].to_numpy(), 6000)]).drop("key")
+    h = hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", "rank")
+    f = lambda p: p["frame_id"].to_numpy()[seq.temporal_nms(p["timestamp_ms"].to_numpy(), 6000)]
+    return seq.fold(h, ["query_id", "video_id"], ["rank"], "kept_by", "long", f).select("query_id", "video_id", "frame_id", "kept_by")
 
 
-@query(with_views(_HITS, """, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY rank) AS nth FROM hits)
-  SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY (rank > 20 OR nth > 2), rank)::INTEGER AS place FROM c"""))
+@query(with_views(_HITS, """, c AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY rank) AS nth FROM hits),
+  e AS (SELECT *, nth <= 2 AND sum((nth <= 2)::INT) OVER (PARTITION BY query_id ORDER BY rank) <= 20 AS early FROM c)
+  SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT early, rank)::INTEGER AS place FROM e"""))
 def early_diversity(spark: SparkSession, d: str) -> DataFrame:
-    """Of the best twenty at most two of a video come first, then the rest in order."""
-    nth = F.row_number().over(W.partitionBy("query_id", "video_id").orderBy("rank"))
-    later = (F.col("rank") > 20) | (F.col("nth") > 2)
-    return hits(spark, d).withColumn("nth", nth).select("query_id", "frame_id", F.row_number().over(W.partitionBy("query_id").orderBy(later, "rank")).alias("place"))
+    h = hits(spark, d).select("query_id", "video_id", "frame_id", "rank")
+    return seq.early_diversity(h, "query_id", 20, 2).select("query_id", "frame_id", "place")
 
 
-@query(with_views(_HITS, """, w AS (SELECT query_id * 1000 + video_id AS k, greatest(0, timestamp_ms - 3000) AS start_ms, timestamp_ms + 3000 AS end_ms, score FROM hits),
+@query(with_views(_HITS, """, w AS (SELECT query_id * 1000000 + video_id AS k, greatest(0, timestamp_ms - 3000) AS start_ms, timestamp_ms + 3000 AS end_ms, score FROM hits),
   i AS (SELECT *, sum(CASE WHEN prior IS NULL OR start_ms > prior THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS island FROM
   (SELECT *, max(end_ms) OVER (PARTITION BY k ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM w))
   SELECT k, min(start_ms) AS start_ms, max(end_ms) AS end_ms, round(max(score) + 0.05::DOUBLE * least(count(*) - 1, 4), 6) AS score, count(*) AS windows FROM i GROUP BY k, island"""))
 def window_coalescing(spark: SparkSession, d: str) -> DataFrame:
-    w = hits(spark, d).select((F.col("query_id") * 1000 + F.col("video_id")).alias("k"), F.greatest(F.lit(0), F.col("timestamp_ms") - 3000).alias("start_ms"), (F.col("timestamp_ms") + 3000).alias("end_ms"), "score")
+    w = hits(spark, d).select((F.col("query_id") * 1000000 + F.col("video_id")).alias("k"), F.greatest(F.lit(0), F.col("timestamp_ms") - 3000).alias("start_ms"), (F.col("timestamp_ms") + 3000).alias("end_ms"), "score")
     return seq.coalesced(w, "k").drop("island")
 
 
-@query()
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1))"
+
+
+@query(with_views("segments", f""", q AS (SELECT video_id, {_TERMS.format("text")} AS asked FROM segments WHERE segment_index = 0),
+  b AS (SELECT s.video_id, segment_id, start_ms - 6000 AS a, end_ms + 6000 AS b, round((length(text) % 37) / 37.0::DOUBLE + 0.25::DOUBLE * len(list_intersect(asked, {_TERMS.format("text")})) / greatest(1, len(asked)), 9) AS score
+    FROM segments s JOIN q USING (video_id)),
+  o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, a, segment_id) AS i FROM b),""" + """
+  r(video_id, i, segment_id, score, kept, keep) AS (SELECT video_id, i, segment_id, score, [{'a': a, 'b': b}], true FROM o WHERE i = 1 UNION ALL
+    SELECT video_id, i, segment_id, score, CASE WHEN keep THEN list_append(kept, {'a': a, 'b': b}) ELSE kept END, keep FROM
+    (SELECT o.*, r.kept, len(list_filter(r.kept, lambda k: least(k.b, o.b) - greatest(k.a, o.a) > 0.6::DOUBLE * greatest(1, least(k.b - k.a, o.b - o.a)))) = 0 AS keep FROM r JOIN o ON o.video_id = r.video_id AND o.i = r.i + 1))
+  SELECT video_id, segment_id, score, keep FROM r""").replace("WITH ", "WITH RECURSIVE ", 1))
 def window_suppression(spark: SparkSession, d: str) -> DataFrame:
-    h = hits(spark, d).select(F.concat_ws(":", "query_id", "video_id").alias("key"), "frame_id", "rank", "timestamp_ms")
-    f = lambda p: seq.interval_nms(p["timestamp_ms"].to_numpy() - 3000, p["timestamp_ms"].to_numpy() + 3000, 0.6)
-    return seq.fold(h, "key", ["rank"], "kept", "boolean", f)
+    """Windows around a conversation's turns by score and by what they share with its first turn, the question; those that
+    overlap a better one by over 0.6 of the shorter go."""
+    s = views.segments(spark, d)
+    asked = s.where("segment_index = 0").select("video_id", F.col("text").alias("asked"))
+    score = (F.length("text") % 37) / 37.0 + 0.25 * text.token_overlap(F.col("asked"), F.col("text"))
+    w = s.join(asked, "video_id").select(
+        "video_id", "segment_id", (F.col("start_ms") - 6000).alias("a"), (F.col("end_ms") + 6000).alias("b"), F.round(score, 9).alias("score")
+    )
+    w = w.withColumn("less", -F.col("score"))
+    f = lambda p: seq.interval_nms(p["a"].to_numpy(), p["b"].to_numpy(), 0.6)
+    return seq.fold(w, "video_id", ["less", "a", "segment_id"], "keep", "boolean", f).select("video_id", "segment_id", "score", "keep")
 
 
 @query(with_views("timeline", """, c AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM timeline)
@@ -197,11 +307,21 @@ def interval_violations(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("video_id").agg(n(F.col("start_ms") < F.col("prior")).alias("overlaps"), n(F.col("end_ms") <= F.col("start_ms")).alias("empty"))
 
 
-@query()
+@query(with_views("timeline", """, s AS (SELECT video_id, frame_idx, frame_idx // 3 AS j, motion_score AS m FROM timeline WHERE frame_idx % 3 = 0),
+  w AS (SELECT video_id, frame_idx, avg(m * (1 + 0.01::DOUBLE * (j - 4 * k))) AS v FROM (SELECT *, unnest([j // 4, j // 4 - 1]) AS k FROM s) WHERE k >= 0 GROUP BY ALL),
+  f AS (SELECT t.video_id, t.frame_id, t.frame_idx AS i, w.v, CASE WHEN w.v IS NOT NULL THEN t.frame_idx END AS seen FROM timeline t LEFT JOIN w USING (video_id, frame_idx)),
+  n AS (SELECT *, last_value(v IGNORE NULLS) OVER p AS a, last_value(seen IGNORE NULLS) OVER p AS ia, first_value(v IGNORE NULLS) OVER c AS b, first_value(seen IGNORE NULLS) OVER c AS ib FROM f
+    WINDOW p AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), c AS (PARTITION BY video_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+  SELECT video_id, frame_id, round(CASE WHEN a IS NULL THEN b WHEN b IS NULL OR ia = ib THEN a ELSE a + (b - a) * (i - ia) / (ib - ia) END, 6) AS filled FROM n"""))
 def score_interpolation(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of every third frame averaged and spread linearly over the others."""
-    t = views.timeline(spark, d).select("video_id", "frame_id", "timestamp_ms", F.when(F.col("frame_idx") % 3 == 0, F.col("motion_score")).alias("value"))
-    return seq.fold(t, "video_id", ["timestamp_ms", "frame_id"], "filled", "double", lambda p: np.round(seq.interpolated(p["value"].to_numpy(float)), 6))
+    """Every third frame is scored in windows of eight, four apart; scores are averaged, and spread linearly over the
+    frames between."""
+    t = views.timeline(spark, d).select("video_id", "frame_id", "frame_idx", "motion_score")
+    s = t.where("frame_idx % 3 = 0").withColumn("j", F.expr("frame_idx div 3"))
+    s = s.withColumn("k", F.explode(F.array(F.expr("j div 4"), F.expr("j div 4") - 1))).where("k >= 0")
+    scored = s.groupBy("video_id", "frame_idx").agg(F.avg(F.col("motion_score") * (1 + 0.01 * (F.col("j") - 4 * F.col("k")))).alias("v"))
+    rows = t.join(scored, ["video_id", "frame_idx"], "left")
+    return rows.select("video_id", "frame_id", F.round(seq.interpolated("v", "frame_idx", "video_id"), 6).alias("filled"))
 
 
 @query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM hits GROUP BY ALL),
@@ -218,25 +338,15 @@ def scene_representatives(spark: SparkSession, d: str) -> DataFrame:
     return fusion.first_per(best, ["frame_id"], [F.col("query_id"), F.col("scene")])
 
 
-@query(with_views("timeline", " SELECT a.frame_id, b.frame_id AS other_id FROM timeline a JOIN timeline b ON a.video_id = b.video_id AND b.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx + 2 WHERE a.frame_id % 25 = 0"))
+@query(with_views("timeline", " SELECT a.frame_id, b.frame_id AS other_id FROM timeline a JOIN timeline b ON a.video_id = b.video_id AND b.frame_idx BETWEEN a.frame_idx - 2 AND a.frame_idx + 2"))
 def window_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Two neighbours on either side, by place."""
     t = views.timeline(spark, d).select("video_id", "frame_id", "frame_idx")
-    a = t.where("frame_id % 25 = 0").withColumn("at", F.explode(F.sequence(F.col("frame_idx") - 2, F.col("frame_idx") + 2))).select("video_id", "frame_id", F.col("at").alias("frame_idx"))
+    around = F.explode(F.sequence(F.col("frame_idx") - 2, F.col("frame_idx") + 2))
+    a = t.withColumn("at", around).select("video_id", "frame_id", F.col("at").alias("frame_idx"))
     return a.join(t.withColumnRenamed("frame_id", "other_id"), ["video_id", "frame_idx"]).select("frame_id", "other_id")
 
 
-@query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, round(avg(score), 9) AS score, min(timestamp_ms) AS start_ms, count(*) AS n FROM hits GROUP BY ALL),
-  t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, n DESC, start_ms, scene) <= 3)
-  SELECT query_id, video_id, scene, score, n FROM t QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n DESC, start_ms, video_id, scene) <= 100"""))
-def scene_order(spark: SparkSession, d: str) -> DataFrame:
-    """Three scenes of a video, then a hundred over all."""
-    s = hits(spark, d).groupBy("query_id", "video_id", F.expr("timestamp_ms div 20000").alias("scene")).agg(F.round(F.avg("score"), 9).alias("score"), F.min("timestamp_ms").alias("start_ms"), F.count("*").alias("n"))
-    order = [F.desc("score"), F.desc("n"), F.col("start_ms")]
-    t = fusion.top_per(s, ["query_id", "video_id"], [*order, F.col("scene")], 3, "_a")
-    return fusion.top_per(t, ["query_id"], [*order, F.col("video_id"), F.col("scene")], 100, "_b").select("query_id", "video_id", "scene", "score", "n")
-
-
 @query(with_views(_HITS, " SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN -(frame_id % 13) ELSE 0 END, rank)::INTEGER AS place FROM hits"))
 def rerank_top(spark: SparkSession, d: str) -> DataFrame:
     """The best ten by a second score, the tail as it was."""
@@ -268,27 +378,48 @@ def corpus_order(spark: SparkSession, d: str) -> DataFrame:
     return out.repartitionByRange("position").sortWithinPartitions("position")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+  r(conv_id, turn, i, total, chunk) AS (SELECT conv_id, turn, i, n, 0::BIGINT FROM o WHERE i = 1 UNION ALL
+    SELECT o.conv_id, o.turn, o.i, CASE WHEN r.total > 0 AND r.total + o.n > 900 THEN o.n ELSE r.total + o.n END, r.chunk + (r.total > 0 AND r.total + o.n > 900)::BIGINT
+    FROM r JOIN o ON o.conv_id = r.conv_id AND o.i = r.i + 1) SELECT conv_id, turn, chunk FROM r""")
 def size_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of a source in order, in chunks of at most 100,000 characters."""
-    rows = views.read(spark, d, "documents").select("source", "doc_id", "n_chars")
-    return seq.fold(rows, "source", ["doc_id"], "chunk", "long", lambda p: seq.next_fit(p["n_chars"].to_numpy(), 100_000))
-
-
-@query()
+    """Turns of a conversation in order, in chunks of at most 900 characters."""
+    rows = views.read(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return seq.fold(rows, "conv_id", ["turn"], "chunk", "long", lambda p: seq.next_fit(p["n"].to_numpy(), 900)).select("conv_id", "turn", "chunk")
+
+
+@query("""WITH RECURSIVE s AS (SELECT conv_id, turn, unnest([0, 1, 2]) AS source, unnest([role, split_part(text, '.', 1), text]) AS v FROM conversations),
+  o AS (SELECT conv_id, turn, source, trim(regexp_replace(v, '\\s+', ' ', 'g')) AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn, source) AS i FROM s),
+  k AS (SELECT *, length(v) AS n, source || ':' || lower(v) AS k FROM o),
+  r(conv_id, turn, source, i, room, seen, used) AS (SELECT conv_id, turn, source, i, CASE WHEN n BETWEEN 1 AND 600 THEN 600 - n ELSE 600 END, CASE WHEN n BETWEEN 1 AND 600 THEN [k] ELSE []::VARCHAR[] END, n BETWEEN 1 AND 600 FROM k WHERE i = 1 UNION ALL
+    SELECT conv_id, turn, source, i, CASE WHEN fits THEN room - n ELSE room END, CASE WHEN fits THEN list_append(seen, k) ELSE seen END, fits FROM
+    (SELECT k.*, r.room, r.seen, k.n BETWEEN 1 AND r.room AND NOT list_contains(r.seen, k.k) AND len(r.seen) < 8 AS fits FROM r JOIN k ON k.conv_id = r.conv_id AND k.i = r.i + 1))
+  SELECT conv_id, turn, source, used FROM r""")
 def evidence_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Turns of a conversation in order while they fit in 600 characters; one that does not is passed over."""
-    rows = views.read(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("len"))
-    return seq.fold(rows, "conv_id", ["turn"], "used", "boolean", lambda p: seq.within_budget(p["len"].to_numpy(), 600))
+    """Evidence of a conversation by turn and source (speaker, first sentence, text): what is new and fits in 600
+    characters, eight pieces at most; what does not is passed over."""
+    pieces = F.posexplode(F.array("role", F.substring_index("text", ".", 1), "text")).alias("source", "v")
+    rows = views.read(spark, d, "conversations").select("conv_id", "turn", pieces).withColumn("v", text.collapse(F.col("v")))
+    rows = rows.select("conv_id", "turn", "source", F.length("v").alias("n"), F.concat_ws(":", F.col("source").cast("string"), F.lower("v")).alias("k"))
+    f = lambda p: seq.within_budget(p["n"].to_numpy(), p["k"].tolist(), 600, 8)
+    return seq.fold(rows, "conv_id", ["turn", "source"], "used", "boolean", f).select("conv_id", "turn", "source", "used")
 
 
-@query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM hits WHERE query_id < 5 GROUP BY ALL)
-  SELECT s.query_id, s.video_id, s.scene, count(*) AS frames FROM s JOIN frames f ON f.video_id = s.video_id AND f.timestamp_ms BETWEEN s.a AND s.b GROUP BY ALL"""))
+@query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, min(timestamp_ms) AS a, max(timestamp_ms) AS b FROM hits GROUP BY ALL),
+  f AS (SELECT s.query_id, s.video_id, s.scene, f.frame_id, row_number() OVER (PARTITION BY s.query_id, s.video_id, s.scene ORDER BY f.timestamp_ms, f.frame_idx, f.frame_id) - 1 AS i, count(*) OVER (PARTITION BY s.query_id, s.video_id, s.scene) AS n
+    FROM s JOIN frames f ON f.video_id = s.video_id AND f.timestamp_ms BETWEEN s.a AND s.b)
+  SELECT DISTINCT query_id, video_id, scene, frame_id FROM f, generate_series(0, 3) g(k) WHERE n <= 4 OR i = round_even(k * (n - 1) / 3.0::DOUBLE, 0)"""))
 def scene_bundles(spark: SparkSession, d: str) -> DataFrame:
-    """All frames within each scene's span, by time bins of the scene's length."""
-    s = hits(spark, d).where("query_id < 5").groupBy("query_id", "video_id", F.expr("timestamp_ms div 20000").alias("scene")).agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b"))
-    f = views.frames(spark, d).select("video_id", "timestamp_ms", F.expr("timestamp_ms div 20000").alias("scene"))
-    return s.join(f, ["video_id", "scene"]).where("timestamp_ms between a and b").groupBy("query_id", "video_id", "scene").agg(F.count("*").alias("frames"))
+    """The frames within each scene's span, by time bins of the scene's length; of more than four, four at even places."""
+    keys = ["query_id", "video_id", "scene"]
+    s = hits(spark, d).groupBy("query_id", "video_id", F.expr("timestamp_ms div 20000").alias("scene"))
+    s = s.agg(F.min("timestamp_ms").alias("a"), F.max("timestamp_ms").alias("b"))
+    f = views.frames(spark, d).select("video_id", "frame_id", "frame_idx", "timestamp_ms", F.expr("timestamp_ms div 20000").alias("scene"))
+    own = W.partitionBy(*keys)
+    rows = s.join(f, ["video_id", "scene"]).where("timestamp_ms between a and b")
+    rows = rows.withColumns({"i": F.row_number().over(own.orderBy("timestamp_ms", "frame_idx", "frame_id")) - 1, "n": F.count("*").over(own)})
+    places = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.bround(k * (F.col("n") - 1) / 3.0).cast("int"))
+    return rows.where((F.col("n") <= 4) | F.array_contains(places, F.col("i"))).select(*keys, "frame_id")
 
 
 @query(with_views("frames queries", """, hits AS (SELECT q.query_id, f.*, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries q, frames f),
@@ -302,7 +433,7 @@ def scene_bundles(spark: SparkSession, d: str) -> DataFrame:
 def kis_search(spark: SparkSession, d: str) -> DataFrame:
     """Known-item search end to end: vector hits and a second source, fused; frames grouped into scenes; scenes scored by
     meaning and compactness; the best frame stands for its scene."""
-    v = hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", "score", "rank")
+    v = shared.written(hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", "score", "rank"), "hits")
     early = v.where("rank <= 20").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("timestamp_ms", "frame_id")))
     fused = fusion.reciprocal_rank(fusion.union_sources({"visual": v, "early": early}), {"visual": 1.0, "early": 0.5})
     scenes = seq.gap_sessions(v.drop("score", "rank"), ["query_id", "video_id"], "timestamp_ms", 5000, "frame_id")

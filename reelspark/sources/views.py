@@ -14,22 +14,28 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Canonical frames with their vectors: a vector is a frame of the video its label names."""
-    place = F.row_number().over(W.partitionBy("label").orderBy("vec_id"))
-    rows = read(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("frame_id"),
-        F.col("label").cast("long").alias("video_id"),
-        (place - 1).cast("long").alias("frame_idx"),
-        "embedding",
-    )
+    """Canonical frames with their vectors: vectors of one label among 200 neighbours by id are a video, whose number ends
+    in the label."""
+    video = (F.expr("vec_id div 200") * 10 + F.col("label")).cast("long")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), video.alias("video_id"), "embedding")
+    place = F.row_number().over(W.partitionBy("video_id").orderBy("frame_id"))
+    rows = rows.withColumn("frame_idx", (place - 1).cast("long")).select("frame_id", "video_id", "frame_idx", "embedding")
     return rows.withColumn("timestamp_ms", F.col("frame_idx") * 2000).withColumn("keyframe_order", F.col("frame_idx") + 1)
 
 
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, frame_id): the other frames of a query's own label."""
+    asked = queries(spark, sf_dir).select("query_id")
+    labels = read(spark, sf_dir, "embeddings").select("vec_id", "label")
+    own = asked.join(labels, asked["query_id"] == labels["vec_id"]).select("query_id", "label")
+    return own.join(labels, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("frame_id"))
+
+
 def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of a dense timeline: every event is a frame of one of a hundred ten-minute videos."""
+    """Frames of a dense timeline: every event is a frame of its user's ten-minute video."""
     rows = read(spark, sf_dir, "events").select(
         F.col("event_id").alias("frame_id"),
-        (F.col("user_id") % 100).alias("video_id"),
+        F.col("user_id").alias("video_id"),
         (F.col("event_id") * 37 % 600000).alias("timestamp_ms"),
         F.col("value").alias("motion_score"),
         "event_type",
@@ -97,17 +103,26 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return base, captions, ocr, objects
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """Query vectors: the first ``n`` vectors by id."""
-    return read(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Query vectors: every vector whose id is divisible by 20."""
+    rows = read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries as tasks of three ordered events (or hints): query_id, query, task, event."""
+    return queries(spark, sf_dir).withColumns({"task": F.expr("query_id div 60"), "event": F.expr("cast(query_id div 20 % 3 as int)")})
 
 
 #: The same views as SQL.
 SQL = {
-    "frames": """frames AS (SELECT vec_id AS frame_id, label::BIGINT AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx,
-  2000 * (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) AS timestamp_ms, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS keyframe_order, embedding FROM embeddings)""",
+    "frames": """frames AS (SELECT frame_id, video_id, row_number() OVER w - 1 AS frame_idx, 2000 * (row_number() OVER w - 1) AS timestamp_ms,
+  row_number() OVER w AS keyframe_order, embedding FROM (SELECT vec_id AS frame_id, (vec_id // 200 * 10 + label)::BIGINT AS video_id, embedding FROM embeddings)
+  WINDOW w AS (PARTITION BY video_id ORDER BY frame_id))""",
+    "gold": """gold AS (SELECT q.query_id, x.vec_id AS frame_id FROM queries q JOIN embeddings o ON o.vec_id = q.query_id
+  JOIN embeddings x ON x.label = o.label AND x.vec_id <> o.vec_id)""",
     "timeline": """timeline AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY timestamp_ms, frame_id) - 1 AS frame_idx FROM
-  (SELECT event_id AS frame_id, user_id % 100 AS video_id, event_id * 37 % 600000 AS timestamp_ms, value AS motion_score, event_type FROM events))""",
+  (SELECT event_id AS frame_id, user_id AS video_id, event_id * 37 % 600000 AS timestamp_ms, value AS motion_score, event_type FROM events))""",
     "segments": """segments AS (SELECT conv_id AS video_id, turn AS segment_index, conv_id || '_' || turn AS segment_id,
   (sum(length(text) * 60) OVER w - length(text) * 60)::BIGINT AS start_ms, (sum(length(text) * 60) OVER w)::BIGINT AS end_ms, text, role,
   CASE WHEN turn % 7 = 6 THEN 'failed' ELSE 'completed' END AS status FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""",
@@ -120,7 +135,10 @@ SQL = {
 captions AS (SELECT doc_id AS frame_id, 'caption quality ' || quality AS caption_text, CASE WHEN toxic = 1 THEN 'failed' ELSE 'completed' END AS status FROM labels),
 ocr AS (SELECT page_id AS frame_id, left(url, 40) AS ocr_text, (page_id % 10) / 10.0::DOUBLE AS quality FROM pages),
 objects AS (SELECT item_id * 3 AS frame_id, left(text, 20) AS object_summary, item_id % 5 AS object_count FROM benchmark)""",
-    "queries": "queries AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 20)",
+    "queries": "queries AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0)",
+    "tasks": "tasks AS (SELECT query_id, query, query_id // 60 AS task, (query_id // 20 % 3)::INTEGER AS event FROM queries)",
+    "scored": """scored AS (SELECT q.query_id, q.task, q.event, f.frame_id, f.video_id, f.timestamp_ms,
+  round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM tasks q, frames f)""",
     "hits": """hits AS (SELECT query_id, frame_id, video_id, frame_idx, timestamp_ms, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM
   (SELECT q.query_id, f.frame_id, f.video_id, f.frame_idx, f.timestamp_ms, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries q, frames f)
   QUALIFY rank <= 50)""",

@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from reelspark.operators import fusion, joins, ports, vector
+from reelspark.functions import text
+from reelspark.operators import evidence, fusion, joins, ports, vector
 from reelspark.operators import sequences as seq
 from reelspark.sources import bundles
 from reelspark.streaming import sessions
@@ -28,27 +30,88 @@ def test_shortlist_counts_coverage_before_votes(spark):
     assert [r.video_id for r in fusion.video_shortlist(hits, "event", k=1, top=2).orderBy("place").collect()] == ["v3", "v2"]
 
 
-def test_alignment():
-    s = np.array([[0.1, 0.9, 0.2, 0.2], [0.0, 0.8, 0.5, 0.3]])
-    t = np.array([0, 1000, 2000, 3000])
-    got = seq.align(s, t, 0.0, 2)
-    assert [p for _, p in got] == [[1, 2], [1, 3]] and abs(got[0][0] - 1.4) < 1e-9
-    s = np.array([[0.5, 0, 0, 0], [0, 0.4, 0, 0.45]])
-    assert seq.align(s, t, 0.0, 1)[0][1] == [0, 3]
-    assert seq.align(s, t, 1e-4, 1)[0][1] == [0, 1]
-    assert seq.align(np.ones((2, 1)), t[:1], 0.0, 1) == []
-    assert seq.align(np.ones((2, 4)), t, 0.0, 1, np.array([0, 0, 0, 0])) == []
-    assert seq.align(np.array([[1.0, 0, 0, 0], [0, 1, 0.5, 0]]), t, 0.0, 1, np.array([0, 0, 1, 1]))[0][1] == [0, 2]
+def _aligned(spark, scores, times, penalty=0.0, paths=1, **more):
+    rows = [("v", e, f, t, float(row[f])) for e, row in enumerate(scores) for f, t in enumerate(times)]
+    scored = spark.createDataFrame(rows, "video_id string, event int, frame_id long, timestamp_ms long, score double")
+    out = seq.align_events(scored, ["video_id"], len(scores), penalty, paths, **more).orderBy("path_no").collect()
+    return [(r.frame_ids, r.score) for r in out]
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_alignment_is_the_best_choice(seed):
+def test_alignment(spark):
+    t = [0, 1000, 2000, 3000]
+    (best, score), (second, _) = _aligned(spark, [[0.1, 0.9, 0.2, 0.2], [0.0, 0.8, 0.5, 0.3]], t, 0.0, 2)
+    assert best == [1, 2] and second == [1, 3] and abs(score - 1.4) < 1e-9
+    s = [[0.5, 0, 0, 0], [0, 0.4, 0, 0.45]]
+    assert _aligned(spark, s, t)[0][0] == [0, 3]
+    assert _aligned(spark, s, t, 1e-4)[0][0] == [0, 1]
+    assert _aligned(spark, [[0.5], [0.4]], t[:1]) == []
+    assert _aligned(spark, [[1.0, 1.0, 1.0, 1.0]] * 2, t, delta=0.5) == []
+    assert _aligned(spark, [[1.0, 0.9, 0.0, 0.0], [0.0, 0.1, 0.9, 0.8]], t, delta=0.3)[0][0] == [0, 2]
+    assert _aligned(spark, [[0.81, 0.0], [0.0, 0.25]], t[:2], power=0.5)[0] == ([0, 1], 0.9 + 0.5)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_alignment_is_the_best_choice(spark, seed):
     from itertools import combinations
 
     rng = np.random.default_rng(seed)
-    s, t = rng.random((3, 7)), np.cumsum(rng.integers(1, 2000, 7))
+    s, t = rng.random((3, 7)), np.cumsum(rng.integers(1, 2000, 7)).tolist()
     best = max(sum(s[e, f] for e, f in enumerate(c)) - 1e-4 * (t[c[-1]] - t[c[0]]) for c in combinations(range(7), 3))
-    assert abs(seq.align(s, t, 1e-4, 1)[0][0] - best) < 1e-9
+    assert abs(_aligned(spark, s.tolist(), t, 1e-4)[0][1] - best) < 1e-9
+
+
+def test_one_path_of_a_video_before_its_second(spark):
+    rows = [(0, v, n, s) for v, n, s in (("a", 1, 0.9), ("a", 2, 0.8), ("a", 3, 0.7), ("b", 1, 0.5), ("b", 2, 0.4))]
+    paths = spark.createDataFrame(rows, "task int, video_id string, path_no int, score double")
+    short = spark.createDataFrame([(0, "a"), (0, "b")], "task int, video_id string")
+    got = seq.diversified(paths, short, "task", 3).orderBy("place").collect()
+    assert [(r.video_id, r.path_no) for r in got] == [("a", 1), ("b", 1), ("a", 2)]
+
+
+def test_early_diversity(spark):
+    videos = {"a1": "a", "a2": "a", "a3": "a", "a4": "a", "b1": "b", "c1": "c"}
+    rows = [(0, v, f, i + 1) for i, (f, v) in enumerate(videos.items())]
+    ranked = spark.createDataFrame(rows, "query_id int, video_id string, frame_id string, rank int")
+    places = lambda depth, most: [r.frame_id for r in seq.early_diversity(ranked, "query_id", depth, most).orderBy("place").collect()]
+    assert places(5, 2) == ["a1", "a2", "b1", "c1", "a3", "a4"]
+    assert places(1, 2) == ["a1", "a2", "a3", "a4", "b1", "c1"]
+
+
+def test_weights_are_measured(spark):
+    ranked = spark.createDataFrame([(0, "visual", "visual", 1), (0, "ocr", "gold", 1)], "query_id int, source string, frame_id string, rank int")
+    gold = spark.createDataFrame([(0, "gold")], "query_id int, frame_id string")
+    got = fusion.calibrated(ranked, gold, [{"visual": 1.0, "ocr": 0.0}, {"visual": 0.0, "ocr": 1.0}]).orderBy("place").collect()
+    assert got[0].weights == {"visual": 0.0, "ocr": 1.0} and got[0].score == 1.0
+    assert got[1].score == 0.8
+
+
+def test_ungrounded_answers_take_no_part(spark):
+    columns = "q int, answer_key string, grounded boolean, video_score double, frame_score double, localization double, coverage double, confidence double, video_id string, start_ms int, frame_id string"
+    rows = [(0, "2", False, 0.1, 0.1, 0.1, 0.1, 1.0, "v", 0, "f0"), (0, "2", True, 0.1, 0.1, 0.1, 0.1, 0.1, "v", 0, "f1"), (0, "", True, 1.0, 1.0, 1.0, 1.0, 1.0, "v", 0, "f2")]
+    got = evidence.answer_ranking(spark.createDataFrame(rows, columns), "q").collect()
+    assert [(r.frame_id, r.joint_score, r.consistency) for r in got] == [("f1", 1.0, 1.0)]
+    rows = [(0, a, True, v, 0.0, 0.0, 0.0, 0.5, "v", i, f"f{i}") for i, (a, v) in enumerate([("2", 0.0), ("2", 1.0), ("3", 1.0)])]
+    got = evidence.answer_ranking(spark.createDataFrame(rows, columns), "q").orderBy("place").collect()
+    # video 0, 1, 1; consistency 2/3, 2/3, 1/3 scaled to 1, 1, 0; the other three terms are constant
+    assert [(r.frame_id, r.joint_score) for r in got] == [("f1", 1.0), ("f0", 0.8), ("f2", 0.8)]
+
+
+def test_relations_need_explicit_language(spark):
+    said = {"nồi nâu": None, "sau đó B": "BEFORE", "cuối cùng X": "AT_END", "đồng thời B": "OVERLAP", "B trước đó là A": None, "sau khi A, B": None, "ngay trước B": None}
+    rows = spark.createDataFrame([(t, p) for t in said for p in (True, False)], "t string, p boolean")
+    got = {(r.t, r.p): r.r for r in rows.select("t", "p", text.temporal_relation(F.col("t"), F.col("p")).alias("r")).collect()}
+    assert {t: got[t, True] for t in said} == said
+    assert {t: got[t, False] for t in said} == {t: r if r == "AT_END" else None for t, r in said.items()}
+
+
+def test_questions_and_answers(spark):
+    asked = {"How many dogs?": "COUNT", "Áo màu gì?": "COLOR", "What does it say?": "TEXT", "Anh ấy nói gì?": "SPEECH", "What happens after?": "TEMPORAL", "Who is it?": "IDENTITY", "Ok": "GENERAL"}
+    rows = spark.createDataFrame([(q,) for q in asked], "q string").select("q", text.question_kind(F.col("q")).alias("k"), text.question_language(F.col("q")).alias("l")).collect()
+    assert {r.q: r.k for r in rows} == asked
+    assert {r.q for r in rows if r.l == "vi"} == {"Áo màu gì?", "Anh ấy nói gì?"}
+    given = [("Two!", "COUNT", "2"), ("2", "COUNT", "2"), ("mười", "COUNT", "10"), ("two dogs", "COUNT", "two dogs"), ("Two", "COLOR", "two"), ("  Xanh lá! ", "COLOR", "xanh lá"), ("Đỏ", "COLOR", "đỏ")]
+    rows = spark.createDataFrame(given, "a string, k string, want string").select("want", text.answer_key(F.col("a"), F.col("k")).alias("got")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows]
 
 
 def test_clusters():
@@ -63,11 +126,49 @@ def test_suppression():
 
 def test_folds():
     assert seq.next_fit(np.array([5, 5, 1, 20, 3]), 10).tolist() == [0, 0, 1, 2, 3]
-    assert seq.within_budget(np.array([5, 9, 4, 1]), 10).tolist() == [True, False, True, True]
-    assert seq.interpolated(np.array([np.nan, 1, np.nan, 3, np.nan])).tolist() == [1, 1, 2, 3, 3]
-    assert seq.repair_gaps(np.array([0, 10, 20, 30]), np.array([True, False, False, True]), 20).tolist() == [True, False, True, True]
-    assert seq.thin_bursts(np.array([0, 100, 200, 300, 900]), np.array([False, False, True, False, False]), 200, 200).tolist() == [True, False, True, False, False]
-    assert seq.coverage_anchors(np.array([0, 5, 10, 30]), np.array([0.0, 1.0, 0.0, 0.0]), 20, 5).tolist() == [True, True, False, True]
+    assert seq.within_budget(np.array([5, 9, 4, 1]), list("abcd"), 10, 9).tolist() == [True, False, True, True]
+    assert seq.within_budget(np.array([5, 5, 0, 1, 1]), list("aabcd"), 10, 2).tolist() == [True, False, False, True, False]
+
+
+def test_gap_repair():
+    mask = lambda n, *at: np.isin(np.arange(n), at)
+    t = np.array([0, 10, 20, 30])
+    assert seq.repaired(t, mask(4, 0, 3), 20).tolist() == [1, 0, 1, 1]
+    assert seq.repaired(t, mask(4, 3), 20).tolist() == [1, 0, 1, 1]  # the first is kept, too
+    assert seq.repaired(t, mask(4, 1), 20).tolist() == [1, 1, 0, 0]  # nothing after the last given one
+    assert seq.repaired(t, mask(4), 20).tolist() == [0, 0, 0, 0]
+    assert seq.repaired(np.array([0, 50, 60]), mask(3, 2), 20).tolist() == [1, 0, 2]
+
+
+def test_thinning():
+    t = np.array([0, 100, 200, 300, 900])
+    assert seq.thinned(t, np.arange(5) == 2, 200, 200).tolist() == [True, False, True, False, False]
+    assert seq.thinned(t, np.arange(5) == 1, 200, 150).tolist() == [True, True, False, True, False]
+
+
+def test_coverage_anchors():
+    t, still, none = np.array([0, 5, 10, 30]), np.zeros(4), np.zeros(4, bool)
+    assert seq.coverage_anchors(t, still, none, 1.0, 20, 5).tolist() == [False, False, True, False]
+    assert seq.coverage_anchors(t, still, np.arange(4) == 2, 1.0, 21, 5).tolist() == [False, False, False, False]
+    assert seq.coverage_anchors(t, np.ones(4), none, 2.0, 14, 6).tolist() == [False, True, True, False]
+    assert seq.coverage_anchors(np.array([0, 30, 60]), np.zeros(3), np.zeros(3, bool), 1.0, 20, 5).tolist() == [False, True, True]
+
+
+def test_dedup_against_the_last_kept_row():
+    n = 5
+    same = dict(shots=np.zeros(n), motion=np.zeros(n), vectors=np.ones((n, 2)), text=np.zeros(n, bool), within=10, still=0.5, likeness=0.9)
+    none = np.zeros(n, bool)
+    t = np.array([0, 5, 9, 12, 30])
+    assert seq.dedup_against_kept(t, protected=none, **same).tolist() == [True, False, False, True, True]
+    assert seq.dedup_against_kept(t, protected=np.arange(n) == 1, **same).tolist() == [True, True, False, False, True]
+    same["text"] = np.arange(n) == 2
+    assert seq.dedup_against_kept(t, protected=none, **same).tolist() == [True, False, True, True, True]
+
+
+def test_interpolation(spark):
+    rows = [("v", i, x) for i, x in enumerate([None, 1.0, None, 3.0, None])] + [("w", 0, None)]
+    out = spark.createDataFrame(rows, "k string, i int, x double").select("k", "i", seq.interpolated("x", "i", "k").alias("y"))
+    assert [r.y for r in out.orderBy("k", "i").collect()] == [1.0, 1.0, 2.0, 3.0, 3.0, None]
 
 
 def test_nearest_frame(spark):
@@ -127,3 +228,23 @@ def test_more_queries_than_are_shipped(spark):
     want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :3]
     assert got.frame_id.to_numpy().reshape(-1, 3).tolist() == want.tolist()
     assert (got.video_id == got.frame_id % 7).all() and got["rank"].tolist() == [1, 2, 3] * len(q)
+
+
+def test_best_rows_of_many_batches(spark):
+    rng = np.random.default_rng(4)
+    q, x = rng.integers(-2, 3, (30, 3)).astype(float), rng.integers(-2, 3, (2000, 3)).astype(float)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(q.tolist())], "query_id long, query array<double>")
+    corpus = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "frame_id long, embedding array<double>").repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = vector.knn_join(queries, corpus, 5).toPandas().sort_values(["query_id", "rank"])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :5]
+    assert got.frame_id.to_numpy().reshape(-1, 5).tolist() == want.tolist()
+
+
+def test_every_pair(spark):
+    a, b = spark.range(5).toDF("x"), spark.range(7).toDF("y")
+    assert sorted((r.x, r.y) for r in joins.every_pair(a, b).collect()) == [(x, y) for x in range(5) for y in range(7)]
