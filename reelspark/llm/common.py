@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,37 @@ def table(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    for made in _open:
+        made.append(out)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove what ``table`` has written, once nothing is going to read it again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.written_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: The lists that tables are noted in as they are written.
+_open: list[list[DataFrame]] = []
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns, as a table; the tables written on the way to it are removed."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        rows = make()
+        on_the_way = list(made)
+        out = table(rows, name)
+    finally:
+        _open.remove(made)
+    drop(*on_the_way)
+    return out
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,7 +145,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        before = e
         e, now = _marked(small.where("u <> v").distinct(), "stars")
+        drop(before)
         if now == mark:
             break
         mark = now

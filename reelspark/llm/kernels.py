@@ -57,27 +57,34 @@ class Words:
         space = _SPACE[self.data]
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         self.starts, self.ends = edge[0::2], edge[1::2]
-        offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
-        #: Document i has the words bounds[i] to bounds[i+1].
-        self.bounds = np.searchsorted(self.starts, offsets)
+        #: Document i begins at offsets[i] in ``data`` and has the words bounds[i] to bounds[i+1].
+        self.offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+        self.bounds = np.searchsorted(self.starts, self.offsets)
         total = np.zeros(len(self.data) + 1, U64)
         np.cumsum(_TABLE[self.data] * powers(_R, len(self.data)), out=total[1:])
+        self._total: np.ndarray | None = None
         self.hashes = mix((total[self.ends] - total[self.starts]) * powers(_RINV, len(self.data))[self.starts])
 
+    def _sums(self) -> np.ndarray:
+        """Sums of the words' hashes, each times a power of its place, up to each place."""
+        if self._total is None:
+            self._total = np.zeros(len(self.hashes) + 1, U64)
+            np.cumsum(self.hashes * powers(_R, len(self.hashes)), out=self._total[1:])
+        return self._total
+
     def grams(self, k: int) -> np.ndarray:
         """The hash of the k words from each position on (also across documents; callers cut by ``bounds``)."""
-        total = np.zeros(len(self.hashes) + 1, U64)
-        np.cumsum(self.hashes * powers(_R, len(self.hashes)), out=total[1:])
-        n = max(0, len(self.hashes) - k + 1)
+        total, n = self._sums(), max(0, len(self.hashes) - k + 1)
         return mix((total[k : k + n] - total[:n]) * powers(_RINV, max(1, n))[:n], k)
 
+    def spans(self, a: np.ndarray, b: np.ndarray, seed: int = 77) -> np.ndarray:
+        """A hash of the words from each a up to b, and of their number."""
+        total = self._sums()
+        return mix((total[b] - total[a]) * powers(_RINV, len(self.hashes) + 1)[a] + (b - a).astype(U64), seed)
+
     def whole(self) -> np.ndarray:
         """A hash of each document's word sequence."""
-        total = np.zeros(len(self.hashes) + 1, U64)
-        np.cumsum(self.hashes * powers(_R, len(self.hashes)), out=total[1:])
-        a, b = self.bounds[:-1], self.bounds[1:]
-        scale = powers(_RINV, len(self.hashes) + 1)
-        return mix((total[b] - total[a]) * scale[a] + (b - a).astype(U64), 77)
+        return self.spans(self.bounds[:-1], self.bounds[1:])
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

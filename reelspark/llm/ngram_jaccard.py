@@ -2,30 +2,31 @@
 
 Every document is its set of word shingles.  Two sets link when their Jaccard similarity reaches a threshold, so their
 symmetric difference is at most a known share of their sizes.  Each shingle's hash is XORed into one word of a sketch
-and flips one bit of a short bit sketch; a shingle that only one set has changes at most one word and one bit, so the
-number of words (bits) that differ is a lower bound of the symmetric difference.
+and flips one bit of a bit sketch; a shingle that only one set has changes at most one word and one bit, so the number of
+words (bits) that differ is a lower bound of the symmetric difference.
 
 1. Sets fall into size bands.  A band fixes the number of sketch words, about half as many again as the largest
    difference allowed, so (pigeonhole) linked sets have more equal words than either may leave out.  Each set emits as
    many words as it may differ in, plus one, those that hold the most shingles first; two linked sets then share an
    emitted word.
-2. Emitted words are joined.  Of the sets under a word one is the leader, the one with the most shared words, and the
-   others are compared with it: pairs grow with the words, not with the square of a group of copies.
+2. Emitted words are counted, and those of more than one set joined.  Of the sets under a word one is the leader, the one
+   with the most shared words; each set is compared with the leader it shares most words with.
 3. Candidates whose sizes or bit sketches show too large a difference are dropped; the rest are verified on the sets.
-4. Links give components.  Where sets of different components remain under a word, each such pair is held against its
-   sizes and bit sketches, in tiles of bounded size, and what passes is verified too.  So every pair of sets under a word
-   is linked through others or has been compared.
+4. Links give components.  Where sets of different components remain under a word, each such pair of like sizes is held
+   against its bit sketches, in tiles of bounded size, and what passes is verified too.  So every pair of sets under a
+   word is linked through others or has been compared.
 
 Equal sets are one class from the start, and copies are never expanded into pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -33,10 +34,10 @@ from .kernels import U64, Words, chunks, lists, mix, signed, sliced, utf8
 
 #: Sizes of band i: from FIRST * RATIO**i on, below FIRST * RATIO**(i+1).
 FIRST, RATIO = 4, 4
-#: Bits of the sketch that candidates are held against.
+#: The least number of bits of the sketch that candidates are held against; larger sets have at least a bit a shingle.
 SKETCH_BITS = 1024
-#: Sets of one word that meet in a task, on either side.
-TILE = 1024
+#: Sets of one word that meet in a task, on either side; followers that meet a copy of their leader's set in a task.
+TILE, FOLLOWERS = 1024, 128
 
 
 def _difference(a: int, b: int, percent: int) -> int:
@@ -76,6 +77,15 @@ def _emitted(u: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def _bits(u: np.ndarray) -> np.ndarray:
+    """The bit sketch of a set: a power of two of bits, at least SKETCH_BITS and at least one a shingle.
+
+    The sketch of half the width is the XOR of its halves."""
+    width = max(SKETCH_BITS, 1 << max(0, len(u) - 1).bit_length())
+    parity = np.bincount((u % U64(width)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(parity).view(np.int64)
+
+
 def _sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """Each text's sorted set of shingle hashes."""
     for a, b in chunks(texts):
@@ -91,127 +101,170 @@ def _class(u: np.ndarray) -> tuple[int, int]:
     return tuple(int(mix(np.array([mix(u, s).sum(dtype=U64) ^ size]))[0]) for s in (21, 22))
 
 
-def sketches(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _classes_of(sets: list[np.ndarray], width: int) -> list[pa.Array]:
+    """Columns c and c2 of some sets, c of ``width`` bits."""
+    c = np.array([_class(u) for u in sets], U64).reshape(len(sets), 2)
+    c[:, 0] >>= U64(64 - width)
+    return [pa.array(signed(c[:, i])) for i in (0, 1)]
+
+
+def sketches(docs: DataFrame, k: int, percent: int, width: int = 64) -> DataFrame:
     """doc_id, n (set size), c and c2 (hashes of the set), keys (emitted sketch words), bits (the bit sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            n, c, c2, keys, bits = [], [], [], [], []
-            for u in _sets(utf8(batch.column("text")), k):
-                one, two = _class(u)
-                n.append(len(u))
-                c.append(one)
-                c2.append(two)
-                keys.append(signed(_emitted(u, percent)) if len(u) else np.zeros(0, np.int64))
-                parity = np.bincount((u % U64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS).astype(np.uint8) & 1
-                bits.append(np.packbits(parity).view(np.int64))
-            if n:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        pa.array(n, pa.int64()),
-                        pa.array(signed(np.array(c, U64))),
-                        pa.array(signed(np.array(c2, U64))),
-                        lists(keys, pa.int64()),
-                        lists(bits, pa.int64()),
-                    ],
-                    ["doc_id", "n", "c", "c2", "keys", "bits"],
-                )
+            sets = list(_sets(utf8(batch.column("text")), k))
+            if not sets:
+                continue
+            keys = [signed(_emitted(u, percent)) if len(u) else np.zeros(0, np.int64) for u in sets]
+            n = pa.array([len(u) for u in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), n, *_classes_of(sets, width), lists(keys, pa.int64()), lists([_bits(u) for u in sets], pa.int64())],
+                ["doc_id", "n", "c", "c2", "keys", "bits"],
+            )
 
     return docs.mapInArrow(run, "doc_id long, n long, c long, c2 long, keys array<long>, bits array<long>")
 
 
-def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """c and the set itself, of each document."""
+def shingle_sets(docs: DataFrame, k: int, width: int = 64) -> DataFrame:
+    """The other columns of ``docs`` (longs), c2 and c (hashes of the set), and the set itself, of each text."""
+    kept = [x for x in docs.columns if x != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             sets = list(_sets(utf8(batch.column("text")), k))
             if sets:
-                c = signed(np.array([_class(u)[0] for u in sets], U64))
-                yield pa.RecordBatch.from_arrays([pa.array(c), lists([signed(u) for u in sets], pa.int64())], ["c", "shingles"])
+                columns = [*(batch.column(x) for x in kept), *_classes_of(sets, width), lists([signed(u) for u in sets], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "c", "c2", "shingles"])
 
-    return docs.mapInArrow(run, "c long, shingles array<long>")
+    return docs.mapInArrow(run, ", ".join(f"{x} long" for x in [*kept, "c", "c2"]) + ", shingles array<long>")
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs of classes (c, l), those whose sets link; a written table."""
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"b_{x}"))
-    differ = F.aggregate(F.zip_with("b_c", "b_l", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    allowed = F.floor((100 - percent) * (F.col("n_c") + F.col("n_l")) / (100 + percent))
-    near = (
-        pairs.distinct()
-        .join(side("c"), "c")
-        .join(side("l"), "l")
-        .where((100 * F.least("n_c", "n_l") >= percent * F.greatest("n_c", "n_l")) & (differ <= allowed))
-        .select("c", "l", "n_c", "n_l")
+def _named(sets: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """Rows with (c, c2) under one name c for each pair: c itself unless it is in ``clashing``, the c of several c2."""
+    if clashing is None:
+        return sets.drop("c2")
+    both = sets.join(clashing.select(F.col("c").alias("_c")), F.col("c") == F.col("_c"), "left")
+    return both.withColumn("c", F.when(F.col("_c").isNull(), F.col("c")).otherwise(F.xxhash64("c", "c2"))).drop("_c", "c2")
+
+
+def _alike(a: str, b: str, percent: int) -> Column:
+    """Whether the sizes allow a link."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _links(sets: Callable[[DataFrame], DataFrame], classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame | None:
+    """Of the distinct pairs of classes (c, l), those whose sets link, as a written table (u, v); None if there are none.
+
+    ``sets`` gives the sets of wanted classes.  Pairs that the bit sketches allow are dealt by l, FOLLOWERS to a group, so
+    that a set is shuffled once for each pair and once for each group that it leads."""
+    side = lambda x: classes.select(*[F.col(y).alias(f"{y}_{x}") for y in ("c", "n", "bits", "rep")])
+    shorter = F.least(F.size("bits_c"), F.size("bits_l"))
+    folded = lambda b: F.when(
+        F.size(b) > shorter, F.zip_with(F.slice(b, F.lit(1), shorter), F.slice(b, shorter + 1, shorter), lambda x, y: x.bitwiseXOR(y))
+    ).otherwise(F.col(b))
+    differ = F.aggregate(
+        F.zip_with(folded("bits_c"), folded("bits_l"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
     )
+    allowed = F.floor((100 - percent) * (F.col("n_c") + F.col("n_l")) / (100 + percent))
+    near = pairs.join(side("c"), F.col("c") == F.col("c_c")).join(side("l"), F.col("l") == F.col("c_l"))
+    near = near.where(_alike("n_c", "n_l", percent)).where(differ <= allowed).select("c", "l", "rep_c", "rep_l")
     near = common.table(near, "near")
-    ids = near.select("c").union(near.select("l")).distinct().join(classes.select("c", "rep"), "c")
-    wanted = common.table(ids.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    sets = shingle_sets(common.pick(docs, wanted, "doc_id"), k)
-    both = near.join(sets, "c").join(sets.select(F.col("c").alias("l"), F.col("shingles").alias("other")), "l")
+    groups = near.groupBy("l", "rep_l").agg(F.ceil(F.count("*") / FOLLOWERS).alias("groups"))
+    groups = common.table(groups, "groups")
+    if groups.isEmpty():
+        return None
+    dealt = near.join(groups.select("l", "groups"), "l").withColumn("part", F.pmod(F.xxhash64("c"), "groups"))
+    follow = common.table(dealt.select(F.col("rep_c").alias("doc_id"), F.col("c").alias("own"), "l", "part"), "follow")
+    lead = groups.select(F.col("rep_l").alias("doc_id"), F.col("l").alias("own"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"))
+    lead = common.table(lead.select("doc_id", "own", F.col("part").cast("long").alias("part")), "lead")
+    other = sets(lead).select(F.col("own").alias("l"), "part", F.col("shingles").alias("other"))
+    both = sets(follow).join(other, ["l", "part"])
     same = F.size(F.array_intersect("shingles", "other"))
-    linked = both.where(100 * same >= percent * (F.col("n_c") + F.col("n_l") - same))
-    return common.table(linked.select(F.col("c").alias("u"), F.col("l").alias("v")), "links")
-
+    linked = both.where(100 * same >= percent * (F.size("shingles") + F.size("other") - same))
+    out = common.table(linked.select(F.col("own").alias("u"), F.col("l").alias("v")), "links")
+    common.drop(near, groups, follow, lead)
+    return out
 
-def _apart(rest: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (c, l) of classes under one key, of different roots, that sizes and bit sketches allow to link.
 
-    Keys of the same members are taken once.  A key of two gives its pair; the members of a larger one are dealt into
-    blocks of TILE, each two blocks meet in one task, and only what passes the sketches leaves it as rows."""
-    hashed = F.xxhash64("c")
-    keys = rest.groupBy("key").agg(
+def _apart(words: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (c, l) of classes under one key (key, c, n, root), of different roots, that sizes and bit sketches allow to
+    link; a written table.
+
+    Sizes are cut into steps of the least ratio of linked sets, so that a set meets its own step and the next.  Steps of
+    the same members are taken once.  A step of two gives its pair; the members of a larger one are dealt into blocks of
+    TILE, each two blocks meet in one task, and only what passes the sketches leaves it as rows."""
+    mixed = words.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    mixed = common.table(mixed, "mixed")
+    step = F.floor(F.log(F.col("n").cast("double")) / (1.000001 * math.log(100 / percent))).cast("int")
+    rows = words.join(mixed, "key").withColumn("own", step).withColumn("step", F.explode(F.array(F.col("own"), F.col("own") - 1)))
+    rows = common.table(rows.select("key", "step", (F.col("own") == F.col("step")).alias("low"), "c", "n", "root"), "steps")
+    hashed = F.xxhash64("c", "low")
+    steps = rows.groupBy("key", "step").agg(
         F.min("root").alias("lo"),
         F.max("root").alias("hi"),
+        F.max("low").alias("any"),
         F.count("*").alias("held"),
-        F.min("c").alias("c"),
-        F.max("c").alias("l"),
+        F.min(F.struct("c", "n")).alias("a"),
+        F.max(F.struct("c", "n")).alias("b"),
         F.bit_xor(hashed).alias("m1"),
         F.bit_xor(F.xxhash64(hashed)).alias("m2"),
     )
-    keys = keys.where("lo <> hi").groupBy("held", "m1", "m2").agg(F.min("key").alias("key"), F.min("c").alias("c"), F.max("l").alias("l"))
-    keys = common.table(keys.select("key", "held", "c", "l"), "mixed")
+    # two steps of the same members have the same pairs, whatever their keys
+    steps = steps.where("lo <> hi and any").groupBy("held", "m1", "m2").agg(F.min(F.struct("key", "step", "a", "b")).alias("s"))
+    steps = common.table(steps.select("held", "s.*"), "stepped")
+    two = steps.where("held = 2").select(F.col("a.c").alias("c"), F.col("b.c").alias("l"), F.col("a.n").alias("n_c"), F.col("b.n").alias("n_l"))
+    two = two.where(_alike("n_c", "n_l", percent)).select("c", "l")
     blocks = F.ceil(F.col("held") / TILE).cast("int")
-    rows = rest.join(keys.where("held > 2").select("key", blocks.alias("blocks")), "key").join(classes.select("c", "n", "bits"), "c")
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "c", "root", "n", "bits")
-    tiles = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "c")
-    return keys.where("held = 2").select("c", "l").union(tiles.mapInArrow(_tile_pairs(percent), "c long, l long"))
+    tiled = rows.join(steps.where("held > 2").select("key", "step", blocks.alias("blocks")), ["key", "step"])
+    tiled = tiled.join(classes.select("c", "bits"), "c").withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    tiled = tiled.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiled = tiled.select("key", "step", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "b", "low", "c", "root", "n", "bits")
+    tiles = tiled.repartition("key", "step", "i", "j").sortWithinPartitions("key", "step", "i", "j", "c")
+    out = common.table(two.union(tiles.mapInArrow(_tile_pairs(percent), "c long, l long")).distinct(), "apart")
+    common.drop(mixed, rows, steps)
+    return out
 
 
 def _tile_pairs(percent: int):
-    names = ("key", "i", "j", "b", "c", "root", "n")
+    names = ("key", "step", "i", "j", "b", "low", "c", "root", "n")
 
-    def pairs(t: dict[str, np.ndarray], p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-        i, j = t["i"][p], t["j"][p]
-        one, two = (p + np.flatnonzero(t["b"][p:q] == x) for x in (i, j))
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def close(t: dict[str, np.ndarray], one: np.ndarray, two: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of the rows ``one`` and ``two`` that roots, steps, sizes and sketches allow."""
         for at in range(0, len(one), 64):
             a = one[at : at + 64]
             na, nb = t["n"][a][:, None], t["n"][two][None]
             ok = (t["root"][a][:, None] != t["root"][two][None]) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            if i == j:
+            ok &= t["low"][a][:, None] | t["low"][two][None]
+            if same:
                 ok &= a[:, None] < two[None]
             x, y = np.nonzero(ok)
-            for cut in range(0, len(x), 1 << 16):
-                u, v = a[x[cut : cut + (1 << 16)]], two[y[cut : cut + (1 << 16)]]
-                differ = np.bitwise_count(t["bits"][u] ^ t["bits"][v]).sum(1, dtype=np.int64)
-                near = differ <= (100 - percent) * (t["n"][u] + t["n"][v]) // (100 + percent)
-                left.append(t["c"][u[near]])
-                right.append(t["c"][v[near]])
-        return np.concatenate(left), np.concatenate(right)
+            u, v = a[x], two[y]
+            width = np.minimum(t["width"][u], t["width"][v])
+            for w in np.unique(width).tolist():
+                p, q = u[width == w], v[width == w]
+                rows, index = np.unique(np.concatenate([p, q]), return_inverse=True)
+                bits = np.stack([s if len(s) == w else s[:w] ^ s[w:] for s in t["bits"][rows]])
+                left, right = index[: len(p)], index[len(p) :]
+                for cut in range(0, len(p), step := max(1, (1 << 20) // w)):
+                    part = slice(cut, cut + step)
+                    differ = np.bitwise_count(bits[left[part]] ^ bits[right[part]]).sum(1, dtype=np.int64)
+                    near = differ <= (100 - percent) * (t["n"][p[part]] + t["n"][q[part]]) // (100 + percent)
+                    yield t["c"][p[part][near]], t["c"][q[part][near]]
+
+    def tile(t: dict[str, np.ndarray], p: int, q: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        i, j = t["i"][p], t["j"][p]
+        one, two = (p + np.flatnonzero(t["b"][p:q] == x) for x in (i, j))
+        yield from close(t, one, two, i == j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
 
         def flush(t: dict[str, np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, dict | None]:
-            new = np.flatnonzero((np.diff(t["key"]) != 0) | (np.diff(t["i"]) != 0) | (np.diff(t["j"]) != 0)) + 1
-            cuts = [0, *new.tolist(), len(t["key"])]
+            differs = np.any([np.diff(t[x]) != 0 for x in ("key", "step", "i", "j")], axis=0)
+            cuts = [0, *(np.flatnonzero(differs) + 1).tolist(), len(t["key"])]
             done = cuts if last else cuts[:-1]
-            found = [pairs(t, p, q) for p, q in zip(done[:-1], done[1:])]
+            found = [x for p, q in zip(done[:-1], done[1:]) for x in tile(t, p, q)]
             rest = None if last else {k: v[done[-1] :] for k, v in t.items()}
             if not found:
                 return None, rest
@@ -221,9 +274,13 @@ def _tile_pairs(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            t = {k: batch.column(k).to_numpy() for k in names}
+            t = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
             bits = batch.column("bits")
-            t["bits"] = np.asarray(bits.flatten()).reshape(batch.num_rows, -1)
+            offsets, flat = bits.offsets.to_numpy(), np.array(bits.values).view(U64)  # bits of signed numbers are counted of their absolute value
+            t["width"] = np.diff(offsets)
+            t["bits"] = np.empty(batch.num_rows, object)
+            for i, (p, q) in enumerate(zip(offsets[:-1], offsets[1:])):
+                t["bits"][i] = flat[p:q]
             t = t if held is None else {k: np.concatenate([held[k], t[k]]) for k in t}
             out, held = flush(t, False)
             if out is not None:
@@ -236,37 +293,58 @@ def _tile_pairs(percent: int):
     return run
 
 
-def similar_classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members, roots): members has doc_id, n, c (the class of equal sets); roots has node (a class), root."""
-    sketched = common.table(sketches(docs, k, percent), "sketches")
-    clash = sketched.groupBy("c").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi").select("c")
-    clash = [r.c for r in clash.limit(10_000).collect()]  # different sets of equal hash: one in 2**64 pairs
-    if clash:
-        sketched = sketched.withColumn("c", F.when(F.col("c").isin(clash), F.xxhash64("c", "c2")).otherwise(F.col("c")))
-    classes = sketched.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    classes = common.table(classes, "classes")
-
-    words = sketched.select(F.explode("keys").alias("key"), "c")
-    shared = words.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("held"))
-    open_ = words.join(shared.where("lo <> hi").select("key", "held"), "key").distinct()
-    open_ = common.table(open_, "words")
-    weight = open_.groupBy("c").agg(F.sum("held").alias("weight"))
-    open_ = common.table(open_.join(weight, "c").select("key", "c", "weight"), "weighted")
-
-    leader = open_.groupBy("key").agg(F.max(F.struct("weight", "c")).alias("top")).select("key", F.col("top.c").alias("l"))
-    rest = common.table(open_.join(leader, "key").where("c <> l").select("key", "c", "l"), "followers")
-    links = _links(docs, classes, rest.select("c", "l"), k, percent)
-    roots = common.table(common.components(links), "roots")
-    labelled = rest.select("key", "c").join(roots.withColumnRenamed("node", "c"), "c", "left")
-    labelled = common.table(labelled.withColumn("root", F.coalesce("root", "c")), "labelled")
-    more = _links(docs, classes, _apart(labelled, classes, percent), k, percent)
-    if not more.isEmpty():
-        edges = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
+def similar_classes(docs: DataFrame, k: int, percent: int, width: int = 64) -> tuple[DataFrame, DataFrame | None]:
+    """(members, roots): members has doc_id, n, c (the class of equal sets); roots has node (a linked class), root.
+
+    ``width`` is the number of bits of the hash that names a class; sets it confuses are told apart by another."""
+    rows = common.table(sketches(docs, k, percent, width).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    kinds = rows.where("n > 0").groupBy("c", "c2").agg(
+        F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("bits").alias("bits")
+    )
+    kinds = common.table(kinds, "kinds")
+    # different sets of equal c: one in 2**64 pairs
+    clashing = common.table(kinds.groupBy("c").agg(F.count("*").alias("m")).where("m > 1").select("c"), "clashing")
+    clashing = None if clashing.isEmpty() else clashing
+    sets = lambda wanted: _named(shingle_sets(common.pick(docs, wanted, "doc_id"), k, width), clashing).where("c = own")
+    classes = _named(kinds, clashing)
+    named = _named(rows.select("row", "doc_id", "n", "c", "c2"), clashing)
+    copies = named.join(classes.select(F.col("c").alias("_c"), F.col("row").alias("_row")), (F.col("c") == F.col("_c")) & (F.col("row") != F.col("_row")))
+    copies = common.table(copies.select("row"), "copies")
+
+    once = common.pick(_named(rows.select("row", "c", "c2", "keys"), clashing), copies, "row", "left_anti")
+    words = once.select(F.explode("keys").alias("key"), "c")
+    shared = common.table(words.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"), "shared")
+    open_ = common.table(words.join(shared, "key"), "words")
+    weight = open_.groupBy("c").agg(F.sum("held").alias("weight")).join(classes.select("c", "n"), "c")
+    words = common.table(open_.drop("held").join(weight, "c").select("key", "c", "n", "weight"), "weighted")
+    common.drop(shared, open_, copies)
+
+    leader = words.groupBy("key").agg(F.max(F.struct("weight", "c", "n")).alias("top"))
+    leader = common.table(leader.select("key", F.col("top.c").alias("l"), F.col("top.n").alias("n_l")), "leaders")
+    met = words.join(leader, "key").where("c <> l").where(_alike("n", "n_l", percent))
+    met = met.groupBy("c", "l").agg(F.count("*").alias("shared")).groupBy("c").agg(F.max(F.struct("shared", "l")).alias("best"))
+    links = _links(sets, classes, met.select("c", F.col("best.l").alias("l")), percent)
+    common.drop(leader)
+    roots = None if links is None else common.table(common.components(links), "roots")
+    if roots is None:
+        labelled = words.withColumn("root", F.col("c"))
+    else:
+        labelled = words.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    labelled = common.table(labelled.select("key", "c", "n", "root"), "labelled")
+    common.drop(words)
+    apart = _apart(labelled, classes, percent)
+    more = _links(sets, classes, apart, percent)
+    if more is not None:
+        edges = more if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
         roots = common.table(common.components(edges), "roots")
-    return sketched.select("doc_id", "n", "c"), roots
+    members = common.table(named.drop("row"), "members")
+    common.drop(rows, kinds, labelled, apart)
+    return members, roots
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_jaccard(
+    docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", width: int = 64
+) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (size of its set of k-word shingles), component_id.
 
     Words are runs of characters other than ASCII white space, A-Z lower-cased.  A text with fewer than k words is one
@@ -274,11 +352,14 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str =
     reach.  A null or blank text has an empty set and stands alone.  A null doc_id counts as the smallest id and is
     given back as null.  Repeated rows are one class.  Other columns are ignored; an empty table gives no rows."""
     docs = common.keyed(docs, id_col, text_col)
-    members, roots = similar_classes(docs, k, percent)
-    joined = members.groupBy("c").agg(F.min("doc_id").alias("rep")).join(roots.withColumnRenamed("node", "c"), "c", "left")
-    joined = joined.withColumn("root", F.coalesce("root", "c"))
-    lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = joined.join(lowest, "root").select("c", "component_id")
+    members, roots = similar_classes(docs, k, percent, width)
+    joined = members.groupBy("c").agg(F.min("doc_id").alias("rep"))
+    if roots is None:
+        named = joined.withColumnRenamed("rep", "component_id")
+    else:
+        joined = joined.join(roots.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+        lowest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = joined.join(lowest, "root").select("c", "component_id")
     return members.join(named, "c").select(
         common.shown(F.col("doc_id")).alias("doc_id"),
         F.col("n").alias("n_shingles"),
