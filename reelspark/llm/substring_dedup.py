@@ -3,13 +3,18 @@
 A window is ``width`` consecutive words of one document; a window is repeated in a document when its words also start in
 a document with a smaller id.  The words that repeated windows cover are removed.
 
-1. Seed: each document's k-word grams are winnowed (the smallest hash of every ``width - k + 1`` neighbours), so that any
-   two documents that share a window share an anchor in it.  Documents are joined on anchors: an anchor of one document
-   only ends here.  Equal documents are one class, whose first document stands for it.
-2. Extend: around each shared anchor the match is extended both ways, to every window that holds the anchor, and the
-   windows' hashes give the smallest id that has each.  A window's group is a minimum, combined before the shuffle, so a
-   passage that a third of all documents share costs one row per document and window, never a pair.
-3. Runs of repeated windows are the maximal repeats (start, end) of at least ``width`` words; their words go.
+1. Seed: a window's anchor is the smallest hash of its k-word grams, so documents that share a window share its anchor.
+   Neighbouring windows of one anchor are a run; a document has a run for about every (width - k + 1) / 2 words.
+   Documents are joined on anchors: an anchor of one text only ends here.  Equal documents are one class, whose first
+   document stands for it.
+2. Extend: a run is extended both ways, to all words that its windows hold.  Runs of an anchor that agree on all of them
+   are one match, and all but its first document repeat every window of it: one row a run, never a pair.
+3. At the ends of a passage runs of one anchor differ.  Of those the first document of each match compares window by
+   window: a window's group, by anchor and hash, is a minimum, combined before the shuffle.
+4. Neighbouring repeated windows make maximal repeats (start, end) of at least ``width`` words; their words go.
+
+Texts are told apart by SHA-256 (its first 128 bits); runs and windows by 64-bit hashes among those of one anchor, which
+is a 64-bit hash of words they hold: two different ones are taken as equal with probability 2^-64 a pair of one anchor.
 """
 
 from __future__ import annotations
@@ -25,183 +30,199 @@ from pyspark.sql import functions as F
 from . import common
 from .kernels import Words, chunks, lists, signed, sliced, sliding_min, utf8
 
-#: Words of an anchor.
+#: Words of a seed.
 SEED_WORDS = 25
 
 
-def _sha(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def _sha(words: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(words)).digest()
+
+
+def _runs(words: Words, grams: np.ndarray, p: int, q: int, width: int, k: int) -> tuple[np.ndarray, ...]:
+    """(begins, ends, anchors, matches) of the runs of the document of words p to q: the first and the last window of
+    each, its anchor and the hash of all its words."""
+    low = sliding_min(grams[p : q - k + 1], width - k + 1)
+    begins = np.append(0, np.flatnonzero(low[1:] != low[:-1]) + 1)
+    ends = np.append(begins[1:] - 1, len(low) - 1)
+    return begins, ends, low[begins], words.spans(p + begins, p + ends + width, 31)
+
+
+def _each(texts: list[bytes], width: int, k: int) -> Iterator[tuple[Words, int, int, tuple[np.ndarray, ...] | None]]:
+    """For each text the object that holds its words, where there its bytes and its words begin, and its runs; None if
+    it has no window."""
+    for a, b in chunks(texts):
+        words = Words(texts[a:b])
+        grams = words.grams(k)
+        for at, p, q in zip(words.offsets.tolist(), words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
+            yield words, at, p, _runs(words, grams, p, q, width, k) if q - p >= width else None
 
 
 def _anchors(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """doc_id, n_words, c and c2 (hashes of the word sequence), sha (of all words), anchors."""
-    near = width - k + 1
+    """doc_id, n_words, sha (of all words, as hex), c and c2 (its first bytes), anchors and matches of its runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = utf8(batch.column("text"))
-            n, c, anchors = [], [], []
-            for a, b in chunks(texts):
-                words = Words(texts[a:b])
-                grams = words.grams(k)
-                c.append(words.whole())
-                n.append(np.diff(words.bounds))
-                for p, q in zip(words.bounds[:-1], words.bounds[1:]):
-                    few = grams[:0] if q - p < width else np.unique(sliding_min(grams[p : q - k + 1], near))
-                    anchors.append(signed(few))
+            anchors, matches = [], []
+            for _, _, _, runs in _each(texts, width, k):
+                _, one = (None, slice(0, 0)) if runs is None else np.unique(runs[3], return_index=True)
+                anchors.append(signed(runs[2][one]) if runs else np.zeros(0, np.int64))
+                matches.append(signed(runs[3][one]) if runs else np.zeros(0, np.int64))
             if texts:
+                split = [t.split() for t in texts]
+                shas = [_sha(x) for x in split]
+                first = np.frombuffer(b"".join(x[:16] for x in shas), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array(np.concatenate(n), pa.int64()),
-                        pa.array(signed(np.concatenate(c))),
-                        pa.array([_sha(t.split()) for t in texts]),
+                        pa.array([len(x) for x in split], pa.int64()),
+                        pa.array([x.hex() for x in shas]),
+                        pa.array(first[:, 0]),
+                        pa.array(first[:, 1]),
                         lists(anchors, pa.int64()),
+                        lists(matches, pa.int64()),
                     ],
-                    ["doc_id", "n_words", "c", "sha", "anchors"],
+                    ["doc_id", "n_words", "sha", "c", "c2", "anchors", "matches"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, c long, sha string, anchors array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_words long, sha string, c long, c2 long, anchors array<long>, matches array<long>")
 
 
 def _windows(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """Of documents with their shared anchors: doc_id, starts, hashes of all windows that hold one."""
-    near = width - k + 1
+    """Of documents with matches (``open``): doc_id, starts, anchors and hashes of the windows of those runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            texts, shared = utf8(batch.column("text")), batch.column("shared")
-            offsets, flat = shared.offsets.to_numpy(), np.asarray(shared.values).view(np.uint64)
-            starts, hashes = [], []
-            for a, b in chunks(texts):
-                words = Words(texts[a:b])
-                grams, windows = words.grams(k), words.grams(width)
-                for i, (p, q) in enumerate(zip(words.bounds[:-1], words.bounds[1:])):
-                    n = q - p - width + 1
-                    if n <= 0:
-                        starts.append(np.zeros(0, np.int32))
-                        hashes.append(np.zeros(0, np.int64))
-                        continue
-                    own = flat[offsets[a + i] : offsets[a + i + 1]]
-                    at = np.flatnonzero(np.isin(grams[p : q - k + 1], own))
-                    # the anchor at x lies in the windows that start at x - near + 1 to x
-                    rise = np.bincount(np.maximum(at - near + 1, 0), minlength=n + near)
-                    fall = np.bincount(at + 1, minlength=n + near)
-                    begin = np.flatnonzero(np.cumsum(rise[:n] - fall[:n]) > 0)
-                    starts.append(begin.astype(np.int32))
-                    hashes.append(signed(windows[p : p + n][begin]))
+            texts, wanted = utf8(batch.column("text")), batch.column("open")
+            offsets, flat = wanted.offsets.to_numpy(), np.asarray(wanted.values).view(np.uint64)
+            starts, anchors, hashes = [], [], []
+            for i, (words, _, p, runs) in enumerate(_each(texts, width, k)):
+                own = flat[offsets[i] : offsets[i + 1]]
+                if runs is None:
+                    at = at_run = np.zeros(0, np.int64)
+                else:
+                    begins, ends, low, match = runs
+                    sizes = np.where(np.isin(match, own), ends - begins + 1, 0)
+                    at_run = np.repeat(np.arange(len(begins)), sizes)
+                    at = begins[at_run] + np.arange(len(at_run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                starts.append(at.astype(np.int32))
+                anchors.append(signed(runs[2][at_run]) if runs else np.zeros(0, np.int64))
+                hashes.append(signed(words.spans(p + at, p + at + width, 37)))
             if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), lists(starts, pa.int32()), lists(hashes, pa.int64())],
-                    ["doc_id", "starts", "hashes"],
+                    [batch.column("doc_id"), lists(starts, pa.int32()), lists(anchors, pa.int64()), lists(hashes, pa.int64())],
+                    ["doc_id", "starts", "anchors", "hashes"],
                 )
 
-    return docs.select("doc_id", "text", "shared").mapInArrow(run, "doc_id long, starts array<int>, hashes array<long>")
+    shape = "doc_id long, starts array<int>, anchors array<long>, hashes array<long>"
+    return docs.select("doc_id", "text", "open").mapInArrow(run, shape)
 
 
-def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """Which of n words the windows from ``starts`` on cover."""
-    step = np.bincount(starts, minlength=n + 1) - np.bincount(starts + width, minlength=n + width + 1)[: n + 1]
+def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n words the spans (end excluded) cover."""
+    step = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(step)[:n] > 0
 
 
 def repeats(docs: DataFrame, width: int = 50, k: int = SEED_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(all, copies, parts): ``all`` has doc_id, c, n_words, sha of each row; ``copies`` has class c and the first
-    document ``rep`` that has all its words; ``parts`` has doc_id and starts, the sorted starts of its windows that also
-    start in an earlier document of another class.  ``docs`` comes from ``keyed``."""
+    """(all, copies, parts): ``all`` has doc_id, c, c2, n_words, sha of each row; ``copies`` has (c, c2) of a text and the
+    first document ``rep`` that has it; ``parts`` has doc_id, matches (runs that are repeated as a whole) and starts (of
+    further repeated windows) of documents that stand for their class.  ``docs`` comes from ``keyed``."""
     seen = common.table(_anchors(docs, width, k), "anchors")
-    copies = common.table(seen.groupBy("c").agg(F.min("doc_id").alias("rep")), "copies")
-    grams = seen.where(F.size("anchors") > 0).select(F.explode("anchors").alias("anchor"), "c")
-    shared = grams.groupBy("anchor").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("anchor")
+    copies = common.table(seen.groupBy("c", "c2").agg(F.min("doc_id").alias("rep")), "copies")
+    runs = seen.where(F.size("anchors") > 0).select(F.explode(F.arrays_zip("anchors", "matches")).alias("r"), "c", "c2")
+    runs = runs.select(F.col("r.anchors").alias("anchor"), F.col("r.matches").alias("match"), "c", "c2")
+    shared = runs.groupBy("anchor").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("anchor")
     shared = common.table(shared, "shared")
-    seeds = grams.join(shared, "anchor").groupBy("c").agg(F.collect_set("anchor").alias("shared"))
-    seeds = common.table(seeds.join(copies, "c").select(F.col("rep").alias("doc_id"), "shared"), "seeds")
-    spread = common.table(_windows(common.pick(docs, seeds, "doc_id"), width, k), "windows")
-    each = spread.select("doc_id", F.explode(F.arrays_zip("starts", "hashes")).alias("w"))
-    each = each.select("doc_id", F.col("w.starts").alias("start"), F.col("w.hashes").alias("hash"))
-    first = each.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    # as a table of its own, so that Spark can split the join where a window is in a great many documents
-    first = common.table(first.select("hash", "first"), "first")
-    again = each.join(first, "hash").where("doc_id > first")
-    parts = again.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    return seen.drop("anchors"), copies, common.table(parts, "repeats")
-
-
-def spans(parts: DataFrame, width: int = 50) -> DataFrame:
-    """The maximal repeats of ``parts``: doc_id, span_start, span_end (words, end excluded)."""
+    # as a table of its own, so that Spark can split the join where an anchor is in a great many documents
+    seeds = common.table(runs.join(shared, "anchor"), "seeds")
+    held = seeds.join(copies, ["c", "c2"]).select("anchor", "match", F.col("rep").alias("doc_id")).distinct()
+    held = common.table(held, "held")
+    common.drop(shared, seeds)
+
+    matches = held.groupBy("anchor", "match").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    matches = common.table(matches, "matches")
+    same = held.join(matches.where("first < last").select("anchor", "match", "first"), ["anchor", "match"]).where("doc_id > first")
+    several = matches.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
+    several = common.table(several, "several")
+    ends = matches.join(several, "anchor").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("match").alias("open"))
+    ends = common.table(ends, "ends")
+    spread = common.table(_windows(common.pick(docs, ends, "doc_id"), width, k), "windows")
+    each = spread.select("doc_id", F.explode(F.arrays_zip("starts", "anchors", "hashes")).alias("w"))
+    each = each.select("doc_id", F.col("w.starts").alias("start"), F.col("w.anchors").alias("anchor"), F.col("w.hashes").alias("hash"))
+    first = each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    first = common.table(first.select("anchor", "hash", "first"), "first")
+    again = each.join(first, ["anchor", "hash"]).where("doc_id > first")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    found = same.select("doc_id", "match", nothing("int").alias("start")).unionByName(again.select("doc_id", nothing("long").alias("match"), "start"))
+    parts = found.groupBy("doc_id").agg(F.collect_set("match").alias("matches"), F.collect_set("start").alias("starts"))
+    parts = common.table(parts, "repeats")
+    members = common.table(seen.drop("anchors", "matches"), "members")
+    common.drop(seen, held, matches, several, ends, spread, first)
+    return members, copies, parts
+
+
+def _cut(docs: DataFrame, width: int, k: int) -> DataFrame:
+    """Of documents with repeated runs and windows: doc_id, n_removed, kept_sha256, kept_text (the text without the
+    removed words; the white space around kept words stays), repeats (start and end, in words, of each removed span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            ids, begins, ends = [], [], []
-            for i, starts in zip(batch.column("doc_id").to_pylist(), batch.column("starts").to_pylist()):
-                s = np.array(starts)
-                cut = np.flatnonzero(np.diff(s) > width) + 1
-                begin, end = s[np.append(0, cut)], s[np.append(cut - 1, len(s) - 1)] + width
-                ids += [i] * len(begin)
-                begins.append(begin)
-                ends.append(end)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(np.concatenate(begins), pa.int32()), pa.array(np.concatenate(ends), pa.int32())],
-                    ["doc_id", "span_start", "span_end"],
-                )
-
-    return parts.mapInArrow(run, "doc_id long, span_start int, span_end int")
-
-
-def _cut(docs: DataFrame, width: int) -> DataFrame:
-    """Of documents with the starts of repeated windows: doc_id, n_words, n_removed, kept_sha256, kept_text (the text
-    without the removed words; the white space around kept words stays)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            out: list[tuple] = []
-            for text, starts in zip(utf8(batch.column("text")), batch.column("starts").to_pylist()):
-                words = Words([text])
-                n = len(words.hashes)
-                if not starts or starts[-1] + width > n:  # another row with this id
-                    out.append((n, 0, _sha(text.split()), text.decode()))
-                    continue
-                gone = covered(np.array(starts), width, n)
+            texts, out = utf8(batch.column("text")), []
+            matches, starts = (batch.column(x) for x in ("matches", "starts"))
+            at = [(x.offsets.to_numpy(), np.asarray(x.values)) for x in (matches, starts)]
+            for i, (words, offset, p, runs) in enumerate(_each(texts, width, k)):
+                text, (known, single) = texts[i], (v[o[i] : o[i + 1]] for o, v in at)
+                n = 0 if runs is None else int(runs[1][-1]) + width
+                single = single[single + width <= n]  # others belong to another row with this id
+                begins = ends = single[:0]
+                if runs is not None:
+                    whole = np.isin(runs[3], known.view(np.uint64))
+                    begins, ends = runs[0][whole], runs[1][whole]
+                begins, ends = np.append(begins, single), np.append(ends, single) + width
+                gone = covered(begins.astype(np.int64), ends.astype(np.int64), n)
                 kept = [w for w, g in zip(text.split(), gone.tolist()) if not g]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                left, at = [], 0
-                for p, q in zip(edge[0::2], edge[1::2]):
-                    left.append(text[at : words.starts[p]])
-                    at = words.starts[q] if q < n else len(text)
-                out.append((n, int(gone.sum()), _sha(kept), b"".join([*left, text[at:]]).decode()))
+                left, done = [], 0
+                for a, b in zip(edge[0::2], edge[1::2]):
+                    left.append(text[done : int(words.starts[p + a]) - offset])
+                    done = int(words.starts[p + b]) - offset if b < n else len(text)
+                spans = [{"start": a, "end": b} for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
+                out.append((int(gone.sum()), _sha(kept).hex(), b"".join([*left, text[done:]]).decode(), spans))
             if out:
-                n, removed, sha, text = zip(*out)
+                removed, sha, text, spans = zip(*out)
+                kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha), pa.array(text, pa.string())],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                    [batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(text, pa.string()), pa.array(spans, kind)],
+                    ["doc_id", "n_removed", "kept_sha256", "kept_text", "repeats"],
                 )
 
-    return docs.select("doc_id", "text", "starts").mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    )
+    shape = "doc_id long, n_removed long, kept_sha256 string, kept_text string, repeats array<struct<start:int,end:int>>"
+    return docs.select("doc_id", "text", "matches", "starts").mapInArrow(run, shape)
 
 
-def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", k: int = SEED_WORDS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space), kept_text
-    (the text without the removed words; null where nothing goes, so the text stands as it is).
+    (the text without the removed words; null where nothing goes, so the text stands as it is), repeats (the removed
+    spans, as words' numbers, end excluded; null where nothing goes).
 
     Words are runs of characters other than ASCII white space, unchanged.  A null or blank text has no words; a text of
     fewer than ``width`` words loses nothing.  Rows of the same id do not repeat one another; a null id counts as the
     smallest and is given back as null.  Where two rows of one id have different texts, the row that stands for its
     class decides.  Other columns are ignored; an empty table gives no rows."""
     docs = common.keyed(docs, id_col, text_col)
-    seen, copies, parts = repeats(docs, width)
-    cut = _cut(common.pick(docs, parts, "doc_id"), width).select(
-        F.col("doc_id").alias("cut_id"), "n_removed", "kept_sha256", "kept_text"
-    ).where("n_removed > 0").dropDuplicates(["cut_id"])
-    rows = seen.join(copies, "c").join(cut, F.col("doc_id") == F.col("cut_id"), "left")
+    seen, copies, parts = repeats(docs, width, k)
+    cut = _cut(common.pick(docs, parts, "doc_id"), width, k).withColumnRenamed("doc_id", "cut_id")
+    cut = cut.where("n_removed > 0").dropDuplicates(["cut_id"])
+    rows = seen.join(copies, ["c", "c2"]).join(cut, F.col("doc_id") == F.col("cut_id"), "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= width)
     none = F.lit(hashlib.sha256(b"").hexdigest())
+    everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
     return rows.select(
         common.shown(F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        F.when(copy, everything).otherwise(F.col("repeats")).alias("repeats"),
     )
