@@ -1,22 +1,31 @@
 """Exact top-k inner products by pivot-table elimination.
 
-A fixed number of vectors are pivots; every vector's distances to all pivots are tabled.  By the triangle inequality
-|d(q, p) - d(x, p)| is at most d(q, x) for each pivot, so the largest of them is a lower bound of the distance, and with
-the norms an upper bound of the inner product.  Queries and candidates meet in blocks; within a block a query's
-candidates are evaluated in order of that bound until the bound falls below its k-th best score.  The best k of every
-block are then ranked together.  Scores are integers and exact.
+1. A fixed number of vectors are pivots.  Every vector's distances to all pivots are computed once and stored with it: the
+   pivot table.  Vectors are dealt into blocks by their nearest pivot; a block keeps the least and the greatest of its
+   distances to each pivot.
+2. By the triangle inequality |d(q, p) - d(x, p)| is at most d(q, x) for each pivot, so the largest of them is a lower
+   bound of the distance, and with the norms an upper bound of the inner product.
+3. Each query is first held against a block of its own nearest pivot; its k-th score there is a floor for what follows.
+4. Blocks of queries and blocks of candidates meet only if the bound between their ranges of distances reaches the lowest
+   floor in the block.  Where they meet, a query's candidates are evaluated in order of their own bounds until the bound
+   falls below the query's k-th best score.  The best k of all blocks are ranked together.
+
+Scores are integers and exact.  How much the bounds save is a matter of the data: among clustered vectors most blocks never
+meet, among vectors in all directions nearly all of them do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import common
+from .kernels import lists
 
 PIVOTS, BLOCK, STEP = 32, 4096, 256
 SCALE = 256
@@ -32,79 +41,156 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.int64)
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """A column of lists of one length as a matrix."""
+    parts = [np.asarray(c.flatten()) for c in column.chunks]
+    return np.concatenate(parts).reshape(len(column), width) if parts else np.zeros((0, width))
 
 
-def _search(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, pivots: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """The k best candidates of a block for each query, ties to the smaller id."""
-    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * q.shape[1] < 2.0**52
-    qf, xf, pf = q.astype(float), x.astype(float), pivots.astype(float)
-    dq = np.sqrt(np.maximum(((qf[:, None, :] - pf[None]) ** 2).sum(2), 0))
-    dx = np.sqrt(np.maximum((xf**2).sum(1)[:, None] + (pf**2).sum(1)[None] - 2 * xf @ pf.T, 0))
-    nq, nx = (qf**2).sum(1), (xf**2).sum(1)
-    order_id = np.argsort(xid, kind="stable")
-    xid, xf, x, dx, nx = xid[order_id], xf[order_id], x[order_id], dx[order_id], nx[order_id]
+def _pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
+    """PIVOTS vectors of each length, of the 64 lengths that come first; vectors of further lengths have none, so all their
+    blocks meet."""
+    order = W.partitionBy("dims").orderBy(F.xxhash64("vec_id"), "vec_id")
+    few = vectors.withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS).orderBy("dims", "at").limit(64 * PIVOTS)
+    out: dict[int, list] = {}
+    for r in few.toLocalIterator():
+        out.setdefault(r["dims"], []).append(r["v"])
+    return {d: np.array(v, np.int64) for d, v in out.items()}
+
+
+def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """``vectors`` (vec_id, v, dims) with d (distances to the pivots), near (the nearest) and n2 (the squared norm)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            for size in np.unique(dims).tolist():
+                own = batch.filter(pa.array(dims == size))
+                x = _matrix(pa.chunked_array([own.column("v")]), size).astype(float)
+                p = pivots.get(size, np.zeros((0, size))).astype(float)
+                n2 = (x**2).sum(1)
+                d = np.sqrt(np.maximum(n2[:, None] + (p**2).sum(1)[None] - 2 * x @ p.T, 0))
+                near = d.argmin(1) if len(p) else np.zeros(len(x), int)
+                columns = [*own.columns, lists(list(d), pa.float64()), pa.array(near.astype(np.int32)), pa.array(n2)]
+                yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, "d", "near", "n2"])
+
+    return vectors.mapInArrow(run, "vec_id long, v array<long>, dims int, d array<double>, near int, n2 double")
+
+
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` of the pivot table with ``block``, a struct of dims, near and a part of at most about BLOCK rows."""
+    parts = rows.groupBy("dims", "near").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    part = F.pmod(F.xxhash64("vec_id"), "parts").cast("int")
+    return rows.join(parts, ["dims", "near"]).select("*", F.struct("dims", "near", part.alias("part")).alias(name)).drop("parts")
+
+
+def _ranges(rows: DataFrame, block: str, *more) -> DataFrame:
+    """Of each block the least and greatest distance to each pivot and the greatest squared norm."""
+    low = F.array(*[F.min(F.get("d", F.lit(i))) for i in range(PIVOTS)])
+    high = F.array(*[F.max(F.get("d", F.lit(i))) for i in range(PIVOTS)])
+    names = [f"{x}_{block}" for x in ("low", "high", "n2")]
+    return rows.groupBy(block).agg(low.alias(names[0]), high.alias(names[1]), F.max("n2").alias(names[2]), *more)
+
+
+def _slack(a: float, b: float) -> float:
+    """What rounding may take from a bound on vectors of these squared norms."""
+    return 1e-6 * (a + b) + 1.0
+
+
+def search(queries: pa.Table, rows: pa.Table, dims: int, k: int) -> tuple[list[tuple[int, int, int]], int]:
+    """((query, candidate, score) of the k best candidates of a block for each query, ties to the smaller id; the number
+    of candidates evaluated).  ``queries`` has a floor, below which nothing counts, or null."""
+    rows = rows.sort_by("vec_id")
+    xid, x = rows["vec_id"].to_numpy(), _matrix(rows["v"], dims).astype(np.int64)
+    qid, q = queries["vec_id"].to_numpy(), _matrix(queries["v"], dims).astype(np.int64)
+    pivots = len(queries["d"][0])
+    dx, dq = _matrix(rows["d"], pivots), _matrix(queries["d"], pivots)
+    nx, nq = rows["n2"].to_numpy(), queries["n2"].to_numpy()
+    exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * dims < 2.0**52
+    xf, qf = x.astype(float), q.astype(float)
+    floors, single = queries["floor"].to_pylist(), len(np.unique(xid)) == len(xid)
+    slack = _slack(float(nq.max(initial=0)), float(nx.max(initial=0)))
     out: list[tuple[int, int, int]] = []
-    slack = 1e-6 * (float(nq.max(initial=0)) + float(nx.max(initial=0))) + 1.0
+    evaluated = 0
     for i in range(len(qid)):
-        gap = np.abs(dx[:, 0] - dq[i, 0])
-        for p in range(1, len(pf)):
+        gap = np.zeros(len(xid))
+        for p in range(pivots):
             np.maximum(gap, np.abs(dx[:, p] - dq[i, p]), out=gap)
         bound = (nq[i] + nx - gap * gap) / 2 + slack
         order = np.argsort(-bound)
-        best: list[tuple[int, int]] = []  # (-score, id), sorted
+        floor = floors[i]
+        best: list[tuple[int, int]] = []  # (-score, id) of different ids, sorted
         for at in range(0, len(order), STEP):
-            if len(best) == k and bound[order[at]] < -best[-1][0]:
+            least = -best[-1][0] if len(best) == k else floor
+            if least is not None and bound[order[at]] < least:
                 break
             part = order[at : at + STEP]
             part = part[xid[part] != qid[i]]
+            evaluated += len(part)
             scores = np.rint(xf[part] @ qf[i]).astype(np.int64) if exact else x[part] @ q[i]
-            if len(best) == k:
-                good = scores >= -best[-1][0]
+            if least is not None:
+                good = scores >= least
                 part, scores = part[good], scores[good]
-            elif len(part) > 8 * k:
+            elif single and len(part) > 8 * k:
                 good = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
                 part, scores = part[good], scores[good]
-            best = sorted(best + [(-s, v) for s, v in zip(scores.tolist(), xid[part].tolist())])[:k]
+            best = sorted(best + [(-s, v) for s, v in zip(scores.tolist(), xid[part].tolist())])
+            if not single:
+                once: dict[int, int] = {}
+                for s, v in best:
+                    once.setdefault(v, s)
+                best = [(s, v) for v, s in once.items()]
+            best = best[:k]
         out += [(int(qid[i]), v, -s) for s, v in best]
-    return out
+    return out, evaluated
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of every two blocks under one key."""
+    names = ["query_id", "vec_id", "score"]
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        found, _ = search(a, b, a["dims"][0].as_py(), k) if a.num_rows and b.num_rows else ([], 0)
+        return pa.Table.from_arrays([pa.array([r[i] for r in found], pa.int64()) for i in range(3)], names)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score long")
 
 
 def topk_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each row of ``queries`` the k rows of ``vectors`` (both from
     ``quantised``) of the highest inner product, other than those of the query's own id; all, if fewer.
 
-    Ties go to the smaller vec_id; a repeated id keeps its best score only.  Vectors of different lengths don't meet.  An
-    empty table gives no rows."""
+    Ties go to the smaller vec_id; a repeated id keeps its best score only.  Vectors of different lengths don't meet.
+    Products beyond 64 bits are not defined.  An empty table gives no rows."""
     dims = F.size("v").alias("dims")
-    seen = common.table(vectors.select("vec_id", "v", dims), "vectors")
-    order = W.partitionBy("dims").orderBy(F.xxhash64("vec_id"), "vec_id")
-    chosen = seen.withColumn("at", F.row_number().over(order)).where(F.col("at") <= PIVOTS)
-    pivots: dict[int, np.ndarray] = {}
-    for r in chosen.limit(64 * PIVOTS).toLocalIterator():  # PIVOTS rows for each length of vectors
-        pivots.setdefault(r["dims"], []).append(r["v"])
-    pivots = {d: np.array(v, np.int64) for d, v in pivots.items()}
-    n, nq = seen.count(), queries.count()
-    xb, qb = max(1, -(-n // BLOCK)), max(1, -(-nq // BLOCK))
-    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.select(F.col("vec_id"), "v", dims).withColumn("qb", block(qb)).withColumn("xb", every(xb))
-    right = seen.withColumn("xb", block(xb)).withColumn("qb", every(qb))
-
-    def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        d = int(key[0])
-        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        if not len(a) or not len(b):
-            return none
-        p = pivots.get(d)
-        if p is None:
-            p = _matrix(b["v"].iloc[:PIVOTS])
-        found = _search(a["vec_id"].to_numpy(), _matrix(a["v"]), b["vec_id"].to_numpy(), _matrix(b["v"]), p, k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64") if found else none
-
-    keys = ["dims", "qb", "xb"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score long")
+    given = common.table(vectors.select("vec_id", "v", dims), "vectors")
+    pivots = _pivots(given)
+    seen = common.table(_dealt(common.table(pivot_table(given, pivots), "pivots"), "x"), "blocks")
+    asked = common.table(_dealt(pivot_table(queries.select("vec_id", "v", dims), pivots), "q"), "asked")
+
+    # a floor for each query: the k-th score among a block of its nearest pivot; a repeated id counts once
+    own = ["dims", "near", "part"]
+    left = asked.withColumn("part", F.col("q.part")).withColumn("floor", F.lit(None).cast("long"))
+    first = asked.select("q").distinct().select("q.*")
+    right = seen.where("x.part = 0").join(first, ["dims", "near"])
+    tried = _met(left, right, own, k).distinct()
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    floors = tried.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("place", place)
+    floors = floors.where(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    asked = common.table(asked.join(common.table(floors, "floors"), "vec_id", "left"), "floored")
+
+    # which blocks meet: the largest gap between their ranges of distances bounds the inner product from above
+    a = _ranges(asked, "q", F.when(F.count("*") == F.count("floor"), F.min("floor")).alias("least"))
+    b = _ranges(seen, "x")
+    pairs = a.withColumn("dims", F.col("q.dims")).join(b.withColumn("dims", F.col("x.dims")), "dims")
+    gaps = F.zip_with(
+        F.zip_with("low_q", "high_x", lambda p, q: p - q), F.zip_with("low_x", "high_q", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))
+    )
+    gap = F.coalesce(F.array_max(gaps), F.lit(0.0))
+    bound = (F.col("n2_q") + F.col("n2_x") - gap * gap) / 2 + 1e-6 * (F.col("n2_q") + F.col("n2_x")) + 1.0
+    pairs = common.table(pairs.where(F.col("least").isNull() | (bound >= F.col("least"))).select("q", "x"), "meeting")
+
+    best = _met(asked.join(pairs, "q"), seen.join(pairs, "x"), ["q", "x"], k)
     best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
