@@ -32,8 +32,8 @@ _PAIR = (_PLOGP[:, None] + _PLOGP[None, :]).astype(np.float32).ravel()
 ORDINARY, LEAST = 4.0, 1.0
 _R, _RINV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 PART = 1 << 20
-#: Id ranges for each partition, so that hashing them to partitions comes out even.
-BLOCKS = 4
+#: Id ranges for each partition, so that hashing them to partitions comes out even; text that a partition holds at most.
+BLOCKS, PART_BYTES = 4, 1 << 27
 
 
 def entropies(data: np.ndarray) -> np.ndarray:
@@ -141,7 +141,8 @@ def in_order(docs: DataFrame) -> DataFrame:
     a block before the one that follows it; ``spare`` rows are the first of the next block, for looking ahead only."""
     spark = docs.sparkSession
     ids = docs.select("doc_id")
-    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(1, spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     ranges = ids.repartitionByRange(BLOCKS * parts, "doc_id").groupBy(F.spark_partition_id().alias("p"))
     lows = np.array(sorted(r.lo for r in ranges.agg(F.min("doc_id").alias("lo")).collect()), np.int64)  # one id for each block
 

@@ -28,6 +28,8 @@ from .kernels import chunks, lists, sliced, utf8
 BUCKETS, DIMENSIONS, NGRAMS = 1 << 13, 16, (2, 3, 4)
 #: The bounds of the training sample: rows of each language, and rows in all, dealt to the languages in turn.
 PER_LANGUAGE, SAMPLE = 300, 4000
+#: Parts of a language that are ranked apart.
+PARTS = 64
 EPOCHS, RATE = 12, 2.0
 #: N-grams of a calibration text.
 FEW = 30
@@ -135,8 +137,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
         held_out(docs[id_col]).alias("held_out"),
         docs[text_col].cast("string").alias("text"),
     ).where("not held_out and lang is not null and text is not null")
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PER_LANGUAGE)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    first = lambda rows, by, keys: rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col("rank") <= PER_LANGUAGE)
+    # of each part of a language first, so that a common language isn't one task's
+    ids = labelled.select("doc_id", "lang").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    chosen = first(first(ids, order, ["lang", "part"]).drop("rank"), order, ["lang"])
     chosen = chosen.orderBy("rank", "lang").limit(SAMPLE)
     chosen = common.table(chosen.select("doc_id").distinct(), "sample")
 
@@ -144,13 +149,19 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model:
         for batch in sliced(batches):
             counted = [np.unique(b, return_counts=True) for b in features(utf8(batch.column("text")))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("lang"), *(lists([x[i].astype(np.int32) for x in counted], pa.int32()) for i in (0, 1))],
-                ["doc_id", "lang", "buckets", "counts"],
+                [
+                    *(batch.column(c) for c in ("doc_id", "lang", "size", "digest")),
+                    *(lists([x[i].astype(np.int32) for x in counted], pa.int32()) for i in (0, 1)),
+                ],
+                ["doc_id", "lang", "size", "digest", "buckets", "counts"],
             )
 
     sample = labelled.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
-    rows = sample.mapInArrow(run, "doc_id long, lang string, buckets array<int>, counts array<int>").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    # ids may repeat: the bound is one of rows
+    sample = first(sample, [*order, F.xxhash64("text")], ["lang"]).orderBy("rank", "lang").limit(SAMPLE)
+    sample = sample.select("doc_id", "lang", F.length("text").alias("size"), F.xxhash64("text").alias("digest"), "text")
+    rows = sample.mapInArrow(run, "doc_id long, lang string, size int, digest long, buckets array<int>, counts array<int>").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("size", "ascending"), ("digest", "ascending")])
     arrays = [[np.asarray(x.values) for x in rows[c]] for c in ("buckets", "counts")]
     languages = rows["lang"].to_pylist()
     mixed = np.random.Generator(np.random.PCG64(1)).permutation(len(languages))

@@ -182,12 +182,12 @@ def license_scan(
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST) -> str:
-    """The same but for PASSAGES over ``documents`` in DuckDB's SQL, with the path source/lang/doc_id.txt."""
+    """The same but for PASSAGES over ``documents`` in DuckDB's SQL, with the paths of the query."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted((templates or TEMPLATES).items()))
     return f"""
 WITH given(licence, text) AS (VALUES {values}),
-rows AS (SELECT doc_id, concat_ws('/', source, lang, doc_id || '.txt') AS path, text FROM documents),
+rows AS (SELECT doc_id, concat_ws('/', source, lang, doc_id // 500, doc_id // 50, CASE WHEN length(text) < 400 THEN 'NOTICE-' || doc_id ELSE doc_id || '.txt' END) AS path, text FROM documents),
 found AS (SELECT doc_id, path, text, array_to_string(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: regexp_matches(x, '{HINT}')), chr(10)) AS notice FROM rows WHERE regexp_matches(text, '{HINT}')),
 notices AS (SELECT doc_id, path, notice, len(regexp_extract_all(text, '\\S+')) AS n_words, len(regexp_extract_all(notice, '\\S+')) AS notice_words FROM found WHERE notice <> ''),
 texts AS (SELECT notice, count(*) AS copies FROM notices GROUP BY notice),

@@ -54,8 +54,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths: source, language and two levels of ids stand for them; short texts are NOTICE files."""
     docs = read(spark, sf_dir, "documents")
-    path = F.concat_ws("/", docs["source"], docs["lang"], F.concat(docs["doc_id"].cast("string"), F.lit(".txt")))
+    i = docs["doc_id"].cast("string")
+    name = F.when(F.length(docs["text"]) < 400, F.concat(F.lit("NOTICE-"), i)).otherwise(F.concat(i, F.lit(".txt")))
+    path = F.concat_ws("/", docs["source"], docs["lang"], F.expr("doc_id div 500").cast("string"), F.expr("doc_id div 50").cast("string"), name)
     return license_scan(docs, path)
 
 
@@ -68,7 +71,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(read(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup(read(spark, sf_dir, "documents")).drop("kept_text", "repeats")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

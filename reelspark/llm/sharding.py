@@ -93,7 +93,8 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "
     0), grown_shard (null: growing edits the map by bytes), slot_no (the virtual slot), map_version.
 
     A null text has no bytes: size 1, crc of nothing.  A null id hashes as any other value; rows of one id and text share
-    a virtual slot.  Other columns are ignored; an empty table gives no rows."""
+    a virtual slot.  Equal texts of different ids are different records: a group of copies is spread over slots, so that it
+    can't fill a shard.  Other columns are ignored; an empty table gives no rows."""
     rows = common.table(slotted(docs, slots, id_col, text_col), "slotted")
     versions = slot_map(rows, shards, slots)
     newest = versions.groupBy("slot_no").agg(F.max_by("shard", "version").alias("shard"), F.max("version").alias("map_version"))

@@ -1,21 +1,25 @@
 """Each operator against a brute-force version on a small table with nulls, empty and long texts, ties, repeated rows and
 columns of clashing names; and on an empty table."""
 
+import base64
 import hashlib
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from reelspark.llm import fingerprints as fp
 from reelspark.llm import language_id, licenses, mixing, packing, sharding, topk_search
+from reelspark.llm import ngram_jaccard as nj
 from reelspark.llm.ngram_jaccard import ngram_jaccard
 from reelspark.llm.queries import vocabulary
 from reelspark.llm.substring_dedup import substring_dedup
 from reelspark.llm.token_counts import Counter, token_counts
 
+train = language_id.train
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, c long, n long, key string, start int, score double, position long"
 WORDS = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
 
@@ -94,12 +98,102 @@ def test_ngram_jaccard(docs, none):
     assert ngram_jaccard(none, 4, 85).count() == 0
 
 
+def _near(texts, k, percent):
+    """Each text's component by brute force: the smallest index that links reach."""
+    sets = []
+    for t in texts:
+        w = _words(t, True)
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    group = list(range(len(texts)))
+    top = lambda x: x if group[x] == x else top(group[x])
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = top(a), top(b)
+                group[max(x, y)] = min(x, y)
+    return [top(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("width, tile, followers", [(64, 1024, 128), (64, 3, 2), (3, 1024, 128)])
+def test_near_copies_of_all_sizes(spark, monkeypatch, width, tile, followers):
+    monkeypatch.setattr(nj, "TILE", tile)
+    monkeypatch.setattr(nj, "FOLLOWERS", followers)
+    rng = random.Random(11)
+    hot = _text(rng, 12)
+    texts = []
+    for n in (30, 60, 200, 1200, 3000):
+        base = _text(rng, n)
+        for _ in range(7):
+            base = _edit(rng, base, max(1, n // 60))  # a chain: the ends don't link, their neighbours do
+            texts.append(base)
+    texts += [f"{hot} {_text(rng, rng.randrange(3, 60))}" for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_jaccard(docs, 3, 80, width=width).collect()}
+    want = _near(texts, 3, 80)
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) < len(texts) - 15
+
+
+def test_bit_sketches_bound_the_difference_and_fold():
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 2**63, 1500).astype(np.uint64))
+    b = np.unique(np.concatenate([a[100:], rng.integers(0, 2**63, 700).astype(np.uint64)]))
+    x, y = nj._bits(a).view(np.uint64), nj._bits(b).view(np.uint64)
+    assert len(x) * 64 == 2048 and len(y) * 64 == 4096
+    folded = y[: len(x)] ^ y[len(x) :]
+    parity = np.bincount((b % np.uint64(2048)).astype(int), minlength=2048) & 1
+    assert np.array_equal(folded, np.packbits(parity.astype(np.uint8)).view(np.uint64))
+    assert 0 < np.bitwise_count(x ^ folded).sum() <= len(np.setxor1d(a, b))
+
+
+def test_tiles_lose_no_pair():
+    rng = np.random.default_rng(2)
+    sets, root = [], []
+    for i in range(40):
+        base = rng.integers(0, 2**63, int(rng.choice([40, 900, 1100, 2100]))).astype(np.uint64)
+        for _ in range(3):
+            new = base.copy()
+            new[: len(new) // 20] = rng.integers(0, 2**63, len(new) // 20)
+            sets.append(np.unique(new))
+            root.append(len(root))
+    n = np.array([len(u) for u in sets])
+    step = np.floor(np.log(n) / (1.000001 * np.log(100 / 80))).astype(np.int64)
+    want = {(a, b) for a in range(120) for b in range(a) if 180 * len(np.setxor1d(sets[a], sets[b])) <= 20 * (n[a] + n[b])}
+    found = set()
+    for at in np.unique(step).tolist():
+        rows = [i for i in range(120) if step[i] in (at, at + 1)]
+        columns = {"key": [1] * len(rows), "step": [at] * len(rows), "i": [0] * len(rows), "j": [0] * len(rows), "b": [0] * len(rows), "low": [bool(step[i] == at) for i in rows]}
+        columns |= {"c": rows, "root": [root[i] for i in rows], "n": [int(n[i]) for i in rows], "bits": [nj._bits(sets[i]).tolist() for i in rows]}
+        batches = pa.table(columns).to_batches(max_chunksize=7)
+        for out in nj._tile_pairs(80)(iter(batches)):
+            found |= {(max(p), min(p)) for p in zip(out["c"].to_pylist(), out["l"].to_pylist())}
+    assert len(want) > 100 and want <= found and len(found) < 2 * len(want)
+
+
 def test_sharding(docs, none):
     got = sharding.shard(docs, 5).collect()
-    assert sorted((r.size, r.text_crc32) for r in got) == sorted((len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in ROWS)
+    size = lambda t: len((t or "").encode()) + 1
+    told = lambda i, t: (-1 if i is None else i, size(t), zlib.crc32((t or "").encode()))
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == sorted(told(r[0], r[1]) for r in ROWS)
+    total = []
     for s in range(5):
-        own = [r.slot for r in got if r.shard == s]
-        assert sorted(own) == list(range(len(own)))
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        total.append(sum(r.size for r in own))
+    # slots move whole: the shards are as near as the fullest slots allow
+    load = {}
+    for r in got:
+        load[r.slot_no] = load.get(r.slot_no, 0) + r.size
+    assert sum(total) == sum(size(r[1]) for r in ROWS) and max(total) - min(total) <= max(load.values())
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault(r.slot_no, set()).add(r.shard)
+    assert all(len(v) == 1 for v in by_slot.values())
+    even = [(i, "x" * (i % 90)) for i in range(5000)]
+    total = [0] * 16
+    for r in sharding.shard(docs.sparkSession.createDataFrame(even, "doc_id long, text string"), 16).collect():
+        total[r.shard] += r.size
+    assert max(total) - min(total) <= 3
     assert sharding.shard(none, 5).count() == 0
 
 
@@ -192,6 +286,60 @@ def test_topk(spark):
     assert topk_search.topk_inner_product(v.where("false"), v.where("false"), 5).count() == 0
 
 
+def test_topk_of_repeated_ids_and_clusters(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 16))
+    x = np.round(centres[np.arange(600) % 20] * 3 + rng.normal(scale=0.05, size=(600, 16)), 3)
+    ids = [i % 550 for i in range(600)]  # fifty ids twice
+    rows = [(i, v) for i, v in zip(ids, x.tolist())] + [(None, [1.0] * 16)]
+    v = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk_search.topk_inner_product(v, v.where("vec_id % 50 = 0"), 5).collect()
+    q = np.floor(256 * x).astype(int)
+    want = []
+    for i in range(0, 550, 50):
+        best = {}
+        for a in np.flatnonzero(np.array(ids) == i):
+            for j, s in zip(ids, (q @ q[a]).tolist()):
+                if j != i:
+                    best[j] = max(best.get(j, s), s)
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(sorted((-s, j) for j, s in best.items())[:5])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_bounds_save_evaluations():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 8)) * 1000
+    x = np.floor(centres[rng.integers(0, 16, 2000)] + rng.normal(scale=20, size=(2000, 8)))
+    p = x[:32]
+    far = np.sqrt(((x[:, None] - p[None]) ** 2).sum(2))
+    table = lambda rows: pa.table({"vec_id": rows, "v": x[rows].astype(int).tolist(), "d": far[rows].tolist(), "n2": (x[rows] ** 2).sum(1), "floor": pa.nulls(len(rows), pa.int64())})
+    queries, everything = np.arange(0, 2000, 100), np.arange(2000)
+    found, evaluated = topk_search.search(table(queries), table(everything), 8, 5)
+    want = []
+    for i in queries.tolist():
+        s = (x @ x[i]).astype(int)
+        want += [(i, j, -s_) for s_, j in sorted((-int(s[j]), j) for j in range(2000) if j != i)[:5]]
+    assert sorted(found) == sorted(want) and evaluated < 0.5 * len(queries) * 2000
+
+
+def test_language_sample_is_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 20)
+    rows = [(None, f"the cat sat on mat number {i}", "en") for i in range(300)] + [(i, f"der hund und die katze nummer {i}", "de") for i in range(300)]
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda languages, rows, seed=3: seen.append((languages, len(rows))) or train(languages, rows, seed))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = language_id.language_id(docs).collect()
+    assert seen == [(["de", "en"], 40)] and len(got) == 600
+    assert sum(r.lang_pred == ("en" if r.doc_id is None else "de") for r in got) > 590
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    truth = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    got = [r for r in language_id.language_id(docs).collect() if r.held_out and truth[r.doc_id]]
+    assert len(got) > 150 and sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.98 * len(got)
+
+
 def test_language_id(docs, none, spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
     en, de = ["the cat sat on this mat with that hat", "where there is a way"], ["der hund und die katze sind nicht hier", "das ist ein haus und eine maus"]
@@ -290,6 +438,67 @@ def test_fingerprints(docs, none):
     assert fp.fingerprints(none).count() == 0
 
 
+def _plain_digest(text):
+    """The filters of a text, window by window."""
+    data, n = text.encode(), max(0, len(text.encode()) - 63)
+    if not n:
+        hashes = [int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")] if data else []
+    else:
+        ranks = []
+        for i in range(n):
+            counts = np.bincount(np.frombuffer(data[i : i + 64], np.uint8) & 31, minlength=32)
+            p = counts[counts > 0] / 64
+            e = float(-(p * np.log2(p)).sum())
+            ranks.append((1 << 21) if e < 1 - 1e-9 else (1 << 20) - min(1 << 20, int(abs(np.float32(e) - 4.0) * 65536)))
+        near = min(64, n)
+        score = np.zeros(n, int)
+        for i in range(n - near + 1):
+            score[min(range(i, i + near), key=lambda j: (ranks[j], j))] += 1
+        chosen = [i for i in range(n) if score[i] >= min(16, n - near + 1) and ranks[i] < 1 << 21]
+        power, hashes = 0x9E3779B97F4A7C15, []
+        for i in chosen:
+            h, scale = 0, 1
+            for b in data[i : i + 64]:
+                h, scale = (h + (b + 1) * scale) % 2**64, scale * power % 2**64
+            h = (h + 10 * power) % 2**64
+            h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            h = (h ^ (h >> 27)) * 0x94D049BB133111EB % 2**64
+            hashes.append(h ^ (h >> 31))
+    own = list(dict.fromkeys(hashes))
+    return [{(h >> (11 * i)) % 2048 for h in own[a : a + 160] for i in range(5)} for a in range(0, len(own), 160)]
+
+
+def _plain_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    total = weight = 0
+    for x in a:
+        best = 0.0
+        for y in b:
+            chance, most = len(x) * len(y) / 2048, min(len(x), len(y))
+            cut = chance + 0.1 * (most - chance)
+            best = max(best, min(1.0, max(0.0, (len(x & y) - cut) / max(most - cut, 1e-9))))
+        total, weight = total + best * len(x), weight + len(x)
+    return total / weight
+
+
+def test_fingerprints_against_a_plain_version(spark):
+    rng = random.Random(8)
+    base = _text(rng, 500)
+    texts = ["", "short", "x" * 200, base, _edit(rng, base, 6), _text(rng, 60), "été Ä ß " + _text(rng, 120), _text(rng, 900)]
+    got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    plain = [_plain_digest(t) for t in texts]
+    for i, t in enumerate(texts):
+        count, bits = got[i].fingerprint.split(":")
+        bits = np.unpackbits(np.frombuffer(base64.b64decode(bits), np.uint8)).reshape(-1, 2048)
+        assert int(count) == len(plain[i]) and [set(np.flatnonzero(x).tolist()) for x in bits] == plain[i]
+        new = t[: len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][: len(t) // 4]
+        assert got[i].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
+        assert abs(got[i].near_edited - _plain_likeness(plain[i], _plain_digest(new))) < 1e-5
+        assert abs(got[i].near_next - _plain_likeness(plain[i], plain[(i + 1) % len(texts)])) < 1e-5
+
+
 def test_entropy_of_windows():
     data = np.frombuffer(("the quick brown fox jumps over the lazy dog " * 4).encode(), np.uint8)
     got = fp.entropies(data)
@@ -299,6 +508,33 @@ def test_entropy_of_windows():
         assert abs(got[i] + (p * np.log2(p)).sum()) < 1e-4
 
 
+def test_passages_in_many_contexts(spark):
+    rng = random.Random(9)
+    a, b, c = _text(rng, 30), _text(rng, 40), _text(rng, 55)
+    parts = [a, b, c, f"{a} {b}", "tick " * 70, "tick " * 130]
+    texts = [" ".join(rng.choice(parts) if rng.random() < 0.6 else _text(rng, rng.randrange(1, 30)) for _ in range(rng.randrange(1, 9))) for _ in range(120)]
+    got = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        w = t.split()
+        for j in range(len(w) - 49):
+            first.setdefault(tuple(w[j : j + 50]), i)
+    for i, t in enumerate(texts):
+        w = t.split()
+        gone = np.zeros(len(w), bool)
+        for j in range(len(w) - 49):
+            if first[tuple(w[j : j + 50])] < i:
+                gone[j : j + 50] = True
+        kept = " ".join(x for x, g in zip(w, gone) if not g)
+        assert (got[i].n_words, got[i].n_removed) == (len(w), int(gone.sum()))
+        assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
+        if got[i].repeats is not None:
+            spans = np.zeros(len(w), bool)
+            for s in got[i].repeats:
+                spans[s.start : s.end] = True
+            assert np.array_equal(spans, gone)
+
+
 def test_substring_dedup(docs, none):
     key = lambda r: -1 if r[0] is None else r[0]
     first = {}
