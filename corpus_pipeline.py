@@ -95,6 +95,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
-        docs = common.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = common.finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            common.drop(before)
+        before = docs
     return docs
