@@ -46,17 +46,18 @@ def scaled(score: Column, low: Column, high: Column) -> Column:
     return F.when(high <= low, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (score - low) / (high - low))))
 
 
-def video_scores(evidence: DataFrame, evaluated: DataFrame, task: str, unit: str, units: int, weights: tuple[float, float, float] = (0.45, 0.25, 0.30)) -> DataFrame:
+def video_scores(evidence: DataFrame, evaluated: DataFrame, task: str, unit: str, units: int | str, weights: tuple[float, float, float] = (0.45, 0.25, 0.30)) -> DataFrame:
     """task, video_id, semantic, matched, evaluated, score of the videos that a task's units have seen: the mean of scaled
     maxima of matched units, the share of evaluated units that match, the share of units that were evaluated; all three
-    weights always count."""
+    weights always count.  ``units`` is a task's number of units, or the column of ``evaluated`` that has it."""
     keys = [task, "video_id"]
     best = evidence.groupBy(*keys, unit).agg(F.max("score").alias("best")).join(bounds(evidence, task, unit), [task, unit])
     semantic = best.groupBy(*keys).agg(F.round(F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))), 9).alias("semantic"), F.count("*").alias("matched"))
-    seen = evaluated.groupBy(*keys).agg(F.count_distinct(unit).alias("evaluated"))
+    number = F.max(units) if isinstance(units, str) else F.lit(units)
+    seen = evaluated.groupBy(*keys).agg(F.count_distinct(unit).alias("evaluated"), number.alias("_units"))
     joined = seen.join(semantic, keys, "left").fillna(0, ["matched"]).fillna(0.0, ["semantic"])
     a, b, c = weights
-    score = (a * F.col("semantic") + b * F.col("matched") / F.col("evaluated") + c * F.col("evaluated") / units) / (a + b + c)
+    score = (a * F.col("semantic") + b * F.col("matched") / F.col("evaluated") + c * F.col("evaluated") / F.col("_units")) / (a + b + c)
     return joined.select(*keys, "semantic", "matched", "evaluated", F.round(score, 12).alias("score"))
 
 
@@ -98,13 +99,14 @@ def relation_holds(relation: str, a_start: Column, a_end: Column, b_start: Colum
     return tests[relation]
 
 
-def scene_scores(evidence: DataFrame, task: str, unit: str, scene: str, units: int, scale_ms: float = 10000.0, relation: tuple[int, int] = (0, 1)) -> DataFrame:
+def scene_scores(evidence: DataFrame, task: str, unit: str, scene: str, units: int | str, scale_ms: float = 10000.0, relation: tuple[int, int] = (0, 1)) -> DataFrame:
     """A task's scenes (task, video_id, scene) of evidence (with unit, score, timestamp_ms): semantic (mean of scaled maxima
     of matched units, .45), coverage times evaluation (.30), temporal (compactness, .15), related (whether unit a comes
     before unit b, .10) and their sum, score.
 
     Evaluated units of a video are those with any evidence there.  A relation of which a side has no evidence is unknown
-    (null); only terms that are known count, in the weights too."""
+    (null); only terms that are known count, in the weights too.  ``units`` is a task's number of units, or the column of
+    ``evidence`` that has it."""
     first, second = relation
     keys = [task, "video_id", scene]
     best = evidence.groupBy(*keys, unit).agg(F.max("score").alias("best"), F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"))
@@ -117,11 +119,13 @@ def scene_scores(evidence: DataFrame, task: str, unit: str, scene: str, units: i
         F.max("t1").alias("end_ms"),
         (at(first, "t0", F.min) <= at(second, "t1", F.max)).alias("related"),
     )
-    s = s.join(evidence.groupBy(task, "video_id").agg(F.count_distinct(unit).alias("evaluated")), [task, "video_id"])
+    number = F.max(units) if isinstance(units, str) else F.lit(units)
+    seen = evidence.groupBy(task, "video_id").agg(F.count_distinct(unit).alias("evaluated"), number.alias("_units"))
+    s = s.join(seen, [task, "video_id"])
     s = s.withColumns(
         {
             "coverage": F.col("matched") / F.col("evaluated"),
-            "evaluation": F.col("evaluated") / units,
+            "evaluation": F.col("evaluated") / F.col("_units"),
             "temporal": 1.0 / (1.0 + (F.col("end_ms") - F.col("start_ms")) / scale_ms),
         }
     )
@@ -130,7 +134,7 @@ def scene_scores(evidence: DataFrame, task: str, unit: str, scene: str, units: i
     known = F.when(relation_score.isNull(), 0.9).otherwise(1.0)
     score = F.round((total + F.coalesce(0.10 * relation_score, F.lit(0.0))) / known, 12)
     places = {c: F.round(c, 9) for c in ("coverage", "evaluation", "temporal")}
-    return s.withColumn("score", score).withColumns(places).drop("matched", "evaluated")
+    return s.withColumn("score", score).withColumns(places).drop("matched", "evaluated", "_units")
 
 
 def scene_order(scenes: DataFrame, task: str, per_video: int = 3, most: int = 100) -> DataFrame:

@@ -50,19 +50,60 @@ def encode(rows: DataFrame, text: str, encoder: Encoder, batch: int = 256) -> Da
 
 def rerank(ranked: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], top: int) -> DataFrame:
     """``place``: the best ``top`` of each query by a second score, equal ones as they were; the tail keeps its order.
-    Where the scorer fails for a batch, that batch keeps its order."""
-    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in ranked.schema.fields) + ", second double"
+    Where the scorer fails for a batch, that batch keeps its order, and ``failed`` says so."""
+    schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in ranked.schema.fields) + ", second double, failed boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
                 s = np.asarray(score(b), float)
-                s = s if len(s) == len(b) and np.isfinite(s).all() else np.zeros(len(b))
+                good = len(s) == len(b) and np.isfinite(s).all()
             except Exception:  # noqa: BLE001  a model's failure only costs the second order
-                s = np.zeros(len(b))
-            yield b.assign(second=s)
+                good = False
+            yield b.assign(second=s if good else np.zeros(len(b)), failed=not good)
 
     head = ranked.where(F.col("rank") <= top).mapInPandas(run, schema)
-    both = head.unionByName(ranked.where(F.col("rank") > top).withColumn("second", F.lit(None).cast("double")))
+    both = head.unionByName(ranked.where(F.col("rank") > top).withColumns({"second": F.lit(None).cast("double"), "failed": F.lit(False)}))
     order = W.partitionBy("query_id").orderBy(F.desc_nulls_last("second"), "rank")
     return both.withColumn("place", F.row_number().over(order))
+
+
+#: (answers, frame_ids, confidences) for the texts, kinds and frames of some windows.
+Answerer = Callable[[list[str], list[str], list[list[int]]], tuple[list[str], list[int], list[float]]]
+
+
+def answer(windows: DataFrame, answerer: Answerer, most: int = 10, sure: float = 0.4) -> DataFrame:
+    """``answer``, ``frame_id``, ``confidence``, ``retried`` for the ``most`` first windows of each question.
+
+    ``windows`` has question, kind, place, text, frames and wide (lists of frames).  A TEMPORAL question's answer that is
+    not ``sure`` is asked for again with the wide frames, and the surer one is kept.  An answer that names a frame that it
+    was not shown is no answer: it and its frame are null."""
+    kept = [f for f in windows.schema.fields]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", answer string, frame_id long, confidence double, retried boolean"
+
+    def ask(batch: pd.DataFrame, frames: str) -> pd.DataFrame:
+        shown = [list(map(int, x)) for x in batch[frames]]
+        said, at, sure_of = answerer(batch["text"].tolist(), batch["kind"].tolist(), shown)
+        real = [f in s for f, s in zip(at, shown)]
+        return pd.DataFrame(
+            {
+                "answer": [a if r else None for a, r in zip(said, real)],
+                "frame_id": pd.array([f if r else None for f, r in zip(at, real)], "Int64"),
+                "confidence": [float(c) if r else 0.0 for c, r in zip(sure_of, real)],
+            },
+            index=batch.index,
+        )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            got = ask(b, "frames").assign(retried=False)
+            again = b[(b["kind"] == "TEMPORAL") & (got["confidence"] < sure)]
+            if len(again):
+                second = ask(again, "wide").assign(retried=True)
+                better = second[second["confidence"] > got.loc[second.index, "confidence"]]
+                got.loc[better.index] = better
+            yield pd.concat([b, got], axis=1)
+
+    return windows.where(F.col("place") <= most).mapInPandas(run, schema)

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import fusion, ports, vector
+from ..functions import text
+from ..operators import evidence, fusion, ports, sequences, vector
 from ..sources import bundles, shared, views
 from ..sources.views import with_views
 from ..streaming import events, sessions
+from . import scalars
 from .registry import query
 from .relational import hits
 
@@ -91,6 +93,64 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
     return events.drained(sessions.stream(hints), "session-stream", "append")
 
 
+@query()
+def progressive_search(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions step by step over their hints: each new unit with the relation it states, its twenty nearest transcript
+    segments, the fifty best conversations of a session, and their three best scenes."""
+    steps = sessions.replay(_hints(spark, d)).where("decision in ('FIRST', 'APPEND')").where("unit <> ''")
+    steps = shared.written(steps.select("session", "version", "unit"), "steps")
+    relation = text.temporal_relation(F.col("unit"), F.col("version") > 1)
+    counted = steps.withColumn("units", F.count("*").over(W.partitionBy("session"))).withColumn("relation", relation)
+    coded = ports.encode(counted, "unit", ports.hashing_encoder())
+    units = coded.select(
+        (F.col("session") * 1000 + F.col("version")).alias("query_id"), F.col("session").alias("task"), (F.col("version") - 1).alias("event"),
+        "units", "relation", F.col("embedding").alias("query"),
+    )
+    units = shared.written(units, "units")
+    segments = views.segments(spark, d).where("status = 'completed'")
+    index = ports.encode(segments, "text", ports.hashing_encoder()).where("embedding is not null").select(
+        (F.col("video_id") * 1000 + F.col("segment_index")).alias("frame_id"), "video_id", F.col("start_ms").alias("timestamp_ms"), "embedding"
+    )
+    found = vector.knn_join(units.select("query_id", "query"), index, 20)
+    e = shared.written(found.join(units.drop("query"), "query_id"), "session-evidence")
+    scores = evidence.video_scores(e, e.select("task", "event", "video_id", "units"), "task", "event", "units")
+    pool = fusion.top_per(scores, ["task"], [F.desc("score"), F.col("video_id")], 50, "_n").select("task", "video_id")
+    kept = e.join(pool, ["task", "video_id"], "left_semi")
+    scenes = sequences.gap_sessions(kept, ["task", "video_id"], "timestamp_ms", 10000, "frame_id").withColumnRenamed("session", "scene")
+    scored = evidence.scene_scores(scenes, "task", "event", "scene", "units")
+    best = evidence.scene_order(scored, "task", 3, 3)
+    stated = units.groupBy("task").agg(F.concat_ws(",", F.sort_array(F.collect_set("relation"))).alias("relations"))
+    out = best.select(F.col("task").alias("session"), "place", "video_id", "start_ms", "end_ms", F.round("score", 6).alias("score"))
+    return out.join(stated.withColumnRenamed("task", "session"), "session")
+
+
+_ASKED = """WITH q AS (SELECT conv_id, text AS asked FROM conversations WHERE turn = 0),
+  w AS (SELECT conv_id, turn, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS place FROM conversations WHERE turn > 0),
+  a AS (SELECT conv_id, place::INTEGER AS place, kind, turn, n, (n % 10) / 10.0::DOUBLE AS c1, (n % 7) / 7.0::DOUBLE AS c2, n % 5 <> 0 AS shown FROM w JOIN (SELECT conv_id, {kind} AS kind FROM q) USING (conv_id) WHERE place <= 3),
+  r AS (SELECT *, CASE WHEN shown THEN c1 ELSE 0 END AS first, kind = 'TEMPORAL' AND CASE WHEN shown THEN c1 ELSE 0 END < 0.4 AND c2 > CASE WHEN shown THEN c1 ELSE 0 END AS again FROM a)
+  SELECT conv_id, place, kind, CASE WHEN again THEN turn + 1 WHEN shown THEN turn ELSE -1 END AS frame_id, round(CASE WHEN again THEN c2 ELSE first END, 6) AS confidence, again AS retried FROM r"""
+
+
+def _middle(texts: list[str], kinds: list[str], frames: list[list[int]]) -> tuple[list[str], list[int], list[float]]:
+    """A stand-in for a model: names the last frame, or for some texts one that it was not shown."""
+    wide = [len(f) > 1 for f in frames]
+    at = [f[-1] if w or len(t) % 5 else -1 for t, f, w in zip(texts, frames, wide)]
+    return [t.split(" ")[0] for t in texts], at, [len(t) % 7 / 7 if w else len(t) % 10 / 10 for t, w in zip(texts, wide)]
+
+
+@query(_ASKED.replace("{kind}", scalars.kind_sql("asked")))
+def answer_questions(spark: SparkSession, d: str) -> DataFrame:
+    """A conversation's first turn as a question, its three longest other turns as windows to answer from."""
+    c = views.read(spark, d, "conversations")
+    asked = c.where("turn = 0").select("conv_id", text.question_kind(F.col("text")).alias("kind"))
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("n"), "turn"))
+    turn = F.col("turn").cast("long")
+    w = c.where("turn > 0").withColumn("n", F.length("text")).withColumn("place", place).where("place <= 3").join(asked, "conv_id")
+    w = w.select("conv_id", "kind", "place", "text", F.array(turn).alias("frames"), F.array(turn, turn + 1).alias("wide"))
+    got = ports.answer(w, _middle, 3)
+    return got.select("conv_id", "place", "kind", F.coalesce("frame_id", F.lit(-1)).alias("frame_id"), F.round("confidence", 6).alias("confidence"), "retried")
+
+
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL")
 def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     e = events.source(spark, f"{d}/[e]vents.parquet", "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")

@@ -27,14 +27,17 @@ def scan_projection(spark: SparkSession, d: str) -> DataFrame:
     return views.read(spark, d, "documents").where("n_chars > 2000").select("doc_id", "source")
 
 
-@query(with_views("frames", """ SELECT video_id::VARCHAR AS video_id, count(*) AS rows, 0::BIGINT AS gaps, 25.0::DOUBLE AS fps, 0::BIGINT AS negative,
-  max(round_even(timestamp_ms / 1000.0::DOUBLE * 1000, 0))::BIGINT AS last_ms FROM frames GROUP BY 1"""))
+@query(with_views("frames", """ SELECT video_id::VARCHAR AS video_id, count(*) AS rows, max(keyframe_order) - count(*) + min(keyframe_order) - 1 AS gaps,
+  count(DISTINCT CASE WHEN frame_id % 31 = 0 THEN 30.0 ELSE 25.0 END) AS rates, count(*) FILTER (WHERE frame_id % 23 = 0) AS negative,
+  max(round_even(timestamp_ms / 1000.0::DOUBLE * 1000, 0))::BIGINT AS last_ms FROM frames WHERE frame_id % 17 <> 0 GROUP BY 1"""))
 def scan_mapping_csv(spark: SparkSession, d: str) -> DataFrame:
-    """A CSV file for each video (n, pts_time, fps, frame_idx), strictly read; its name is the video; n runs 1..N."""
-    path = shared.shared_path(spark, "mapping")
-    rows = views.frames(spark, d).select(
-        "video_id", F.col("keyframe_order").alias("n"), (F.col("timestamp_ms") / 1000.0).alias("pts_time"), F.lit(25.0).alias("fps"), "frame_idx"
-    )
+    """A CSV file for each video (n, pts_time, fps, frame_idx), strictly read; its name is the video.  What breaks the
+    contract is counted: n should run 1..N, with one rate and no negative index."""
+    path, i = shared.shared_path(spark, "mapping"), F.col("frame_id")
+    rows = views.frames(spark, d).where(i % 17 != 0).select(
+        "video_id", F.col("keyframe_order").alias("n"), (F.col("timestamp_ms") / 1000.0).alias("pts_time"),
+        F.when(i % 31 == 0, 30.0).otherwise(25.0).alias("fps"), F.when(i % 23 == 0, -1).otherwise(F.col("frame_idx")).alias("frame_idx"),
+    )
     rows.repartition("video_id").sortWithinPartitions("video_id", "n").write.partitionBy("video_id").option("header", True).csv(path)
     schema = "n long, pts_time double, fps double, frame_idx long"
     got = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).csv(path)
@@ -42,7 +45,7 @@ def scan_mapping_csv(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("video_id").agg(
         F.count("*").alias("rows"),
         (F.max("n") - F.count("*") + F.min("n") - 1).alias("gaps"),
-        F.max("fps").alias("fps"),
+        F.count_distinct("fps").alias("rates"),
         F.sum((F.col("frame_idx") < 0).cast("long")).alias("negative"),
         F.max(F.bround(F.col("pts_time") * 1000).cast("long")).alias("last_ms"),
     )
@@ -225,13 +228,13 @@ def hits(spark: SparkSession, d: str, k: int = 50) -> DataFrame:
     return vector.knn_join(views.queries(spark, d), views.frames(spark, d).drop("keyframe_order"), k)
 
 
-@query(with_views("frames", """ SELECT f.frame_id, f.video_id, f.keyframe_order, round_even((f.keyframe_order - 1) * 2.0005::DOUBLE * 1000, 0)::BIGINT AS timestamp_ms FROM frames f"""))
+@query(with_views("frames", """ SELECT f.frame_id, f.video_id, f.keyframe_order, CASE WHEN frame_id % 9 <> 0 THEN round_even((f.keyframe_order - 1) * 2.0005::DOUBLE * 1000, 0)::BIGINT ELSE -1 END AS timestamp_ms FROM frames f"""))
 def mapping_join(spark: SparkSession, d: str) -> DataFrame:
-    """Frames with their mapping, one to one; seconds become milliseconds, halves to even."""
+    """Frames with their mapping; seconds become milliseconds, halves to even; -1 where there is none."""
     f = views.frames(spark, d)
-    mapping = f.select("video_id", "keyframe_order", ((F.col("keyframe_order") - 1) * F.lit(2.0005)).alias("pts"))
+    mapping = f.where("frame_id % 9 <> 0").select("video_id", "keyframe_order", ((F.col("keyframe_order") - 1) * F.lit(2.0005)).alias("pts"))
     joined = f.select("frame_id", "video_id", "keyframe_order").join(mapping, ["video_id", "keyframe_order"], "left")
-    return joined.select("frame_id", "video_id", "keyframe_order", F.bround(F.col("pts") * 1000).cast("long").alias("timestamp_ms"))
+    return joined.select("frame_id", "video_id", "keyframe_order", F.coalesce(F.bround(F.col("pts") * 1000).cast("long"), F.lit(-1)).alias("timestamp_ms"))
 
 
 @query("""SELECT * FROM (SELECT 'unmatched' AS contract, count(*) AS n FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
@@ -365,11 +368,11 @@ def rrf_source_lost(spark: SparkSession, d: str) -> DataFrame:
     return fusion.reciprocal_rank(ranked, weights).select("query_id", "frame_id", "fusion_score", "rank")
 
 
-@query(with_views("frames queries hits", " SELECT h.query_id, h.frame_id, f.video_id, f.frame_idx, f.timestamp_ms <> 2000 * f.frame_idx AS conflict FROM hits h JOIN frames f USING (frame_id) WHERE h.rank <= 15"))
+@query(with_views("frames queries hits", " SELECT h.query_id, h.frame_id, f.video_id, f.frame_idx, h.frame_id % 7 = 0 AS conflict FROM hits h JOIN frames f USING (frame_id) WHERE h.rank <= 15"))
 def candidate_lookup(spark: SparkSession, d: str) -> DataFrame:
-    h = hits(spark, d, 15).select("query_id", "frame_id", F.col("timestamp_ms").alias("told"))
+    h = hits(spark, d, 15).select("query_id", "frame_id", (F.col("timestamp_ms") + (F.col("frame_id") % 7 == 0).cast("int")).alias("told"))
     f = views.frames(spark, d).select("frame_id", "video_id", "frame_idx", "timestamp_ms")
-    return h.join(f, "frame_id").select("query_id", "frame_id", "video_id", "frame_idx", (F.col("told") != 2000 * F.col("frame_idx")).alias("conflict"))
+    return h.join(f, "frame_id").select("query_id", "frame_id", "video_id", "frame_idx", (F.col("told") != F.col("timestamp_ms")).alias("conflict"))
 
 
 @query(with_views("detections", """ SELECT video_id, day, string_agg(label, ',' ORDER BY detection_id) AS labels, count(*) AS n FROM detections GROUP BY ALL"""))
@@ -381,11 +384,15 @@ def parent_child_join(spark: SparkSession, d: str) -> DataFrame:
     return parents.join(child, ["video_id", "day"]).select("video_id", "day", F.array_join("x.label", ",").alias("labels"), F.size("x").cast("long").alias("n"))
 
 
-@query(with_views("frames", " SELECT count(*) AS rows, count(*) FILTER (WHERE f.video_id % 10 <> e.label) AS other_video FROM frames f LEFT JOIN embeddings e ON e.vec_id = f.frame_id"))
+@query(with_views("frames", " SELECT count(*) AS rows, count(*) FILTER (WHERE f.frame_id % 13 = 0) AS missing, count(*) FILTER (WHERE f.frame_id % 13 <> 0 AND f.frame_id % 11 = 0) AS other_video FROM frames f"))
 def index_alignment(spark: SparkSession, d: str) -> DataFrame:
-    f, e = views.frames(spark, d), views.read(spark, d, "embeddings").select("vec_id", "label")
+    """Frames against an index that lacks some and holds others under another video."""
+    f, e = views.frames(spark, d), views.read(spark, d, "embeddings").where("vec_id % 13 <> 0")
+    e = e.select("vec_id", (F.col("label") + (F.col("vec_id") % 11 == 0).cast("int")).alias("label"))
     joined = f.join(e, f.frame_id == e.vec_id, "left")
-    return joined.agg(F.count("*").alias("rows"), F.sum((F.col("video_id") % 10 != F.col("label")).cast("long")).alias("other_video"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    other = F.col("video_id") % 10 != F.col("label")
+    return joined.agg(F.count("*").alias("rows"), n(F.col("label").isNull()).alias("missing"), n(other).alias("other_video"))
 
 
 @query(with_views("timeline", " SELECT video_id, count(*) AS n FROM timeline WHERE video_id IN (SELECT user_id FROM events WHERE value > 99) GROUP BY video_id"))
