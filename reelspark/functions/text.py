@@ -148,6 +148,53 @@ def bounded_error(c: Column, n: int = 300) -> Column:
     return F.substring(collapse(masked), 1, n)
 
 
-def video_id(path: Column) -> Column:
-    """A video's id from a path: its last name without the extension; from a plain name, itself."""
-    return F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, r"[?#].*$", ""), "/"), -1), r"\.[A-Za-z0-9]+$", "")
+def short_answer(c: Column, n: int = 100) -> Column:
+    """A model's answer: what follows its thoughts, without fences, on one line, at most n characters; null if empty."""
+    said = F.trim(F.element_at(F.split(c, "</think>"), -1))
+    said = F.regexp_replace(said, r"(?s)^```(.*)```$", "$1")
+    return F.nullif(F.rtrim(F.substring(collapse(said), 1, n)), F.lit(""))
+
+
+# Folders that are no part of a video's id, prefixes of its first part, endings of files.
+FOLDERS = ("data", "raw", "videos", "keyframes", "video", "keyframe", "frames", "features", "images", "map-keyframes", "map_keyframes")
+ENDINGS = ("mp4", "mkv", "avi", "mov", "webm", "jpg", "jpeg", "png", "webp", "csv")
+PREFIX = "^(Videos_|Keyframes_)"
+
+
+def _from_path(path: Column, prefixed: bool) -> tuple[Column, Column]:
+    """"a.b.c" from a path's three parts from a prefixed one on, or its first three; and whether there are three."""
+    parts = F.filter(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), lambda x: (x != "") & ~x.isin(*FOLDERS))
+    named = F.array_position(F.transform(parts, lambda x: x.rlike(PREFIX)), True)
+    start = F.when(named > 0, named.cast("int")) if prefixed else F.when(named > 0, named.cast("int")).otherwise(F.lit(1))
+    a, b, c = (F.try_element_at(parts, start + i) for i in range(3))
+    return F.concat_ws(".", F.regexp_replace(a, PREFIX, ""), b, F.regexp_replace(c, r"^(.+)\.[^.]+$", "$1")), c.isNotNull()
+
+
+def video_id(given: Column, fallback: Column | None = None) -> Column:
+    """A video's id as folder.group.number, from such an id, a path, or a file name of four parts; else from the path
+    ``fallback`` if that is one of a video tree; else what is given, without its prefix."""
+    fallback = F.lit(None).cast("string") if fallback is None else fallback
+    c = F.coalesce(F.nullif(F.trim(given), F.lit("")), F.trim(fallback), F.lit(""))
+    path = c.contains("/") | c.contains("\\")
+    dots = F.split(c, r"\.")
+    bare = F.regexp_replace(c, PREFIX, "")
+    three, has_three = _from_path(c, False)
+    other, has_other = _from_path(fallback, True)
+    named = (F.size(dots) == 4) & F.lower(F.element_at(dots, -1)).isin(*ENDINGS)
+    return (
+        F.when((F.size(dots) == 3) & ~path, bare)
+        .when(path & has_three, three)
+        .when(named, F.regexp_replace(bare, r"\.[^.]*$", ""))
+        .when(F.coalesce(has_other, F.lit(False)), other)
+        .otherwise(bare)
+    )
+
+
+def is_integer(token: Column) -> Column:
+    """Whether a JSON token is an integer: no string, fraction or boolean."""
+    return token.rlike("^-?(0|[1-9][0-9]*)$")
+
+
+def is_canonical(c: Column) -> Column:
+    """Whether a string is as it should be stored: not empty, no white space around it."""
+    return c.isNotNull() & (c != "") & (c == F.regexp_replace(c, r"^\s+|\s+$", ""))

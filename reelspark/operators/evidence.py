@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions import text as strings
+
 
 def object_summary(detections: DataFrame, keys: list[str], least: float, top: int) -> DataFrame:
     """keys, summary ("label xN; ..."), detection_count: labels of enough confidence by count, confidence, name."""
@@ -17,9 +19,9 @@ def object_summary(detections: DataFrame, keys: list[str], least: float, top: in
 
 
 def distinct_text(rows: DataFrame, keys: list[str], order: str, text: str, glue: str = " ") -> DataFrame:
-    """Texts of a group joined in order, each (without case and runs of blanks) once, where it came first."""
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
-    first = rows.withColumn("_t", clean).where("_t <> ''").groupBy(*keys, F.lower("_t").alias("_k")).agg(F.min(F.struct(order, "_t")).alias("f"))
+    """Texts of a group, composed, joined in order, each (without case and runs of blanks) once, where it came first."""
+    rows = rows.withColumn("_t", strings.nfc_collapse(F.col(text))).where("_t <> ''")
+    first = rows.withColumn("_k", strings.composed(F.col("_t"), fold=True)).groupBy(*keys, "_k").agg(F.min(F.struct(order, "_t")).alias("f"))
     listed = first.groupBy(*keys).agg(F.sort_array(F.collect_list("f")).alias("x"))
     return listed.select(*keys, F.array_join("x._t", glue).alias("text"), F.size("x").cast("long").alias("parts"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,8 +18,13 @@ def union_sources(lists: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def active_weights(configured: dict[str, float], active: set[str]) -> dict[str, float]:
-    """Weights of the sources that answered, scaled so that they add up to what all of them would."""
+def active_weights(configured: dict[str, float], active: set[str], required: set[str] = frozenset()) -> dict[str, float]:
+    """Weights of the sources that answered, scaled so that they add up to what all of them would.  Without a required
+    source there is no answer; the loss of another one is a warning."""
+    if lost := sorted(required - active):
+        raise ValueError(f"required sources failed: {', '.join(lost)}")
+    if lost := sorted(set(configured) - active):
+        warnings.warn(f"sources failed: {', '.join(lost)}", stacklevel=2)
     left = {s: w for s, w in configured.items() if s in active}
     scale = sum(configured.values()) / sum(left.values()) if left and len(left) < len(configured) else 1.0
     return {s: w * scale for s, w in left.items()}

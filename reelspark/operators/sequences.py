@@ -154,6 +154,17 @@ def early_diversity(ranked: DataFrame, query: str, depth: int, most: int) -> Dat
     return rows.withColumn("place", F.row_number().over(W.partitionBy(query).orderBy("_late", "rank"))).drop("_first", "_late")
 
 
+def sampled(rows: DataFrame, keys: list[str], order: list[str], most: int, required: str) -> DataFrame:
+    """At most ``most`` rows of each key: all of them if there are no more, else the required ones in order, then those at
+    even places (halves to even), then the first of the rest."""
+    own = W.partitionBy(*keys)
+    rows = rows.withColumns({"_i": F.row_number().over(own.orderBy(*order)) - 1, "_n": F.count("*").over(own)})
+    places = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.bround(k * (F.col("_n") - 1) / float(max(1, most - 1))).cast("int"))
+    choice = F.when(F.col(required), 0).when(F.array_contains(places, F.col("_i")), 1).otherwise(2)
+    taken = F.row_number().over(own.orderBy(choice, "_i"))
+    return rows.withColumn("_taken", taken).where(F.col("_taken") <= most).drop("_i", "_n", "_taken")
+
+
 def temporal_nms(times: np.ndarray, window: int) -> np.ndarray:
     """For rows in order of rank, the number of the kept row that suppresses each within ``window``; its own if kept."""
     kept: list[int] = []

@@ -216,8 +216,8 @@ def caption_report(spark: SparkSession, d: str) -> DataFrame:
     return h.select("source", at(0.5).alias("p50"), at(0.95).alias("p95"), F.round(F.col("chars") / F.col("n"), 6).alias("throughput"))
 
 
-@query("""SELECT conv_id, string_agg(t, ' ' ORDER BY turn) AS text, count(*) AS parts FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations
-  QUALIFY row_number() OVER (PARTITION BY conv_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) ORDER BY turn) = 1) WHERE t <> '' GROUP BY conv_id""")
+@query("""SELECT conv_id, string_agg(t, ' ' ORDER BY turn) AS text, count(*) AS parts FROM (SELECT conv_id, turn, trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g')) AS t FROM conversations
+  QUALIFY row_number() OVER (PARTITION BY conv_id, replace(lower(trim(regexp_replace(nfc_normalize(text), '\\s+', ' ', 'g'))), 'ß', 'ss') ORDER BY turn) = 1) WHERE t <> '' GROUP BY conv_id""")
 def distinct_transcript_text(spark: SparkSession, d: str) -> DataFrame:
     return evidence.distinct_text(views.read(spark, d, "conversations"), ["conv_id"], "turn", "text")
 

@@ -163,14 +163,21 @@ def session_windows(spark: SparkSession, d: str) -> DataFrame:
     return events.session_windows(views.read(spark, d, "events")).select("user_id", "n", "total")
 
 
-@query(with_views("frames segments", " SELECT 'frames' AS name, count(*) AS rows FROM frames UNION ALL SELECT 'segments', count(*) FROM segments"))
+@query(with_views("frames segments evidence", """ SELECT 'frames' AS name, count(*) AS rows, 64 AS dimension FROM frames UNION ALL SELECT 'segments', count(*), 0 FROM segments UNION ALL SELECT 'captions', count(*), 0 FROM captions
+  UNION ALL SELECT 'ocr', count(*), 0 FROM ocr UNION ALL SELECT 'objects', count(*), 0 FROM objects"""))
 def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """Two tables published under a version, the manifest last, and loaded by the pointer, verified."""
+    """Five tables published under a version, the manifest last, then a second version of fewer; rolled back, and the first
+    loaded by the pointer, its schemas, rows, digests and dimensions verified."""
     root = shared.shared_path(spark, "bundle")
-    bundles.publish({"frames": views.frames(spark, d), "segments": views.segments(spark, d)}, root, "v1", {"dimension": 64})
+    _, captions, ocr, objects = views.evidence(spark, d)
+    tables = {"frames": views.frames(spark, d), "segments": views.segments(spark, d), "captions": captions, "ocr": ocr, "objects": objects}
+    bundles.publish(tables, root, "v1", {"dimension": 64})
+    bundles.publish({"ocr": ocr}, root, "v2")
+    bundles.rollback(spark, root, "v1")
     out = None
     for name, df in bundles.load(spark, root).items():
-        part = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows")
+        size = F.max(F.size("embedding")) if "embedding" in df.columns else F.lit(0)
+        part = df.agg(F.count("*").alias("rows"), size.alias("dimension")).select(F.lit(name).alias("name"), "rows", "dimension")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -82,14 +82,20 @@ def scan_evaluation_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return got.where(F.length(F.trim("query")) > 0).withColumn("tolerance_ms", F.coalesce("tolerance_ms", F.lit(0).cast("long")))
 
 
-@query("SELECT count(*) FILTER (WHERE o.doc_id IS NULL) AS extra, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE o.n <> l.n) AS wrong_size FROM (SELECT doc_id, length(text) AS n FROM documents) o FULL JOIN (SELECT doc_id, n_chars + (doc_id % 97 = 0)::INT AS n FROM documents WHERE doc_id % 53 <> 0) l ON o.doc_id = l.doc_id")
+@query("""SELECT count(*) FILTER (WHERE o.doc_id IS NULL) AS extra, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) FILTER (WHERE o.n <> l.n) AS wrong_size, count(*) FILTER (WHERE o.n = l.n AND o.h <> l.h) AS wrong_checksum
+  FROM (SELECT doc_id, length(text) AS n, md5(text) AS h FROM documents) o FULL JOIN
+  (SELECT doc_id, n_chars + (doc_id % 97 = 0)::INT AS n, md5(text || CASE WHEN doc_id % 89 = 0 THEN 'x' ELSE '' END) AS h FROM documents WHERE doc_id % 53 <> 0) l ON o.doc_id = l.doc_id""")
 def verify_inventory(spark: SparkSession, d: str) -> DataFrame:
-    """A listing against its inventory: missing, extra and of a wrong size."""
-    docs = views.read(spark, d, "documents")
-    have = docs.select("doc_id", F.length("text").cast("long").alias("n"), F.lit(1).alias("h"))
-    told = docs.where("doc_id % 53 <> 0").select("doc_id", (F.col("n_chars") + (F.col("doc_id") % 97 == 0).cast("int")).alias("m"), F.lit(1).alias("t"))
+    """A listing against its inventory: missing, extra, of a wrong size, of another checksum."""
+    docs, i = views.read(spark, d, "documents"), F.col("doc_id")
+    have = docs.select("doc_id", F.length("text").cast("long").alias("n"), F.md5("text").alias("h"), F.lit(1).alias("here"))
+    checksum = F.md5(F.concat("text", F.when(i % 89 == 0, "x").otherwise("")))
+    told = docs.where("doc_id % 53 <> 0").select("doc_id", (F.col("n_chars") + (i % 97 == 0).cast("int")).alias("m"), checksum.alias("c"), F.lit(1).alias("told"))
     n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
-    return have.join(told, "doc_id", "full").agg(n(F.col("h").isNull()).alias("extra"), n(F.col("t").isNull()).alias("missing"), n(F.col("n") != F.col("m")).alias("wrong_size"))
+    same = F.col("n") == F.col("m")
+    return have.join(told, "doc_id", "full").agg(
+        n(F.col("here").isNull()).alias("extra"), n(F.col("told").isNull()).alias("missing"), n(~same).alias("wrong_size"), n(same & (F.col("h") != F.col("c"))).alias("wrong_checksum")
+    )
 
 
 # ---- filters and lookups
@@ -133,23 +139,38 @@ def min_score_after_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_views("evidence", """ SELECT b.frame_id, CASE WHEN c.status = 'completed' AND trim(c.caption_text) <> '' THEN c.caption_text END AS caption,
-  CASE WHEN o.quality >= 0.5 AND trim(o.ocr_text) <> '' THEN o.ocr_text END AS ocr FROM base b LEFT JOIN captions c USING (frame_id) LEFT JOIN ocr o USING (frame_id)"""))
+  CASE WHEN o.quality >= 0.5 AND trim(o.ocr_text) <> '' THEN o.ocr_text END AS ocr, CASE WHEN x.object_count > 0 AND trim(x.object_summary) <> '' THEN x.object_summary END AS objects
+  FROM base b LEFT JOIN captions c USING (frame_id) LEFT JOIN ocr o USING (frame_id) LEFT JOIN objects x USING (frame_id)"""))
 def usable_evidence(spark: SparkSession, d: str) -> DataFrame:
-    base, captions, ocr, _ = views.evidence(spark, d)
-    return base.join(captions, "frame_id", "left").join(ocr, "frame_id", "left").select(
+    base, captions, ocr, objects = views.evidence(spark, d)
+    return base.join(captions, "frame_id", "left").join(ocr, "frame_id", "left").join(objects, "frame_id", "left").select(
         "frame_id",
         F.when((F.col("status") == "completed") & (F.trim("caption_text") != ""), F.col("caption_text")).alias("caption"),
         F.when((F.col("quality") >= 0.5) & (F.trim("ocr_text") != ""), F.col("ocr_text")).alias("ocr"),
+        F.when((F.col("object_count") > 0) & (F.trim("object_summary") != ""), F.col("object_summary")).alias("objects"),
     )
 
 
-@query("""SELECT d.doc_id, CASE WHEN n = 1 AND quality = 1 THEN 'reuse' ELSE 'todo' END AS decision FROM documents d
-  LEFT JOIN (SELECT doc_id, count(*) AS n, max(quality) AS quality FROM labels GROUP BY doc_id) p USING (doc_id)""")
+@query("""WITH prior AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'completed' ELSE 'failed' END AS status, 'v' || toxic AS version, md5(text) || CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE '' END AS lineage
+    FROM labels JOIN documents USING (doc_id)), p AS (SELECT doc_id, count(*) AS n, max(status) AS status, max(version) AS version, max(lineage) AS lineage FROM prior GROUP BY doc_id)
+  SELECT d.doc_id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' WHEN status <> 'completed' THEN 'failed' WHEN version <> 'v0' THEN 'version' WHEN lineage <> md5(text) THEN 'lineage' ELSE 'reuse' END AS decision
+  FROM documents d LEFT JOIN p USING (doc_id)""")
 def resume_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Earlier work is reused where exactly one earlier row is complete and of the version asked for."""
-    prior = views.read(spark, d, "labels").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("quality").alias("quality"))
-    ok = (F.col("n") == 1) & (F.col("quality") == 1)
-    return views.read(spark, d, "documents").join(prior, "doc_id", "left").select("doc_id", F.when(ok, "reuse").otherwise("todo").alias("decision"))
+    """Earlier work is reused where exactly one earlier row is complete, of the version asked for, and made of the same
+    input; else why not."""
+    docs = views.read(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"))
+    stale = F.when(F.col("doc_id") % 13 == 0, "x").otherwise("")
+    prior = views.read(spark, d, "labels").join(docs, "doc_id").groupBy("doc_id").agg(
+        F.count("*").alias("n"),
+        F.max(F.when(F.col("quality") == 1, "completed").otherwise("failed")).alias("status"),
+        F.max(F.concat(F.lit("v"), F.col("toxic").cast("string"))).alias("version"),
+        F.max(F.concat("digest", stale)).alias("lineage"),
+    )
+    why = (
+        F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").when(F.col("status") != "completed", "failed")
+        .when(F.col("version") != "v0", "version").when(F.col("lineage") != F.col("digest"), "lineage").otherwise("reuse")
+    )
+    return docs.join(prior, "doc_id", "left").select("doc_id", why.alias("decision"))
 
 
 @query(with_views("segments", " SELECT segment_id, video_id, start_ms FROM segments WHERE start_ms <= 9000 AND 9000 < end_ms"))
@@ -362,9 +383,9 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("frames queries hits", """ SELECT query_id, frame_id, round(1.5::DOUBLE / (60 + rank), 9) AS fusion_score, rank::INTEGER AS rank FROM hits WHERE rank <= 10"""))
 def rrf_source_lost(spark: SparkSession, d: str) -> DataFrame:
-    """One of two sources has failed: the other's weight is scaled to the sum of both."""
+    """One of two sources has failed, one that is not required: the other's weight is scaled to the sum of both."""
     ranked = two_sources(spark, d).where("source = 'visual' and rank <= 10")
-    weights = fusion.active_weights({"visual": 1.0, "late": 0.5}, {"visual"})
+    weights = fusion.active_weights({"visual": 1.0, "late": 0.5}, {"visual"}, required={"visual"})
     return fusion.reciprocal_rank(ranked, weights).select("query_id", "frame_id", "fusion_score", "rank")
 
 

@@ -130,9 +130,17 @@ def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
     return j.select("item_id", F.size(text.tokens(F.col("q"))).cast("long").alias("n"), F.round(text.token_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
 
 
-@query("SELECT page_id, regexp_replace(string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1], '\\.[A-Za-z0-9]+$', '') AS video_id, left(trim(regexp_replace(regexp_replace(html, '(?i)(token|key|secret|password)\\s*[=:]\\s*\\S+', '\\1=***', 'g'), '\\s+', ' ', 'g')), 60) AS message FROM pages")
+_FOLDERS = ", ".join(f"'{x}'" for x in text.FOLDERS)
+
+
+@query(f"""WITH p AS (SELECT page_id, url, html, list_filter(string_split(url, '/'), lambda x: x <> '' AND x NOT IN ({_FOLDERS})) AS parts FROM pages)
+  SELECT page_id, CASE WHEN len(parts) >= 3 THEN parts[1] || '.' || parts[2] || '.' || regexp_replace(parts[3], '^(.+)\\.[^.]+$', '\\1') ELSE url END AS video_id,
+  left(trim(regexp_replace(regexp_replace(html, '(?i)(token|key|secret|password)\\s*[=:]\\s*\\S+', '\\1=***', 'g'), '\\s+', ' ', 'g')), 60) AS message,
+  nullif(rtrim(left(trim(regexp_replace(html, '\\s+', ' ', 'g')), 100)), '') AS answer FROM p""")
 def path_ids(spark: SparkSession, d: str) -> DataFrame:
-    return views.read(spark, d, "pages").select("page_id", text.video_id(F.col("url")).alias("video_id"), text.bounded_error(F.col("html"), 60).alias("message"))
+    return views.read(spark, d, "pages").select(
+        "page_id", text.video_id(F.col("url")).alias("video_id"), text.bounded_error(F.col("html"), 60).alias("message"), text.short_answer(F.col("html")).alias("answer")
+    )
 
 
 @query("""SELECT event_id, round(greatest(0, least(1, value / 100.0)), 6) AS clamped, round(pow(greatest(value - 50, 0), 1.5), 4) AS power, round(exp(-value / 100.0::DOUBLE), 6) AS penalty,
@@ -205,12 +213,25 @@ def hash_functions(spark: SparkSession, d: str) -> DataFrame:
     return views.read(spark, d, "documents").select("doc_id", p.alias("path_id"), F.sha2(F.concat_ws(":", "source", F.col("doc_id").cast("string")), 256).alias("version"))
 
 
-@query("SELECT count(*) FILTER (WHERE text <> trim(text)) AS untrimmed, count(*) FILTER (WHERE n_chars <> length(text)) AS wrong_length, count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr', 'es')) AS unknown_lang, count(*) AS rows FROM documents")
+@query("""WITH e AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN k || '.5' WHEN 2 THEN '"' || k || '"' ELSE k END AS token, value FROM
+    (SELECT event_id, value, json_extract_string(props, '$.k') AS k FROM events))
+  SELECT event_id, regexp_full_match(token, '-?(0|[1-9][0-9]*)') AS is_integer, value / 100 BETWEEN 0 AND 1 AS is_unit FROM e""")
+def strict_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """JSON tokens that are integers (not true, 1.5 or "1"), and numbers that are shares."""
+    m, k = F.col("event_id") % 5, F.get_json_object("props", "$.k")
+    token = F.when(m == 0, "true").when(m == 1, F.concat(k, F.lit(".5"))).when(m == 2, F.concat(F.lit('"'), k, F.lit('"'))).otherwise(k)
+    share = (F.col("value") / 100).between(0, 1)
+    return views.read(spark, d, "events").select("event_id", text.is_integer(token).alias("is_integer"), share.alias("is_unit"))
+
+
+@query("""SELECT count(*) FILTER (WHERE NOT coalesce(text <> '' AND text = regexp_replace(text, '^\\s+|\\s+$', '', 'g'), false)) AS not_canonical, count(*) FILTER (WHERE n_chars <> length(text)) AS wrong_length,
+  count(*) FILTER (WHERE lang NOT IN ('en', 'de', 'fr', 'es')) AS unknown_lang, count(*) AS rows FROM documents""")
 def strict_validation(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda c: F.sum(c.cast("long"))
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
     return views.read(spark, d, "documents").agg(
-        n(F.col("text") != F.trim("text")).alias("untrimmed"), n(F.col("n_chars") != F.length("text")).alias("wrong_length"), n(~F.col("lang").isin("en", "de", "fr", "es")).alias("unknown_lang"), F.count("*").alias("rows")
-    )
+        n(~text.is_canonical(F.col("text"))).alias("not_canonical"), n(F.col("n_chars") != F.length("text")).alias("wrong_length"),
+        n(~F.col("lang").isin("en", "de", "fr", "es")).alias("unknown_lang"), F.count("*").alias("rows"),
+    )
 
 
 @query(with_views("segments", """, u AS (SELECT video_id, min(start_ms) FILTER (WHERE segment_index % 2 = 0) AS a0, max(end_ms) FILTER (WHERE segment_index % 2 = 0) AS a1, min(start_ms) FILTER (WHERE segment_index % 2 = 1) AS b0, max(end_ms) FILTER (WHERE segment_index % 2 = 1) AS b1 FROM segments GROUP BY video_id)
@@ -321,6 +342,12 @@ def counts_json(spark: SparkSession, d: str) -> DataFrame:
     return m.select("video_id", "day", F.to_json("m").alias("counts_json"))
 
 
-@query("SELECT event_type AS stage, count(*) AS traces, round(sum(value), 3) AS total_ms, round(max(value), 6) AS slowest_ms FROM events GROUP BY event_type")
+@query("""SELECT CASE WHEN user_id % 2 = 0 THEN 'global.' ELSE 'local.' END || event_type AS stage, count(*) AS traces, count(*) - count(DISTINCT ts) AS repeated, round(sum(value), 3) AS total_ms,
+  round(max(value), 6) AS slowest_ms FROM events GROUP BY ALL""")
 def trace_summary(spark: SparkSession, d: str) -> DataFrame:
-    return views.read(spark, d, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("traces"), F.round(F.sum("value"), 3).alias("total_ms"), F.round(F.max("value"), 6).alias("slowest_ms"))
+    """Traces of two branches under their branch's name, merged; a stage that has two traces of one time is told."""
+    branch = F.when(F.col("user_id") % 2 == 0, "global.").otherwise("local.")
+    e = views.read(spark, d, "events").withColumn("stage", F.concat(branch, "event_type"))
+    return e.groupBy("stage").agg(
+        F.count("*").alias("traces"), (F.count("*") - F.count_distinct("ts")).alias("repeated"), F.round(F.sum("value"), 3).alias("total_ms"), F.round(F.max("value"), 6).alias("slowest_ms")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from ..operators import fusion
+from ..operators import fusion, joins
 from ..operators import sequences as seq
 from ..operators import vector
 from ..sources import shared, views
@@ -289,14 +289,18 @@ def window_suppression(spark: SparkSession, d: str) -> DataFrame:
     return seq.fold(w, "video_id", ["less", "a", "segment_id"], "keep", "boolean", f).select("video_id", "segment_id", "score", "keep")
 
 
-@query(with_views("timeline", """, c AS (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM timeline)
-  SELECT DISTINCT video_id, frame_id, frame_idx FROM c, generate_series(0, 4) g(i) WHERE frame_idx = round_even(g.i * (n - 1) / 4.0::DOUBLE, 0)"""))
+def _sampled(source: str, keys: str, most: int) -> str:
+    """SQL: (keys, frame_id) of the rows of ``source`` (keys, i, n, frame_id, required) that ``sampled`` takes."""
+    places = f"list_transform(range({most}), lambda k: round_even(k * (n - 1) / {most - 1}.0::DOUBLE, 0)::INTEGER)"
+    choice = f"CASE WHEN required THEN 0 WHEN list_contains({places}, i::INTEGER) THEN 1 ELSE 2 END"
+    return f"SELECT {keys}, frame_id FROM {source} QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {choice}, i) <= {most}"
+
+
+@query(with_views("timeline", """, c AS (SELECT video_id, frame_id, frame_idx AS i, count(*) OVER (PARTITION BY video_id) AS n, motion_score >= 150 AS required FROM timeline) """ + _sampled("c", "video_id", 5)))
 def uniform_sample(spark: SparkSession, d: str) -> DataFrame:
-    """Five rows of each video at even places, halves to even."""
-    t = views.timeline(spark, d).select("video_id", "frame_id", "frame_idx")
-    places = t.groupBy("video_id").agg(F.count("*").alias("n")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    places = places.select("video_id", F.bround(F.col("i") * (F.col("n") - 1) / 4.0).cast("long").alias("frame_idx")).distinct()
-    return t.join(places, ["video_id", "frame_idx"])
+    """Five rows of each video: those of most motion, then those at even places."""
+    t = views.timeline(spark, d).select("video_id", "frame_id", "timestamp_ms", (F.col("motion_score") >= 150).alias("required"))
+    return seq.sampled(t, ["video_id"], ["timestamp_ms", "frame_id"], 5, "required").select("video_id", "frame_id")
 
 
 @query(with_views("segments", " SELECT video_id, count(*) FILTER (WHERE start_ms < prior) AS overlaps, count(*) FILTER (WHERE end_ms <= start_ms) AS empty FROM (SELECT *, lag(end_ms) OVER (PARTITION BY video_id ORDER BY segment_index) AS prior FROM segments) GROUP BY video_id"))
@@ -347,6 +351,24 @@ def window_expansion(spark: SparkSession, d: str) -> DataFrame:
     return a.join(t.withColumnRenamed("frame_id", "other_id"), ["video_id", "frame_idx"]).select("frame_id", "other_id")
 
 
+@query(with_views(_HITS, """, s AS (SELECT query_id, video_id, timestamp_ms // 20000 AS scene, min(timestamp_ms) - 8000 AS a, max(timestamp_ms) + 8000 AS b, count(*) AS had FROM hits GROUP BY ALL),
+  f AS (SELECT s.query_id, s.video_id, s.scene, f.frame_id, h.frame_id IS NOT NULL AS required, had, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY s.query_id, s.video_id, s.scene) AS n
+    FROM s JOIN frames f ON f.video_id = s.video_id AND f.timestamp_ms BETWEEN s.a AND s.b LEFT JOIN hits h ON h.query_id = s.query_id AND h.frame_id = f.frame_id AND h.timestamp_ms // 20000 = s.scene
+    WINDOW w AS (PARTITION BY s.query_id, s.video_id, s.scene ORDER BY f.timestamp_ms, f.frame_idx, f.frame_id)), g AS (SELECT * FROM f WHERE n > had) """ + _sampled("g", "query_id, video_id, scene", 6)))
+def fallback_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Scenes widened by eight seconds on either side, six frames of each, its own first; none where nothing is gained."""
+    keys = ["query_id", "video_id", "scene"]
+    h = hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", F.expr("timestamp_ms div 20000").alias("scene"))
+    h = shared.written(h, "scene-hits")
+    s = h.groupBy(*keys).agg((F.min("timestamp_ms") - 8000).alias("l_start"), (F.max("timestamp_ms") + 8001).alias("l_end"), F.count("*").alias("had"))
+    f = views.frames(spark, d).select("video_id", "frame_id", "frame_idx", "timestamp_ms")
+    f = f.withColumns({"r_start": F.col("timestamp_ms"), "r_end": F.col("timestamp_ms") + 1})
+    rows = joins.overlap_join(s, f, "video_id", 40_000).withColumn("n", F.count("*").over(W.partitionBy(*keys))).where("n > had")
+    own = h.select(*keys, "frame_id", F.lit(True).alias("own"))
+    rows = rows.join(own, [*keys, "frame_id"], "left").withColumn("required", F.coalesce("own", F.lit(False)))
+    return seq.sampled(rows, keys, ["timestamp_ms", "frame_idx", "frame_id"], 6, "required").select(*keys, "frame_id")
+
+
 @query(with_views(_HITS, " SELECT query_id, frame_id, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN -(frame_id % 13) ELSE 0 END, rank)::INTEGER AS place FROM hits"))
 def rerank_top(spark: SparkSession, d: str) -> DataFrame:
     """The best ten by a second score, the tail as it was."""

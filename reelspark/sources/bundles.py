@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
 def digest(df: DataFrame) -> tuple[int, int]:
@@ -19,32 +20,63 @@ def _one_line(spark: SparkSession, path: str, value: dict, mode: str) -> None:
     spark.createDataFrame([(json.dumps(value, sort_keys=True),)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
+def _written(df: DataFrame, path: str) -> tuple[int, int]:
+    """Writes a table; its rows and digest, taken on the way."""
+    seen = Observation()
+    h = F.xxhash64(F.to_json(F.struct(*sorted(df.columns))))
+    df.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x")).write.mode("errorifexists").parquet(path)
+    return seen.get["n"], seen.get["x"]
+
+
+def _dimensions(df: DataFrame) -> dict[str, list[int]]:
+    """The sizes of each array column's values, null ones left out."""
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    if not arrays:
+        return {}
+    row = df.agg(*[F.sort_array(F.collect_set(F.size(c))).alias(c) for c in arrays]).first()
+    return {c: [n for n in row[c] if n >= 0][:2] for c in arrays}  # one size is right, two are enough to be wrong
+
+
 def publish(tables: dict[str, DataFrame], root: str, version: str, meta: dict | None = None) -> str:
-    """Writes every table under root/version, verifies it by reading it again, then the manifest, then the pointer to the
-    newest version.  A version that stands is refused; one that broke off has no manifest and is never read."""
+    """Writes every table under root/version, reads it again and verifies it, then writes the manifest (rows, digest, schema
+    and dimensions of each), then the pointer to the newest version.  A version that stands is refused; one that broke off
+    has no manifest and is never read.  Vectors of a table must be of one dimension, ``meta``'s if it names one."""
     spark, seen = next(iter(tables.values())).sparkSession, {}
     for name, df in tables.items():
         path = f"{root}/{version}/{name}"
-        df.write.mode("errorifexists").parquet(path)
-        rows, hashed = digest(spark.read.parquet(path))
-        if (rows, hashed) != digest(df):
+        rows, hashed = _written(df, path)
+        got = spark.read.parquet(path)
+        if (rows, hashed) != digest(got):
             raise ValueError(f"{name} was not written as it is")
-        seen[name] = {"rows": rows, "digest": str(hashed), "columns": df.columns}
+        sizes = _dimensions(got) if meta and "dimension" in meta else {}
+        if any(n not in ([], [meta["dimension"]]) for n in sizes.values()):
+            raise ValueError(f"{name} has vectors of other dimensions: {sizes}")
+        seen[name] = {"rows": rows, "digest": str(hashed), "schema": got.schema.simpleString(), "dimensions": sizes}
     _one_line(spark, f"{root}/{version}/manifest", {"tables": seen, "meta": meta or {}}, "errorifexists")
     _one_line(spark, f"{root}/latest", {"version": version}, "overwrite")
     return version
 
 
+def rollback(spark: SparkSession, root: str, version: str) -> None:
+    """Points to an earlier version again, if it is whole."""
+    load(spark, root, version)
+    _one_line(spark, f"{root}/latest", {"version": version}, "overwrite")
+
+
 def load(spark: SparkSession, root: str, version: str | None = None, verify: bool = True) -> dict[str, DataFrame]:
-    """The tables of a version, the newest by default; with ``verify`` their rows and digests are held against the
-    manifest."""
+    """The tables of a version, the newest by default; with ``verify`` their schemas, rows, digests and dimensions are held
+    against the manifest."""
     version = version or json.loads(spark.read.text(f"{root}/latest").first()[0])["version"]
     manifest = json.loads(spark.read.text(f"{root}/{version}/manifest").first()[0])
     out = {}
     for name, told in manifest["tables"].items():
         df = spark.read.parquet(f"{root}/{version}/{name}")
+        if verify and df.schema.simpleString() != told["schema"]:
+            raise ValueError(f"{name} has another schema than its manifest")
         if verify and digest(df) != (told["rows"], int(told["digest"])):
             raise ValueError(f"{name} differs from its manifest")
+        if verify and told["dimensions"] and _dimensions(df) != told["dimensions"]:
+            raise ValueError(f"{name} has vectors of other dimensions than its manifest")
         out[name] = df
     return out
 

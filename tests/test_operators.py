@@ -248,3 +248,72 @@ def test_best_rows_of_many_batches(spark):
 def test_every_pair(spark):
     a, b = spark.range(5).toDF("x"), spark.range(7).toDF("y")
     assert sorted((r.x, r.y) for r in joins.every_pair(a, b).collect()) == [(x, y) for x in range(5) for y in range(7)]
+
+
+def test_video_ids(spark):
+    cases = [
+        ("Videos_L26_b/videos/L26_V196/001.mp4", None, "L26_b.L26_V196.001"),
+        ("Keyframes_L26_b/keyframes/L26_V196/001/0001.jpg", None, "L26_b.L26_V196.001"),
+        ("Videos_L26_b.L26_V196.001", None, "L26_b.L26_V196.001"),
+        ("L26_b.L26_V196.001", None, "L26_b.L26_V196.001"),
+        ("data/x/Videos_L1/raw/L2\\\\003.webm", None, "L1.L2.003"),
+        ("Videos_L1.L2.003.mp4", None, "L1.L2.003"),
+        ("L2", "Videos_L1/videos/L2/003.mp4", "L1.L2.003"),
+        ("L2", "somewhere/else/x.mp4", "L2"),
+        ("", "Videos_L1/videos/L2/003.mp4", "L1.L2.003"),
+        ("Videos_L2", None, "L2"),
+    ]
+    rows = spark.createDataFrame(cases, "given string, fallback string, want string")
+    got = rows.select("want", text.video_id(F.col("given"), F.col("fallback")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_short_answers_and_strict_values(spark):
+    said = [("<think>hm</think> two\n dogs ", "two dogs"), ("```3```", "3"), ("  ", None), ("x" * 120, "x" * 100)]
+    got = spark.createDataFrame(said, "t string, want string").select("want", text.short_answer(F.col("t")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    tokens = {"1": True, "-12": True, "true": False, "1.5": False, '"1"': False, "01": False}
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", text.is_integer(F.col("t")).alias("ok")).collect()
+    assert {r.t: r.ok for r in got} == tokens
+
+
+def test_required_sources():
+    with pytest.raises(ValueError):
+        fusion.active_weights({"a": 1.0, "b": 1.0}, {"b"}, required={"a"})
+    with pytest.warns(UserWarning):
+        assert fusion.active_weights({"a": 1.0, "b": 1.0}, {"b"}, required={"b"}) == {"b": 2.0}
+
+
+def test_bundle_versions(spark, tmp_path):
+    root, vectors = str(tmp_path / "b"), "id int, v array<double>"
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], vectors)
+    bundles.publish({"t": one}, root, "v1", {"dimension": 2})
+    with pytest.raises(ValueError):
+        bundles.publish({"t": spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], vectors)}, root, "v2", {"dimension": 2})
+    assert bundles.load(spark, root)["t"].count() == 2  # the broken version was never pointed to
+    bundles.publish({"t": one.limit(1)}, root, "v3", {"dimension": 2})
+    assert bundles.load(spark, root)["t"].count() == 1
+    bundles.rollback(spark, root, "v1")
+    assert bundles.load(spark, root)["t"].count() == 2
+    one.withColumn("more", F.lit(1)).write.mode("overwrite").parquet(f"{root}/v1/t")
+    with pytest.raises(ValueError):
+        bundles.load(spark, root)
+
+
+def test_sampling_keeps_required_rows(spark):
+    rows = [("v", i, i in (1, 2)) for i in range(11)] + [("w", i, False) for i in range(3)]
+    got = seq.sampled(spark.createDataFrame(rows, "k string, i int, r boolean"), ["k"], ["i"], 5, "r").collect()
+    # even places: 0, 2.5 to 2, 5, 7.5 to 8, 10
+    assert sorted((r.k, r.i) for r in got) == [("v", 0), ("v", 1), ("v", 2), ("v", 5), ("v", 8), ("w", 0), ("w", 1), ("w", 2)]
+
+
+def test_answers_are_asked_for_again(spark):
+    rows = [(1, "TEMPORAL", 1, "a", [1], [1, 2]), (1, "TEMPORAL", 2, "b", [3], [3, 4]), (1, "COUNT", 3, "c", [5], [5, 6]), (1, "COUNT", 4, "d", [7], [7, 8]), (1, "COUNT", 5, "e", [9], [9])]
+    windows = spark.createDataFrame(rows, "question int, kind string, place int, text string, frames array<long>, wide array<long>")
+
+    def model(texts, kinds, frames):
+        sure = {"a": 0.1, "b": 0.9, "c": 0.2, "d": 0.5}
+        return [t.upper() for t in texts], [f[-1] if t != "d" else 99 for t, f in zip(texts, frames)], [sure[t] + 0.3 * (len(f) > 1) for t, f in zip(texts, frames)]
+
+    got = {r.text: (r.answer, r.frame_id, round(r.confidence, 6), r.retried) for r in ports.answer(windows, model, 4).collect()}
+    assert got == {"a": ("A", 2, 0.4, True), "b": ("B", 3, 0.9, False), "c": ("C", 5, 0.2, False), "d": (None, None, 0.0, False)}
