@@ -2,7 +2,10 @@
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir), works on all rows its predecessor kept, and
 returns a DataFrame that is written as Parquet and read again as the next one's ``docs``.  All but the last return the
-columns of ``documents``.
+columns of ``documents``; other columns of the input, whatever their names, are left behind.
+
+An empty table gives an empty one at every stage.  Rows are documents each, also where they repeat, share a doc_id or have
+none; what a stage does for nulls, blank and very long texts and ties is said at the stage.
 """
 
 from __future__ import annotations
@@ -46,13 +49,15 @@ def _ids(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; texts without letters and those below the calibrated score go."""
+    """Documents whose language is known; null texts, texts without letters and those below the calibrated score go.  A
+    null lang is no label to learn from; whole texts are read."""
     return language_id(docs, keep=tuple(COLUMNS)).where("accepted").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of at least 0.8 over five-word shingles connect, that of the smallest id.
-    Documents that only share an id, or have none, are different ones."""
+    A null or blank text is like no other, so all of those stay; of equal texts the one of the smallest id stays, a null
+    id first, of equal rows one.  Documents that only share an id, or have none, are different ones."""
     docs = _unique(docs)
     groups = ngram_jaccard(docs, k=5, percent=80)
     first = common.table(_ids(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))), "first")
@@ -60,7 +65,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 50 words and more that an earlier document has; a text left without words goes."""
+    """Texts without the passages of 50 words and more that an earlier document, by id, null first, has; a text of which
+    all words go, goes.  A null or blank text and one of fewer words stays as it is."""
     docs = _unique(docs)
     cut = common.table(_ids(substring_dedup(docs).where("n_removed > 0"), "kept_text"), "cut")
     ids, rows = cut.select("_id"), _by_id(docs)
@@ -71,7 +77,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, up to twice.  A null source is a source; null and blank texts have no
+    words, and are taken in turn like others."""
     docs = _unique(docs)
     taken = mix(docs).where("copies > 0")
     copies = common.table(_ids(taken, "copies"), "copies")
@@ -80,7 +87,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 2048 tokens."""
+    """The pieces of all documents, placed in sequences of 2048 tokens; a null text is the end token alone, a long one is
+    cut into pieces."""
     return best_fit_packing(docs, vocabulary())
 
 
