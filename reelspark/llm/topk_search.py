@@ -1,11 +1,11 @@
 """Exact top-k inner products by pivot-table elimination.
 
 1. A fixed number of vectors are pivots.  Every vector's distances to all pivots are computed once and stored with it: the
-   pivot table.  Vectors are dealt into blocks by their nearest pivot; a block keeps the least and the greatest of its
-   distances to each pivot.
+   pivot table.  Vectors are dealt into cells by their nearest pivot (few vectors into few cells, of several pivots), and
+   cells into blocks; a block keeps the least and the greatest of its distances to each pivot.
 2. By the triangle inequality |d(q, p) - d(x, p)| is at most d(q, x) for each pivot, so the largest of them is a lower
    bound of the distance, and with the norms an upper bound of the inner product.
-3. Each query is first held against a block of its own nearest pivot; its k-th score there is a floor for what follows.
+3. Each query is first held against a block of the cell of its own nearest pivot; its k-th score there is a floor for what follows.
 4. Blocks of queries and blocks of candidates meet only if the bound between their ranges of distances reaches the lowest
    floor in the block.  Where they meet, a query's candidates are evaluated in order of their own bounds until the bound
    falls below the query's k-th best score.  The best k of all blocks are ranked together.
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -71,17 +71,24 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 n2 = (x**2).sum(1)
                 d = np.sqrt(np.maximum(n2[:, None] + (p**2).sum(1)[None] - 2 * x @ p.T, 0))
                 near = d.argmin(1) if len(p) else np.zeros(len(x), int)
-                columns = [*own.columns, lists(list(d), pa.float64()), pa.array(near.astype(np.int32)), pa.array(n2)]
+                columns = [*own.columns, lists(list(d.astype(np.float32)), pa.float32()), pa.array(near.astype(np.int32)), pa.array(n2)]
                 yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, "d", "near", "n2"])
 
-    return vectors.mapInArrow(run, "vec_id long, v array<long>, dims int, d array<double>, near int, n2 double")
+    return vectors.mapInArrow(run, "vec_id long, v array<long>, dims int, d array<float>, near int, n2 double")
 
 
-def _dealt(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` of the pivot table with ``block``, a struct of dims, near and a part of at most about BLOCK rows."""
-    parts = rows.groupBy("dims", "near").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+def _cell(count: int) -> Column:
+    """The cell of a row of the pivot table, when so many rows are dealt out."""
+    cells = min(PIVOTS, max(1, -(-count // BLOCK)))
+    return F.floor(F.col("near") * cells / PIVOTS).cast("int")
+
+
+def _dealt(rows: DataFrame, count: int, name: str) -> DataFrame:
+    """``rows`` of the pivot table with ``name``, a block: a struct of dims, cell and a part of about BLOCK rows."""
+    rows = rows.withColumn("cell", _cell(count))
+    parts = rows.groupBy("dims", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     part = F.pmod(F.xxhash64("vec_id"), "parts").cast("int")
-    return rows.join(parts, ["dims", "near"]).select("*", F.struct("dims", "near", part.alias("part")).alias(name)).drop("parts")
+    return rows.join(parts, ["dims", "cell"]).select("*", F.struct("dims", "cell", part.alias("part")).alias(name)).drop("parts", "cell")
 
 
 def _ranges(rows: DataFrame, block: str, *more) -> DataFrame:
@@ -165,15 +172,18 @@ def topk_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> Da
     dims = F.size("v").alias("dims")
     given = common.table(vectors.select("vec_id", "v", dims), "vectors")
     pivots = _pivots(given)
-    seen = common.table(_dealt(common.table(pivot_table(given, pivots), "pivots"), "x"), "blocks")
-    asked = common.table(_dealt(pivot_table(queries.select("vec_id", "v", dims), pivots), "q"), "asked")
-
-    # a floor for each query: the k-th score among a block of its nearest pivot; a repeated id counts once
-    own = ["dims", "near", "part"]
-    left = asked.withColumn("part", F.col("q.part")).withColumn("floor", F.lit(None).cast("long"))
-    first = asked.select("q").distinct().select("q.*")
-    right = seen.where("x.part = 0").join(first, ["dims", "near"])
-    tried = _met(left, right, own, k).distinct()
+    rows, questions = (common.table(pivot_table(r, pivots), "pivots") for r in (given, queries.select("vec_id", "v", dims)))
+    n = rows.count()
+    seen = common.table(_dealt(rows, n, "x"), "blocks")
+    asked = common.table(_dealt(questions, questions.count(), "q"), "asked")
+    common.drop(given, rows, questions)
+
+    # a floor for each query: the k-th score among a block of its nearest pivot's cell; a repeated id counts once
+    own = ["dims", "cell", "q"]
+    left = asked.withColumns({"cell": _cell(n), "floor": F.lit(None).cast("long")})
+    first = seen.where("x.part = 0").withColumn("cell", F.col("x.cell"))
+    homes = common.table(left.select(*own).distinct(), "homes")
+    tried = _met(left, first.join(homes, ["dims", "cell"]), own, k)
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     floors = tried.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("place", place)
     floors = floors.where(F.col("place") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
