@@ -322,14 +322,23 @@ def scene_evidence(spark: SparkSession, d: str) -> DataFrame:
     return ranked.select("task", "frame_id", "scene_score", "rank")
 
 
-@query(with_views(_HITS, " SELECT query_id, count(*) AS results, round(max(score), 6) AS best, round(avg(score), 6) AS mean FROM hits GROUP BY query_id"))
+@query(with_views("frames queries gold hits", """ SELECT query_id, count(*) AS results, round(max(score), 6) AS best, round(avg(score), 6) AS mean, count(g.frame_id) = 0 AS failed
+  FROM hits LEFT JOIN gold g USING (query_id, frame_id) GROUP BY query_id"""))
 def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
-    """The per-query report, written as JSON and CSV; the CSV read again."""
+    """The per-query report, written as JSON and CSV, and the queries without a gold frame as a file of failures; the files
+    read again."""
     path = shared.shared_path(spark, "report")
-    rows = hits(spark, d).groupBy("query_id").agg(F.count("*").alias("results"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"))
+    gold = views.gold(spark, d).withColumn("gold", F.lit(1))
+    rows = hits(spark, d).join(gold, ["query_id", "frame_id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("results"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"), F.count("gold").alias("found")
+    )
+    rows = shared.written(rows, "report-rows")
     rows.write.json(f"{path}/json")
-    rows.write.option("header", True).csv(f"{path}/csv")
-    return spark.read.schema("query_id long, results long, best double, mean double").option("header", True).csv(f"{path}/csv")
+    rows.drop("found").write.option("header", True).csv(f"{path}/csv")
+    rows.where("found = 0").select("query_id").write.json(f"{path}/failures")
+    report = spark.read.schema("query_id long, results long, best double, mean double").option("header", True).csv(f"{path}/csv")
+    failures = spark.read.schema("query_id long").json(f"{path}/failures").withColumn("failed", F.lit(True))
+    return report.join(failures, "query_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
 
 
 @query(with_views("timeline", " SELECT video_id, count(*) AS frames, count(DISTINCT event_type) AS kinds, max(motion_score) AS peak, arg_max(frame_id, (motion_score, -frame_id)) AS peak_frame FROM timeline GROUP BY video_id"))

@@ -76,7 +76,8 @@ def _hints(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("conv_id").orderBy("turn")
     c = views.read(spark, d, "conversations")
     hint = F.when(F.col("turn") % 5 == 4, F.col("text")).otherwise(F.array_join(F.collect_list("text").over(w), " "))
-    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), hint.alias("hint"))
+    seen = F.when(F.col("turn") % 6 == 3, F.col("turn") % 4).cast("int")  # of some hints the version their sender has seen
+    return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), hint.alias("hint"), seen.alias("base"))
 
 
 @query()
@@ -89,10 +90,35 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same hints as a stream with keyed state."""
     path = shared.shared_path(spark, "hints")
     _hints(spark, d).write.parquet(path)
-    hints = events.source(spark, path, "session long, seq long, hint string")
+    hints = events.source(spark, path, "session long, seq long, hint string, base int")
     return events.drained(sessions.stream(hints), "session-stream", "append")
 
 
+@query("""SELECT 'v1' AS version, count(*) AS todo, count(*) FILTER (WHERE event_id % 10 <> 0) AS completed, count(*) FILTER (WHERE event_id % 10 = 0) AS failed FROM events
+  UNION ALL SELECT 'v2', count(*) FILTER (WHERE event_id % 10 = 0), count(*), 0 FROM events""")
+def evidence_build(spark: SparkSession, d: str) -> DataFrame:
+    """An artifact built in two runs: what fails in the first is a row of its failures, the second takes up what is left;
+    each run is published whole, and must cover its input."""
+    root, e = shared.shared_path(spark, "build"), views.read(spark, d, "events").select("event_id", "props")
+
+    def run(todo: DataFrame, done: DataFrame | None, version: str) -> tuple[str, int, int, int]:
+        made = todo.withColumn("k", F.from_json("props", "k long")["k"])
+        completed = made.where("k is not null").select("event_id", "k")
+        completed = completed if done is None else done.unionByName(completed)
+        failures = made.where("k is null").select("event_id", F.lit("InvalidJson").alias("error"), F.substring("props", 1, 300).alias("message"))
+        bundles.publish({"completed": completed, "failures": failures}, root, version)
+        n = {name: df.count() for name, df in bundles.load(spark, root).items()}
+        if sum(n.values()) != e.count():
+            raise ValueError(f"{version} does not cover its input")
+        return version, todo.count(), n["completed"], n["failures"]
+
+    broken = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), "props")).otherwise(F.col("props"))
+    first = run(e.withColumn("props", broken), None, "v1")
+    done = bundles.load(spark, root)["completed"]
+    second = run(bundles.todo(e, done, ["event_id"]), done, "v2")
+    return spark.createDataFrame([first, second], "version string, todo long, completed long, failed long")
+
+
 @query()
 def progressive_search(spark: SparkSession, d: str) -> DataFrame:
     """Sessions step by step over their hints: each new unit with the relation it states, its twenty nearest transcript

@@ -20,9 +20,16 @@ def _key(text: str) -> str:
     return "".join(c for c in text.casefold() if unicodedata.category(c)[0] not in "PZ" and not c.isspace())
 
 
-def step(version: int, units: list[str], hint: str | None, now: str) -> tuple[int, list[str], str | None, str, str | None]:
+def step(
+    version: int, units: list[str], hint: str | None, now: str, base: int | None = None
+) -> tuple[int, list[str], str | None, str, str | None]:
     """One snapshot: (version, units, hint, decision, new unit).  A first or longer hint commits a unit and a version; an
-    equal one changes nothing; a rewritten one, or one unit too many, is refused."""
+    equal one changes nothing; a rewritten one, or one unit too many, is refused.
+
+    ``base`` is the version that the sender has seen, if it says so: what it sends is refused if the session has another
+    one by now (CONFLICT), or is unknown or forgotten (GONE)."""
+    if base is not None and base != version:
+        return version, units, hint, "CONFLICT" if version else "GONE", None
     now = re.sub(r"\s+", " ", unicodedata.normalize("NFC", now)).strip()
     if not now:
         return version, units, hint, "EMPTY", None
@@ -42,19 +49,21 @@ def _run(rows: pd.DataFrame, state: tuple) -> tuple[pd.DataFrame, tuple]:
     version, units, hint = state
     out = []
     for r in rows.sort_values("seq").itertuples():
-        version, units, hint, decision, unit = step(version, units, hint, r.hint or "")
+        base = getattr(r, "base", None)
+        base = None if base is None or pd.isna(base) else int(base)
+        version, units, hint, decision, unit = step(version, units, hint, r.hint or "", base)
         out.append((r.session, r.seq, version, decision, unit, len(units)))
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")]), (version, units, hint)
 
 
 def replay(hints: DataFrame) -> DataFrame:
-    """The decisions over a table (session, seq, hint): what the stream would have said."""
+    """The decisions over a table (session, seq, hint, and base if given): what the stream would have said."""
     return hints.groupBy("session").applyInPandas(lambda rows: _run(rows, (0, [], None))[0], OUTPUT)
 
 
 def stream(hints: DataFrame, idle: str = "30 minutes") -> DataFrame:
-    """The same over a stream of (session, seq, hint).  One task holds a session's state at a time, so its versions need no
-    compare-and-set; a session idle for so long is forgotten, and its next hint is a first one."""
+    """The same over a stream of (session, seq, hint, and base if given).  One task holds a session's state at a time, which
+    makes ``base`` a compare-and-set; a session idle for so long is forgotten, and its next hint is a first one."""
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -196,6 +196,9 @@ def test_session_steps():
         out.append((decision, unit))
     assert out == [("EMPTY", None), ("FIRST", "a dog"), ("NO_CHANGE", None), ("APPEND", "runs fast"), ("REPLACEMENT", None)]
     assert state[0] == 2
+    assert sessions.step(2, ["a", "b"], "a b", "a b c", base=2)[3] == "APPEND"
+    assert sessions.step(2, ["a", "b"], "a b", "a b c", base=1)[:4] == (2, ["a", "b"], "a b", "CONFLICT")
+    assert sessions.step(0, [], None, "a", base=3)[3] == "GONE" and sessions.step(0, [], None, "a", base=0)[3] == "FIRST"
 
 
 def test_bundles(spark, tmp_path):
