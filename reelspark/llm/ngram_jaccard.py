@@ -37,7 +37,7 @@ FIRST, RATIO = 4, 4
 #: The least number of bits of the sketch that candidates are held against; larger sets have at least a bit a shingle.
 SKETCH_BITS = 1024
 #: Sets of one word that meet in a task, on either side; followers that meet a copy of their leader's set in a task.
-TILE, FOLLOWERS = 1024, 128
+TILE, FOLLOWERS = 512, 128
 
 
 def _difference(a: int, b: int, percent: int) -> int:

@@ -149,9 +149,12 @@ def pack_pieces(items: DataFrame, capacity: int) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     out = out.withColumn("sequence_id", F.monotonically_increasing_id())
-    before = F.transform(
-        F.sequence(F.lit(1), F.size("members")),
-        lambda i: F.aggregate(F.slice("members", 1, i - 1), F.lit(0).cast("long"), lambda s, m: s + m["length"]),
+    start = F.struct(F.array().cast("array<long>").alias("before"), F.lit(0).cast("long").alias("total"))
+    before = F.aggregate(
+        "members",
+        start,
+        lambda s, m: F.struct(F.concat(s["before"], F.array(s["total"])).alias("before"), (s["total"] + m["length"]).alias("total")),
+        lambda s: s["before"],
     )
     zipped = out.select("sequence_id", F.explode(F.arrays_zip(F.col("members").alias("m"), before.alias("offset"))).alias("x"))
     return zipped.select("x.m.*", "sequence_id", F.col("x.offset").alias("offset"))

@@ -38,23 +38,32 @@ def _sha(words: list[bytes]) -> bytes:
     return hashlib.sha256(b" ".join(words)).digest()
 
 
-def _runs(words: Words, grams: np.ndarray, p: int, q: int, width: int, k: int) -> tuple[np.ndarray, ...]:
-    """(begins, ends, anchors, matches) of the runs of the document of words p to q: the first and the last window of
-    each, its anchor and the hash of all its words."""
-    low = sliding_min(grams[p : q - k + 1], width - k + 1)
-    begins = np.append(0, np.flatnonzero(low[1:] != low[:-1]) + 1)
+def _runs(words: Words, width: int, k: int) -> tuple[np.ndarray, ...]:
+    """(texts, begins, ends, anchors, matches) of the runs of some texts, in order: the text, its first and its last window
+    of the run, its anchor and the hash of all words that the run holds."""
+    firsts = words.bounds[:-1]
+    windows = np.maximum(np.diff(words.bounds) - width + 1, 0)
+    if not windows.any():
+        none = np.zeros(0, np.int64)
+        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+    text = np.repeat(np.arange(len(firsts)), windows)
+    at = firsts[text] + np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    low = sliding_min(words.grams(k), width - k + 1)[at]
+    begins = np.append(0, np.flatnonzero((low[1:] != low[:-1]) | (text[1:] != text[:-1])) + 1)
     ends = np.append(begins[1:] - 1, len(low) - 1)
-    return begins, ends, low[begins], words.spans(p + begins, p + ends + width, 31)
+    first = firsts[text[begins]]
+    return text[begins], at[begins] - first, at[ends] - first, low[begins], words.spans(at[begins], at[ends] + width, 31)
 
 
 def _each(texts: list[bytes], width: int, k: int) -> Iterator[tuple[Words, int, int, tuple[np.ndarray, ...] | None]]:
-    """For each text the object that holds its words, where there its bytes and its words begin, and its runs; None if
-    it has no window."""
+    """For each text the object that holds its words, where there its bytes and its words begin, and the begins, ends,
+    anchors and matches of its runs; None if it has no window."""
     for a, b in chunks(texts):
         words = Words(texts[a:b])
-        grams = words.grams(k)
-        for at, p, q in zip(words.offsets.tolist(), words.bounds[:-1].tolist(), words.bounds[1:].tolist()):
-            yield words, at, p, _runs(words, grams, p, q, width, k) if q - p >= width else None
+        of, *runs = _runs(words, width, k)
+        cuts = np.searchsorted(of, np.arange(b - a + 1)).tolist()
+        for at, p, x, y in zip(words.offsets.tolist(), words.bounds.tolist(), cuts[:-1], cuts[1:]):
+            yield words, at, p, tuple(r[x:y] for r in runs) if y > x else None
 
 
 def _anchors(docs: DataFrame, width: int, k: int) -> DataFrame:
@@ -63,24 +72,32 @@ def _anchors(docs: DataFrame, width: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = utf8(batch.column("text"))
-            anchors, matches = [], []
-            for _, _, _, runs in _each(texts, width, k):
-                _, one = (None, slice(0, 0)) if runs is None else np.unique(runs[3], return_index=True)
-                anchors.append(signed(runs[2][one]) if runs else np.zeros(0, np.int64))
-                matches.append(signed(runs[3][one]) if runs else np.zeros(0, np.int64))
+            n, anchors, matches, counts = [], [], [], []
+            for a, b in chunks(texts):
+                words = Words(texts[a:b])
+                of, _, _, anchor, match = _runs(words, width, k)
+                order = np.lexsort((match, of))
+                of, anchor, match = of[order], anchor[order], match[order]
+                once = np.ones(len(of), bool)
+                once[1:] = (of[1:] != of[:-1]) | (match[1:] != match[:-1])
+                n.append(np.diff(words.bounds))
+                anchors.append(anchor[once])
+                matches.append(match[once])
+                counts.append(np.bincount(of[once], minlength=b - a))
             if texts:
-                split = [t.split() for t in texts]
-                shas = [_sha(x) for x in split]
+                shas = [_sha(t.split()) for t in texts]
                 first = np.frombuffer(b"".join(x[:16] for x in shas), np.int64).reshape(-1, 2)
+                offsets = pa.array(np.append(0, np.cumsum(np.concatenate(counts))).astype(np.int32))
+                listed = lambda parts: pa.ListArray.from_arrays(offsets, pa.array(signed(np.concatenate(parts))))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.array([len(x) for x in split], pa.int64()),
+                        pa.array(np.concatenate(n), pa.int64()),
                         pa.array([x.hex() for x in shas]),
                         pa.array(first[:, 0]),
                         pa.array(first[:, 1]),
-                        lists(anchors, pa.int64()),
-                        lists(matches, pa.int64()),
+                        listed(anchors),
+                        listed(matches),
                     ],
                     ["doc_id", "n_words", "sha", "c", "c2", "anchors", "matches"],
                 )

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reelspark.llm import common, mixing, packing
@@ -112,3 +113,39 @@ def test_documents_that_share_an_id_are_different_ones(spark):
     want = Counter((r._given, r.text) for r in places.collect() for _ in range(taken[r.doc_id]))
     mixed = corpus_pipeline.mix_sources(spark, cut, SF)
     assert Counter((r.doc_id, r.text) for r in mixed.collect()) == want
+
+
+def test_empty_table(spark):
+    docs = common.read(spark, SF, "documents").where("false")
+    for name, f in corpus_pipeline.STAGES:
+        docs = common.table(f(spark, docs, SF), "empty")
+        assert docs.count() == 0
+        assert name == "packing" or docs.columns == corpus_pipeline.COLUMNS
+
+
+def test_nulls_long_texts_and_clashing_columns(spark):
+    docs = common.read(spark, SF, "documents")
+    long = " ".join(f"w{i}" for i in range(60_000))
+    said = " ".join(docs.where("lang = 'en'").limit(30).toPandas().text)
+    given = [(None, None, None, None, None), (None, "", "en", None, 0), (-3, f"{said} {long}", None, None, None), (-2, f"{said} {long} x", "en", "src0", 5)]
+    docs = docs.unionByName(spark.createDataFrame(given, docs.schema))
+    for i, c in enumerate(("_id", "_given", "row", "copies", "kept_text", "component_id", "position", "c", "text_crc32", "accepted")):
+        docs = docs.withColumn(c, F.lit(i))
+    kept = []
+    for name, f in corpus_pipeline.STAGES:
+        docs = common.table(f(spark, docs, SF), "odd")
+        kept.append({r.doc_id for r in docs.select("doc_id").distinct().collect()})
+        assert name == "packing" or docs.columns == corpus_pipeline.COLUMNS
+    assert None not in kept[0] and {-3, -2} <= kept[0]
+    assert -3 in kept[1] and -2 not in kept[1]
+    assert -3 in kept[2]
+
+
+def test_null_texts_stay_where_no_stage_takes_them(spark):
+    rows = [(1, None, None, None, None), (2, None, "en", "a", 0), (3, " ", None, "a", 1), (4, "some words", "en", None, 10), (4, "some words", "en", None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    near = common.table(corpus_pipeline.near_duplicates(spark, docs, SF), "near")
+    assert sorted(r.doc_id for r in near.collect()) == [1, 2, 3, 4]
+    cut = common.table(corpus_pipeline.repeated_passages(spark, near, SF), "cut")
+    assert sorted(r.doc_id for r in cut.collect()) == [1, 2, 3, 4]
+    assert {r.doc_id for r in corpus_pipeline.pack(spark, cut, SF).collect()} == {1, 2, 3, 4}
