@@ -26,6 +26,22 @@ def nfc_collapse(c: Column) -> Column:
     return collapse(composed(c))
 
 
+def required(c: Column, name: str) -> Column:
+    """A text composed and collapsed; a null or blank one is an error."""
+    clean = nfc_collapse(c)
+    return F.when(F.coalesce(clean, F.lit("")) == "", F.raise_error(F.lit(f"{name} must not be empty"))).otherwise(clean)
+
+
+def json_has(c: Column, wanted: dict, path: str = "$") -> Column:
+    """Whether a JSON text has all that ``wanted`` has, at any depth, whatever else it has."""
+    out = F.lit(True)
+    for key, value in wanted.items():
+        at = f"{path}.{key}"
+        found = json_has(c, value, at) if isinstance(value, dict) else F.get_json_object(c, at) == F.lit(str(value))
+        out = out & F.coalesce(found, F.lit(False))
+    return out
+
+
 def snapshot(c: Column) -> Column:
     """A hint as compared between snapshots: blanks collapsed, none before , . ; : ! ? and one after."""
     c = F.regexp_replace(nfc_collapse(c), r"\s+([,.;:!?])", "$1")

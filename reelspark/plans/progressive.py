@@ -216,13 +216,18 @@ def resume_shards(spark: SparkSession, d: str) -> DataFrame:
     return bundles.todo(f, done, ["video_id", "shard"]).select("frame_id", "video_id")
 
 
-@query("SELECT source, lang, sha256(source || '|' || lang || '|v2') AS identity, count(*) AS rows, sha256(source || '|' || lang || '|v2') = sha256(source || '|' || lang || CASE WHEN source < 'src2' THEN '|v1' ELSE '|v2' END) AS complete FROM documents GROUP BY ALL")
+@query("SELECT source, lang, sha256(source || '|' || lang || '|v2') AS identity, count(*) AS rows, sha256(source || '|' || lang || '|v2') = sha256(source || '|' || lang || CASE WHEN source < 'src2' THEN '|v1' ELSE '|v2' END) AS complete, source >= 'src2' AND lang = 'en' AS usable FROM documents GROUP BY ALL")
 def stage_identity(spark: SparkSession, d: str) -> DataFrame:
-    """A stage is complete where its recorded identity (inputs and configuration) is what it would be now."""
+    """A stage is complete where its recorded identity (inputs and configuration) is what it would be now, and usable for
+    English where its record has the version and the language, whatever else it has."""
     ident = lambda v: F.sha2(F.concat_ws("|", "source", "lang", v), 256)
     told = ident(F.when(F.col("source") < "src2", "v1").otherwise("v2"))
     g = views.read(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("rows"))
-    return g.select("source", "lang", ident(F.lit("v2")).alias("identity"), "rows", (ident(F.lit("v2")) == told).alias("complete"))
+    version = F.when(F.col("source") < "src2", "v1").otherwise("v2")
+    record = F.to_json(F.struct("source", F.struct(F.struct("lang", "rows").alias("input"), version.alias("version")).alias("config")))
+    usable = text.json_has(record, {"config": {"input": {"lang": "en"}, "version": "v2"}})
+    complete = (ident(F.lit("v2")) == told).alias("complete")
+    return g.select("source", "lang", ident(F.lit("v2")).alias("identity"), "rows", complete, usable.alias("usable"))
 
 
 @query()

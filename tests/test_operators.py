@@ -320,3 +320,13 @@ def test_answers_are_asked_for_again(spark):
 
     got = {r.text: (r.answer, r.frame_id, round(r.confidence, 6), r.retried) for r in ports.answer(windows, model, 4).collect()}
     assert got == {"a": ("A", 2, 0.4, True), "b": ("B", 3, 0.9, False), "c": ("C", 5, 0.2, False), "d": (None, None, 0.0, False)}
+
+
+def test_json_subsets_and_required_texts(spark):
+    row = spark.range(1).select(F.lit('{"a": {"b": 1, "c": {"d": "x"}}, "e": true}').alias("j"), F.lit(" a  b ").alias("t"), F.lit(" ").alias("blank"))
+    has = lambda w: row.select(text.json_has(F.col("j"), w)).first()[0]
+    assert has({}) and has({"a": {"b": 1}}) and has({"a": {"c": {"d": "x"}}, "e": "true"})
+    assert not has({"a": {"b": 2}}) and not has({"f": 1}) and not has({"a": {"c": {"z": 1}}})
+    assert row.select(text.required(F.col("t"), "query")).first()[0] == "a b"
+    with pytest.raises(Exception, match="query must not be empty"):
+        row.select(text.required(F.col("blank"), "query")).collect()
