@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 
 #: Stands for a null id inside an operator; results give null again.
 NULL_ID = -(2**63)
+#: Rows that go to a Python worker at a time while a table is written: texts may be long, and both sides hold a batch.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Rows of an id column that may be broadcast; above, the join is a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -33,10 +35,15 @@ def work_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs neither repeat its work nor need the executors
-    that did it."""
+    that did it.  (The one setting that is changed, for the time of the write, is put back.)"""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    given = spark.conf.get(BATCH)
+    try:
+        spark.conf.set(BATCH, str(min(int(given), BATCH_ROWS) if int(given) > 0 else BATCH_ROWS))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH, given)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     for made in _open:
