@@ -12,8 +12,9 @@ from pyspark.sql import Window as W
 
 #: Stands for a null id inside an operator; results give null again.
 NULL_ID = -(2**63)
-#: Rows that go to a Python worker at a time while a table is written: texts may be long, and both sides hold a batch.
-BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: The setting of how many rows go to a Python worker at a time, Spark's default for it, and what takes its place: texts
+#: may be long, and both sides hold a batch.
+BATCH, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 #: Rows of an id column that may be broadcast; above, the join is a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -23,7 +24,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; in local mode, where none is set, an own one."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; in local mode, where none is set, an own one.  The
+    session's Arrow batches are made small here, if nobody has set them."""
+    if spark.conf.get(BATCH) == DEFAULT_ROWS:
+        spark.conf.set(BATCH, BATCH_ROWS)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -35,15 +39,10 @@ def work_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: later jobs neither repeat its work nor need the executors
-    that did it.  (The one setting that is changed, for the time of the write, is put back.)"""
+    that did it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    given = spark.conf.get(BATCH)
-    try:
-        spark.conf.set(BATCH, str(min(int(given), BATCH_ROWS) if int(given) > 0 else BATCH_ROWS))
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(BATCH, given)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     for made in _open:

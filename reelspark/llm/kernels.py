@@ -18,7 +18,7 @@ _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256,
 _R = 0x9E3779B97F4A7C15
 _RINV = pow(_R, -1, 2**64)
 #: Bytes of text handled in one go; it bounds the temporaries of a task.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _powers: dict[int, np.ndarray] = {}
 

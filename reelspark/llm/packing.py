@@ -42,7 +42,7 @@ class Encoder:
             spec = json.load(f)
         self.fast = fits(spec) and not spec.get("post_processor")
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.kept = Kept(self.whole, 500_000)
+        self.kept = Kept(self.whole, 150_000)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
