@@ -31,12 +31,13 @@ PIVOTS, BLOCK, STEP = 32, 4096, 256
 SCALE = 256
 
 
-def quantised(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v: components as floor(256 * x); rows with null vectors or null or non-finite components are left out."""
+def quantised(vectors: DataFrame, id_col: str, vec_col: str, *keep: str) -> DataFrame:
+    """vec_id, v (components as floor(256 * x)) and the columns ``keep``; rows with null vectors or null or non-finite
+    components are left out."""
     x = F.col(vec_col)
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), x).where(x.isNotNull() & (F.size(x) > 0)).where(~bad)
-    return rows.select("vec_id", F.transform(x, lambda e: F.floor(F.lit(float(SCALE)) * e.cast("double"))).alias("v")).where(
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), x, *keep).where(x.isNotNull() & (F.size(x) > 0)).where(~bad)
+    return rows.select("vec_id", F.transform(x, lambda e: F.floor(F.lit(float(SCALE)) * e.cast("double"))).alias("v"), *keep).where(
         "vec_id is not null"
     )
 
@@ -69,12 +70,13 @@ def pivot_table(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 x = _matrix(pa.chunked_array([own.column("v")]), size).astype(float)
                 p = pivots.get(size, np.zeros((0, size))).astype(float)
                 n2 = (x**2).sum(1)
-                d = np.sqrt(np.maximum(n2[:, None] + (p**2).sum(1)[None] - 2 * x @ p.T, 0))
+                # from differences: the square of a far pivot's norm would leave no digits for the rest
+                d = np.stack([np.sqrt(((x - one) ** 2).sum(1)) for one in p], 1) if len(p) else np.zeros((len(x), 0))
                 near = d.argmin(1) if len(p) else np.zeros(len(x), int)
-                columns = [*own.columns, lists(list(d.astype(np.float32)), pa.float32()), pa.array(near.astype(np.int32)), pa.array(n2)]
+                columns = [*own.columns, lists(list(d), pa.float64()), pa.array(near.astype(np.int32)), pa.array(n2)]
                 yield pa.RecordBatch.from_arrays(columns, [*own.schema.names, "d", "near", "n2"])
 
-    return vectors.mapInArrow(run, "vec_id long, v array<long>, dims int, d array<float>, near int, n2 double")
+    return vectors.mapInArrow(run, "vec_id long, v array<long>, dims int, d array<double>, near int, n2 double")
 
 
 def _cell(count: int) -> Column:
@@ -99,6 +101,11 @@ def _ranges(rows: DataFrame, block: str, *more) -> DataFrame:
     return rows.groupBy(block).agg(low.alias(names[0]), high.alias(names[1]), F.max("n2").alias(names[2]), *more)
 
 
+#: What rounding may take from a difference of two distances, as a share of them: a far pivot's are inexact by more than
+#: the gap it shows.
+LOSS = 1e-12
+
+
 def _slack(a: float, b: float) -> float:
     """What rounding may take from a bound on vectors of these squared norms."""
     return 1e-6 * (a + b) + 1.0
@@ -122,7 +129,7 @@ def search(queries: pa.Table, rows: pa.Table, dims: int, k: int) -> tuple[list[t
     for i in range(len(qid)):
         gap = np.zeros(len(xid))
         for p in range(pivots):
-            np.maximum(gap, np.abs(dx[:, p] - dq[i, p]), out=gap)
+            np.maximum(gap, np.abs(dx[:, p] - dq[i, p]) - LOSS * (dx[:, p] + dq[i, p]), out=gap)
         bound = (nq[i] + nx - gap * gap) / 2 + slack
         order = np.argsort(-bound)
         floor = floors[i]
@@ -194,7 +201,9 @@ def topk_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> Da
     b = _ranges(seen, "x")
     pairs = a.withColumn("dims", F.col("q.dims")).join(b.withColumn("dims", F.col("x.dims")), "dims")
     gaps = F.zip_with(
-        F.zip_with("low_q", "high_x", lambda p, q: p - q), F.zip_with("low_x", "high_q", lambda p, q: p - q), lambda p, q: F.greatest(p, q, F.lit(0.0))
+        F.zip_with("low_q", "high_x", lambda p, q: p - q - LOSS * (p + q)),
+        F.zip_with("low_x", "high_q", lambda p, q: p - q - LOSS * (p + q)),
+        lambda p, q: F.greatest(p, q, F.lit(0.0)),
     )
     gap = F.coalesce(F.array_max(gaps), F.lit(0.0))
     bound = (F.col("n2_q") + F.col("n2_x") - gap * gap) / 2 + 1e-6 * (F.col("n2_q") + F.col("n2_x")) + 1.0
