@@ -105,14 +105,18 @@ def _anchors(docs: DataFrame, width: int, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_words long, sha string, c long, c2 long, anchors array<long>, matches array<long>")
 
 
+def _window_hashes(words: Words, at: np.ndarray, width: int) -> np.ndarray:
+    return words.spans(at, at + width, 37)
+
+
 def _windows(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """Of documents with matches (``open``): doc_id, starts, anchors and hashes of the windows of those runs."""
+    """Of documents with matches (``open``): doc_id, anchors and hashes of the windows of those runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts, wanted = utf8(batch.column("text")), batch.column("open")
             offsets, flat = wanted.offsets.to_numpy(), np.asarray(wanted.values).view(np.uint64)
-            starts, anchors, hashes = [], [], []
+            anchors, hashes = [], []
             for i, (words, _, p, runs) in enumerate(_each(texts, width, k)):
                 own = flat[offsets[i] : offsets[i + 1]]
                 if runs is None:
@@ -122,16 +126,14 @@ def _windows(docs: DataFrame, width: int, k: int) -> DataFrame:
                     sizes = np.where(np.isin(match, own), ends - begins + 1, 0)
                     at_run = np.repeat(np.arange(len(begins)), sizes)
                     at = begins[at_run] + np.arange(len(at_run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                starts.append(at.astype(np.int32))
                 anchors.append(signed(runs[2][at_run]) if runs else np.zeros(0, np.int64))
-                hashes.append(signed(words.spans(p + at, p + at + width, 37)))
+                hashes.append(signed(_window_hashes(words, p + at, width)))
             if texts:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), lists(starts, pa.int32()), lists(anchors, pa.int64()), lists(hashes, pa.int64())],
-                    ["doc_id", "starts", "anchors", "hashes"],
+                    [batch.column("doc_id"), lists(anchors, pa.int64()), lists(hashes, pa.int64())], ["doc_id", "anchors", "hashes"]
                 )
 
-    shape = "doc_id long, starts array<int>, anchors array<long>, hashes array<long>"
+    shape = "doc_id long, anchors array<long>, hashes array<long>"
     return docs.select("doc_id", "text", "open").mapInArrow(run, shape)
 
 
@@ -143,7 +145,7 @@ def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
 
 def repeats(docs: DataFrame, width: int = 50, k: int = SEED_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(all, copies, parts): ``all`` has doc_id, c, c2, n_words, sha of each row; ``copies`` has (c, c2) of a text and the
-    first document ``rep`` that has it; ``parts`` has doc_id, matches (runs that are repeated as a whole) and starts (of
+    first document ``rep`` that has it; ``parts`` has doc_id, matches (runs that are repeated as a whole) and hashes (of
     further repeated windows) of documents that stand for their class.  ``docs`` comes from ``keyed``."""
     seen = common.table(_anchors(docs, width, k), "anchors")
     copies = common.table(seen.groupBy("c", "c2").agg(F.min("doc_id").alias("rep")), "copies")
@@ -165,14 +167,14 @@ def repeats(docs: DataFrame, width: int = 50, k: int = SEED_WORDS) -> tuple[Data
     ends = matches.join(several, "anchor").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("match").alias("open"))
     ends = common.table(ends, "ends")
     spread = common.table(_windows(common.pick(docs, ends, "doc_id"), width, k), "windows")
-    each = spread.select("doc_id", F.explode(F.arrays_zip("starts", "anchors", "hashes")).alias("w"))
-    each = each.select("doc_id", F.col("w.starts").alias("start"), F.col("w.anchors").alias("anchor"), F.col("w.hashes").alias("hash"))
+    each = spread.select("doc_id", F.explode(F.arrays_zip("anchors", "hashes")).alias("w"))
+    each = each.select("doc_id", F.col("w.anchors").alias("anchor"), F.col("w.hashes").alias("hash"))
     first = each.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     first = common.table(first.select("anchor", "hash", "first"), "first")
     again = each.join(first, ["anchor", "hash"]).where("doc_id > first")
     nothing = lambda kind: F.lit(None).cast(kind)
-    found = same.select("doc_id", "match", nothing("int").alias("start")).unionByName(again.select("doc_id", nothing("long").alias("match"), "start"))
-    parts = found.groupBy("doc_id").agg(F.collect_set("match").alias("matches"), F.collect_set("start").alias("starts"))
+    found = same.select("doc_id", "match", nothing("long").alias("hash")).unionByName(again.select("doc_id", nothing("long").alias("match"), "hash"))
+    parts = found.groupBy("doc_id").agg(F.collect_set("match").alias("matches"), F.collect_set("hash").alias("hashes"))
     parts = common.table(parts, "repeats")
     members = common.table(seen.drop("anchors", "matches"), "members")
     common.drop(seen, held, matches, several, ends, spread, first)
@@ -180,23 +182,25 @@ def repeats(docs: DataFrame, width: int = 50, k: int = SEED_WORDS) -> tuple[Data
 
 
 def _cut(docs: DataFrame, width: int, k: int) -> DataFrame:
-    """Of documents with repeated runs and windows: doc_id, n_removed, kept_sha256, kept_text (the text without the
-    removed words; the white space around kept words stays), repeats (start and end, in words, of each removed span)."""
+    """Of documents with repeated runs and windows: doc_id, c and c2 (of its words), n_removed, kept_sha256, kept_text (the
+    text without the removed words; the white space around kept words stays), repeats (start and end, in words, of each
+    removed span)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts, out = utf8(batch.column("text")), []
-            matches, starts = (batch.column(x) for x in ("matches", "starts"))
-            at = [(x.offsets.to_numpy(), np.asarray(x.values)) for x in (matches, starts)]
+            listed = [batch.column(x) for x in ("matches", "hashes")]
+            at = [(x.offsets.to_numpy(), np.asarray(x.values).view(np.uint64)) for x in listed]
             for i, (words, offset, p, runs) in enumerate(_each(texts, width, k)):
                 text, (known, single) = texts[i], (v[o[i] : o[i + 1]] for o, v in at)
                 n = 0 if runs is None else int(runs[1][-1]) + width
-                single = single[single + width <= n]  # others belong to another row with this id
-                begins = ends = single[:0]
+                # by what they hold, as another row with this id may have other texts
+                begins = ends = single = np.flatnonzero(np.isin(_window_hashes(words, p + np.arange(max(0, n - width + 1)), width), single))
                 if runs is not None:
-                    whole = np.isin(runs[3], known.view(np.uint64))
+                    whole = np.isin(runs[3], known)
                     begins, ends = runs[0][whole], runs[1][whole]
-                begins, ends = np.append(begins, single), np.append(ends, single) + width
+                    begins, ends = np.append(begins, single), np.append(ends, single)
+                ends = ends + width
                 gone = covered(begins.astype(np.int64), ends.astype(np.int64), n)
                 kept = [w for w, g in zip(text.split(), gone.tolist()) if not g]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
@@ -205,17 +209,18 @@ def _cut(docs: DataFrame, width: int, k: int) -> DataFrame:
                     left.append(text[done : int(words.starts[p + a]) - offset])
                     done = int(words.starts[p + b]) - offset if b < n else len(text)
                 spans = [{"start": a, "end": b} for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist())]
-                out.append((int(gone.sum()), _sha(kept).hex(), b"".join([*left, text[done:]]).decode(), spans))
+                own = np.frombuffer(_sha(text.split())[:16], np.int64).tolist()
+                out.append((*own, int(gone.sum()), _sha(kept).hex(), b"".join([*left, text[done:]]).decode(), spans))
             if out:
-                removed, sha, text, spans = zip(*out)
+                c, c2, removed, sha, text, spans = zip(*out)
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(text, pa.string()), pa.array(spans, kind)],
-                    ["doc_id", "n_removed", "kept_sha256", "kept_text", "repeats"],
+                    [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (c, c2, removed)), pa.array(sha), pa.array(text, pa.string()), pa.array(spans, kind)],
+                    ["doc_id", "c", "c2", "n_removed", "kept_sha256", "kept_text", "repeats"],
                 )
 
-    shape = "doc_id long, n_removed long, kept_sha256 string, kept_text string, repeats array<struct<start:int,end:int>>"
-    return docs.select("doc_id", "text", "matches", "starts").mapInArrow(run, shape)
+    shape = "doc_id long, c long, c2 long, n_removed long, kept_sha256 string, kept_text string, repeats array<struct<start:int,end:int>>"
+    return docs.select("doc_id", "text", "matches", "hashes").mapInArrow(run, shape)
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", k: int = SEED_WORDS) -> DataFrame:
@@ -225,13 +230,11 @@ def substring_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
 
     Words are runs of characters other than ASCII white space, unchanged.  A null or blank text has no words; a text of
     fewer than ``width`` words loses nothing.  Rows of the same id do not repeat one another; a null id counts as the
-    smallest and is given back as null.  Where two rows of one id have different texts, the row that stands for its
-    class decides.  Other columns are ignored; an empty table gives no rows."""
+    smallest and is given back as null; rows of one id with different texts keep their own words each.  Other columns are ignored; an empty table gives no rows."""
     docs = common.keyed(docs, id_col, text_col)
     seen, copies, parts = repeats(docs, width, k)
-    cut = _cut(common.pick(docs, parts, "doc_id"), width, k).withColumnRenamed("doc_id", "cut_id")
-    cut = cut.where("n_removed > 0").dropDuplicates(["cut_id"])
-    rows = seen.join(copies, ["c", "c2"]).join(cut, F.col("doc_id") == F.col("cut_id"), "left")
+    cut = _cut(common.pick(docs, parts, "doc_id"), width, k).where("n_removed > 0").dropDuplicates(["doc_id", "c", "c2"])
+    rows = seen.join(copies, ["c", "c2"]).join(cut, ["doc_id", "c", "c2"], "left")
     copy = (F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= width)
     none = F.lit(hashlib.sha256(b"").hexdigest())
     everything = F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("end")))
