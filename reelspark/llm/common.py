@@ -12,8 +12,8 @@ from pyspark.sql import Window as W
 
 #: Stands for a null id inside an operator; results give null again.
 NULL_ID = -(2**63)
-#: The setting of how many rows go to a Python worker at a time, Spark's default for it, and what takes its place: texts
-#: may be long, and both sides hold a batch.
+#: The setting of how many rows go to a Python worker at a time, Spark's default for it, and what takes its place while a
+#: table is written: texts may be long, and both sides hold a batch.  Another value than the default is the user's and stays.
 BATCH, DEFAULT_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 #: Rows of an id column that may be broadcast; above, the join is a shuffle.
 BROADCAST_ROWS = 500_000
@@ -24,10 +24,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; in local mode, where none is set, an own one.  The
-    session's Arrow batches are made small here, if nobody has set them."""
-    if spark.conf.get(BATCH) == DEFAULT_ROWS:
-        spark.conf.set(BATCH, BATCH_ROWS)
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; in local mode, where none is set, an own one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
@@ -42,7 +39,14 @@ def table(df: DataFrame, name: str) -> DataFrame:
     that did it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    default = spark.conf.get(BATCH) == DEFAULT_ROWS
+    if default:
+        spark.conf.set(BATCH, BATCH_ROWS)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if default:
+            spark.conf.set(BATCH, DEFAULT_ROWS)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     for made in _open:
