@@ -50,8 +50,9 @@ def scaled(score: Column, low: Column, high: Column) -> Column:
 
 def video_scores(evidence: DataFrame, evaluated: DataFrame, task: str, unit: str, units: int | str, weights: tuple[float, float, float] = (0.45, 0.25, 0.30)) -> DataFrame:
     """task, video_id, semantic, matched, evaluated, score of the videos that a task's units have seen: the mean of scaled
-    maxima of matched units, the share of evaluated units that match, the share of units that were evaluated; all three
-    weights always count.  ``units`` is a task's number of units, or the column of ``evaluated`` that has it."""
+    maxima of matched units, the share of evaluated units that match times the share of units that were evaluated, and the
+    latter; all three weights always count.  ``units`` is a task's number of units, or the column of ``evaluated`` that has
+    it."""
     keys = [task, "video_id"]
     best = evidence.groupBy(*keys, unit).agg(F.max("score").alias("best")).join(bounds(evidence, task, unit), [task, unit])
     semantic = best.groupBy(*keys).agg(F.round(F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))), 9).alias("semantic"), F.count("*").alias("matched"))
@@ -59,7 +60,7 @@ def video_scores(evidence: DataFrame, evaluated: DataFrame, task: str, unit: str
     seen = evaluated.groupBy(*keys).agg(F.count_distinct(unit).alias("evaluated"), number.alias("_units"))
     joined = seen.join(semantic, keys, "left").fillna(0, ["matched"]).fillna(0.0, ["semantic"])
     a, b, c = weights
-    score = (a * F.col("semantic") + b * F.col("matched") / F.col("evaluated") + c * F.col("evaluated") / F.col("_units")) / (a + b + c)
+    score = (a * F.col("semantic") + b * F.col("matched") / F.col("_units") + c * F.col("evaluated") / F.col("_units")) / (a + b + c)
     return joined.select(*keys, "semantic", "matched", "evaluated", F.round(score, 12).alias("score"))
 
 
@@ -94,47 +95,93 @@ def answer_ranking(answers: DataFrame, question: str, weights: tuple[float, ...]
     return scored.withColumn("place", F.row_number().over(whole.orderBy(*order))).drop(*[f"_{t}" for t in ANSWER_TERMS])
 
 
-def relation_holds(relation: str, a_start: Column, a_end: Column, b_start: Column, b_end: Column, near_ms: int) -> Column:
-    """Whether unit b's interval stands in a relation to unit a's; null where a side is unknown."""
-    gap = F.greatest(F.greatest(a_start, b_start) - F.least(a_end, b_end), F.lit(0))
-    tests = {"BEFORE": b_end <= a_start, "AFTER": b_start >= a_end, "OVERLAP": (a_start < b_end) & (b_start < a_end), "NEAR": gap <= near_ms}
-    return tests[relation]
+def _nearest_times(evidence: DataFrame, wanted: DataFrame, keys: list[str], by: list[str], unit: str, time: str) -> DataFrame:
+    """keys, subject, object, apart: the least distance between a time of the one unit and a time of the other.  Both units'
+    times are put in one order, where the nearest of the other kind is the last one before; no pair is made."""
+    pairs = wanted.select(*by, "subject", "object").distinct()
+    of = lambda side, code: evidence.join(pairs.withColumn(unit, F.col(side)), [*by, unit]).select(*keys, "subject", "object", F.col(time).alias("_t"), F.lit(code).alias("_side"))
+    rows = of("subject", 0).unionByName(of("object", 1))
+    so_far = W.partitionBy(*keys, "subject", "object").orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    last = lambda code: F.max(F.when(F.col("_side") == code, F.col("_t"))).over(so_far)
+    other = F.when(F.col("_side") == 0, last(1)).otherwise(last(0))
+    return rows.withColumn("_gap", F.col("_t") - other).groupBy(*keys, "subject", "object").agg(F.min("_gap").alias("apart"))
+
+
+def relation_outcomes(evidence: DataFrame, constraints: DataFrame, keys: list[str], by: list[str], unit: str, time: str, near_ms: int) -> DataFrame:
+    """keys, relation, subject, object, times (how often the constraint is given), holds: what becomes of every constraint of
+    ``by`` (some of the keys) in each scene (keys) with evidence.
+
+    ``constraints`` has by, relation, subject, object, the units it speaks of.  BEFORE and AFTER hold if any pair of the
+    subject's and the object's times is in that order (or the same), OVERLAP and NEAR if any is at most ``near_ms`` apart,
+    AT_END, which has no object, if the subject's last time is the scene's.  ``holds`` is null (unknown) where the subject
+    or a named object has no evidence."""
+    spans = evidence.groupBy(*keys, unit).agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
+    scenes = spans.groupBy(*keys).agg(F.max("t1").alias("_last"))
+    given = constraints.groupBy(*by, "relation", "subject", "object").agg(F.count("*").alias("times"))
+    named = lambda side, p: spans.select(*keys, F.col(unit).alias(side), F.col("t0").alias(f"{p}0"), F.col("t1").alias(f"{p}1"))
+    rows = scenes.join(given, by).join(named("subject", "_s"), [*keys, "subject"], "left").join(named("object", "_o"), [*keys, "object"], "left")
+    near = _nearest_times(evidence, given.where("relation in ('OVERLAP', 'NEAR')"), keys, by, unit, time)
+    rows = rows.join(near, [*keys, "subject", "object"], "left")
+    c = F.col
+    holds = (
+        F.when(c("relation") == "BEFORE", c("_s0") <= c("_o1"))
+        .when(c("relation") == "AFTER", c("_s1") >= c("_o0"))
+        .when(c("relation").isin("OVERLAP", "NEAR"), c("apart") <= near_ms)
+        .when(c("relation") == "AT_END", c("_s1") == c("_last"))
+    )
+    unknown = c("_s0").isNull() | (c("object").isNotNull() & c("_o0").isNull())
+    # a relation that needs an object and names none is known and doesn't hold
+    return rows.select(*keys, "relation", "subject", "object", "times", F.when(~unknown, F.coalesce(holds, F.lit(False))).alias("holds"))
+
+
+def relation_scores(outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, related (the share of known constraints that hold, null if none is known), unknown (how many are not known)."""
+    n = lambda c: F.sum(F.when(c, F.col("times")).otherwise(0))
+    known = F.col("holds").isNotNull()
+    agg = outcomes.groupBy(*keys).agg(n(F.col("holds")).alias("_held"), n(known).alias("_known"), n(~known).alias("unknown"))
+    return agg.select(*keys, F.when(F.col("_known") > 0, F.round(F.col("_held") / F.col("_known"), 9)).alias("related"), "unknown")
+
+
+#: The weights of a scene's semantic, coverage, temporal and relation terms.
+SCENE_WEIGHTS = (0.45, 0.30, 0.15, 0.10)
 
 
-def scene_scores(evidence: DataFrame, task: str, unit: str, scene: str, units: int | str, scale_ms: float = 10000.0, relation: tuple[int, int] = (0, 1)) -> DataFrame:
-    """A task's scenes (task, video_id, scene) of evidence (with unit, score, timestamp_ms): semantic (mean of scaled maxima
-    of matched units, .45), coverage times evaluation (.30), temporal (compactness, .15), related (whether unit a comes
-    before unit b, .10) and their sum, score.
+def scene_scores(
+    evidence: DataFrame, evaluated: DataFrame, constraints: DataFrame, task: str, unit: str, scene: str, units: int | str,
+    scale_ms: int = 15000, weights: tuple[float, float, float, float] = SCENE_WEIGHTS,
+) -> DataFrame:
+    """A task's scenes (task, video_id, scene) of evidence (with unit, score, timestamp_ms): start and end, semantic (mean of
+    scaled maxima of matched units), coverage (share of the video's evaluated units that match in the scene), evaluation
+    (share of the task's units that were evaluated in the video), temporal (compactness), related (share of the known
+    constraints that hold), unknown, and score: the weighted mean of semantic, coverage times evaluation, temporal, and
+    related, where that is known.
 
-    Evaluated units of a video are those with any evidence there.  A relation of which a side has no evidence is unknown
-    (null); only terms that are known count, in the weights too.  ``units`` is a task's number of units, or the column of
-    ``evidence`` that has it."""
-    first, second = relation
+    ``evaluated`` has (task, unit, video_id) of all pairs that were looked at, with or without a match; ``constraints``
+    (task, relation, subject, object).  ``units`` is a task's number of units, or the column of ``evaluated`` that has it."""
     keys = [task, "video_id", scene]
     best = evidence.groupBy(*keys, unit).agg(F.max("score").alias("best"), F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"))
     best = best.join(bounds(evidence, task, unit), [task, unit])
-    at = lambda u, c, agg: agg(F.when(F.col(unit) == u, F.col(c)))
     s = best.groupBy(*keys).agg(
         F.round(F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))), 9).alias("semantic"),
         F.count("*").alias("matched"),
         F.min("t0").alias("start_ms"),
         F.max("t1").alias("end_ms"),
-        (at(first, "t0", F.min) <= at(second, "t1", F.max)).alias("related"),
     )
     number = F.max(units) if isinstance(units, str) else F.lit(units)
-    seen = evidence.groupBy(task, "video_id").agg(F.count_distinct(unit).alias("evaluated"), number.alias("_units"))
-    s = s.join(seen, [task, "video_id"])
+    seen = evaluated.groupBy(task, "video_id").agg(F.count_distinct(unit).alias("evaluated"), number.alias("_units"))
+    related = relation_scores(relation_outcomes(evidence, constraints, keys, [task], unit, "timestamp_ms", scale_ms), keys)
+    s = s.join(seen, [task, "video_id"]).join(related, keys, "left").fillna(0, ["unknown"])
     s = s.withColumns(
         {
             "coverage": F.col("matched") / F.col("evaluated"),
             "evaluation": F.col("evaluated") / F.col("_units"),
-            "temporal": 1.0 / (1.0 + (F.col("end_ms") - F.col("start_ms")) / scale_ms),
+            "temporal": 1.0 / (1.0 + (F.col("end_ms") - F.col("start_ms")) / float(scale_ms)),
         }
     )
-    relation_score = F.when(F.col("related"), 1.0).when(F.col("related").isNotNull(), 0.0)
-    total = 0.45 * F.col("semantic") + 0.30 * F.col("coverage") * F.col("evaluation") + 0.15 * F.col("temporal")
-    known = F.when(relation_score.isNull(), 0.9).otherwise(1.0)
-    score = F.round((total + F.coalesce(0.10 * relation_score, F.lit(0.0))) / known, 12)
+    a, b, c, d = weights
+    total = a * F.col("semantic") + b * F.col("coverage") * F.col("evaluation") + c * F.col("temporal")
+    known = F.when(F.col("related").isNull(), a + b + c).otherwise(a + b + c + d)
+    score = F.round((total + F.coalesce(d * F.col("related"), F.lit(0.0))) / known, 12)
     places = {c: F.round(c, 9) for c in ("coverage", "evaluation", "temporal")}
     return s.withColumn("score", score).withColumns(places).drop("matched", "evaluated", "_units")
 

@@ -6,10 +6,11 @@ time, as small functions on arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -98,17 +99,36 @@ def thinned(times: np.ndarray, centres: np.ndarray, reach: int, step: int) -> np
     return keep
 
 
+def _first_from(values: np.ndarray, start: int, stop: int, least: float) -> int:
+    """The first place from ``start`` up to ``stop`` with a value of at least ``least``, else ``stop``; looks at twice as many
+    values at a time as before, so a near place is found soon and a far one in few steps."""
+    width = 64
+    while start < stop:
+        hits = np.flatnonzero(values[start : min(start + width, stop)] >= least)
+        if len(hits):
+            return start + int(hits[0])
+        start, width = start + width, 2 * width
+    return stop
+
+
 def coverage_anchors(times: np.ndarray, motion: np.ndarray, marked: np.ndarray, threshold: float, widest: int, narrowest: int) -> np.ndarray:
     """Rows to keep besides the marked ones, so that the gap to the last kept row stays under a limit that shrinks from
-    ``widest`` to ``narrowest`` as motion rises to ``threshold``; the row before the one that reaches it is taken."""
-    limit = np.rint(widest - np.minimum(motion / max(threshold, 1e-12), 1.0) * (widest - narrowest))
-    anchors, last = np.zeros(len(times), bool), 0
-    for i in range(1, len(times)):
-        if times[i] - times[last] >= limit[i]:
-            last = max(i - 1, last + 1)
-            anchors[last] = True
-        if marked[i]:
-            last = i
+    ``widest`` to ``narrowest`` as motion rises to ``threshold``; the row before the one that reaches it is taken.
+
+    A row is due once the last kept row is at its time less its limit, or before.  So from each kept row the next that is due is
+    searched for, up to the next marked one, and what lies between is passed over."""
+    calm = np.minimum(motion / threshold, 1.0) if threshold > 0 else (motion > 0).astype(float)
+    since = times - np.rint(widest - calm * (widest - narrowest))
+    stops = np.append(np.flatnonzero(marked), len(times))
+    anchors, last, at = np.zeros(len(times), bool), 0, 1
+    while at < len(times):
+        stop = int(stops[np.searchsorted(stops, at)])
+        due = _first_from(since, at, min(stop + 1, len(times)), times[last])
+        if due > stop or due == len(times):
+            last, at = stop, stop + 1
+            continue
+        anchors[max(due - 1, last + 1)] = True
+        last, at = (due if due == stop else max(due - 1, last + 1)), due + 1
     return anchors
 
 
@@ -220,16 +240,53 @@ def interpolated(value: str, order: str, key: str) -> Column:
     return F.when(a.isNull(), b).when(b.isNull() | (i == j), a).otherwise(a + (b - a) * (F.col(order) - i) / (j - i))
 
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of neighbouring rows of one key, and where in them groups begin and end.  A group that goes on
+    in the next batch waits for it."""
+    held: list[pa.RecordBatch] = []
+    waiting: tuple | None = None
+
+    def cut(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in keys:
+            codes = table[k].combine_chunks().dictionary_encode(null_encoding="encode")
+            codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+            new |= np.diff(codes.indices.to_numpy(zero_copy_only=False)) != 0
+        return np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = [tuple(batch.column(k)[i].as_py() for k in keys) for i in (0, batch.num_rows - 1)]
+        held.append(batch)
+        if ends[0] == ends[1] and waiting in (None, ends[0]):
+            waiting = ends[1]
+            continue
+        table = pa.Table.from_batches(held)
+        at = cut(table)
+        yield table.slice(0, at[-2]), at[:-1]
+        held, waiting = table.slice(at[-2]).to_batches(), ends[1]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, cut(table)
+
+
 def fold(rows: DataFrame, key: str | list[str], order: list[str], name: str, kind: str, f: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    """``rows`` with a column that ``f`` computes over each key's rows in order.  A key's rows are one task's: keys are
-    videos, whose length bounds them."""
+    """``rows`` with a column that ``f`` computes over each key's rows in order.
+
+    Rows are dealt by key and sorted by Spark; a task runs over its whole partition and cuts it where the key changes.  A
+    key's rows are one task's, and in its memory: keys are videos, or a task's evidence in one."""
+    keys = [key] if isinstance(key, str) else list(key)
     schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields) + f", {name} {kind}"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pdf.assign(**{name: f(pdf)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in _groups(batches, keys):
+            if table.num_rows:
+                frame = table.to_pandas()
+                made = [np.asarray(f(frame.iloc[p:q].reset_index(drop=True))) for p, q in zip(at[:-1].tolist(), at[1:].tolist())]
+                yield from table.append_column(name, pa.array(np.concatenate(made))).to_batches()
 
-    return rows.groupBy(key).applyInPandas(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def peaks(rows: DataFrame, threshold: float) -> DataFrame:

@@ -58,7 +58,7 @@ POOL = with_views(_TASKS, """, h AS (SELECT hits.*, task, event FROM hits JOIN t
     FROM b JOIN u USING (task, event) GROUP BY ALL),
   e AS (SELECT task, video_id, count(DISTINCT event) AS evaluated FROM h GROUP BY ALL),
   pool AS (SELECT task, video_id, coalesce(semantic, 0) AS semantic, coalesce(matched, 0) AS matched, evaluated,
-    round(0.45::DOUBLE * coalesce(semantic, 0) + 0.25::DOUBLE * coalesce(matched, 0) / evaluated + 0.30::DOUBLE * evaluated / 3, 12) AS score FROM e LEFT JOIN s USING (task, video_id))""")
+    round(0.45::DOUBLE * coalesce(semantic, 0) + 0.25::DOUBLE * coalesce(matched, 0) / 3 + 0.30::DOUBLE * evaluated / 3, 12) AS score FROM e LEFT JOIN s USING (task, video_id))""")
 
 
 @query(POOL + " SELECT * FROM pool")
@@ -279,25 +279,42 @@ def probe_statistics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-SCENES = with_views(_TASKS, """, e AS (SELECT hits.*, task, event, timestamp_ms // 20000 AS scene FROM hits JOIN tasks USING (query_id)),
+#: Evidence is the thirty best of the fifty hits that are evaluated; scenes are twenty seconds; constraints are told apart
+#: by pairs of times, as they are defined.
+SCENES = with_views(_TASKS + " constraints", """, seen AS (SELECT hits.*, task, event, timestamp_ms // 20000 AS scene FROM hits JOIN tasks USING (query_id)), e AS (SELECT * FROM seen WHERE rank <= 30),
   p AS (SELECT task, event, video_id, max(score) AS m FROM e GROUP BY ALL), u AS (SELECT task, event, least(0, min(m)) AS low, max(m) AS high FROM p GROUP BY ALL),
   b AS (SELECT task, video_id, scene, event, max(score) AS best, min(timestamp_ms) AS t0, max(timestamp_ms) AS t1 FROM e GROUP BY ALL),
   s AS (SELECT task, video_id, scene, round(avg(CASE WHEN high <= low THEN 1.0::DOUBLE ELSE least(1, greatest(0, (best - low) / (high - low))) END), 9) AS semantic, count(*) AS matched,
-    min(t0) AS start_ms, max(t1) AS end_ms, min(t0) FILTER (WHERE event = 0) <= max(t1) FILTER (WHERE event = 1) AS related FROM b JOIN u USING (task, event) GROUP BY ALL),
-  v AS (SELECT task, video_id, count(DISTINCT event) AS evaluated FROM e GROUP BY ALL),
-  scenes AS (SELECT task, video_id, scene, start_ms, end_ms, related, semantic, round(matched / evaluated, 9) AS coverage, round(evaluated / 3, 9) AS evaluation,
+    min(t0) AS start_ms, max(t1) AS end_ms FROM b JOIN u USING (task, event) GROUP BY ALL),
+  v AS (SELECT task, video_id, count(DISTINCT event) AS evaluated FROM seen GROUP BY ALL),
+  outcome AS (SELECT s.task, s.video_id, s.scene, c.relation, c.subject, c.object,
+    CASE WHEN x.n = 0 OR (c.object IS NOT NULL AND y.n = 0) THEN NULL WHEN c.relation = 'AT_END' THEN x.last = s.end_ms ELSE z.held END AS holds
+    FROM s JOIN constraints c USING (task),
+    LATERAL (SELECT count(*) AS n, max(timestamp_ms) AS last FROM e WHERE e.task = s.task AND e.video_id = s.video_id AND e.scene = s.scene AND e.event = c.subject) x,
+    LATERAL (SELECT count(*) AS n FROM e WHERE e.task = s.task AND e.video_id = s.video_id AND e.scene = s.scene AND e.event = c.object) y,
+    LATERAL (SELECT coalesce(bool_or(CASE WHEN c.relation = 'BEFORE' THEN i.timestamp_ms <= j.timestamp_ms ELSE abs(i.timestamp_ms - j.timestamp_ms) <= 10000 END), false) AS held FROM e i JOIN e j USING (task, video_id, scene)
+      WHERE i.task = s.task AND i.video_id = s.video_id AND i.scene = s.scene AND i.event = c.subject AND j.event = c.object) z),
+  told AS (SELECT task, video_id, scene, round(avg(holds::INT), 9) AS related, count(*) - count(holds) AS unknown FROM outcome GROUP BY ALL),
+  scenes AS (SELECT task, video_id, scene, start_ms, end_ms, related, coalesce(unknown, 0) AS unknown, semantic, round(matched / evaluated, 9) AS coverage, round(evaluated / 3, 9) AS evaluation,
     round(1.0::DOUBLE / (1 + (end_ms - start_ms) / 10000.0::DOUBLE), 9) AS temporal, round((0.45::DOUBLE * semantic + 0.30::DOUBLE * (matched / evaluated) * (evaluated / 3)
-    + 0.15::DOUBLE / (1 + (end_ms - start_ms) / 10000.0::DOUBLE) + CASE WHEN related THEN 0.10::DOUBLE ELSE 0 END) / CASE WHEN related IS NULL THEN 0.9::DOUBLE ELSE 1 END, 12) AS score
-    FROM s JOIN v USING (task, video_id)),
+    + 0.15::DOUBLE / (1 + (end_ms - start_ms) / 10000.0::DOUBLE) + coalesce(0.10::DOUBLE * related, 0)) / CASE WHEN related IS NULL THEN 0.9::DOUBLE ELSE 1 END, 12) AS score
+    FROM s JOIN v USING (task, video_id) LEFT JOIN told USING (task, video_id, scene)),
   top3 AS (SELECT * FROM scenes QUALIFY row_number() OVER (PARTITION BY task, video_id ORDER BY score DESC, semantic DESC, coverage DESC, evaluation DESC, temporal DESC, start_ms, scene) <= 3),
   ordered AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY score DESC, semantic DESC, coverage DESC, evaluation DESC, temporal DESC, video_id, start_ms, scene)::INTEGER AS place
     FROM top3 QUALIFY place <= 100)""")
 
 
+def _scenes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(evidence, scores of its scenes)."""
+    seen = task_hits(spark, d).withColumn("scene", F.expr("timestamp_ms div 20000"))
+    seen = shared.written(seen.select("task", "event", "video_id", "scene", "frame_id", "timestamp_ms", "score", "rank"), "evidence")
+    e = seen.where("rank <= 30").drop("rank")
+    return e, evidence.scene_scores(e, seen, views.constraints(spark, d), "task", "event", "scene", 3, 10000)
+
+
 @query(SCENES + " SELECT * FROM scenes")
 def scene_scores(spark: SparkSession, d: str) -> DataFrame:
-    e = task_hits(spark, d).withColumn("scene", F.expr("timestamp_ms div 20000"))
-    return evidence.scene_scores(e, "task", "event", "scene", 3)
+    return _scenes(spark, d)[1]
 
 
 @query(SCENES + " SELECT * FROM ordered")
@@ -311,9 +328,8 @@ def scene_order(spark: SparkSession, d: str) -> DataFrame:
   SELECT task, frame_id, scene_score, row_number() OVER (PARTITION BY task ORDER BY place, score DESC, frame_id)::INTEGER AS rank FROM r QUALIFY rank <= 20""")
 def scene_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Frames to answer from: those of the best scenes, each scene's by score, a frame once, twenty of a task."""
-    e = task_hits(spark, d).withColumn("scene", F.expr("timestamp_ms div 20000"))
-    e = shared.written(e.select("task", "event", "video_id", "scene", "frame_id", "timestamp_ms", "score"), "evidence")
-    ordered = evidence.scene_order(evidence.scene_scores(e, "task", "event", "scene", 3), "task")
+    e, scenes = _scenes(spark, d)
+    ordered = evidence.scene_order(scenes, "task")
     keys = ["task", "video_id", "scene"]
     joined = ordered.select(*keys, "place", F.col("score").alias("scene_score")).join(e.select(*keys, "frame_id", "score"), keys)
     first = joined.groupBy("task", "frame_id").agg(F.min(F.struct("place", (-F.col("score")).alias("less"), "scene_score")).alias("f"))

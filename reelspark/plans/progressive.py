@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text
-from ..operators import evidence, fusion, ports, sequences, vector
+from ..operators import fusion, ports, progressive, vector
 from ..sources import bundles, shared, views
 from ..sources.views import with_views
 from ..streaming import events, sessions
@@ -18,42 +18,80 @@ from .relational import hits
 
 _HITS = "frames queries hits"
 
-ACQUIRE = with_views("frames queries tasks scored", """, now AS (SELECT * FROM scored WHERE event = 1), first AS (SELECT * FROM scored WHERE event = 0),
-  f AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) <= 100),
-  g AS (SELECT * FROM now QUALIFY row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) <= 100),
-  v AS (SELECT * FROM (SELECT task, video_id, max(score) AS best FROM f GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task ORDER BY best DESC, video_id) <= 10),
-  l AS (SELECT now.* FROM now JOIN v USING (task, video_id) QUALIFY row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) <= 50),
-  n AS (SELECT * FROM (SELECT task, video_id, max(score) AS best FROM g ANTI JOIN v USING (task, video_id) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY task ORDER BY best DESC, video_id) <= 10),
-  b AS (SELECT first.* FROM first JOIN n USING (task, video_id)),
-  e AS (SELECT task, event, video_id, frame_id, score, 'first' AS branch FROM f JOIN v USING (task, video_id) UNION ALL SELECT task, event, video_id, frame_id, score, 'global' FROM g
-    UNION ALL SELECT task, event, video_id, frame_id, score, 'local' FROM l UNION ALL SELECT task, event, video_id, frame_id, score, 'backfill' FROM b),
-  m AS (SELECT task, event, video_id, frame_id, max(score) AS score, string_agg(DISTINCT branch, ',' ORDER BY branch) AS branches FROM e GROUP BY ALL)""")
+#: Small enough that on the test tables videos are missed, made up for, and dropped.
+BUDGET = progressive.Budget(everywhere=20, within=12, kept=3, backfill_videos=3, backfill_hints=2, pool=6, least=0.05)
+STEPS = 4
+
+
+def _hints_of_four(spark: SparkSession, d: str) -> DataFrame:
+    """The queries as sessions of four hints."""
+    return views.queries(spark, d).withColumns({"task": F.expr("query_id div 80"), "event": F.expr("cast(query_id div 20 % 4 as int)")})
+
+
+def _acquired_sql(b: progressive.Budget = BUDGET, steps: int = STEPS) -> str:
+    """The state after each step as expressions: ev{k} (evaluated pairs), fo{k} (found frames), po{k} (the pool), lo{k} (its log)."""
+    top = lambda by, order, n: f"QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY {order}) <= {n}"
+    best = f"task, event, video_id, frame_id, timestamp_ms, max(score) AS score"  # noqa: F541
+    kept = top("task, event, video_id", "score DESC, timestamp_ms, frame_id", b.kept)
+    out = [
+        "hints AS (SELECT query_id, query, query_id // 80 AS task, (query_id // 20 % 4)::INTEGER AS event FROM queries)",
+        f"""scored AS (SELECT * FROM (SELECT q.task, q.event, f.frame_id, f.video_id, f.timestamp_ms, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score
+  FROM hints q, frames f) WHERE score >= {b.least})""",
+        "po_ AS (SELECT 0::BIGINT AS task, 0::BIGINT AS video_id, 0 AS place WHERE false), ev_ AS (SELECT 0::BIGINT AS task, 0 AS event, 0::BIGINT AS video_id WHERE false)",
+        "fo_ AS (SELECT * FROM scored WHERE false)",
+    ]
+    for k in range(steps):
+        p = str(k - 1) if k else "_"
+        out.append(f"""ac{k} AS (SELECT DISTINCT task FROM hints WHERE event = {k}), be{k} AS (SELECT * FROM po{p} SEMI JOIN ac{k} USING (task)),
+gl{k} AS (SELECT *, 0 AS branch, row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) AS rank FROM scored WHERE event = {k} QUALIFY rank <= {b.everywhere}),
+ne{k} AS (SELECT *, 1 AS branch, row_number() OVER (PARTITION BY task ORDER BY score DESC, frame_id) AS rank FROM scored SEMI JOIN be{k} USING (task, video_id) WHERE event = {k} QUALIFY rank <= {b.within}),
+ro{k} AS (SELECT * FROM gl{k} UNION ALL SELECT * FROM ne{k}),
+fi{k} AS (SELECT task, video_id, min((branch, rank)) AS first FROM ro{k} GROUP BY ALL),
+fr{k} AS (SELECT * FROM (SELECT {best} FROM ro{k} GROUP BY ALL) {kept}),
+se{k} AS (SELECT * FROM ev{p} UNION SELECT task, {k}, video_id FROM fi{k}),
+un{k} AS (SELECT v.task, h.event, v.video_id FROM (SELECT task, video_id FROM be{k} UNION SELECT task, video_id FROM fi{k}) v JOIN hints h ON h.task = v.task AND h.event <= {k} ANTI JOIN se{k} s ON s.task = v.task AND s.event = h.event AND s.video_id = v.video_id),
+ta{k} AS (SELECT * FROM (SELECT task, video_id, 0 AS kind, first[1] AS a, first[2] AS b FROM fi{k} ANTI JOIN be{k} USING (task, video_id)
+  UNION ALL SELECT task, video_id, 1, 0, place FROM be{k} SEMI JOIN un{k} USING (task, video_id)) {top("task", "kind, a, b, video_id", b.backfill_videos)}),
+mi{k} AS (SELECT task, event, video_id FROM un{k} SEMI JOIN ta{k} USING (task, video_id) {top("task, video_id", "event", b.backfill_hints)}),
+ma{k} AS (SELECT * FROM (SELECT {best} FROM scored SEMI JOIN mi{k} USING (task, event, video_id) GROUP BY ALL) {kept}),
+al{k} AS (SELECT * FROM se{k} UNION ALL SELECT * FROM mi{k}),
+fa{k} AS (SELECT task, event, video_id, frame_id, timestamp_ms, score FROM fr{k} UNION ALL SELECT task, event, video_id, frame_id, timestamp_ms, score FROM ma{k} UNION ALL SELECT task, event, video_id, frame_id, timestamp_ms, score FROM fo{p}),
+bv{k} AS (SELECT task, event, video_id, max(score) AS best FROM fa{k} SEMI JOIN ac{k} USING (task) GROUP BY ALL),
+bo{k} AS (SELECT task, event, least(0, min(best)) AS low, max(best) AS high FROM bv{k} GROUP BY ALL),
+sm{k} AS (SELECT task, video_id, round(avg(CASE WHEN high <= low THEN 1.0::DOUBLE ELSE least(1, greatest(0, (best - low) / (high - low))) END), 9) AS semantic, count(*) AS matched FROM bv{k} JOIN bo{k} USING (task, event) GROUP BY ALL),
+sc{k} AS (SELECT task, video_id, round({b.weights[0]}::DOUBLE * coalesce(semantic, 0) + {b.weights[1]}::DOUBLE * coalesce(matched, 0) / {k + 1} + {b.weights[2]}::DOUBLE * evaluated / {k + 1}, 12) AS score
+  FROM (SELECT task, video_id, count(DISTINCT event) AS evaluated FROM al{k} SEMI JOIN ac{k} USING (task) GROUP BY ALL) LEFT JOIN sm{k} USING (task, video_id)),
+po{k} AS (SELECT task, video_id, row_number() OVER (PARTITION BY task ORDER BY score DESC, video_id) AS place FROM sc{k} QUALIFY place <= {b.pool} UNION ALL SELECT task, video_id, place FROM po{p} ANTI JOIN ac{k} USING (task)),
+ev{k} AS (SELECT * FROM al{k} SEMI JOIN po{k} USING (task, video_id)), fo{k} AS (SELECT * FROM fa{k} SEMI JOIN po{k} USING (task, video_id)),
+lo{k} AS (SELECT task, {k} AS step, count(*) AS searched, (SELECT count(*) FROM ta{k} t WHERE t.task = f.task AND kind = 0) AS rescued, (SELECT count(*) FROM ta{k} t WHERE t.task = f.task) AS targets,
+  (SELECT count(*) FROM mi{k} m WHERE m.task = f.task) AS made_up FROM fi{k} f GROUP BY task)""")
+    return ", " + ",\n".join(out)
+
+
+ACQUIRED = with_views("frames queries", _acquired_sql())
+_LAST = STEPS - 1
+
+
+@query(ACQUIRED + f" SELECT task, event, video_id, frame_id, score FROM fo{_LAST}")
+def acquire_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Four hints one after the other: each everywhere and within the videos that stay, what is missing made up for, within
+    limits; the frames that are kept of each hint and video after the last."""
+    return progressive.acquire(_hints_of_four(spark, d), views.frames(spark, d), BUDGET).found.select("task", "event", "video_id", "frame_id", "score")
 
 
-@query(ACQUIRE + " SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY task, event, video_id ORDER BY score DESC, frame_id) <= 5")
-def acquire_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """A task's second hint after its first: the hundred best frames of all videos and the fifty best of the ten videos the
-    first had found; the ten best videos that only the second finds are evaluated for the first one after all; five frames
-    of a hint and video are kept."""
-    corpus = views.frames(spark, d).select("frame_id", "video_id", "embedding")
-    tasks = views.tasks(spark, d)
-    one, two = tasks.where("event = 0"), tasks.where("event = 1")
-    of = lambda df, t: df.join(t.select("query_id", "task", "event"), "query_id").select("task", "event", "video_id", "frame_id", "score")
-    by = [F.desc("best"), F.col("video_id")]
-    videos = lambda df: fusion.top_per(df.groupBy("task", "video_id").agg(F.max("score").alias("best")), ["task"], by, 10, "_n").drop("_n", "best")
-    found = shared.written(of(vector.knn_join(one, corpus, 100), one), "found")
-    new = shared.written(of(vector.knn_join(two, corpus, 100), two), "new")
-    before = shared.written(videos(found), "before")
-    local = vector.scored_within(two, corpus, two.select("query_id", "task").join(before, "task"))
-    local = fusion.top_per(local, ["task"], [F.desc("score"), F.col("frame_id")], 50, "_n")
-    rescued = videos(new.join(before, ["task", "video_id"], "left_anti"))
-    backfill = vector.scored_within(one, corpus, one.select("query_id", "task").join(rescued, "task"))
-    mark = lambda df, branch: df.select("task", "event", "video_id", "frame_id", "score", F.lit(branch).alias("branch"))
-    rows = mark(found.join(before, ["task", "video_id"], "left_semi"), "first").unionByName(mark(new, "global"))
-    rows = rows.unionByName(mark(local, "local")).unionByName(mark(backfill, "backfill"))
-    branches = F.array_join(F.sort_array(F.collect_set("branch")), ",").alias("branches")
-    merged = rows.groupBy("task", "event", "video_id", "frame_id").agg(F.max("score").alias("score"), branches)
-    return fusion.top_per(merged, ["task", "event", "video_id"], [F.desc("score"), F.col("frame_id")], 5, "_n").drop("_n")
+@query(ACQUIRED + " " + " UNION ALL ".join(f"SELECT * FROM lo{k}" for k in range(STEPS)))
+def acquire_log(spark: SparkSession, d: str) -> DataFrame:
+    """What each step of each session has searched, rescued and made up for."""
+    return progressive.acquire(_hints_of_four(spark, d), views.frames(spark, d), BUDGET).log
+
+
+@query(ACQUIRED + f""" SELECT p.task, h.event, p.video_id, CASE WHEN e.task IS NULL THEN 'UNKNOWN' WHEN f.n IS NULL THEN 'NO_MATCH' ELSE 'MATCH' END AS state, coalesce(f.n, 0) AS frames
+  FROM po{_LAST} p JOIN hints h USING (task) LEFT JOIN ev{_LAST} e ON e.task = p.task AND e.event = h.event AND e.video_id = p.video_id
+  LEFT JOIN (SELECT task, event, video_id, count(*) AS n FROM fo{_LAST} GROUP BY ALL) f ON f.task = p.task AND f.event = h.event AND f.video_id = p.video_id""")
+def acquire_states(spark: SparkSession, d: str) -> DataFrame:
+    """Each hint in each video that stays: matched, searched for without a match, or unknown."""
+    hints = _hints_of_four(spark, d)
+    return progressive.states(progressive.acquire(hints, views.frames(spark, d), BUDGET), hints)
 
 
 @query(with_views("frames queries tasks hits", """, h AS (SELECT hits.*, task FROM hits JOIN tasks USING (query_id)), v AS (SELECT DISTINCT task, video_id FROM h),
@@ -121,8 +159,9 @@ def evidence_build(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def progressive_search(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions step by step over their hints: each new unit with the relation it states, its twenty nearest transcript
-    segments, the fifty best conversations of a session, and their three best scenes."""
+    """Sessions step by step over their hints: each new unit with the relation it states, the evidence acquired for it and made
+    up for among transcript segments, and after the last the three best scenes by evidence, coverage, compactness and the
+    relations that were stated."""
     steps = sessions.replay(_hints(spark, d)).where("decision in ('FIRST', 'APPEND')").where("unit <> ''")
     steps = shared.written(steps.select("session", "version", "unit"), "steps")
     relation = text.temporal_relation(F.col("unit"), F.col("version") > 1)
@@ -137,17 +176,14 @@ def progressive_search(spark: SparkSession, d: str) -> DataFrame:
     index = ports.encode(segments, "text", ports.hashing_encoder()).where("embedding is not null").select(
         (F.col("video_id") * 1000 + F.col("segment_index")).alias("frame_id"), "video_id", F.col("start_ms").alias("timestamp_ms"), "embedding"
     )
-    found = vector.knn_join(units.select("query_id", "query"), index, 20)
-    e = shared.written(found.join(units.drop("query"), "query_id"), "session-evidence")
-    scores = evidence.video_scores(e, e.select("task", "event", "video_id", "units"), "task", "event", "units")
-    pool = fusion.top_per(scores, ["task"], [F.desc("score"), F.col("video_id")], 50, "_n").select("task", "video_id")
-    kept = e.join(pool, ["task", "video_id"], "left_semi")
-    scenes = sequences.gap_sessions(kept, ["task", "video_id"], "timestamp_ms", 10000, "frame_id").withColumnRenamed("session", "scene")
-    scored = evidence.scene_scores(scenes, "task", "event", "scene", "units")
-    best = evidence.scene_order(scored, "task", 3, 3)
-    stated = units.groupBy("task").agg(F.concat_ws(",", F.sort_array(F.collect_set("relation"))).alias("relations"))
-    out = best.select(F.col("task").alias("session"), "place", "video_id", "start_ms", "end_ms", F.round("score", 6).alias("score"))
-    return out.join(stated.withColumnRenamed("task", "session"), "session")
+    index = shared.written(index, "index")
+    state = progressive.acquire(units, index, progressive.Budget(least=0.02))
+    at_end = F.col("relation") == "AT_END"
+    subject, object_ = F.when(at_end, F.col("event")).otherwise(F.col("event") - 1), F.when(~at_end, F.col("event"))
+    said = units.where("relation is not null").select("task", "relation", subject.alias("subject"), object_.alias("object"))
+    best = progressive.aligned(state, said, units.groupBy("task").agg(F.count("*").alias("units")), per_video=3, most=3)
+    held = [F.round(c, 6).alias(c) for c in ("coverage", "evaluation", "related", "score")]
+    return best.select(F.col("task").alias("session"), F.col("place").cast("int").alias("place"), "video_id", "start_ms", "end_ms", *held)
 
 
 _ASKED = """WITH q AS (SELECT conv_id, text AS asked FROM conversations WHERE turn = 0),

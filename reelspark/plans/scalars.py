@@ -234,16 +234,24 @@ def strict_validation(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(with_views("segments", """, u AS (SELECT video_id, min(start_ms) FILTER (WHERE segment_index % 2 = 0) AS a0, max(end_ms) FILTER (WHERE segment_index % 2 = 0) AS a1, min(start_ms) FILTER (WHERE segment_index % 2 = 1) AS b0, max(end_ms) FILTER (WHERE segment_index % 2 = 1) AS b1 FROM segments GROUP BY video_id)
-  SELECT video_id, b1 <= a0 AS before, b0 >= a1 AS after, a0 < b1 AND b0 < a1 AS overlap, greatest(greatest(a0, b0) - least(a1, b1), 0) <= 500 AS near FROM u"""))
+#: What each conversation is asked of its turns, by their number modulo 3; unit 7 is never there.
+RELATIONS = [("BEFORE", 0, 1), ("BEFORE", 2, 0), ("AFTER", 0, 2), ("OVERLAP", 1, 2), ("NEAR", 0, 2), ("AT_END", 1, None), ("AT_END", 7, None), ("NEAR", 0, 7)]
+
+
+@query(with_views("segments", """, u AS (SELECT video_id, segment_index % 3 AS unit, start_ms FROM segments WHERE status = 'completed'), last AS (SELECT video_id, max(start_ms) AS t FROM u GROUP BY ALL),
+  c(relation, subject, object) AS (VALUES """ + ", ".join(f"('{r}', {a}, {'NULL' if b is None else b})" for r, a, b in RELATIONS) + """),
+  p AS (SELECT x.video_id, c.*, bool_or(CASE c.relation WHEN 'BEFORE' THEN x.start_ms <= y.start_ms WHEN 'AFTER' THEN x.start_ms >= y.start_ms ELSE abs(x.start_ms - y.start_ms) <= 5000 END) AS holds
+    FROM c JOIN u x ON x.unit = c.subject JOIN u y ON y.unit = c.object AND y.video_id = x.video_id GROUP BY ALL),
+  z AS (SELECT video_id, c.*, max(start_ms) = any_value(t) AS holds FROM c JOIN u ON unit = subject JOIN last USING (video_id) WHERE relation = 'AT_END' GROUP BY ALL)
+  SELECT last.video_id, c.relation, c.subject, c.object, coalesce(p.holds, z.holds) AS holds FROM last, c
+  LEFT JOIN p ON p.video_id = last.video_id AND p.relation = c.relation AND p.subject = c.subject AND p.object = c.object
+  LEFT JOIN z ON z.video_id = last.video_id AND z.relation = c.relation AND z.subject = c.subject"""))
 def relation_satisfaction(spark: SparkSession, d: str) -> DataFrame:
-    """Relations of the even turns' span to the odd ones'; null where a side has no evidence."""
-    even = F.col("segment_index") % 2 == 0
-    f = lambda agg, c, e: agg(F.when(even if e else ~even, F.col(c)))
-    u = views.segments(spark, d).groupBy("video_id").agg(f(F.min, "start_ms", True).alias("a0"), f(F.max, "end_ms", True).alias("a1"), f(F.min, "start_ms", False).alias("b0"), f(F.max, "end_ms", False).alias("b1"))
-    known = F.col("a0").isNotNull() & F.col("b0").isNotNull()
-    ab = [F.col(c) for c in ("a0", "a1", "b0", "b1")]
-    return u.select("video_id", *[F.when(known, evidence.relation_holds(r, *ab, 500)).alias(r.lower()) for r in ("BEFORE", "AFTER", "OVERLAP", "NEAR")])
+    """Constraints between the turns of a conversation: held by any pair of times, or not, or unknown."""
+    u = views.segments(spark, d).where("status = 'completed'").select("video_id", F.expr("cast(segment_index % 3 as int)").alias("unit"), "start_ms")
+    told = spark.createDataFrame(RELATIONS, "relation string, subject int, object int")
+    given = u.select("video_id").distinct().join(F.broadcast(told), F.lit(True))  # eight rows
+    return evidence.relation_outcomes(u, given, ["video_id"], ["video_id"], "unit", "start_ms", 5000).drop("times")
 
 
 # ---- smaller operators

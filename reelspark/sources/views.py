@@ -114,6 +114,16 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries(spark, sf_dir).withColumns({"task": F.expr("query_id div 60"), "event": F.expr("cast(query_id div 20 % 3 as int)")})
 
 
+def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the tasks' events say of one another: (task, relation, subject, object), by their numbers nothing, or that the
+    event before comes before this one, or is near it, or that this one is the last."""
+    kind = (F.col("task") + F.col("event")) % 4
+    rows = tasks(spark, sf_dir).where("event > 0").withColumn("relation", F.when(kind == 1, "BEFORE").when(kind == 2, "OVERLAP").when(kind == 3, "AT_END"))
+    at_end = F.col("relation") == "AT_END"
+    subject, object_ = F.when(at_end, F.col("event")).otherwise(F.col("event") - 1), F.when(~at_end, F.col("event"))
+    return rows.where("relation is not null").select("task", "relation", subject.alias("subject"), object_.alias("object"))
+
+
 #: The same views as SQL.
 SQL = {
     "frames": """frames AS (SELECT frame_id, video_id, row_number() OVER w - 1 AS frame_idx, 2000 * (row_number() OVER w - 1) AS timestamp_ms,
@@ -137,6 +147,8 @@ ocr AS (SELECT page_id AS frame_id, left(url, 40) AS ocr_text, (page_id % 10) /
 objects AS (SELECT item_id * 3 AS frame_id, left(text, 20) AS object_summary, item_id % 5 AS object_count FROM benchmark)""",
     "queries": "queries AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0)",
     "tasks": "tasks AS (SELECT query_id, query, query_id // 60 AS task, (query_id // 20 % 3)::INTEGER AS event FROM queries)",
+    "constraints": """constraints AS (SELECT task, relation, CASE WHEN relation = 'AT_END' THEN event ELSE event - 1 END AS subject, CASE WHEN relation <> 'AT_END' THEN event END AS object
+  FROM (SELECT task, event, CASE (task + event) % 4 WHEN 1 THEN 'BEFORE' WHEN 2 THEN 'OVERLAP' WHEN 3 THEN 'AT_END' END AS relation FROM tasks WHERE event > 0) WHERE relation IS NOT NULL)""",
     "scored": """scored AS (SELECT q.query_id, q.task, q.event, f.frame_id, f.video_id, f.timestamp_ms,
   round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM tasks q, frames f)""",
     "hits": """hits AS (SELECT query_id, frame_id, video_id, frame_idx, timestamp_ms, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM
