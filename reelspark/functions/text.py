@@ -1,5 +1,8 @@
 """String functions as column expressions; Unicode composition and case folding, which Spark lacks, as Arrow UDFs."""
 
+import json
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +45,54 @@ def json_has(c: Column, wanted: dict, path: str = "$") -> Column:
     return out
 
 
+def _objects(said: str) -> Iterator[dict]:
+    """The JSON objects in a text, in order of where they begin, inner ones too."""
+    def refused(name: str) -> None:
+        raise ValueError(f"{name} is no JSON")
+
+    decoder, at = json.JSONDecoder(parse_constant=refused), said.find("{")
+    while at >= 0:
+        try:
+            yield decoder.raw_decode(said, at)[0]
+        except (ValueError, RecursionError):
+            pass
+        at = said.find("{", at + 1)
+
+
+def first_object(c: Column) -> Column:
+    """The first JSON object inside free text, whatever is nested in it or quoted, as compact JSON; null if there is none."""
+
+    @F.pandas_udf("string")
+    def first(column: pd.Series) -> pd.Series:
+        compact = lambda said: next((json.dumps(o, separators=(",", ":"), ensure_ascii=False) for o in _objects(said)), None)
+        return column.map(compact, na_action="ignore")
+
+    return first(c)
+
+
+def _grounded(value: dict) -> tuple | None:
+    """(answer, frame, answerable, confidence) of an object that has them in the right form."""
+    line = lambda key: " ".join(str(value.get(key, "")).split())
+    sure = pd.to_numeric(pd.Series([value.get("confidence", 0.5)]), errors="coerce")[0]
+    can = value.get("answerable", True)
+    good = line("answer") and line("selected_frame_id") and can in (True, False) and isinstance(can, bool) and 0 <= sure <= 1
+    return (line("answer")[:100], str(value["selected_frame_id"]).strip(), can, float(sure)) if good else None
+
+
+def grounded_answer(c: Column) -> Column:
+    """A model's answer (answer, frame, answerable, confidence): of the first JSON object in its text that names an answer and
+    a frame, and, if it says so, whether there is an answer (else true) and how sure it is (0 to 1; else a half).  Null if
+    there is none."""
+
+    @F.pandas_udf("answer string, frame string, answerable boolean, confidence double")
+    def parsed(column: pd.Series) -> pd.DataFrame:
+        found = [next(filter(None, map(_grounded, _objects(x or ""))), (None,) * 4) for x in column]
+        return pd.DataFrame(found, columns=["answer", "frame", "answerable", "confidence"])
+
+    out = parsed(c)
+    return F.when(out["answer"].isNotNull(), out)
+
+
 def snapshot(c: Column) -> Column:
     """A hint as compared between snapshots: blanks collapsed, none before , . ; : ! ? and one after."""
     c = F.regexp_replace(nfc_collapse(c), r"\s+([,.;:!?])", "$1")
@@ -136,7 +187,6 @@ COUNTS = {
     "four": "4", "bốn": "4", "five": "5", "năm": "5", "six": "6", "sáu": "6", "seven": "7", "bảy": "7", "eight": "8",
     "tám": "8", "nine": "9", "chín": "9", "ten": "10", "mười": "10",
 }
-COLORS = ("red", "đỏ", "blue", "xanh dương", "green", "xanh lá", "yellow", "vàng", "black", "đen", "white", "trắng")
 
 
 def answer_key(c: Column, kind: Column) -> Column:

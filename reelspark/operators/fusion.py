@@ -88,3 +88,15 @@ def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFram
 def top_per(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group, with their place; Spark limits groups before the shuffle."""
     return rows.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
+
+
+def submissions(ranked: DataFrame, frames: DataFrame, top: int = 100) -> DataFrame:
+    """query_id, video_id, frame_idx, frame_id, answer, rank: the rows to hand in for ranked answers (query_id, frame_id,
+    video_id, answer, rank).  Answers that name no known frame, or one of another video than their own, are passed over; of
+    those of one video, frame number and answer the first counts; ranks are counted anew, up to ``top`` (1 to 100)."""
+    if not 1 <= top <= 100:
+        raise ValueError("top must be 1 to 100")
+    known = ranked.join(frames.select("frame_id", "video_id", "frame_idx"), ["frame_id", "video_id"])
+    once = known.groupBy("query_id", "video_id", "frame_idx", "answer").agg(F.min(F.struct("rank", "frame_id")).alias("first"))
+    rows = once.select("query_id", "video_id", "frame_idx", "first.frame_id", "answer", F.col("first.rank").alias("_was"))
+    return top_per(rows, ["query_id"], [F.col("_was")], top).drop("_was")

@@ -10,9 +10,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType
+
+from . import sequences
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -68,42 +73,85 @@ def rerank(ranked: DataFrame, score: Callable[[pd.DataFrame], np.ndarray], top:
     return both.withColumn("place", F.row_number().over(order))
 
 
-#: (answers, frame_ids, confidences) for the texts, kinds and frames of some windows.
-Answerer = Callable[[list[str], list[str], list[list[int]]], tuple[list[str], list[int], list[float]]]
-
+def isolated(call: Callable[[list], list], items: list) -> list[tuple[object, str | None]]:
+    """(result, error) of each item of a batch.  Where a call fails, its batch is halved until the items that make it fail
+    are alone; only those have an error (the exception's name and first line), the others their results."""
+    if not items:
+        return []
+    try:
+        results = list(call(items))
+        if len(results) != len(items):
+            raise ValueError(f"{len(results)} results for {len(items)} items")
+        return [(r, None) for r in results]
+    except Exception as e:  # noqa: BLE001  whatever a model raises is a row's failure
+        if len(items) == 1:
+            return [(None, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300])]
+    half = len(items) // 2
+    return isolated(call, items[:half]) + isolated(call, items[half:])
 
-def answer(windows: DataFrame, answerer: Answerer, most: int = 10, sure: float = 0.4) -> DataFrame:
-    """``answer``, ``frame_id``, ``confidence``, ``retried`` for the ``most`` first windows of each question.
-
-    ``windows`` has question, kind, place, text, frames and wide (lists of frames).  A TEMPORAL question's answer that is
-    not ``sure`` is asked for again with the wide frames, and the surer one is kept.  An answer that names a frame that it
-    was not shown is no answer: it and its frame are null."""
-    kept = [f for f in windows.schema.fields]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", answer string, frame_id long, confidence double, retried boolean"
-
-    def ask(batch: pd.DataFrame, frames: str) -> pd.DataFrame:
-        shown = [list(map(int, x)) for x in batch[frames]]
-        said, at, sure_of = answerer(batch["text"].tolist(), batch["kind"].tolist(), shown)
-        real = [f in s for f, s in zip(at, shown)]
-        return pd.DataFrame(
-            {
-                "answer": [a if r else None for a, r in zip(said, real)],
-                "frame_id": pd.array([f if r else None for f, r in zip(at, real)], "Int64"),
-                "confidence": [float(c) if r else 0.0 for c, r in zip(sure_of, real)],
-            },
-            index=batch.index,
-        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            got = ask(b, "frames").assign(retried=False)
-            again = b[(b["kind"] == "TEMPORAL") & (got["confidence"] < sure)]
-            if len(again):
-                second = ask(again, "wide").assign(retried=True)
-                better = second[second["confidence"] > got.loc[second.index, "confidence"]]
-                got.loc[better.index] = better
-            yield pd.concat([b, got], axis=1)
-
-    return windows.where(F.col("place") <= most).mapInPandas(run, schema)
+#: (answers, frame_ids, confidences) for the texts, kinds and frames of some windows.
+Answerer = Callable[[list[str], list[str], list[list[int]]], tuple[list[str], list[int], list[float]]]
+#: What is told of a call besides errors.
+NOT_SHOWN, AGAIN = "frame_not_shown", "temporal_neighbor_fallback"
+
+
+def answer(windows: DataFrame, answerer: Answerer, most: int = 8, sure: float = 0.4) -> DataFrame:
+    """A row for each call of the model: question, kind, place, call (from 1), retried, answer, frame_id, confidence, warnings.
+
+    ``windows`` has question, kind, place, text, frames and wide (lists of frames, wide null if there is no more to show).
+    A question's windows are asked in order of place, until ``most`` calls were made.  If the answer to a window of a
+    TEMPORAL question is missing or not ``sure``, the window is asked again with the wide frames, which is a call of the
+    ``most`` too; both answers stay.  An answer that names a frame it wasn't shown, and a call that fails, is no answer: it
+    is null, and the reason is among the warnings.
+
+    Questions take turns: one call of each is a batch for the model, so batches stay full though each call of a question
+    depends on those before."""
+    key = windows.schema["question"]
+    schema = f"question {key.dataType.simpleString()}, kind string, place int, call int, retried boolean, answer string, frame_id long, confidence double, warnings array<string>"
+
+    def called(rows: list[tuple[dict, list[int]]]) -> list[tuple]:
+        def model(batch: list) -> list:
+            return list(zip(*answerer([r["text"] for r, _ in batch], [r["kind"] for r, _ in batch], [f for _, f in batch])))
+
+        out = []
+        for (got, error), (_, shown) in zip(isolated(model, rows), rows):
+            if error is None and got[1] not in shown:
+                got, error = None, NOT_SHOWN
+            out.append((got, error))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in sequences.groups(batches, ["question"]):
+            rows = table.to_pylist()
+            waiting = [iter(rows[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+            turn: list[tuple[int, dict, bool]] = []  # (question, window, again)
+            calls, out = [0] * len(waiting), []
+            live = list(range(len(waiting)))
+            again: dict[int, dict] = {}
+            while live:
+                turn = []
+                for q in live:
+                    w = again.pop(q, None)
+                    retried = w is not None
+                    w = w if retried else next(waiting[q], None)
+                    if w is not None:
+                        turn.append((q, w, retried))
+                found = called([(w, list(map(int, w["wide"] if retried else w["frames"]))) for _, w, retried in turn])
+                live = []
+                for (q, w, retried), (got, error) in zip(turn, found):
+                    calls[q] += 1
+                    said = ([AGAIN] if retried else []) + ([error] if error else [])
+                    out.append((w["question"], w["kind"], w["place"], calls[q], retried, *(got or (None, None, None)), said))
+                    if calls[q] < most:
+                        live.append(q)
+                        unsure = got is None or got[2] < sure
+                        if not retried and w["kind"] == "TEMPORAL" and unsure and w["wide"] is not None:
+                            again[q] = w
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=shape)
+
+    spec = DataType.fromDDL(schema)
+    names, shape = spec.fieldNames(), to_arrow_schema(spec)
+    first = windows.where(F.col("place") <= most).select("question", "kind", F.col("place").cast("int").alias("place"), "text", "frames", "wide")
+    return first.repartition("question").sortWithinPartitions("question", "place").mapInArrow(run, schema)

@@ -240,7 +240,7 @@ def interpolated(value: str, order: str, key: str) -> Column:
     return F.when(a.isNull(), b).when(b.isNull() | (i == j), a).otherwise(a + (b - a) * (F.col(order) - i) / (j - i))
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups of neighbouring rows of one key, and where in them groups begin and end.  A group that goes on
     in the next batch waits for it."""
     held: list[pa.RecordBatch] = []
@@ -280,7 +280,7 @@ def fold(rows: DataFrame, key: str | list[str], order: list[str], name: str, kin
     schema = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields) + f", {name} {kind}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in _groups(batches, keys):
+        for table, at in groups(batches, keys):
             if table.num_rows:
                 frame = table.to_pandas()
                 made = [np.asarray(f(frame.iloc[p:q].reset_index(drop=True))) for p, q in zip(at[:-1].tolist(), at[1:].tolist())]

@@ -199,12 +199,25 @@ def map_functions(spark: SparkSession, d: str) -> DataFrame:
     return m.select("user_id", F.explode(merged).alias("key", "value"))
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, CASE WHEN event_id % 3 = 0 THEN NULL ELSE json_extract(props, '$.k')::BIGINT END AS found FROM events")
+#: Free text with JSON in it: broken before, nested, with braces in strings, with another object first, or none.
+_FREE = """CASE event_id % 5 WHEN 0 THEN 'so {{ not this ' || p || ' but this' WHEN 1 THEN 'it is {{"answer": "a }} b {{", "selected_frame_id": "f' || event_id || '", "confidence": 0.25, "more": ' || p || '}}.'
+    WHEN 2 THEN p || ' {{"answer": "later", "selected_frame_id": 7, "answerable": false}}' WHEN 3 THEN '[1, {{"k": {{"j": [' || p || ']}}, "answer": "", "selected_frame_id": 1}}] {{"answer": "x", "selected_frame_id": "y", "confidence": 7}}' ELSE 'nothing {{broken: ' || event_id || '}}' END"""
+
+
+@query(f"""WITH e AS (SELECT event_id, props::VARCHAR AS p, json_extract(props, '$.k')::BIGINT AS k FROM events), f AS (SELECT event_id, k, {_FREE.replace("{{", "{").replace("}}", "}")} AS said FROM e),
+  s AS (SELECT *, unnest(list_filter(range(1, length(said) + 1), lambda i: said[i] = '{{')) AS a FROM f),
+  z AS (SELECT *, unnest(list_filter(range(a + 1, length(said) + 1), lambda i: said[i] = '}}')) AS b FROM s),
+  o AS (SELECT event_id, a, said[a:b] AS j FROM z WHERE json_valid(said[a:b])),
+  g AS (SELECT event_id, a, trim(j->>'answer') AS answer, trim(j->>'selected_frame_id') AS frame, coalesce((j->>'answerable')::BOOLEAN, true) AS answerable, coalesce((j->>'confidence')::DOUBLE, 0.5) AS confidence FROM o),
+  h AS (SELECT * FROM g WHERE answer <> '' AND frame <> '' AND confidence BETWEEN 0 AND 1 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY a) = 1)
+  SELECT f.event_id, f.k, (SELECT min_by(replace(j, ' ', ''), a) FROM o WHERE o.event_id = f.event_id) AS first_object, answer, frame, answerable, confidence FROM f LEFT JOIN h USING (event_id)""")
 def json_functions(spark: SparkSession, d: str) -> DataFrame:
-    """A strict field, and the first object inside free text; what does not parse is null."""
-    free = F.concat(F.lit("the answer is "), F.when(F.col("event_id") % 3 == 0, F.lit("{broken")).otherwise(F.col("props")), F.lit(" indeed"))
-    found = F.from_json(F.regexp_extract(free, r"(\{[^{}]*\})", 1), "k long")["k"]
-    return views.read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), found.alias("found"))
+    """A strict field, the first object inside free text, and the first one that is a grounded answer."""
+    e = views.read(spark, d, "events").select("event_id", F.col("props").alias("p"))
+    free = F.expr(_FREE.replace("{{", "{").replace("}}", "}"))
+    e = e.withColumn("said", free).withColumn("g", text.grounded_answer(F.col("said")))
+    first = F.regexp_replace(text.first_object(F.col("said")), " ", "")
+    return e.select("event_id", F.from_json("p", "k long")["k"].alias("k"), first.alias("first_object"), "g.answer", "g.frame", "g.answerable", "g.confidence")
 
 
 @query("SELECT doc_id, left(sha1(lang || '/' || source), 12) AS path_id, sha256(source || ':' || doc_id) AS version FROM documents")

@@ -310,18 +310,6 @@ def test_sampling_keeps_required_rows(spark):
     assert sorted((r.k, r.i) for r in got) == [("v", 0), ("v", 1), ("v", 2), ("v", 5), ("v", 8), ("w", 0), ("w", 1), ("w", 2)]
 
 
-def test_answers_are_asked_for_again(spark):
-    rows = [(1, "TEMPORAL", 1, "a", [1], [1, 2]), (1, "TEMPORAL", 2, "b", [3], [3, 4]), (1, "COUNT", 3, "c", [5], [5, 6]), (1, "COUNT", 4, "d", [7], [7, 8]), (1, "COUNT", 5, "e", [9], [9])]
-    windows = spark.createDataFrame(rows, "question int, kind string, place int, text string, frames array<long>, wide array<long>")
-
-    def model(texts, kinds, frames):
-        sure = {"a": 0.1, "b": 0.9, "c": 0.2, "d": 0.5}
-        return [t.upper() for t in texts], [f[-1] if t != "d" else 99 for t, f in zip(texts, frames)], [sure[t] + 0.3 * (len(f) > 1) for t, f in zip(texts, frames)]
-
-    got = {r.text: (r.answer, r.frame_id, round(r.confidence, 6), r.retried) for r in ports.answer(windows, model, 4).collect()}
-    assert got == {"a": ("A", 2, 0.4, True), "b": ("B", 3, 0.9, False), "c": ("C", 5, 0.2, False), "d": (None, None, 0.0, False)}
-
-
 def test_json_subsets_and_required_texts(spark):
     row = spark.range(1).select(F.lit('{"a": {"b": 1, "c": {"d": "x"}}, "e": true}').alias("j"), F.lit(" a  b ").alias("t"), F.lit(" ").alias("blank"))
     has = lambda w: row.select(text.json_has(F.col("j"), w)).first()[0]
