@@ -137,31 +137,6 @@ def session_stream(spark: SparkSession, d: str) -> DataFrame:
     return events.drained(sessions.stream(events.source(spark, path, sessions.HINTS), most=64), "session-stream", "append")
 
 
-@query("""SELECT 'v1' AS version, count(*) AS todo, count(*) FILTER (WHERE event_id % 10 <> 0) AS completed, count(*) FILTER (WHERE event_id % 10 = 0) AS failed FROM events
-  UNION ALL SELECT 'v2', count(*) FILTER (WHERE event_id % 10 = 0), count(*), 0 FROM events""")
-def evidence_build(spark: SparkSession, d: str) -> DataFrame:
-    """An artifact built in two runs: what fails in the first is a row of its failures, the second takes up what is left;
-    each run is published whole, and must cover its input."""
-    root, e = shared.shared_path(spark, "build"), views.read(spark, d, "events").select("event_id", "props")
-
-    def run(todo: DataFrame, done: DataFrame | None, version: str) -> tuple[str, int, int, int]:
-        made = todo.withColumn("k", F.from_json("props", "k long")["k"])
-        completed = made.where("k is not null").select("event_id", "k")
-        completed = completed if done is None else done.unionByName(completed)
-        failures = made.where("k is null").select("event_id", F.lit("InvalidJson").alias("error"), F.substring("props", 1, 300).alias("message"))
-        bundles.publish({"completed": completed, "failures": failures}, root, version)
-        n = {name: df.count() for name, df in bundles.load(spark, root).items()}
-        if sum(n.values()) != e.count():
-            raise ValueError(f"{version} does not cover its input")
-        return version, todo.count(), n["completed"], n["failures"]
-
-    broken = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("x"), "props")).otherwise(F.col("props"))
-    first = run(e.withColumn("props", broken), None, "v1")
-    done = bundles.load(spark, root)["completed"]
-    second = run(bundles.todo(e, done, ["event_id"]), done, "v2")
-    return spark.createDataFrame([first, second], "version string, todo long, completed long, failed long")
-
-
 @query()
 def progressive_search(spark: SparkSession, d: str) -> DataFrame:
     """Sessions step by step over their hints: each new unit with the relation it states, the evidence acquired for it and made
@@ -263,14 +238,6 @@ def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(with_views("frames", " SELECT frame_id, video_id FROM frames WHERE frame_idx // 16 NOT IN (SELECT i * 2 FROM generate_series(0, 1000000) g(i) WHERE i < 100000)"))
-def resume_shards(spark: SparkSession, d: str) -> DataFrame:
-    """Even shards of sixteen frames are done; the rest is left."""
-    f = views.frames(spark, d).withColumn("shard", F.expr("frame_idx div 16"))
-    done = f.where("shard % 2 = 0").select("video_id", "shard").distinct()
-    return bundles.todo(f, done, ["video_id", "shard"]).select("frame_id", "video_id")
-
-
 @query("SELECT source, lang, sha256(source || '|' || lang || '|v2') AS identity, count(*) AS rows, sha256(source || '|' || lang || '|v2') = sha256(source || '|' || lang || CASE WHEN source < 'src2' THEN '|v1' ELSE '|v2' END) AS complete, source >= 'src2' AND lang = 'en' AS usable FROM documents GROUP BY ALL")
 def stage_identity(spark: SparkSession, d: str) -> DataFrame:
     """A stage is complete where its recorded identity (inputs and configuration) is what it would be now, and usable for

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import aggregates, progressive, relational, scalars, sequences  # noqa: F401
+    from . import aggregates, artifacts, progressive, relational, scalars, sequences  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

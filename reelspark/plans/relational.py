@@ -69,11 +69,6 @@ def scan_recursive_parquet(spark: SparkSession, d: str) -> DataFrame:
     return got.agg(F.count("*").alias("rows"), F.countDistinct("segment_id").alias("ids"), F.sum((F.col("end_ms") <= F.col("start_ms")).cast("long")).alias("empty"))
 
 
-@query("SELECT lang, min(source) = max(source) AS uniform, count(DISTINCT source) AS versions FROM documents GROUP BY lang")
-def uniform_lineage(spark: SparkSession, d: str) -> DataFrame:
-    return views.read(spark, d, "documents").groupBy("lang").agg((F.min("source") == F.max("source")).alias("uniform"), F.countDistinct("source").alias("versions"))
-
-
 @query("SELECT item_id AS query_id, text AS query, 0::BIGINT AS tolerance_ms FROM benchmark WHERE length(trim(text)) > 0")
 def scan_evaluation_jsonl(spark: SparkSession, d: str) -> DataFrame:
     path = shared.shared_path(spark, "evaluation")

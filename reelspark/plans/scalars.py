@@ -313,12 +313,6 @@ def error_isolating_map(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", F.when(failed, "failed").otherwise("completed").alias("status"), "k", F.when(failed, F.concat(F.lit("InvalidJson: "), F.substring("given", 1, 21))).alias("error"))
 
 
-@query(with_views("regions", " SELECT frame_id, frame_id || ':' || region_order AS region_id, text FROM regions"))
-def ocr_child_rows(spark: SparkSession, d: str) -> DataFrame:
-    r = views.regions(spark, d)
-    return r.select("frame_id", F.concat_ws(":", F.col("frame_id").cast("string"), F.col("region_order").cast("string")).alias("region_id"), "text")
-
-
 @query("SELECT vec_id, round(greatest(0, least(1, list_min([embedding[1], embedding[3], embedding[5], embedding[7]])))::DOUBLE, 6) AS x0, round(greatest(0, least(1, list_max([embedding[1], embedding[3], embedding[5], embedding[7]])))::DOUBLE, 6) AS x1 FROM embeddings")
 def clamped_boxes(spark: SparkSession, d: str) -> DataFrame:
     """A four-cornered region as an upright box within the picture."""

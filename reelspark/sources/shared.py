@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +26,57 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's place (from 0) in an order: ranges of it are sorted apart and number their own rows; what is
+    before a range is a sum over the counts of ranges, one row each."""
+    ranged = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("_part", F.shiftright("_at", 33))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select("_part", "_first", before.alias("_before"))
+    return ranged.join(counts, "_part").withColumn(name, F.col("_at") - F.col("_first") + F.col("_before")).drop("_at", "_part", "_first", "_before")
+
+
+class Files:
+    """The few operations on files that Spark's readers and writers don't do: whole small files that appear at once, renames
+    and removals, on whatever file system a path names."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self._jvm, self._conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self.path(root).getFileSystem(self._conf)
+
+    def path(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(name)
+
+    def rename(self, source: str, target: str, overwrite: bool = False) -> None:
+        """One step: readers see the old or the new.  Without ``overwrite`` a target that is there is an error."""
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        how = self._jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)
+        how[0] = rename.OVERWRITE if overwrite else rename.NONE
+        a, b = (self._fs.makeQualified(self.path(x)) for x in (source, target))
+        self._fs.mkdirs(b.getParent())
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), self._conf).rename(a, b, how)
+
+    def put(self, name: str, text: str, overwrite: bool = False) -> None:
+        """A small file, written aside and renamed."""
+        aside = f"{name}.{uuid.uuid4().hex[:8]}.tmp"
+        out = self._fs.create(self.path(aside), False)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        try:
+            self.rename(aside, name, overwrite)
+        except Exception:
+            self.remove(aside)
+            raise
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self.path(name))
+
+    def names(self, folder: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(self.path(folder))) if self.exists(folder) else []
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self.path(name), True)
