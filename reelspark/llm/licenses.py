@@ -1,18 +1,23 @@
 """Licence scans: sparse TF-IDF cosine of notices to templates, then inheritance from the nearest ancestor directory.
 
-A document's notice is the lines of its text that speak of licensing.  Notices and templates are bags of words, weighed by
-TF-IDF over all notices and templates; only words of templates can add to a cosine, so each notice is joined to templates
-on words and normalised by its full length.  The best template of enough likeness is the document's own licence.  Where no
-template is, the whole text is held against passages of real headers, licence files and SPDX lines: of those of which the
-text has enough three-word shingles, whatever else it has, the one with the most shingles decides.  A file
-of a licence file's name, or whose text is little but its notice, gives its licence to its directory.  A document without
-one of its own takes that of its nearest ancestor directory: directories, not documents, are joined with their ancestors.
-
-DataFrame operations only.
+Templates are notices of one sentence, headers, passages of licence files, and SPDX lines.  A text that speaks of licensing
+has notices of four sizes: the whole text, its paragraphs (without comment marks), their sentences, and the clauses of these
+that say how a work is licensed; those that speak of licensing are bags of words, weighed by TF-IDF over all different notices and templates.  Only words of templates can add to
+a cosine, so notices are joined to templates on words and normalised by their full length.  The best notice and template of
+enough likeness give the text its own licence, provided the notice has all words of the licence's name that the template has
+("3" of GPL-3.0, say: likeness alone can't tell a version or a name).  A notice that says it is *not* so licensed is none.
+
+A file of a licence file's name, or whose text is little but its notice, gives its licence to its directory.  A document
+without one of its own takes that of its nearest ancestor directory: directories, not documents, are joined with their
+ancestors.
+
+DataFrame operations only.  Texts and notices are joined by their 128-bit digests.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,19 +30,24 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms are permitted under the 3-Clause BSD License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0, the Creative Commons Attribution License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "CC0-1.0": "Released into the public domain under CC0 1.0 Universal.",
+    "EPL-2.0": "This program is made available under the terms of the Eclipse Public License, version 2.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
     "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+    "Zlib": "Released under the zlib License.",
 }
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _GNU = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."""
 _GNU_FILE = "GNU {0} Version {1} Copyright (C) {2} Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."
-# Passages of headers and licence files; those of TEMPLATES and an SPDX line for each licence are added.
+# Headers and passages of licence files.
 PASSAGES = [
     ("AGPL-3.0", _GNU.format("Affero General Public License", 3)),
     ("AGPL-3.0", _GNU_FILE.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007", 2007)),
@@ -47,12 +57,16 @@ PASSAGES = [
     ("BSD-3-Clause", _BSD + "\nmay be used to endorse or promote products derived from this software without specific prior written permission"),
     ("CC-BY-4.0", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-ND-4.0", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-SA-4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("GPL-2.0", _GNU.format("General Public License", 2)),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
     ("GPL-3.0", _GNU.format("General Public License", 3)),
     ("GPL-3.0", _GNU_FILE.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007", 2007)),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", _GNU.format("Lesser General Public License", 2.1)),
     ("LGPL-3.0", _GNU.format("Lesser General Public License", 3)),
     ("LGPL-3.0", _GNU_FILE.format("LESSER GENERAL PUBLIC LICENSE", "3, 29 June 2007", 2007)),
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
@@ -60,63 +74,65 @@ PASSAGES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."),
 ]
-#: Share of a passage's shingles that a text must have.
-COVER = 0.8
-HINT = "(?i)licen[sc]e|copyright|spdx|public domain"
+#: What speaks of licensing, and what denies it.
+HINT = "(?i)licen[sc]e|copyright|spdx|public domain|redistribution and use|permission is|free software"
+DENIED = r"(?i)\b(not|never|no longer)\s+(\w+\s+)?(licen[sc]ed|released|offered|made available)\b"
+#: Where the clause begins that says how a work is licensed.
+CLAUSE = r"(?is)\b(licen[sc]ed|released|made available|redistribution and use|permission is|spdx-license-identifier)\b.*"
+#: Marks of comments at the start of a line; what parts paragraphs, and sentences.
+MARKS, PARAGRAPH, SENTENCE = r"\n[ \t#/*;!%<>-]+", r"\n\n+", r"([.!?])[ \t\n]+"
 WORD = "[a-z0-9]+"
 LICENCE_FILE = "(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 LEAST = 0.6
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"))
-
+def given_templates(templates: dict[str, str] | None = None) -> list[tuple[str, str, list[str]]]:
+    """(licence, text, words of the licence's name that the text has) of the templates: those given, or all there are here
+    with an SPDX line for each licence."""
+    if templates is None:
+        pairs = [*TEMPLATES.items(), *PASSAGES]
+        pairs += [(x, f"SPDX-License-Identifier: {x}") for x in sorted({licence for licence, _ in pairs})]
+    else:
+        pairs = list(templates.items())
+    words = lambda x: set(re.findall(WORD, x.lower()))
+    return [(licence, text, sorted(words(licence) & words(text))) for licence, text in sorted(pairs)]
 
-def notices(rows: DataFrame) -> DataFrame:
-    """doc_id, path, and of texts with such lines notice, n_words (of the whole text), notice_words, text; one scan of texts."""
-    lines = F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(HINT))
-    found = rows.withColumn("notice", F.when(F.col("text").rlike(HINT), F.nullif(F.concat_ws("\n", lines), F.lit(""))))
-    words = lambda c: F.when(F.col("notice").isNotNull(), F.regexp_count(c, F.lit(r"\S+")))
-    return found.select("doc_id", "path", "notice", words("text").alias("n_words"), words("notice").alias("notice_words"), F.when(F.col("notice").isNotNull(), F.col("text")).alias("text"))
 
-
-def _shingles(text: Column) -> Column:
-    words = _words(text)
-    return F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " "))))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({WORD})"))
 
 
-def covered(texts: DataFrame, passages: list[tuple[str, str]]) -> DataFrame:
-    """Of the distinct ``text``: text, passage_licence, cover (share of the passage's shingles), held (their number)."""
-    given = texts.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(passages)], "passage int, licence string, given string")
-    given = given.select("passage", "licence", _shingles(F.col("given")).alias("s")).where("s is not null")
-    wanted = given.select("passage", "licence", F.size("s").alias("size"), F.explode("s").alias("shingle"))
-    rows = texts.select("text").distinct().select("text", F.explode(_shingles(F.col("text"))).alias("shingle"))
-    held = rows.join(F.broadcast(wanted), "shingle").groupBy("text", "passage", "licence", "size").agg(F.count("*").alias("held"))
-    held = held.withColumn("cover", F.round(F.col("held") / F.col("size"), 6)).where(F.col("cover") >= COVER)
-    best = held.groupBy("text").agg(F.min(F.struct((-F.col("held")).alias("less"), (-F.col("cover")).alias("low"), "licence")).alias("b"))
-    return best.select("text", F.col("b.licence").alias("passage_licence"), (-F.col("b.low")).alias("cover"), (-F.col("b.less")).alias("held"))
+def _notices(text: Column) -> Column:
+    """The different notices of a text: itself, its paragraphs, their sentences and the clauses of these that say how a work
+    is licensed, as far as they speak of licensing and the sentence doesn't deny it."""
+    plain = F.regexp_replace(F.concat(F.lit("\n"), F.replace(text, F.lit("\r\n"), F.lit("\n"))), MARKS, "\n")
+    paragraphs = F.split(plain, PARAGRAPH)
+    sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, SENTENCE, "$1\u0001"), "\u0001")))
+    good = lambda notices: F.filter(notices, lambda x: x.rlike(HINT) & ~x.rlike(DENIED))
+    clauses = F.transform(good(sentences), lambda x: F.regexp_extract(x, CLAUSE, 0))
+    return F.array_distinct(good(F.concat(F.array(text), paragraphs, sentences, clauses)))
 
 
-def cosines(spark: SparkSession, found: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """notice, licence, cosine of each distinct notice and each template that share a word."""
+def cosines(spark: SparkSession, notices: DataFrame, templates: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """u, licence, cosine, n of each different notice (u, notice) and each template that share a word and the words of the
+    licence's name; n is the notice's number of words by white space."""
     bag = lambda df, key: df.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
-    given = spark.createDataFrame(sorted(templates.items()), "licence string, text string")
-    wanted = bag(given.select("licence", _words(F.col("text")).alias("words")), "licence")
-    texts = found.groupBy("notice").agg(F.count("*").alias("copies"))  # equal notices are weighed once
-    bags = bag(texts.select("notice", _words(F.col("notice")).alias("words")), "notice").join(texts, "notice")
-    total = (texts.agg(F.sum("copies")).first()[0] or 0) + len(templates)
-    df = bags.select("word", "copies").unionByName(wanted.select("word", F.lit(1).cast("long").alias("copies")))
-    df = df.groupBy("word").agg(F.sum("copies").alias("df"))
+    given = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "template int, licence string, text string, needs array<string>")
+    wanted = bag(given.select("template", _words(F.col("text")).alias("words")), "template")
+    bags = common.table(bag(notices.select("u", _words(F.col("notice")).alias("words")), "u"), "bags")
+    total = notices.count() + len(templates)
+    df = bags.select("word").unionByName(wanted.select("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = df.select("word", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weight = lambda rows: rows.join(idf, "word").withColumn("weight", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    theirs, own = weight(wanted), weight(bags.drop("copies"))
+    own, theirs = weight(bags), common.table(weight(wanted), "templates")
     norm = lambda rows, key: rows.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"norm_{key}"))
-    theirs = theirs.select("licence", "word", F.col("weight").alias("w_t"))
-    dots = own.join(F.broadcast(theirs), "word").groupBy("notice", "licence").agg(F.sum(F.col("weight") * F.col("w_t")).alias("dot"))
-    own_norm, their_norm = norm(own, "notice"), norm(weight(wanted), "licence")
-    cos = dots.join(own_norm, "notice").join(F.broadcast(their_norm), "licence")
-    return cos.select("notice", "licence", F.round(F.col("dot") / (F.col("norm_notice") * F.col("norm_licence")), 6).alias("cosine"))
+    facts = norm(theirs, "template").join(given.select("template", "licence", "needs"), "template")
+    each = F.broadcast(theirs.select("template", "word", F.col("weight").alias("w_t")))
+    dots = own.join(each, "word").groupBy("u", "template").agg(F.sum(F.col("weight") * F.col("w_t")).alias("dot"), F.collect_set("word").alias("shared"))
+    cos = dots.join(norm(own, "u"), "u").join(F.broadcast(facts), "template").where(F.size(F.array_except("needs", "shared")) == 0)
+    return cos.select("u", "licence", F.round(F.col("dot") / (F.col("norm_u") * F.col("norm_template")), 6).alias("cosine"))
 
 
 def ancestors(directory: Column) -> Column:
@@ -135,7 +151,7 @@ def license_scan(
     templates: dict[str, str] | None = None,
     least: float = LEAST,
 ) -> DataFrame:
-    """Per row of ``docs``: doc_id, path, licence (null: none found), cosine (of its own notice, else null), origin ("own",
+    """Per row of ``docs``: doc_id, path, licence (null: none found), cosine (of its own notice and its template, else null), origin ("own",
     "inherited", "none"), licence_dir (where an inherited one comes from).
 
     ``path`` has "/" between names.  Cosines are rounded to 6 places and ties go to the first template by name; of several
@@ -144,28 +160,28 @@ def license_scan(
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), docs[text_col].cast("string").alias("text")
     )
-    seen = common.table(notices(rows), "notices")
-    found = seen.where("notice is not null")
-    cos = cosines(docs.sparkSession, found, templates or TEMPLATES).where(F.col("cosine") >= least)
-    best = cos.groupBy("notice").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("b"))
-    best = best.select("notice", F.col("b.licence").alias("own_licence"), (-F.col("b.less")).alias("cosine"))
-    best = common.table(best, "best")  # so that Spark can split the join where a notice is in a great many documents
+    hints = F.col("text").rlike(HINT)
+    seen = rows.select("doc_id", "path", F.when(hints, F.md5("text")).alias("t"), F.when(hints, F.regexp_count("text", F.lit(r"\S+"))).alias("n_words"), F.when(hints, F.col("text")).alias("text"))
+    seen = common.table(seen, "seen")
+    found = seen.where("t is not null")
+    each = found.select("t", F.explode(_notices(F.col("text"))).alias("notice")).select("t", F.md5("notice").alias("u"), "notice")
+    each = common.table(each, "each")
+    different = common.table(each.groupBy("u").agg(F.first("notice").alias("notice")), "notices")
+    cos = cosines(docs.sparkSession, different, given_templates(templates)).where(F.col("cosine") >= least)
+    best = cos.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("b"))
+    best = best.join(different.select("u", F.regexp_count("notice", F.lit(r"\S+")).alias("n")), "u")
+    best = common.table(best.select("u", "b.less", "b.licence", (-F.col("n")).alias("short")), "best")
+    # a text's best notice; as a table, so that Spark can split the join where a text is in a great many documents
+    own = each.select("t", "u").distinct().join(best, "u").groupBy("t").agg(F.min(F.struct("less", "licence", "short")).alias("b"))
+    own = common.table(own.select("t", F.col("b.licence").alias("own_licence"), (-F.col("b.less")).alias("cosine"), (-F.col("b.short")).alias("notice_words")), "texts")
     directory = F.regexp_replace("path", "/?[^/]*$", "")
-    # texts without a notice, most of them, are not joined on it
-    own = common.table(found.join(best, "notice", "left").withColumn("dir", directory), "noticed")
-    all_ = [*(PASSAGES if templates is None else []), *(templates or TEMPLATES).items()]
-    names = sorted({licence for licence, _ in all_})
-    passages = covered(own.where("own_licence is null"), all_ + [(x, f"SPDX-License-Identifier: {x}") for x in names])
-    passages = common.table(passages, "passages")
-    rest = own.where("own_licence is null").drop("own_licence", "cosine").join(passages, "text", "left")
-    rest = rest.withColumns({"own_licence": F.col("passage_licence"), "cosine": F.col("cover")})
-    own = own.where("own_licence is not null").withColumn("held", F.lit(0).cast("long")).unionByName(rest.drop("passage_licence", "cover"))
-    own = common.table(own.drop("text", "notice"), "licensed")
-    file = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) | (2 * F.greatest("notice_words", F.col("held") + 2) >= F.col("n_words"))
+    # texts that don't speak of licensing, most of them, are not joined
+    own = common.table(found.drop("text").join(own, "t", "left").withColumn("dir", directory), "licensed")
+    file = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE) | (2 * F.col("notice_words") >= F.col("n_words"))
     holders = own.where(file & F.col("own_licence").isNotNull()).groupBy("dir").agg(F.min(F.struct("path", "own_licence")).alias("h"))
     holders = holders.select(F.col("dir").alias("licence_dir"), F.col("h.own_licence").alias("dir_licence"))
     columns = ["doc_id", "path", "dir", "own_licence", "cosine"]
-    bare = seen.where("notice is null").select("doc_id", "path", directory.alias("dir"), F.lit(None).cast("string").alias("own_licence"), F.lit(None).cast("double").alias("cosine"))
+    bare = seen.where("t is null").select("doc_id", "path", directory.alias("dir"), F.lit(None).cast("string").alias("own_licence"), F.lit(None).cast("double").alias("cosine"))
     placed = own.select(*columns).unionByName(bare)
     above = placed.select("dir").distinct().select("dir", F.posexplode(ancestors(F.col("dir"))).alias("up", "licence_dir"))
     near = above.join(holders, "licence_dir").groupBy("dir").agg(F.min(F.struct("up", "licence_dir", "dir_licence")).alias("n"))
@@ -182,27 +198,31 @@ def license_scan(
 
 
 def oracle(templates: dict[str, str] | None = None, least: float = LEAST) -> str:
-    """The same but for PASSAGES over ``documents`` in DuckDB's SQL, with the paths of the query."""
+    """The same over ``documents`` in DuckDB's SQL, with the paths of the query."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    values = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in sorted((templates or TEMPLATES).items()))
+    values = ", ".join(f"({i}, {quote(k)}, {quote(v)}, [{', '.join(map(quote, needs))}]::VARCHAR[])" for i, (k, v, needs) in enumerate(given_templates(templates)))
     return f"""
-WITH given(licence, text) AS (VALUES {values}),
+WITH given(template, licence, text, needs) AS (VALUES {values}),
 rows AS (SELECT doc_id, concat_ws('/', source, lang, doc_id // 500, doc_id // 50, CASE WHEN length(text) < 400 THEN 'NOTICE-' || doc_id ELSE doc_id || '.txt' END) AS path, text FROM documents),
-found AS (SELECT doc_id, path, text, array_to_string(list_filter(string_split_regex(text, '\\r?\\n'), lambda x: regexp_matches(x, '{HINT}')), chr(10)) AS notice FROM rows WHERE regexp_matches(text, '{HINT}')),
-notices AS (SELECT doc_id, path, notice, len(regexp_extract_all(text, '\\S+')) AS n_words, len(regexp_extract_all(notice, '\\S+')) AS notice_words FROM found WHERE notice <> ''),
-texts AS (SELECT notice, count(*) AS copies FROM notices GROUP BY notice),
-bags AS (SELECT notice, copies, word, count(*) AS tf FROM (SELECT notice, copies, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM texts) GROUP BY ALL),
-wanted AS (SELECT licence, word, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM given) GROUP BY ALL),
-df AS (SELECT word, sum(copies) AS df FROM (SELECT word, copies FROM bags UNION ALL SELECT word, 1 FROM wanted) GROUP BY word),
-idf AS (SELECT word, ln((1.0::DOUBLE + (SELECT coalesce(sum(copies), 0) FROM texts) + (SELECT count(*) FROM given)) / (1.0::DOUBLE + df)) + 1 AS idf FROM df),
+found AS (SELECT doc_id, path, text, len(regexp_extract_all(text, '\\S+')) AS n_words FROM rows WHERE regexp_matches(text, '{HINT}')),
+para AS (SELECT DISTINCT text, unnest(string_split_regex(regexp_replace(chr(10) || replace(text, chr(13) || chr(10), chr(10)), '{MARKS}', chr(10), 'g'), '{PARAGRAPH}')) AS p FROM found),
+sentence AS (SELECT DISTINCT text, unnest(string_split(regexp_replace(p, '{SENTENCE}', '\\1' || chr(1), 'g'), chr(1))) AS s FROM para),
+each AS (SELECT DISTINCT text, notice FROM (SELECT text, text AS notice FROM found UNION ALL SELECT text, p FROM para UNION ALL SELECT text, s FROM sentence
+  UNION ALL SELECT text, regexp_extract(s, '{CLAUSE}') FROM sentence WHERE regexp_matches(s, '{HINT}') AND NOT regexp_matches(s, '{DENIED}')) WHERE regexp_matches(notice, '{HINT}') AND NOT regexp_matches(notice, '{DENIED}')),
+texts AS (SELECT DISTINCT notice FROM each),
+bags AS (SELECT notice, word, count(*) AS tf FROM (SELECT notice, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM texts) GROUP BY ALL),
+wanted AS (SELECT template, word, count(*) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM given) GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM (SELECT word FROM bags UNION ALL SELECT word FROM wanted) GROUP BY word),
+idf AS (SELECT word, ln((1.0::DOUBLE + (SELECT count(*) FROM texts) + (SELECT count(*) FROM given)) / (1.0::DOUBLE + df)) + 1 AS idf FROM df),
 own AS (SELECT notice, word, (1 + ln(tf::DOUBLE)) * idf AS w FROM bags JOIN idf USING (word)),
-theirs AS (SELECT licence, word, (1 + ln(tf::DOUBLE)) * idf AS w FROM wanted JOIN idf USING (word)),
+theirs AS (SELECT template, word, (1 + ln(tf::DOUBLE)) * idf AS w FROM wanted JOIN idf USING (word)),
 cos AS (SELECT notice, licence, round(dot / (a * b), 6) AS cosine FROM
-  (SELECT o.notice, t.licence, sum(o.w * t.w) AS dot FROM own o JOIN theirs t USING (word) GROUP BY ALL)
+  (SELECT o.notice, t.template, sum(o.w * t.w) AS dot, list(word) AS shared FROM own o JOIN theirs t USING (word) GROUP BY ALL)
   JOIN (SELECT notice, sqrt(sum(w * w)) AS a FROM own GROUP BY notice) USING (notice)
-  JOIN (SELECT licence, sqrt(sum(w * w)) AS b FROM theirs GROUP BY licence) USING (licence)),
+  JOIN (SELECT template, sqrt(sum(w * w)) AS b FROM theirs GROUP BY template) USING (template) JOIN given USING (template) WHERE list_has_all(shared, needs)),
 best AS (SELECT notice, licence, cosine FROM cos WHERE cosine >= {least} QUALIFY row_number() OVER (PARTITION BY notice ORDER BY cosine DESC, licence) = 1),
-own_l AS (SELECT n.*, b.licence, b.cosine, regexp_replace(path, '/?[^/]*$', '') AS dir FROM notices n JOIN best b USING (notice)),
+top AS (SELECT text, licence, cosine, len(regexp_extract_all(notice, '\\S+')) AS notice_words FROM each JOIN best USING (notice) QUALIFY row_number() OVER (PARTITION BY text ORDER BY cosine DESC, licence, notice_words DESC) = 1),
+own_l AS (SELECT f.doc_id, f.path, f.n_words, t.licence, t.cosine, t.notice_words, regexp_replace(path, '/?[^/]*$', '') AS dir FROM found f JOIN top t USING (text)),
 holders AS (SELECT dir AS licence_dir, licence AS dir_licence FROM own_l
   WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{LICENCE_FILE}') OR 2 * notice_words >= n_words
   QUALIFY row_number() OVER (PARTITION BY dir ORDER BY path, licence) = 1),

@@ -386,7 +386,11 @@ def test_real_licence_headers(spark):
     long = "as was said before in this file the whole of it is Released under the MIT License. and more words"
     cases = [(apache, "Apache-2.0"), (mit, "MIT"), (gnu % ("", 3), "GPL-3.0"), (gnu % ("", 2), "GPL-2.0"), (gnu % ("Lesser ", 3), "LGPL-3.0")]
     cases += [(bsd, "BSD-2-Clause"), (bsd + three, "BSD-3-Clause"), ("x = 1 # SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), (long, "MIT")]
-    cases += [("you need a licence to drive a car", None), ("SPDX-License-Identifier: EPL-2.0", None)]
+    zlib_ = """  Permission is granted to anyone to use this software for any purpose,\n  including commercial applications, and to alter it and redistribute it\n  freely, subject to the following restrictions:\n\n  1. The origin of this software must not be misrepresented; you must not\n     claim that you wrote the original software.\n  2. Altered source versions must be plainly marked as such, and must not be\n     misrepresented as being the original software.\n  3. This notice may not be removed or altered from any source distribution."""
+    cases += [("you need a licence to drive a car", None), ("SPDX-License-Identifier: EPL-2.0", "EPL-2.0"), ("SPDX-License-Identifier: EUPL-1.2", None)]
+    cases += [("This work is not licensed under the MIT License.", None), ("It was never released under the MIT License.\n\nLicensed under CC BY-SA 4.0.", "CC-BY-SA-4.0")]
+    cases += [(zlib_, "Zlib"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CC-BY-SA-4.0")]
+    cases += [("Licensed under the Foo License, version 7.", None), (gnu % ("Affero ", 3), "AGPL-3.0")]
     df = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, (t, _) in enumerate(cases)], "doc_id long, path string, text string")
     got = {r.doc_id: r.licence for r in licenses.license_scan(df, F.col("path")).collect()}
     assert got == {i: x for i, (_, x) in enumerate(cases)}
