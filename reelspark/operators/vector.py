@@ -6,9 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -124,11 +127,43 @@ def knn_expression(queries: DataFrame, corpus: DataFrame, k: int, digits: int =
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Queries that meet one block of a video's frames in one group.
+ASKED = 256
+
+
 def scored_within(queries: DataFrame, corpus: DataFrame, videos: DataFrame, digits: int = 6) -> DataFrame:
     """``score`` of every row of ``queries`` (query_id, query, ...) with every frame of the videos given for it in
-    ``videos`` (query_id, video_id, distinct): equi-joins on query and video."""
-    asked = videos.select("query_id", "video_id").join(queries, "query_id")
-    return asked.join(corpus, "video_id").withColumn("score", F.round(dot("query", "embedding"), digits)).drop("query", "embedding")
+    ``videos`` (query_id, video_id, distinct).
+
+    The queries of a video meet its frames in blocks of ASKED by ROWS, each one matrix product; a video that is long, or
+    asked by many, is several blocks."""
+    kept = [c for c in corpus.columns if c != "embedding"]
+    shape = StructType([StructField("query_id", LongType()), *[corpus.schema[c] for c in kept], StructField("score", DoubleType())])
+    arrow = to_arrow_schema(shape)
+    wanted = videos.select("query_id", "video_id")
+    part = lambda key, size: F.ceil(F.count("*") / size).cast("int").alias(f"{key}_parts")
+    parts = wanted.groupBy("video_id").agg(part("q", ASKED)).join(corpus.groupBy("video_id").agg(part("x", ROWS)), "video_id")
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    left = wanted.join(parts, "video_id").join(queries.select("query_id", "query"), "query_id")
+    left = left.withColumn("_q", block("query_id", "q_parts")).withColumn("_x", every("x_parts")).select("video_id", "_q", "_x", "query_id", "query")
+    right = corpus.join(parts, "video_id").withColumn("_x", block("frame_id", "x_parts")).withColumn("_q", every("q_parts")).drop("q_parts", "x_parts")
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return np.asarray(flat.flatten()).astype(float).reshape(len(flat), -1)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return arrow.empty_table()
+        scores = np.round(matrix(a["query"]) @ matrix(b["embedding"]).T, digits)
+        q, x = (g.ravel() for g in np.indices(scores.shape))
+        columns = [a["query_id"].take(pa.array(q)), *[b[c].take(pa.array(x)) for c in kept], pa.array(scores.ravel())]
+        return pa.Table.from_arrays(columns, names=arrow.names).cast(arrow)
+
+    keys = ["video_id", "_q", "_x"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, shape)
+    return scored.join(queries.drop("query"), "query_id")
 
 
 def index_problems(index: DataFrame) -> DataFrame:

@@ -163,22 +163,22 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Weights that are tried: of likeness, and of lateness.
-CONFIGURATIONS = [{"visual": v, "late": x} for v, x in ((1.0, 0.0), (1.0, 0.5), (1.0, 1.0), (0.5, 1.0), (0.0, 1.0))]
+CONFIGURATIONS = [{"visual": v, "text": x} for v, x in ((1.0, 0.0), (1.0, 0.5), (1.0, 1.0), (0.5, 1.0), (0.0, 1.0))]
 
 
-@query(with_views("frames queries gold hits", """, m AS (SELECT query_id, frame_id, max(rank) FILTER (WHERE source = 'late') AS late, max(rank) FILTER (WHERE source = 'visual') AS visual FROM
+@query(with_views("frames queries gold hits text_hits", """, m AS (SELECT query_id, frame_id, max(rank) FILTER (WHERE source = 'text') AS text, max(rank) FILTER (WHERE source = 'visual') AS visual FROM
     (SELECT query_id, 'visual' AS source, frame_id, rank FROM hits WHERE rank <= 30 UNION ALL
-     SELECT query_id, 'late', frame_id, row_number() OVER (PARTITION BY query_id ORDER BY timestamp_ms DESC, frame_id) FROM hits WHERE rank <= 20) GROUP BY ALL),
-  c AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {c['late']}::DOUBLE, {c['visual']}::DOUBLE)" for i, c in enumerate(CONFIGURATIONS)) + """) c(config, w_late, w_visual)),
-  p AS (SELECT config, query_id, frame_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round(coalesce(w_late / (60 + late), 0) + coalesce(w_visual / (60 + visual), 0), 12) DESC, frame_id) AS place FROM m, c),
+     SELECT query_id, 'text', frame_id, rank FROM text_hits) GROUP BY ALL),
+  c AS (SELECT * FROM (VALUES """ + ", ".join(f"({i}, {c['text']}::DOUBLE, {c['visual']}::DOUBLE)" for i, c in enumerate(CONFIGURATIONS)) + """) c(config, w_text, w_visual)),
+  p AS (SELECT config, query_id, frame_id, row_number() OVER (PARTITION BY config, query_id ORDER BY round(coalesce(w_text / (60 + text), 0) + coalesce(w_visual / (60 + visual), 0), 12) DESC, frame_id) AS place FROM m, c),
   f AS (SELECT config, query_id, min(place) AS first FROM p JOIN gold USING (query_id, frame_id) GROUP BY ALL),
-  s AS (SELECT config, w_late, w_visual, round(avg(((coalesce(first, 999) <= 1)::INT + (coalesce(first, 999) <= 5)::INT + (coalesce(first, 999) <= 20)::INT + (coalesce(first, 999) <= 50)::INT
+  s AS (SELECT config, w_text, w_visual, round(avg(((coalesce(first, 999) <= 1)::INT + (coalesce(first, 999) <= 5)::INT + (coalesce(first, 999) <= 20)::INT + (coalesce(first, 999) <= 50)::INT
     + (coalesce(first, 999) <= 100)::INT)::DOUBLE / 5), 9) AS score FROM c CROSS JOIN (SELECT DISTINCT query_id FROM gold) LEFT JOIN f USING (config, query_id) GROUP BY ALL)
-  SELECT config::INTEGER AS config, w_late AS late, w_visual AS visual, score, row_number() OVER (ORDER BY score DESC, w_late, w_visual, config)::INTEGER AS place FROM s"""))
+  SELECT config::INTEGER AS config, w_text AS text, w_visual AS visual, score, row_number() OVER (ORDER BY score DESC, w_text, w_visual, config)::INTEGER AS place FROM s"""))
 def weight_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Candidates fused anew with each setting of the weights; mean hits at the cut-offs, the best setting first."""
     out = fusion.calibrated(two_sources(spark, d), views.gold(spark, d), CONFIGURATIONS)
-    return out.select("config", F.col("weights")["late"].alias("late"), F.col("weights")["visual"].alias("visual"), "score", "place")
+    return out.select("config", F.col("weights")["text"].alias("text"), F.col("weights")["visual"].alias("visual"), "score", "place")
 
 
 @query(with_views("timeline", """, g AS (SELECT video_id, timestamp_ms, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY video_id ORDER BY timestamp_ms, frame_id) AS gap FROM timeline)

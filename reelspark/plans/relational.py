@@ -350,37 +350,41 @@ def score_subset(spark: SparkSession, d: str) -> DataFrame:
     return vector.scored_within(views.queries(spark, d), corpus, videos).select("query_id", "frame_id", "score")
 
 
-@query(with_views("frames queries hits", """, r AS (SELECT query_id, 'visual' AS source, frame_id, rank FROM hits WHERE rank <= 30 UNION ALL
-  SELECT query_id, 'late', frame_id, row_number() OVER (PARTITION BY query_id ORDER BY timestamp_ms DESC, frame_id) FROM hits WHERE rank <= 20)
+@query(with_views("frames queries hits text_hits", """, r AS (SELECT query_id, 'visual' AS source, frame_id, rank FROM hits WHERE rank <= 30 UNION ALL
+  SELECT query_id, 'text', frame_id, rank FROM text_hits)
   SELECT query_id, frame_id, array_to_string(list(source ORDER BY source), ',') AS sources, array_to_string(list(rank ORDER BY source), ',') AS ranks, count(*) > count(DISTINCT source) AS repeated FROM r GROUP BY ALL"""))
 def modality_union_merge(spark: SparkSession, d: str) -> DataFrame:
     merged = joins.union_merge(two_sources(spark, d))
     return merged.withColumns({"sources": F.array_join("sources", ","), "ranks": F.array_join(F.col("ranks").cast("array<string>"), ",")})
 
 
+def text_hits(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    """The k best frames of each query by the text part of their vectors."""
+    corpus = views.text_part(views.frames(spark, d).select("frame_id", "embedding"), "embedding")
+    return vector.knn_join(views.text_part(views.queries(spark, d), "query"), corpus, k)
+
+
 def two_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks of two modalities: by likeness (30 frames a query), and the latest of the best 20."""
-    h = shared.written(hits(spark, d).select("query_id", "frame_id", "timestamp_ms", "score", "rank"), "hits")
-    late = h.where("rank <= 20").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("timestamp_ms"), "frame_id")))
-    return fusion.union_sources({"visual": h.where("rank <= 30"), "late": late})
+    """Ranks of two searches: by the whole vectors (30 frames a query), and by their text part (20)."""
+    return shared.written(fusion.union_sources({"visual": hits(spark, d, 30), "text": text_hits(spark, d)}), "sources")
 
 
-FUSED = with_views("frames queries hits", """, ranked AS (SELECT query_id, 'visual' AS source, frame_id, rank FROM hits WHERE rank <= 30 UNION ALL
-  SELECT query_id, 'late', frame_id, row_number() OVER (PARTITION BY query_id ORDER BY timestamp_ms DESC, frame_id) FROM hits WHERE rank <= 20),
+FUSED = with_views("frames queries hits text_hits", """, ranked AS (SELECT query_id, 'visual' AS source, frame_id, rank FROM hits WHERE rank <= 30 UNION ALL
+  SELECT query_id, 'text', frame_id, rank FROM text_hits),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, best_rank, frame_id) AS rank FROM (SELECT query_id, frame_id,
   round(sum((CASE source WHEN 'visual' THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) / (60 + rank)), 9) AS fusion_score, min(rank) AS best_rank, count(*) AS sources FROM ranked GROUP BY ALL))""")
 
 
 @query(FUSED + " SELECT query_id, frame_id, fusion_score, best_rank::INTEGER AS best_rank, sources, rank::INTEGER AS rank FROM fused WHERE rank <= 25")
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.reciprocal_rank(two_sources(spark, d), {"visual": 1.0, "late": 0.5}, top=25)
+    return fusion.reciprocal_rank(two_sources(spark, d), {"visual": 1.0, "text": 0.5}, top=25)
 
 
 @query(with_views("frames queries hits", """ SELECT query_id, frame_id, round(1.5::DOUBLE / (60 + rank), 9) AS fusion_score, rank::INTEGER AS rank FROM hits WHERE rank <= 10"""))
 def rrf_source_lost(spark: SparkSession, d: str) -> DataFrame:
     """One of two sources has failed, one that is not required: the other's weight is scaled to the sum of both."""
     ranked = two_sources(spark, d).where("source = 'visual' and rank <= 10")
-    weights = fusion.active_weights({"visual": 1.0, "late": 0.5}, {"visual"}, required={"visual"})
+    weights = fusion.active_weights({"visual": 1.0, "text": 0.5}, {"visual"}, required={"visual"})
     return fusion.reciprocal_rank(ranked, weights).select("query_id", "frame_id", "fusion_score", "rank")
 
 

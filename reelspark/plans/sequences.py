@@ -14,7 +14,7 @@ from ..operators import vector
 from ..sources import shared, views
 from ..sources.views import with_views
 from .registry import query
-from .relational import hits
+from .relational import hits, text_hits
 
 _HITS = "frames queries hits"
 
@@ -448,22 +448,20 @@ def scene_bundles(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("n") <= 4) | F.array_contains(places, F.col("i"))).select(*keys, "frame_id")
 
 
-@query(with_views("frames queries", """, hits AS (SELECT q.query_id, f.*, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries q, frames f),
-  v AS (SELECT query_id, video_id, frame_id, timestamp_ms, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM hits QUALIFY rank <= 50),
-  r AS (SELECT query_id, frame_id, 1.0::DOUBLE / (60 + rank) AS s FROM v UNION ALL SELECT query_id, frame_id, 0.5::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id ORDER BY timestamp_ms, frame_id)) FROM v WHERE rank <= 20),
-  fused AS (SELECT query_id, frame_id, round(sum(s), 9) AS fusion FROM r GROUP BY ALL),
-  j AS (SELECT f.*, v.video_id, v.timestamp_ms, sum(CASE WHEN gap IS NULL OR gap <= 5000 THEN 0 ELSE 1 END) OVER (PARTITION BY f.query_id, v.video_id ORDER BY v.timestamp_ms, f.frame_id) AS scene FROM fused f JOIN
-    (SELECT *, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY query_id, video_id ORDER BY timestamp_ms, frame_id) AS gap FROM v) v USING (query_id, frame_id)),
+@query(with_views("frames queries hits text_hits", """, r AS (SELECT query_id, frame_id, 1.0::DOUBLE / (60 + rank) AS s FROM hits UNION ALL SELECT query_id, frame_id, 0.5::DOUBLE / (60 + rank) FROM text_hits),
+  fused AS (SELECT query_id, frame_id, round(sum(s), 9) AS fusion FROM r GROUP BY ALL), v AS (SELECT query_id, frame_id, fusion, video_id, timestamp_ms FROM fused JOIN frames USING (frame_id)),
+  j AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap <= 5000 THEN 0 ELSE 1 END) OVER (PARTITION BY query_id, video_id ORDER BY timestamp_ms, frame_id) AS scene FROM
+    (SELECT *, timestamp_ms - lag(timestamp_ms) OVER (PARTITION BY query_id, video_id ORDER BY timestamp_ms, frame_id) AS gap FROM v)),
   s AS (SELECT query_id, video_id, scene, round(0.9::DOUBLE * max(fusion) * 60 / 1.5 + 0.1::DOUBLE / (1 + (max(timestamp_ms) - min(timestamp_ms)) / 10000.0::DOUBLE), 6) AS scene_score, arg_max(frame_id, (fusion, -frame_id)) AS frame_id, count(*) AS frames FROM j GROUP BY ALL)
   SELECT query_id, video_id, frame_id, frames, scene_score, row_number() OVER (PARTITION BY query_id ORDER BY scene_score DESC, frame_id)::INTEGER AS rank FROM s QUALIFY rank <= 10"""))
 def kis_search(spark: SparkSession, d: str) -> DataFrame:
-    """Known-item search end to end: vector hits and a second source, fused; frames grouped into scenes; scenes scored by
-    meaning and compactness; the best frame stands for its scene."""
-    v = shared.written(hits(spark, d).select("query_id", "video_id", "frame_id", "timestamp_ms", "score", "rank"), "hits")
-    early = v.where("rank <= 20").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("timestamp_ms", "frame_id")))
-    fused = fusion.reciprocal_rank(fusion.union_sources({"visual": v, "early": early}), {"visual": 1.0, "early": 0.5})
-    scenes = seq.gap_sessions(v.drop("score", "rank"), ["query_id", "video_id"], "timestamp_ms", 5000, "frame_id")
-    joined = scenes.join(fused.select("query_id", "frame_id", "fusion_score"), ["query_id", "frame_id"])
+    """Known-item search end to end: hits of two searches, fused; their frames grouped into scenes; scenes scored by meaning
+    and compactness; the best frame stands for its scene."""
+    both = fusion.union_sources({"visual": hits(spark, d), "text": text_hits(spark, d)})
+    fused = fusion.reciprocal_rank(both, {"visual": 1.0, "text": 0.5})
+    frames = views.frames(spark, d).select("frame_id", "video_id", "timestamp_ms")
+    found = fused.select("query_id", "frame_id", "fusion_score").join(frames, "frame_id")
+    joined = seq.gap_sessions(found, ["query_id", "video_id"], "timestamp_ms", 5000, "frame_id")
     span = (F.max("timestamp_ms") - F.min("timestamp_ms")) / 10000.0
     best = F.max(F.struct("fusion_score", (-F.col("frame_id")).alias("less")))
     s = joined.groupBy("query_id", "video_id", "session").agg(

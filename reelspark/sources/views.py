@@ -95,10 +95,10 @@ def evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
         F.when(F.col("toxic") == 1, "failed").otherwise("completed").alias("status"),
     )
     ocr = read(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("frame_id"), F.substring("url", 1, 40).alias("ocr_text"), ((F.col("page_id") % 10) / 10.0).alias("quality")
+        F.col("page_id").alias("frame_id"), F.col("url").alias("ocr_text"), ((F.col("page_id") % 10) / 10.0).alias("quality")
     )
     objects = read(spark, sf_dir, "benchmark").select(
-        (F.col("item_id") * 3).alias("frame_id"), F.substring("text", 1, 20).alias("object_summary"), (F.col("item_id") % 5).alias("object_count")
+        (F.col("item_id") * 3).alias("frame_id"), F.col("text").alias("object_summary"), (F.col("item_id") % 5).alias("object_count")
     )
     return base, captions, ocr, objects
 
@@ -109,6 +109,11 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
+def text_part(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` with the second half of their vectors, which stands for an embedding of what is written or said."""
+    return rows.withColumn(column, F.slice(column, 33, F.size(column)))
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queries as tasks of three ordered events (or hints): query_id, query, task, event."""
     return queries(spark, sf_dir).withColumns({"task": F.expr("query_id div 60"), "event": F.expr("cast(query_id div 20 % 3 as int)")})
@@ -143,14 +148,16 @@ SQL = {
   FROM (SELECT doc_id AS frame_id, string_split(text, chr(10)) AS lines, unnest(generate_series(1, len(string_split(text, chr(10))))) AS i FROM documents))""",
     "evidence": """base AS (SELECT doc_id AS frame_id, source AS video_id, n_chars FROM documents),
 captions AS (SELECT doc_id AS frame_id, 'caption quality ' || quality AS caption_text, CASE WHEN toxic = 1 THEN 'failed' ELSE 'completed' END AS status FROM labels),
-ocr AS (SELECT page_id AS frame_id, left(url, 40) AS ocr_text, (page_id % 10) / 10.0::DOUBLE AS quality FROM pages),
-objects AS (SELECT item_id * 3 AS frame_id, left(text, 20) AS object_summary, item_id % 5 AS object_count FROM benchmark)""",
+ocr AS (SELECT page_id AS frame_id, url AS ocr_text, (page_id % 10) / 10.0::DOUBLE AS quality FROM pages),
+objects AS (SELECT item_id * 3 AS frame_id, text AS object_summary, item_id % 5 AS object_count FROM benchmark)""",
     "queries": "queries AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0)",
     "tasks": "tasks AS (SELECT query_id, query, query_id // 60 AS task, (query_id // 20 % 3)::INTEGER AS event FROM queries)",
     "constraints": """constraints AS (SELECT task, relation, CASE WHEN relation = 'AT_END' THEN event ELSE event - 1 END AS subject, CASE WHEN relation <> 'AT_END' THEN event END AS object
   FROM (SELECT task, event, CASE (task + event) % 4 WHEN 1 THEN 'BEFORE' WHEN 2 THEN 'OVERLAP' WHEN 3 THEN 'AT_END' END AS relation FROM tasks WHERE event > 0) WHERE relation IS NOT NULL)""",
     "scored": """scored AS (SELECT q.query_id, q.task, q.event, f.frame_id, f.video_id, f.timestamp_ms,
   round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM tasks q, frames f)""",
+    "text_hits": """text_hits AS (SELECT query_id, frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM
+  (SELECT q.query_id, f.frame_id, round(list_inner_product(q.query[33:]::DOUBLE[], f.embedding[33:]::DOUBLE[]), 6) AS score FROM queries q, frames f) QUALIFY rank <= 20)""",
     "hits": """hits AS (SELECT query_id, frame_id, video_id, frame_idx, timestamp_ms, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frame_id) AS rank FROM
   (SELECT q.query_id, f.frame_id, f.video_id, f.frame_idx, f.timestamp_ms, round(list_inner_product(q.query::DOUBLE[], f.embedding::DOUBLE[]), 6) AS score FROM queries q, frames f)
   QUALIFY rank <= 50)""",
