@@ -178,3 +178,31 @@ def index_problems(index: DataFrame) -> DataFrame:
         F.countDistinct(size).alias("dimensions"),
         F.coalesce(F.sum((F.abs(norm("embedding") - 1) > 1e-3 + 1e-4).cast("long")), F.lit(0)).alias("not_unit"),
     )
+
+
+def reduced(groups: DataFrame, part: str, digits: float = 1e-4) -> DataFrame:
+    """(part, frame_id, position, embedding) of groups that were built apart, one after another in the order of ``part``.
+
+    ``groups`` has part, embedding_index, frame_id, embedding.  A group whose indexes aren't 0 to n-1, a frame that is there
+    twice, vectors of different lengths, or that aren't finite and of length 1, are errors."""
+    sizes = groups.groupBy(part).agg(
+        F.count("*").alias("n"),
+        (F.min("embedding_index") == 0) & (F.max("embedding_index") == F.count("*") - 1) & (F.count_distinct("embedding_index") == F.count("*")),
+        F.min(F.size("embedding")),
+        F.max(F.size("embedding")),
+        F.coalesce(F.max(F.when(F.abs(norm("embedding") - 1) <= digits + 1e-5, 0).otherwise(1)), F.lit(0)),
+    ).toDF(part, "n", "whole", "least", "most", "off").orderBy(part).collect()  # a row for each group
+    wrong = [r[part] for r in sizes if not r.whole]
+    if wrong:
+        raise ValueError(f"the indexes of {wrong} are not 0 to n-1")
+    if len({x for r in sizes for x in (r.least, r.most)}) > 1 or any(r.off for r in sizes):
+        raise ValueError("the vectors are not all finite, of one dimension and of length 1")
+    if not groups.groupBy("frame_id").count().where("count > 1").isEmpty():
+        raise ValueError("a frame is there twice")
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r[part], before))
+        before += r.n
+    schema = StructType([groups.schema[part], StructField("_before", LongType())])
+    offsets = groups.sparkSession.createDataFrame(starts, schema)
+    return groups.join(F.broadcast(offsets), part).select(part, "frame_id", (F.col("_before") + F.col("embedding_index")).alias("position"), "embedding")

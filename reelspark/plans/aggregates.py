@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..operators import evidence, fusion
+from ..operators import evidence, fusion, vector
 from ..sources import shared, views
 from ..sources.views import with_views
 from .registry import query
@@ -192,15 +192,6 @@ def coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("SELECT lang, count(*) AS rows, round(avg((n_chars >= 500)::INT::DOUBLE), 6) AS coverage, round(avg(n_chars / 1000.0::DOUBLE), 6) AS mean_quality, count(*) FILTER (WHERE n_chars < 100) AS too_short, count(*) FILTER (WHERE n_chars > 10000) AS too_long FROM documents GROUP BY lang")
-def ocr_report(spark: SparkSession, d: str) -> DataFrame:
-    n = lambda c: F.sum(c.cast("long"))
-    return views.read(spark, d, "documents").groupBy("lang").agg(
-        F.count("*").alias("rows"), F.round(F.avg((F.col("n_chars") >= 500).cast("double")), 6).alias("coverage"),
-        F.round(F.avg(F.col("n_chars") / 1000.0), 6).alias("mean_quality"), n(F.col("n_chars") < 100).alias("too_short"), n(F.col("n_chars") > 10000).alias("too_long"),
-    )
-
-
 @query("""SELECT source, max(n_chars) FILTER (WHERE place = round_even((n - 1) * 0.5::DOUBLE, 0)) AS p50, max(n_chars) FILTER (WHERE place = round_even((n - 1) * 0.95::DOUBLE, 0)) AS p95, round(sum(n_chars) / count(*)::DOUBLE, 6) AS throughput FROM
   (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents) GROUP BY source""")
 def caption_report(spark: SparkSession, d: str) -> DataFrame:
@@ -256,11 +247,10 @@ def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("frames", " SELECT video_id % 3 AS part, frame_id, row_number() OVER (ORDER BY video_id % 3, video_id, frame_idx) - 1 AS position FROM frames"))
 def reduce_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Groups built apart, put one after another with positions numbered anew: offsets of groups, places within."""
-    f = views.frames(spark, d).withColumn("part", F.col("video_id") % 3)
-    before = W.orderBy("part", "video_id").rowsBetween(W.unboundedPreceding, -1)  # a row for each video
-    offsets = f.groupBy("part", "video_id").agg(F.count("*").alias("n")).select("part", "video_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return f.join(offsets, ["part", "video_id"]).select("part", "frame_id", (F.col("before") + F.col("frame_idx")).alias("position"))
+    """Three groups with indexes of their own, checked, and put one after another."""
+    place = F.row_number().over(W.partitionBy("part").orderBy("video_id", "frame_idx")) - 1
+    f = views.frames(spark, d).withColumn("part", F.col("video_id") % 3).withColumn("embedding_index", place.cast("long"))
+    return vector.reduced(f.select("part", "embedding_index", "frame_id", "embedding"), "part").drop("embedding")
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem GROUP BY ALL")

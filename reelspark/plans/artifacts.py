@@ -158,6 +158,29 @@ def ocr_child_rows(spark: SparkSession, d: str) -> DataFrame:
     return typed.children(spark, "ocr", enriched(spark, d, shared.shared_path(spark, "enriched"))["ocr"])
 
 
+@query(ENRICHED + """, r AS (SELECT frame_id, len(list_filter(regions, lambda x: length(x) % 100 >= 30)) AS good, len(regions) AS n, CASE WHEN len(regions) > 0 THEN list_avg(list_transform(regions, lambda x: (length(x) % 100) / 100.0::DOUBLE)) END AS quality, ocr FROM o)
+  SELECT frame_id // 100 AS video, count(*) AS frames, count(ocr) AS completed, round(count(*) FILTER (WHERE ocr <> '') / count(*), 6) AS text_rate, round(count(*) FILTER (WHERE n > 0) / count(*), 6) AS region_rate,
+    coalesce(sum(n), 0)::BIGINT AS regions, coalesce(sum(good), 0)::BIGINT AS usable_regions, round(coalesce(avg(CASE WHEN ocr IS NOT NULL THEN coalesce(quality, 0) END), 0), 6) AS mean_quality,
+    round(1 - count(ocr) / count(*), 6) AS failure_rate, CASE WHEN count(ocr) < count(*) THEN 'RuntimeError:' || (count(*) - count(ocr)) ELSE '' END AS errors FROM r GROUP BY ALL""")
+def ocr_report(spark: SparkSession, d: str) -> DataFrame:
+    """How far the OCR of each video's frames has come: rates of text, regions and failures, mean quality, and how often
+    which error."""
+    path = enriched(spark, d, shared.shared_path(spark, "enriched"))["ocr"]
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    regions = typed.children(spark, "ocr", path).groupBy("frame_id").agg(F.count("*").alias("n"), n(F.col("confidence") >= 0.3).alias("good"))
+    rows = typed.read(spark, "ocr", path, _STORE).join(regions, "frame_id", "left").fillna(0, ["n", "good"])
+    rows = rows.withColumn("video", F.expr("frame_id div 100"))
+    done, rate = F.col("status") == "completed", lambda c: F.round(n(c) / F.count("*"), 6)
+    kinds = rows.where(~done).groupBy("video", F.split("error", ":")[0].alias("kind")).agg(F.count("*").alias("k"))
+    kinds = kinds.groupBy("video").agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "kind", F.col("k").cast("string")))), ",").alias("errors"))
+    report = rows.groupBy("video").agg(
+        F.count("*").alias("frames"), n(done).alias("completed"), rate(done & (F.col("ocr_text") != "")).alias("text_rate"), rate(F.col("n") > 0).alias("region_rate"),
+        F.sum("n").alias("regions"), F.sum("good").alias("usable_regions"), F.round(F.coalesce(F.avg(F.when(done, F.coalesce("quality", F.lit(0.0)))), F.lit(0.0)), 6).alias("mean_quality"),
+        rate(~done).alias("failure_rate"),
+    )
+    return report.join(kinds, "video", "left").fillna("", ["errors"])
+
+
 def _evidence_kinds(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     """Five kinds of evidence of the documents, transcripts and detections."""
     frame = lambda i, v: [i.cast("long").alias("frame_id"), v.cast("string").alias("video_id"), i.cast("long").alias("frame_idx"), (i * 1000).cast("long").alias("timestamp_ms"), F.lit(_STORE).alias("frame_store_id")]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numeric, text
-from ..operators import evidence, vector
+from ..operators import evidence, traces, vector
 from ..sources import views
 from ..sources.views import with_views
 from .registry import query
@@ -357,12 +357,13 @@ def counts_json(spark: SparkSession, d: str) -> DataFrame:
     return m.select("video_id", "day", F.to_json("m").alias("counts_json"))
 
 
-@query("""SELECT CASE WHEN user_id % 2 = 0 THEN 'global.' ELSE 'local.' END || event_type AS stage, count(*) AS traces, count(*) - count(DISTINCT ts) AS repeated, round(sum(value), 3) AS total_ms,
-  round(max(value), 6) AS slowest_ms FROM events GROUP BY ALL""")
+@query("""WITH t AS (SELECT event_id // 4 AS request, value, CASE event_id % 4 WHEN 0 THEN 'fusion' WHEN 1 THEN 'search' WHEN 2 THEN 'search' ELSE event_type END AS stage FROM events)
+  SELECT stage, count(DISTINCT request) AS requests, round(sum(value), 3) AS total_ms, round(max(value), 6) AS slowest_ms FROM t WHERE stage IN ('search', 'fusion', 'click') GROUP BY stage""")
 def trace_summary(spark: SparkSession, d: str) -> DataFrame:
-    """Traces of two branches under their branch's name, merged; a stage that has two traces of one time is told."""
-    branch = F.when(F.col("user_id") % 2 == 0, "global.").otherwise("local.")
-    e = views.read(spark, d, "events").withColumn("stage", F.concat(branch, "event_type"))
-    return e.groupBy("stage").agg(
-        F.count("*").alias("traces"), (F.count("*") - F.count_distinct("ts")).alias("repeated"), F.round(F.sum("value"), 3).alias("total_ms"), F.round(F.max("value"), 6).alias("slowest_ms")
-    )
+    """Traces of requests: a ranking, searches of two branches under one name, and a stage of their own; how long three of
+    them took, whatever branch they are of and whether they have the present name."""
+    e = views.read(spark, d, "events").select(F.expr("event_id div 4").alias("request"), F.col("value").alias("duration_ms"), "event_type", (F.col("event_id") % 4).alias("at"))
+    stage = lambda at, name: e.where(F.col("at") == at).withColumn("stage", name)
+    own = stage(0, F.lit("ranking")).unionByName(stage(3, F.col("event_type")))
+    all_ = traces.merged({"": own, "global": stage(1, F.lit("retrieval")), "local.near": stage(2, F.lit("search"))})
+    return traces.durations(all_, ["retrieval", "fusion", "click"])

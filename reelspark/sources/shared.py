@@ -11,14 +11,27 @@ from pyspark.sql import Window as W
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names; in local mode, where it names none, in an own one."""
+    """A new path in the folder that ``spark.checkpoint.dir`` names; in local mode, where it names none, in an own one.  What
+    is written there lives as long as the driver's JVM, and is removed when that ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-reelspark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/reelspark/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/reelspark/{name}-{uuid.uuid4().hex[:12]}"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    files = named.getFileSystem(conf)
+    _removed_on_exit(files, named)
+    return path
+
+
+def _removed_on_exit(files, path) -> None:
+    """A path is noted only while it is there, so it is made and removed again."""
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    files.delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

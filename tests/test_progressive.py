@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.functions import text
-from reelspark.operators import evidence, fusion, ports, progressive, sequences
+from reelspark.operators import evidence, fusion, ports, progressive, sequences, traces, vector
 from reelspark.streaming.sessions import Store, replay
 
 SCENE = ["task", "video_id", "scene"]
@@ -247,3 +247,36 @@ def test_coverage_anchors_against_a_scan():
                 want[last] = True
             last = i if marked[i] else last
         assert (sequences.coverage_anchors(times, motion, marked, threshold, 3000, 1000) == want).all()
+
+
+def test_traces(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "request int, stage string, duration_ms double")
+    merged = traces.merged({"": rows((1, "fusion", 5.0)), "global": rows((1, "retrieval", 2.0), (2, "search", 3.0)), "local.a": rows((1, "search", 4.0))})
+    assert {(r.request, r.stage) for r in merged.collect()} == {(1, "fusion"), (1, "global.retrieval"), (2, "global.search"), (1, "local.a.search")}
+    got = {r.stage: (r.requests, r.total_ms, r.slowest_ms) for r in traces.durations(merged, ["retrieval", "absent"]).collect()}
+    assert got == {"search": (2, 9.0, 4.0)}
+    with pytest.raises(Exception, match="there twice"):
+        traces.merged({"a": rows((1, "x", 1.0)), "": rows((1, "a.x", 1.0))}).collect()
+
+
+def test_reduced_groups(spark):
+    unit, half = [0.6, 0.8], [0.3, 0.4]
+    groups = lambda *x: spark.createDataFrame(list(x), "part int, embedding_index long, frame_id int, embedding array<double>")
+    good = groups((5, 0, 1, unit), (2, 1, 2, unit), (2, 0, 3, unit))
+    assert {(r.frame_id, r.position) for r in vector.reduced(good, "part").collect()} == {(3, 0), (2, 1), (1, 2)}
+    for bad in (groups((1, 0, 1, unit), (1, 2, 2, unit)), groups((1, 0, 1, unit), (1, 0, 2, unit)), groups((1, 0, 1, unit), (2, 0, 1, unit)), groups((1, 0, 1, half)), groups((1, 0, 1, unit), (2, 0, 2, [1.0])), groups((1, 0, 1, [float("nan"), 1.0]))):
+        with pytest.raises(ValueError):
+            vector.reduced(bad, "part")
+
+
+def test_scores_of_videos_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vector, "ASKED", 2)
+    monkeypatch.setattr(vector, "ROWS", 3)
+    rng = np.random.default_rng(4)
+    q, x = rng.normal(0, 1, (7, 5)), rng.normal(0, 1, (40, 5))
+    asked = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(q)], "query_id long, query array<double>, task int")
+    corpus = spark.createDataFrame([(i, i % 4, v.tolist()) for i, v in enumerate(x)], "frame_id long, video_id long, embedding array<double>")
+    pairs = {(i, v) for i in range(7) for v in range(5) if (i + v) % 3}
+    got = {(r.query_id, r.frame_id): (r.score, r.task, r.video_id) for r in vector.scored_within(asked, corpus, spark.createDataFrame(list(pairs), "query_id long, video_id long")).collect()}
+    assert got.keys() == {(i, f) for i, v in pairs for f in range(40) if f % 4 == v}
+    assert all(abs(s - q[i] @ x[f]) < 1e-6 and t == i % 2 and v == f % 4 for (i, f), (s, t, v) in got.items())
