@@ -112,7 +112,7 @@ def union_merge(ranked: DataFrame) -> DataFrame:
 def in_order_of(ids: list, rows: DataFrame, key: str) -> DataFrame:
     """Rows looked up by a list of ids, in its order, repeated where it repeats, with ``position``."""
     wanted = rows.sparkSession.createDataFrame([(i, x) for i, x in enumerate(ids)], f"position int, {key} {rows.schema[key].dataType.simpleString()}")
-    return rows.join(F.broadcast(wanted), key)
+    return rows.join(wanted, key)  # Spark knows the list's size, and broadcasts a short one
 
 
 def rank_pairs(left: DataFrame, right: DataFrame, group: str, left_order: str, right_order: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import numeric, text
-from ..operators import evidence, traces, vector
+from ..operators import evidence, joins, traces, vector
 from ..sources import views
 from ..sources.views import with_views
 from .registry import query
@@ -122,12 +122,14 @@ def answer_keys(spark: SparkSession, d: str) -> DataFrame:
 _TOK = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 1))"
 
 
-@query(f"""SELECT item_id, len({_TOK.format('b.text')}) AS n, round(CASE WHEN len({_TOK.format('b.text')}) > 0 THEN len(list_intersect({_TOK.format('b.text')}, {_TOK.format('d.text')})) / len({_TOK.format('b.text')})::DOUBLE ELSE 0 END, 6) AS overlap
-  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id * 5""")
+@query(f"""SELECT doc_id, item_id, len({_TOK.format('b.text')}) AS n, round(CASE WHEN len({_TOK.format('b.text')}) > 0 THEN len(list_intersect({_TOK.format('b.text')}, {_TOK.format('d.text')})) / len({_TOK.format('b.text')})::DOUBLE ELSE 0 END, 6) AS overlap
+  FROM benchmark b JOIN documents d ON d.doc_id % (SELECT count(*) FROM benchmark) = b.item_id""")
 def lexical_overlap(spark: SparkSession, d: str) -> DataFrame:
-    b = views.read(spark, d, "benchmark").select("item_id", F.col("text").alias("q"), (F.col("item_id") * 5).alias("doc_id"))
-    j = b.join(views.read(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    return j.select("item_id", F.size(text.tokens(F.col("q"))).cast("long").alias("n"), F.round(text.token_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
+    """Every document with the benchmark item of its number, going round."""
+    b = views.read(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
+    docs = views.read(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % max(1, b.count())).alias("item_id"))
+    j = docs.join(b, "item_id")
+    return j.select("doc_id", "item_id", F.size(text.tokens(F.col("q"))).cast("long").alias("n"), F.round(text.token_overlap(F.col("q"), F.col("text")), 6).alias("overlap"))
 
 
 _FOLDERS = ", ".join(f"'{x}'" for x in text.FOLDERS)
@@ -162,11 +164,13 @@ def vector_norms(spark: SparkSession, d: str) -> DataFrame:
 @query(with_views("segments turns", """ SELECT s.segment_id, (s.start_ms + s.end_ms) // 2 AS mid, s.start_ms // 15000 AS place, round(max(CASE WHEN least(s.end_ms - s.start_ms, t.end_ms - t.start_ms) > 0 THEN greatest(0, least(s.end_ms, t.end_ms) - greatest(s.start_ms, t.start_ms)) / least(s.end_ms - s.start_ms, t.end_ms - t.start_ms)::DOUBLE ELSE 0 END), 6) AS ratio
   FROM segments s JOIN turns t USING (video_id) GROUP BY ALL"""))
 def interval_functions(spark: SparkSession, d: str) -> DataFrame:
-    """Middles, neighbourhoods and the largest overlap with a turn of the same conversation (a bounded group)."""
-    s, t = views.segments(spark, d), views.turns(spark, d).withColumnsRenamed({"start_ms": "t0", "end_ms": "t1"})
-    ratio = numeric.overlap_ratio(F.col("start_ms"), F.col("end_ms"), F.col("t0"), F.col("t1"))
-    j = s.join(t, "video_id").groupBy("segment_id", "start_ms", "end_ms").agg(F.round(F.max(ratio), 6).alias("ratio"))
-    return j.select("segment_id", F.expr("(start_ms + end_ms) div 2").alias("mid"), F.expr("start_ms div 15000").alias("place"), "ratio")
+    """Middles, neighbourhoods and the largest overlap with a turn of the same conversation, of those that overlap at all."""
+    s = views.segments(spark, d).select(F.col("segment_id").alias("l_id"), "video_id", F.col("start_ms").alias("l_start"), F.col("end_ms").alias("l_end"))
+    t = views.turns(spark, d).select("video_id", F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"))
+    ratio = numeric.overlap_ratio(*map(F.col, ("l_start", "l_end", "r_start", "r_end")))
+    best = joins.overlap_join(s, t, "video_id", 15_000).groupBy("l_id").agg(F.max(ratio).alias("best"))
+    ratio = F.round(F.coalesce("best", F.lit(0.0)), 6).alias("ratio")
+    return s.join(best, "l_id", "left").select(F.col("l_id").alias("segment_id"), F.expr("(l_start + l_end) div 2").alias("mid"), F.expr("l_start div 15000").alias("place"), ratio)
 
 
 @query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 0.25 WHEN 1 THEN 0.6 WHEN 2 THEN 0.9 WHEN 3 THEN 0.5 ELSE greatest(0, least(1, value / 100)) END::DOUBLE AS confidence FROM events")
