@@ -84,15 +84,17 @@ def _step(state: State | None, hints: DataFrame, corpus: DataFrame, step: int, b
     pairs = lambda videos: videos.join(asked.select("task", "event"), "task").join(evaluated, _PAIR, "left_anti")
     lacking = pairs(before.select("task", "video_id", "place")).groupBy("task", "video_id").agg(F.min("place").alias("b"))
     targets = rescued.unionByName(lacking.select("task", "video_id", F.lit(1).alias("kind"), F.lit(0).alias("a"), "b"))
-    targets = shared.written(fusion.top_per(targets, ["task"], [F.col(c) for c in ("kind", "a", "b", "video_id")], budget.backfill_videos, "_n").select("task", "video_id", "kind"), "targets")
+    targets = fusion.top_per(targets, ["task"], [F.col(c) for c in ("kind", "a", "b", "video_id")], budget.backfill_videos, "_n").select("task", "video_id", "kind")
     missing = fusion.top_per(pairs(targets.select("task", "video_id")), ["task", "video_id"], [F.col("event")], budget.backfill_hints, "_n").select(*_PAIR)
     missing = shared.written(missing, "missing")
     made_up = vector.scored_within(asked, corpus, missing.join(asked.select("task", "event", "query_id"), ["task", "event"]).select("query_id", "video_id"))
     made_up = _best(_enough(made_up, budget), budget)
 
-    evaluated = shared.written(evaluated.unionByName(missing), "evaluated")
-    found = fresh.unionByName(made_up)
-    found = shared.written(found if state is None else found.unionByName(state.found), "found")
+    # one table: the pairs without a frame, and their frames
+    evaluated, found = evaluated.unionByName(missing), fresh.unionByName(made_up)
+    found = found if state is None else found.unionByName(state.found)
+    state_rows = shared.written(evaluated.unionByName(found, allowMissingColumns=True), "evidence")
+    evaluated, found = state_rows.where("frame_id is null").select(*_PAIR), state_rows.where("frame_id is not null")
     own = lambda df: df.join(active, "task", "left_semi")
     scores = evidence.video_scores(own(found), own(evaluated), "task", "event", step + 1, budget.weights)
     pool = fusion.top_per(scores, ["task"], [F.desc("score"), F.col("video_id")], budget.pool, "place").select("task", "video_id", "place")

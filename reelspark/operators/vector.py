@@ -93,15 +93,16 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) ->
 
     Up to SHIPPED queries go to every task as one matrix, and each Arrow batch of the corpus is one product; a task keeps
     the k best so far of each query, and only those leave it.  More queries are rows of blocks that are joined with blocks of the corpus; the driver sees
-    their number only."""
+    no more than SHIPPED and one."""
     kept = [c for c in corpus.columns if c != "embedding"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema.fields if f.name in kept)
     schema = f"query_id long, {schema}, score double"
     queries = queries.select("query_id", "query")
-    if queries.limit(SHIPPED + 1).count() > SHIPPED:
+    given = queries.limit(SHIPPED + 1).toPandas()
+    if len(given) > SHIPPED:
         local = _block_join(queries, corpus, kept, schema, k, digits)
     else:
-        given = queries.orderBy("query_id").toPandas()
+        given = given.sort_values("query_id", kind="stable")
         ids = given["query_id"].to_numpy()
         matrix = np.stack(given["query"].to_list()).astype(float) if len(given) else np.zeros((0, 1))
 

@@ -87,20 +87,20 @@ def evidence_merge(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_views(_HITS, """, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, video_id ORDER BY score DESC, frame_id) AS place FROM hits)
-  SELECT query_id, video_id, round(max(score) + 0.25::DOUBLE * avg(score) FILTER (WHERE place <= 3) + 0.05::DOUBLE * count(DISTINCT frame_idx % 3) + 0.03::DOUBLE * count(DISTINCT timestamp_ms // 15000)
-  - 0.02::DOUBLE * greatest(0, count(*) - 2 * count(DISTINCT timestamp_ms // 15000)), 6) AS score FROM r GROUP BY ALL"""))
+  SELECT query_id, video_id, round(max(score) + 0.25::DOUBLE * round(avg(score) FILTER (WHERE place <= 3), 9) + 0.05::DOUBLE * count(DISTINCT frame_idx % 3) + 0.03::DOUBLE * count(DISTINCT timestamp_ms // 15000)
+  - 0.02::DOUBLE * greatest(0, count(*) - 2 * count(DISTINCT timestamp_ms // 15000)), 9) AS score FROM r GROUP BY ALL"""))
 def video_aggregation(spark: SparkSession, d: str) -> DataFrame:
     """Best, mean of the best three, modalities and neighbourhoods, less what crowds one neighbourhood."""
     place = F.row_number().over(W.partitionBy("query_id", "video_id").orderBy(F.desc("score"), "frame_id"))
     places = F.count_distinct(F.expr("timestamp_ms div 15000"))
     score = (
         F.max("score")
-        + 0.25 * F.avg(F.when(F.col("place") <= 3, F.col("score")))
+        + 0.25 * F.round(F.avg(F.when(F.col("place") <= 3, F.col("score"))), 9)
         + 0.05 * F.count_distinct(F.col("frame_idx") % 3)
         + 0.03 * places
         - 0.02 * F.greatest(F.lit(0), F.count("*") - 2 * places)
     )
-    return hits(spark, d).withColumn("place", place).groupBy("query_id", "video_id").agg(F.round(score, 6).alias("score"))
+    return hits(spark, d).withColumn("place", place).groupBy("query_id", "video_id").agg(F.round(score, 9).alias("score"))
 
 
 @query(with_views(_HITS, """, b AS (SELECT frame_id, query_id % 2 AS branch, max(score) * CASE query_id % 2 WHEN 0 THEN 1.0::DOUBLE ELSE 0.9::DOUBLE END AS s FROM hits GROUP BY frame_id, query_id % 2)
