@@ -83,6 +83,7 @@ DENIED = r"(?i)\b(not|never|no longer)\s+(\w+\s+)?(licen[sc]ed|released|offered|
 CLAUSE = r"(?is)\b(licen[sc]ed|released|made available|redistribution and use|permission is|spdx-license-identifier)\b.*"
 #: Marks of comments at the start of a line; what parts paragraphs, and sentences.
 MARKS, PARAGRAPH, SENTENCE = r"\n[ \t#/*;!%<>-]+", r"\n\n+", r"([.!?])[ \t\n]+"
+EDGES = r"^[ \t\r\n]+|[ \t\r\n]+$"
 WORD = "[a-z0-9]+"
 LICENCE_FILE = "(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 LEAST = 0.6
@@ -112,27 +113,48 @@ def _notices(text: Column) -> Column:
     sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(F.regexp_replace(p, SENTENCE, "$1\u0001"), "\u0001")))
     good = lambda notices: F.filter(notices, lambda x: x.rlike(HINT) & ~x.rlike(DENIED))
     clauses = F.transform(good(sentences), lambda x: F.regexp_extract(x, CLAUSE, 0))
-    return F.array_distinct(good(F.concat(F.array(text), paragraphs, sentences, clauses)))
+    return F.array_distinct(F.transform(good(F.concat(F.array(text), paragraphs, sentences, clauses)), lambda x: F.regexp_replace(x, EDGES, "")))
 
 
-def cosines(spark: SparkSession, notices: DataFrame, templates: list[tuple[str, str, list[str]]]) -> DataFrame:
-    """u, licence, cosine, n of each different notice (u, notice) and each template that share a word and the words of the
-    licence's name; n is the notice's number of words by white space."""
-    bag = lambda df, key: df.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
+def cosines(spark: SparkSession, notices: DataFrame, templates: list[tuple[str, str, list[str]]], least: float) -> DataFrame:
+    """u, licence, cosine of each different notice (u, notice) and each template of a cosine of ``least`` or more, of which
+    the notice has the words of the licence's name.
+
+    Every weight is at least 1, so a notice with r different words that no template has is further than ``least`` from all
+    templates if the squared weights of its other words are less than r * least**2 / (1 - least**2).  Those are weighed
+    first; only notices that are left, few of the long ones, are bags of all their words."""
     given = spark.createDataFrame([(i, *x) for i, x in enumerate(templates)], "template int, licence string, text string, needs array<string>")
+    bag = lambda df, key: df.select(key, F.explode("words").alias("word")).groupBy(key, "word").agg(F.count("*").alias("tf"))
     wanted = bag(given.select("template", _words(F.col("text")).alias("words")), "template")
-    bags = common.table(bag(notices.select("u", _words(F.col("notice")).alias("words")), "u"), "bags")
+    known = sorted({w for _, text, _ in templates for w in re.findall(WORD, text.lower())})  # a few hundred words
     total = notices.count() + len(templates)
-    df = bags.select("word").unionByName(wanted.select("word")).groupBy("word").agg(F.count("*").alias("df"))
-    idf = df.select("word", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weight = lambda rows: rows.join(idf, "word").withColumn("weight", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    own, theirs = weight(bags), common.table(weight(wanted), "templates")
-    norm = lambda rows, key: rows.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(f"norm_{key}"))
-    facts = norm(theirs, "template").join(given.select("template", "licence", "needs"), "template")
-    each = F.broadcast(theirs.select("template", "word", F.col("weight").alias("w_t")))
-    dots = own.join(each, "word").groupBy("u", "template").agg(F.sum(F.col("weight") * F.col("w_t")).alias("dot"), F.collect_set("word").alias("shared"))
-    cos = dots.join(norm(own, "u"), "u").join(F.broadcast(facts), "template").where(F.size(F.array_except("needs", "shared")) == 0)
-    return cos.select("u", "licence", F.round(F.col("dot") / (F.col("norm_u") * F.col("norm_template")), 6).alias("cosine"))
+    idf = lambda df: (F.log((1.0 + total) / (1.0 + df)) + 1.0).alias("idf")
+    heavy = (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf")
+    worded = notices.select("u", _words(F.col("notice")).alias("words"))
+    named = common.table(bag(worded.select("u", F.filter("words", lambda w: w.isin(known)).alias("words")), "u"), "named")
+    df = named.select("word").unionByName(wanted.select("word")).groupBy("word").agg(F.count("*").alias("df"))
+    known_idf = common.table(df.select("word", idf(F.col("df"))), "known")  # a row for each word of a template
+    theirs = common.table(wanted.join(F.broadcast(known_idf), "word").withColumn("weight", heavy), "templates")
+    own = named.join(F.broadcast(known_idf), "word").withColumn("weight", heavy)
+    shares = own.groupBy("u").agg(F.sum(F.col("weight") * F.col("weight")).alias("s"), F.count("*").alias("n"))
+    sizes = worded.select("u", F.size(F.array_distinct("words")).alias("d"))
+    near = shares.join(sizes, "u").where(F.col("s") * (1 - least * least) >= (F.col("d") - F.col("n")) * (least * least) - 1e-6)
+    near = common.table(near.select("u", "s"), "near")
+
+    # the other words of those, whose weights are only in the length of the notice
+    others = lambda words: F.filter(words, lambda w: ~w.isin(known))
+    rest = common.table(bag(worded.join(near.select("u"), "u", "left_semi").select("u", others(F.col("words")).alias("words")), "u"), "rest")
+    rare = rest.select("word").distinct()
+    each = worded.select(F.explode(F.array_distinct(others(F.col("words")))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    rest = rest.join(each.join(rare, "word", "left_semi").select("word", idf(F.col("df"))), "word").withColumn("weight", heavy)
+    length = rest.groupBy("u").agg(F.sum(F.col("weight") * F.col("weight")).alias("more"))
+    length = near.join(length, "u", "left").select("u", F.sqrt(F.col("s") + F.coalesce("more", F.lit(0.0))).alias("norm_u"))
+    facts = theirs.groupBy("template").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm_template")).join(given.select("template", "licence", "needs"), "template")
+    dots = own.join(near.select("u"), "u", "left_semi").join(F.broadcast(theirs.select("template", "word", F.col("weight").alias("w_t"))), "word")
+    dots = dots.groupBy("u", "template").agg(F.sum(F.col("weight") * F.col("w_t")).alias("dot"), F.collect_set("word").alias("shared"))
+    cos = dots.join(length, "u").join(F.broadcast(facts), "template").where(F.size(F.array_except("needs", "shared")) == 0)
+    cos = cos.select("u", "licence", F.round(F.col("dot") / (F.col("norm_u") * F.col("norm_template")), 6).alias("cosine"))
+    return cos.where(F.col("cosine") >= least)
 
 
 def ancestors(directory: Column) -> Column:
@@ -161,13 +183,13 @@ def license_scan(
         docs[id_col].cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), docs[text_col].cast("string").alias("text")
     )
     hints = F.col("text").rlike(HINT)
-    seen = rows.select("doc_id", "path", F.when(hints, F.md5("text")).alias("t"), F.when(hints, F.regexp_count("text", F.lit(r"\S+"))).alias("n_words"), F.when(hints, F.col("text")).alias("text"))
+    seen = rows.select("doc_id", "path", F.when(hints, F.unhex(F.md5("text"))).alias("t"), F.when(hints, F.regexp_count("text", F.lit(r"\S+"))).alias("n_words"), F.when(hints, F.col("text")).alias("text"))
     seen = common.table(seen, "seen")
     found = seen.where("t is not null")
-    each = found.select("t", F.explode(_notices(F.col("text"))).alias("notice")).select("t", F.md5("notice").alias("u"), "notice")
+    each = found.select("t", F.explode(_notices(F.col("text"))).alias("notice")).select("t", F.unhex(F.md5("notice")).alias("u"), "notice")
     each = common.table(each, "each")
     different = common.table(each.groupBy("u").agg(F.first("notice").alias("notice")), "notices")
-    cos = cosines(docs.sparkSession, different, given_templates(templates)).where(F.col("cosine") >= least)
+    cos = cosines(docs.sparkSession, different, given_templates(templates), least)
     best = cos.groupBy("u").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "licence")).alias("b"))
     best = best.join(different.select("u", F.regexp_count("notice", F.lit(r"\S+")).alias("n")), "u")
     best = common.table(best.select("u", "b.less", "b.licence", (-F.col("n")).alias("short")), "best")
@@ -207,7 +229,7 @@ rows AS (SELECT doc_id, concat_ws('/', source, lang, doc_id // 500, doc_id // 50
 found AS (SELECT doc_id, path, text, len(regexp_extract_all(text, '\\S+')) AS n_words FROM rows WHERE regexp_matches(text, '{HINT}')),
 para AS (SELECT DISTINCT text, unnest(string_split_regex(regexp_replace(chr(10) || replace(text, chr(13) || chr(10), chr(10)), '{MARKS}', chr(10), 'g'), '{PARAGRAPH}')) AS p FROM found),
 sentence AS (SELECT DISTINCT text, unnest(string_split(regexp_replace(p, '{SENTENCE}', '\\1' || chr(1), 'g'), chr(1))) AS s FROM para),
-each AS (SELECT DISTINCT text, notice FROM (SELECT text, text AS notice FROM found UNION ALL SELECT text, p FROM para UNION ALL SELECT text, s FROM sentence
+each AS (SELECT DISTINCT text, regexp_replace(notice, '{EDGES}', '', 'g') AS notice FROM (SELECT text, text AS notice FROM found UNION ALL SELECT text, p FROM para UNION ALL SELECT text, s FROM sentence
   UNION ALL SELECT text, regexp_extract(s, '{CLAUSE}') FROM sentence WHERE regexp_matches(s, '{HINT}') AND NOT regexp_matches(s, '{DENIED}')) WHERE regexp_matches(notice, '{HINT}') AND NOT regexp_matches(notice, '{DENIED}')),
 texts AS (SELECT DISTINCT notice FROM each),
 bags AS (SELECT notice, word, count(*) AS tf FROM (SELECT notice, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM texts) GROUP BY ALL),
