@@ -14,7 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 #: One or two of each kind; the driver compares all.
 COMPARED = """kis_search rrf_fusion interval_overlap_join nearest_frame_join speaker_join neighbour_join frame_context_join bounded_scenes event_alignment
 ordered_events window_coalescing scene_representatives object_summaries recall_at caption_report snapshot_delta answer_keys context_text map_functions acquire_evidence
-evaluation_state early_diversity weight_calibration answer_ranking gap_repair scene_order temporal_phrases bundle_round_trip scan_mapping_csv stream_tumbling session_windows""".split()
+evaluation_state early_diversity weight_calibration answer_ranking gap_repair scene_order temporal_phrases bundle_round_trip scan_mapping_csv stream_tumbling session_windows
+relation_satisfaction scene_scores acquire_log bundle_search evidence_build enrichment_build uniform_lineage answer_questions json_functions submission_dedup
+trace_summary reduce_groups ocr_report""".split()
 
 
 @pytest.fixture(scope="module")
