@@ -24,6 +24,8 @@ from . import shared
 
 #: What makes results of a batch of rows (dicts): as many, in order.
 Port = Callable[[list[dict]], list[dict]]
+#: Shards of a wave, at most (unless the first is given as larger).
+WIDEST = 4096
 
 
 def _shards(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -33,14 +35,26 @@ def _shards(rows: DataFrame, key: str, size: int) -> tuple[DataFrame, DataFrame]
     return placed, placed.groupBy("shard").agg(F.count("*").alias("rows"), F.hex(F.bit_xor(h)).alias("digest"))
 
 
+def _waves(todo: list[str], first: int) -> list[list[str]]:
+    """``todo`` in waves: the first as given, each as large as all before it together, up to WIDEST.  So a few jobs make any
+    number of shards, and a run that breaks off loses no more than it has made, or than its first wave."""
+    out, at = [], 0
+    while at < len(todo):
+        size = max(first, min(at, WIDEST))
+        out.append(todo[at : at + size])
+        at += size
+    return out
+
+
 def build(
     rows: DataFrame, key: str, port: Port, result: str, root: str, size: int = 10_000, batch: int = 64, wave: int = 256,
     most_waves: int | None = None, config: str = "",
 ) -> dict[str, int]:
     """Brings the artifact at ``root`` up to date with ``rows``: shards, made, reused, completed and failed.
 
-    ``result`` is the DDL of what ``port`` makes of a row.  Shards are made ``wave`` at a time, a wave being one job, and
-    committed when it is done, so that a run that breaks off loses a wave at most; ``most_waves`` ends it earlier.
+    ``result`` is the DDL of what ``port`` makes of a row.  Shards are made in waves, the first of ``wave`` shards, a wave
+    being one job, and committed when it is done, so that a run that breaks off loses a wave at most; ``most_waves`` ends it
+    earlier.
     ``config`` is part of a shard's identity: another one makes all anew."""
     spark, files = rows.sparkSession, shared.Files(rows.sparkSession, root)
     placed, shards = _shards(rows, key, size)
@@ -61,15 +75,14 @@ def build(
     wanted = {name(r): r for r in shards.collect()}  # a row for each shard
     there = set(files.names(f"{root}/shards"))
     todo = sorted(set(wanted) - there)
-    waves = [todo[i : i + wave] for i in range(0, len(todo), wave)][:most_waves]
+    waves = _waves(todo, wave)[:most_waves]
     for names in waves:
         numbers = [wanted[n].shard for n in names]
         aside = f"{root}/aside-{names[0]}"
         files.remove(aside)  # of a run that broke off
         part = placed.where(F.col("shard").isin(numbers)).repartition("shard").sortWithinPartitions("shard", "_position")
         part.mapInArrow(run, spec).write.partitionBy("shard").parquet(aside)
-        for n in names:
-            files.rename(f"{aside}/shard={wanted[n].shard}", f"{root}/shards/{n}")
+        files.rename_all([(f"{aside}/shard={wanted[n].shard}", f"{root}/shards/{n}") for n in names])
         files.remove(aside)
     made = sum(map(len, waves))
     state = {"shards": len(wanted), "made": made, "reused": len(wanted) - len(todo)}

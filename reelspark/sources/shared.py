@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,12 +65,21 @@ class Files:
 
     def rename(self, source: str, target: str, overwrite: bool = False) -> None:
         """One step: readers see the old or the new.  Without ``overwrite`` a target that is there is an error."""
+        self.rename_all([(source, target)], overwrite)
+
+    def rename_all(self, pairs: list[tuple[str, str]], overwrite: bool = False) -> None:
+        """Each (source, target) as ``rename`` does it, some at a time."""
+        if not pairs:
+            return
         rename = self._jvm.org.apache.hadoop.fs.Options.Rename
         how = self._jvm.java.lang.reflect.Array.newInstance(rename.NONE.getClass(), 1)
         how[0] = rename.OVERWRITE if overwrite else rename.NONE
-        a, b = (self._fs.makeQualified(self.path(x)) for x in (source, target))
-        self._fs.mkdirs(b.getParent())
-        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(a.toUri(), self._conf).rename(a, b, how)
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(self.path(pairs[0][0])).toUri(), self._conf)
+        for folder in {b.rpartition("/")[0] for _, b in pairs}:
+            self._fs.mkdirs(self.path(folder))
+        one = lambda pair: context.rename(*(self._fs.makeQualified(self.path(x)) for x in pair), how)
+        with ThreadPoolExecutor(min(16, len(pairs))) as pool:
+            list(pool.map(one, pairs))
 
     def put(self, name: str, text: str, overwrite: bool = False) -> None:
         """A small file, written aside and renamed."""

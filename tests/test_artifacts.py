@@ -158,3 +158,15 @@ def test_numbering(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
     got = shared.numbered(df, [F.col("v")]).collect()
     assert all(r.position == r.v for r in got) and len(got) == 1000
+
+
+def test_a_build_of_many_shards_takes_few_jobs(spark, tmp_path):
+    assert [len(w) for w in builds._waves(list(range(6000)), 4)] == [4, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 1904]
+    df = spark.range(120).select(F.col("id"), F.col("id").alias("n"))
+    spark.sparkContext.setJobGroup("many-shards", "")
+    try:
+        state = builds.build(df, "id", lambda rows: [{"twice": 2 * r["n"]} for r in rows], "twice long", str(tmp_path / "a"), size=2, wave=1)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("many-shards"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert (state["shards"], state["made"], state["completed"]) == (60, 60, 120) and jobs < 60
