@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +28,16 @@ def normalised(a: str) -> Column:
     return F.when(norm(a) > 0, F.transform(F.col(a), lambda x: x.cast("double") / norm(a)))
 
 
-#: Queries that one task scores at a time, the most that are shipped with the plan, and corpus rows of a block beyond that.
-BLOCK, SHIPPED, ROWS = 1024, 10_000, 4096
+#: Queries that one task scores at a time, the most that are shipped with the plan, and corpus rows of a block.
+BLOCK, SHIPPED, ROWS = 1024, 4096, 4096
+#: Corpus rows of one product: with BLOCK queries the scores are 8 MB, whatever the size of the tables.
+STEP = 1024
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows of doubles."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten()).astype(float).reshape(len(flat), -1)
 
 
 class _Best:
@@ -38,82 +45,128 @@ class _Best:
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, kept: list[str], k: int, digits: int):
         self.ids, self.matrix, self.kept, self.k, self.digits = ids, matrix, kept, k, digits
-        self.scores = np.full((len(ids), 0), -np.inf)
-        self.at = np.zeros((len(ids), 0), np.int64)
-        self.rows: pd.DataFrame | None = None
-
-    def add(self, batch: pd.DataFrame) -> None:
-        batch = batch.sort_values("frame_id", kind="stable").reset_index(drop=True)
-        vectors = np.stack(batch["embedding"].to_list()).astype(float).T
-        held = 0 if self.rows is None else len(self.rows)
-        rows = batch[self.kept] if self.rows is None else pd.concat([self.rows, batch[self.kept]], ignore_index=True)
-        frames, scores, at = rows["frame_id"].to_numpy(), [], []
+        self.scores = np.full((len(ids), k), -np.inf)
+        self.frames = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.at = np.full((len(ids), k), -1, np.int32)
+        self.rows: pa.Table | None = None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for i in range(0, batch.num_rows, STEP):
+            self._add(batch.slice(i, STEP))
+
+    def _add(self, batch: pa.RecordBatch) -> None:
+        """Only scores that beat a query's k-th so far are sorted into its list."""
+        vectors, frames = _matrix(batch.column("embedding")).T, batch.column("frame_id").to_numpy(zero_copy_only=False)
+        held, changed = 0 if self.rows is None else self.rows.num_rows, False
         for i in range(0, len(self.ids), BLOCK):
-            own = np.round(self.matrix[i : i + BLOCK] @ vectors, self.digits)
-            first = np.argsort(-own, axis=1, kind="stable")[:, : self.k]
-            both = np.concatenate([self.scores[i : i + BLOCK], np.take_along_axis(own, first, 1)], 1)
-            where = np.concatenate([self.at[i : i + BLOCK], first + held], 1)
-            order = np.lexsort((frames[where], -both), axis=1)[:, : self.k]
-            scores.append(np.take_along_axis(both, order, 1))
-            at.append(np.take_along_axis(where, order, 1))
-        self.scores = np.concatenate(scores)
-        used, at = np.unique(np.concatenate(at), return_inverse=True)
-        self.at, self.rows = at.reshape(self.scores.shape), rows.iloc[used].reset_index(drop=True)
-
-    def found(self) -> Iterator[pd.DataFrame]:
-        for i in range(0, len(self.ids) if self.rows is not None else 0, BLOCK):
-            at = self.at[i : i + BLOCK]
-            out = self.rows.iloc[at.ravel()].reset_index(drop=True)
-            out.insert(0, "query_id", np.repeat(self.ids[i : i + BLOCK], at.shape[1]))
-            out["score"] = self.scores[i : i + BLOCK].ravel()
-            yield out
-
-
-def _block_join(queries: DataFrame, corpus: DataFrame, kept: list[str], schema: str, k: int, digits: int) -> DataFrame:
-    """The k best of each pair of blocks: every block of queries meets every block of the corpus in a task."""
-    qb, xb = max(1, -(-queries.count() // BLOCK)), max(1, -(-corpus.count() // ROWS))
+            b = slice(i, i + BLOCK)
+            own = np.round(self.matrix[b] @ vectors, self.digits)
+            low, last = self.scores[b, -1:], self.frames[b, -1:]
+            better = (own > low) | ((own == low) & (frames < last))
+            counts = better.sum(1)
+            if not counts.any():
+                continue
+            changed, some = True, np.flatnonzero(counts)
+            q, x = np.nonzero(better[some])
+            place = np.arange(len(q)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
+            widest = self.k + int(counts.max())
+            scores, ids, at = np.full((len(some), widest), -np.inf), np.full((len(some), widest), np.iinfo(np.int64).max), np.full((len(some), widest), -1, np.int32)
+            at_once = i + some
+            scores[:, : self.k], ids[:, : self.k], at[:, : self.k] = self.scores[at_once], self.frames[at_once], self.at[at_once]
+            scores[q, self.k + place], ids[q, self.k + place], at[q, self.k + place] = own[some[q], x], frames[x], held + x
+            order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+            for mine, seen in ((self.scores, scores), (self.frames, ids), (self.at, at)):
+                mine[at_once] = np.take_along_axis(seen, order, 1)
+        if changed:
+            rows = pa.Table.from_batches([batch]).select(self.kept)
+            rows = rows if self.rows is None else pa.concat_tables([self.rows, rows])
+            used = np.zeros(rows.num_rows, bool)
+            used[self.at[self.at >= 0]] = True
+            moved = (np.cumsum(used) - 1).astype(np.int32)
+            self.at = np.where(self.at >= 0, moved[self.at], np.int32(-1))
+            self.rows = rows.filter(pa.array(used)).combine_chunks()
+
+    def found(self, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """query_id, the kept columns and score, a bounded number of rows at a time."""
+        width = max(1, 65536 // self.k)
+        for i in range(0, len(self.ids) if self.rows is not None else 0, width):
+            at, there = self.at[i : i + width], self.at[i : i + width] >= 0
+            rows = self.rows.take(pa.array(at[there]))
+            ids = pa.array(np.repeat(self.ids[i : i + width], there.sum(1)))
+            yield from pa.Table.from_arrays([ids, *rows.columns, pa.array(self.scores[i : i + width][there])], names=shape.names).cast(shape).to_batches()
+
+
+def _block_join(queries: DataFrame, corpus: DataFrame, kept: list[str], shape: StructType, k: int, digits: int) -> DataFrame:
+    """The k best of each block of queries in each part of the corpus.  A pair of these is one run of rows of a partition,
+    first its queries, then the part of the corpus, which passes by in Arrow batches: a task holds one block of queries and
+    their best.  The corpus is in few parts, as many as keep some tasks busy, as each part gives k rows a query."""
+    spark = queries.sparkSession
+    number, rows = queries.count(), corpus.count()
+    qb = max(1, -(-number // SHIPPED))
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    xb = max(1, min(-(-rows // ROWS), -(-tasks // qb)))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = queries.withColumn("_q", block("query_id", qb)).withColumn("_x", every(xb))
-    right = corpus.withColumn("_x", block("frame_id", xb)).withColumn("_q", every(qb))
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame(columns=["query_id", *kept, "score"])
-        best = _Best(a["query_id"].to_numpy(), np.stack(a["query"].to_list()).astype(float), kept, k, digits)
-        best.add(b)
-        return pd.concat(best.found())
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    left = queries.select(block("query_id", qb).alias("_q"), every(xb).alias("_x"), F.col("query_id"), F.col("query"), *[none(c, corpus) for c in (*kept, "embedding")])
+    right = corpus.select(every(qb).alias("_q"), block("frame_id", xb).alias("_x"), none("query_id", queries), none("query", queries), *kept, "embedding")
+    arrow = to_arrow_schema(shape)
 
-    return left.groupBy("_q", "_x").cogroup(right.groupBy("_q", "_x")).applyInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, vectors, best = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            pairs = batch.column("_q").to_numpy().astype(np.int64) * xb + batch.column("_x").to_numpy()
+            asks = batch.column("query_id").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((pairs[1:] != pairs[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                part = batch.slice(a, b - a)
+                if pairs[a] != key:
+                    if best is not None:
+                        yield from best.found(arrow)
+                    key, ids, vectors, best = pairs[a], [], [], None
+                if asks[a]:
+                    ids.append(part.column("query_id").to_numpy())
+                    vectors.append(_matrix(part.column("query")))
+                elif ids:
+                    if best is None:
+                        best = _Best(np.concatenate(ids), np.concatenate(vectors), kept, k, digits)
+                    best.add(part)
+        if best is not None:
+            yield from best.found(arrow)
+
+    both = left.unionByName(right).withColumn("_side", F.col("query_id").isNull())
+    return both.repartitionById(qb * xb, F.col("_q") * xb + F.col("_x")).sortWithinPartitions("_q", "_x", "_side").drop("_side").mapInArrow(run, shape)
 
 
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """For each row of ``queries`` (query_id, query) the k rows of ``corpus`` (with frame_id and embedding) of the highest
     inner product, ties by frame_id: the columns of ``corpus`` but the vector, query_id, score, rank.
 
-    Up to SHIPPED queries go to every task as one matrix, and each Arrow batch of the corpus is one product; a task keeps
-    the k best so far of each query, and only those leave it.  More queries are rows of blocks that are joined with blocks of the corpus; the driver sees
-    no more than SHIPPED and one."""
+    Up to SHIPPED queries go to every task as one matrix, and the corpus passes by in steps of STEP rows; a task keeps the k
+    best so far of each query, and only those leave it.  More queries are rows of blocks that meet parts of the corpus; the
+    driver sees no more than SHIPPED and one."""
     kept = [c for c in corpus.columns if c != "embedding"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in corpus.schema.fields if f.name in kept)
-    schema = f"query_id long, {schema}, score double"
-    queries = queries.select("query_id", "query")
+    shape = StructType([StructField("query_id", LongType()), *[corpus.schema[c] for c in kept], StructField("score", DoubleType())])
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "query")
     given = queries.limit(SHIPPED + 1).toPandas()
     if len(given) > SHIPPED:
-        local = _block_join(queries, corpus, kept, schema, k, digits)
+        local = _block_join(queries, corpus, kept, shape, k, digits)
     else:
         given = given.sort_values("query_id", kind="stable")
         ids = given["query_id"].to_numpy()
         matrix = np.stack(given["query"].to_list()).astype(float) if len(given) else np.zeros((0, 1))
+        arrow = to_arrow_schema(shape)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             best = _Best(ids, matrix, kept, k, digits)
             for batch in batches:
-                if len(batch) and len(ids):
+                if batch.num_rows and len(ids):
                     best.add(batch)
-            yield from best.found()
+            yield from best.found(arrow)
 
-        local = corpus.mapInPandas(run, schema)
+        local = corpus.mapInArrow(run, shape)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "frame_id"))
     return local.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -150,14 +203,10 @@ def scored_within(queries: DataFrame, corpus: DataFrame, videos: DataFrame, digi
     left = left.withColumn("_q", block("query_id", "q_parts")).withColumn("_x", every("x_parts")).select("video_id", "_q", "_x", "query_id", "query")
     right = corpus.join(parts, "video_id").withColumn("_x", block("frame_id", "x_parts")).withColumn("_q", every("q_parts")).drop("q_parts", "x_parts")
 
-    def matrix(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks()
-        return np.asarray(flat.flatten()).astype(float).reshape(len(flat), -1)
-
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return arrow.empty_table()
-        scores = np.round(matrix(a["query"]) @ matrix(b["embedding"]).T, digits)
+        scores = np.round(_matrix(a["query"]) @ _matrix(b["embedding"]).T, digits)
         q, x = (g.ravel() for g in np.indices(scores.shape))
         columns = [a["query_id"].take(pa.array(q)), *[b[c].take(pa.array(x)) for c in kept], pa.array(scores.ravel())]
         return pa.Table.from_arrays(columns, names=arrow.names).cast(arrow)

@@ -1,6 +1,7 @@
 """Hand-computed cases of the operators, and their kernels."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,28 @@ def test_best_rows_of_many_batches(spark):
     assert got.frame_id.to_numpy().reshape(-1, 5).tolist() == want.tolist()
 
 
+def test_a_search_holds_few_scores_at_a_time(spark, monkeypatch):
+    """Results do not depend on the sizes of blocks, and no product is of more than BLOCK queries and STEP rows."""
+    rng = np.random.default_rng(5)
+    q, x = rng.integers(-2, 3, (200, 3)).astype(float), rng.integers(-2, 3, (900, 3)).astype(float)
+    ids = rng.permutation(900)
+    shape = pa.schema([("query_id", pa.int64()), ("frame_id", pa.int64()), ("score", pa.float64())])
+    batch = pa.RecordBatch.from_pydict({"frame_id": ids, "embedding": x[ids].tolist()})
+    monkeypatch.setattr(vector, "BLOCK", 16)
+    monkeypatch.setattr(vector, "STEP", 32)
+    sizes = []
+    monkeypatch.setattr(vector.np, "round", lambda a, d, f=np.round: (sizes.append(a.shape), f(a, d))[1])
+    best = vector._Best(np.arange(200), q, ["frame_id"], 7, 6)
+    best.add(batch)
+    assert max(a * b for a, b in sizes) <= 16 * 32 and best.rows.num_rows <= 900
+    got = pa.Table.from_batches(best.found(shape)).to_pandas()
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :7]
+    assert got.frame_id.to_numpy().reshape(-1, 7).tolist() == want.tolist()
+    few = vector._Best(np.arange(200), q, ["frame_id"], 50, 6)
+    few.add(batch.slice(0, 20))
+    assert pa.Table.from_batches(few.found(shape)).num_rows == 200 * 20
+
+
 def test_every_pair(spark):
     a, b = spark.range(5).toDF("x"), spark.range(7).toDF("y")
     assert sorted((r.x, r.y) for r in joins.every_pair(a, b).collect()) == [(x, y) for x in range(5) for y in range(7)]
