@@ -55,10 +55,11 @@ def video_shortlist(hits: DataFrame, event: str, k: int = 60, top: int | None =
     return placed.where(F.col("place") <= top) if top else placed
 
 
-def calibrated(ranked: DataFrame, gold: DataFrame, configurations: list[dict[str, float]], cutoffs: tuple[int, ...] = (1, 5, 20, 50, 100), k: int = 60) -> DataFrame:
+def calibrated(ranked: DataFrame, gold: DataFrame, configurations: list[dict[str, float]], cutoffs: tuple[int, ...] = (1, 5, 20, 50, 100), k: int = 60, asked: DataFrame | None = None) -> DataFrame:
     """How well weights of the sources find gold frames: (config, weights, score, place), the best first.
 
-    ``ranked`` has (query_id, source, frame_id, rank), ``gold`` (query_id, frame_id); queries with gold count.  For each
+    ``ranked`` has (query_id, source, frame_id, rank), ``gold`` (query_id, frame_id); queries with gold count, or those
+    of ``asked`` (query_id), where ``gold`` has no more than the pairs that were ranked.  For each
     of ``configurations`` the candidates of a query are fused anew, by weight / (k + rank) and then by id; the score is
     the mean over queries and cut-offs of whether a gold frame is among the first.  Equal scores go to the weights that
     are smaller in the order of the sources."""
@@ -73,7 +74,7 @@ def calibrated(ranked: DataFrame, gold: DataFrame, configurations: list[dict[str
     hit = placed.join(gold.select("query_id", "frame_id").distinct(), ["query_id", "frame_id"], "left_semi")
     first = hit.groupBy("config", "query_id").agg(F.min("place").alias("first"))
     weights = [f"w_{i}" for i in range(len(sources))]
-    asked = gold.select("query_id").distinct().withColumn("g", F.explode(grid)).select("query_id", "g.*")
+    asked = (gold if asked is None else asked).select("query_id").distinct().withColumn("g", F.explode(grid)).select("query_id", "g.*")
     found = sum(((F.col("first") <= c).cast("double") for c in cutoffs), F.lit(0.0)) / len(cutoffs)
     scores = asked.join(first, ["config", "query_id"], "left").groupBy("config", *weights).agg(F.round(F.avg(F.coalesce(found, F.lit(0.0))), 9).alias("score"))
     scores = scores.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), *weights, "config")))  # a row for each configuration

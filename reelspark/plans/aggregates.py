@@ -149,8 +149,9 @@ def recall_at(spark: SparkSession, d: str) -> DataFrame:
 
 def first_gold(spark: SparkSession, d: str, k: int) -> DataFrame:
     """For each query the first rank of a gold frame among the k best."""
-    gold = views.gold(spark, d).withColumn("gold", F.lit(True))
-    h = hits(spark, d, k).select("query_id", "frame_id", "rank").join(gold, ["query_id", "frame_id"], "left")
+    found = shared.written(hits(spark, d, k).select("query_id", "frame_id", "rank"), "found")
+    gold = views.gold_of(spark, d, found).withColumn("gold", F.lit(True))
+    h = found.join(gold, ["query_id", "frame_id"], "left")
     return h.groupBy("query_id").agg(F.min(F.when(F.col("gold"), F.col("rank"))).alias("first_gold"))
 
 
@@ -177,7 +178,8 @@ CONFIGURATIONS = [{"visual": v, "text": x} for v, x in ((1.0, 0.0), (1.0, 0.5),
   SELECT config::INTEGER AS config, w_text AS text, w_visual AS visual, score, row_number() OVER (ORDER BY score DESC, w_text, w_visual, config)::INTEGER AS place FROM s"""))
 def weight_calibration(spark: SparkSession, d: str) -> DataFrame:
     """Candidates fused anew with each setting of the weights; mean hits at the cut-offs, the best setting first."""
-    out = fusion.calibrated(two_sources(spark, d), views.gold(spark, d), CONFIGURATIONS)
+    ranked = two_sources(spark, d)
+    out = fusion.calibrated(ranked, views.gold_of(spark, d, ranked), CONFIGURATIONS, asked=views.gold_queries(spark, d))
     return out.select("config", F.col("weights")["text"].alias("text"), F.col("weights")["visual"].alias("visual"), "score", "place")
 
 
@@ -334,8 +336,9 @@ def benchmark_report(spark: SparkSession, d: str) -> DataFrame:
     """The per-query report, written as JSON and CSV, and the queries without a gold frame as a file of failures; the files
     read again."""
     path = shared.shared_path(spark, "report")
-    gold = views.gold(spark, d).withColumn("gold", F.lit(1))
-    rows = hits(spark, d).join(gold, ["query_id", "frame_id"], "left").groupBy("query_id").agg(
+    found = shared.written(hits(spark, d).select("query_id", "frame_id", "score"), "found")
+    gold = views.gold_of(spark, d, found).withColumn("gold", F.lit(1))
+    rows = found.join(gold, ["query_id", "frame_id"], "left").groupBy("query_id").agg(
         F.count("*").alias("results"), F.round(F.max("score"), 6).alias("best"), F.round(F.avg("score"), 6).alias("mean"), F.count("gold").alias("found")
     )
     rows = shared.written(rows, "report-rows")

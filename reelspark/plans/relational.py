@@ -443,7 +443,7 @@ def union_all_tables(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("frames queries gold hits", " SELECT query_id, count(*) AS gold_found FROM hits JOIN gold USING (query_id, frame_id) WHERE rank <= 20 GROUP BY query_id"))
 def gold_intersection(spark: SparkSession, d: str) -> DataFrame:
-    found = hits(spark, d, 20).join(views.gold(spark, d), ["query_id", "frame_id"], "left_semi")
+    found = views.gold_of(spark, d, hits(spark, d, 20))
     return found.groupBy("query_id").agg(F.count("*").alias("gold_found"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import text
 from reelspark.operators import evidence, fusion, joins, ports, vector
 from reelspark.operators import sequences as seq
-from reelspark.sources import bundles
+from reelspark.sources import bundles, views
 from reelspark.streaming import sessions
 
 
@@ -271,6 +271,15 @@ def test_a_search_holds_few_scores_at_a_time(spark, monkeypatch):
     assert pa.Table.from_batches(few.found(shape)).num_rows == 200 * 20
 
 
+def test_gold_is_looked_up_for_the_pairs_that_were_found(spark, tmp_path):
+    rows = [(i, i % 3 if i < 100 else 7, [1.0]) for i in range(101)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = spark.createDataFrame([(q, x) for q in (0, 20, 100) for x in range(101)] * 2, "query_id long, frame_id long")
+    got = sorted((r.query_id, r.frame_id) for r in views.gold_of(spark, str(tmp_path), found).collect())
+    assert got == [(q, x) for q in (0, 20) for x in range(100) if x % 3 == q % 3 and x != q]
+    assert sorted(r.query_id for r in views.gold_queries(spark, str(tmp_path)).collect()) == [0, 20, 40, 60, 80]
+
+
 def test_every_pair(spark):
     a, b = spark.range(5).toDF("x"), spark.range(7).toDF("y")
     assert sorted((r.x, r.y) for r in joins.every_pair(a, b).collect()) == [(x, y) for x in range(5) for y in range(7)]
