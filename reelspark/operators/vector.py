@@ -29,8 +29,8 @@ def normalised(a: str) -> Column:
 
 
 #: Queries that one task scores at a time, the most that are shipped with the plan, and corpus rows of a block.
-BLOCK, SHIPPED, ROWS = 1024, 4096, 4096
-#: Corpus rows of one product: with BLOCK queries the scores are 8 MB, whatever the size of the tables.
+BLOCK, SHIPPED, ROWS = 256, 4096, 4096
+#: Corpus rows of one product: with BLOCK queries the scores are 2 MB, whatever the size of the tables.
 STEP = 1024
 
 
@@ -59,21 +59,22 @@ class _Best:
         vectors, frames = _matrix(batch.column("embedding")).T, batch.column("frame_id").to_numpy(zero_copy_only=False)
         held, changed = 0 if self.rows is None else self.rows.num_rows, False
         for i in range(0, len(self.ids), BLOCK):
-            b = slice(i, i + BLOCK)
-            own = np.round(self.matrix[b] @ vectors, self.digits)
-            low, last = self.scores[b, -1:], self.frames[b, -1:]
-            better = (own > low) | ((own == low) & (frames < last))
-            counts = better.sum(1)
-            if not counts.any():
+            own = np.round(self.matrix[i : i + BLOCK] @ vectors, self.digits)
+            q, x = np.nonzero(own >= self.scores[i : i + BLOCK, -1:])
+            score = own[q, x]
+            better = (score > self.scores[i + q, -1]) | (frames[x] < self.frames[i + q, -1])
+            if not better.any():
                 continue
-            changed, some = True, np.flatnonzero(counts)
-            q, x = np.nonzero(better[some])
-            place = np.arange(len(q)) - np.repeat(np.cumsum(counts[some]) - counts[some], counts[some])
+            changed, q, x, score = True, q[better], x[better], score[better]
+            counts = np.bincount(q)
+            some = np.flatnonzero(counts)
+            line = (np.cumsum(counts > 0) - 1)[q]
+            place = self.k + np.arange(len(q)) - (np.cumsum(counts) - counts)[q]
             widest = self.k + int(counts.max())
             scores, ids, at = np.full((len(some), widest), -np.inf), np.full((len(some), widest), np.iinfo(np.int64).max), np.full((len(some), widest), -1, np.int32)
             at_once = i + some
             scores[:, : self.k], ids[:, : self.k], at[:, : self.k] = self.scores[at_once], self.frames[at_once], self.at[at_once]
-            scores[q, self.k + place], ids[q, self.k + place], at[q, self.k + place] = own[some[q], x], frames[x], held + x
+            scores[line, place], ids[line, place], at[line, place] = score, frames[x], held + x
             order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
             for mine, seen in ((self.scores, scores), (self.frames, ids), (self.at, at)):
                 mine[at_once] = np.take_along_axis(seen, order, 1)

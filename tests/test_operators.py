@@ -1,5 +1,7 @@
 """Hand-computed cases of the operators, and their kernels."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -249,6 +251,20 @@ def test_best_rows_of_many_batches(spark):
     assert got.frame_id.to_numpy().reshape(-1, 5).tolist() == want.tolist()
 
 
+def test_memory_of_a_search():
+    """4096 queries whose first rows are all among their best take little besides these."""
+    rng = np.random.default_rng(6)
+    best = vector._Best(np.arange(4096), rng.normal(size=(4096, 8)), ["frame_id"], 50, 6)
+    batch = pa.RecordBatch.from_pydict({"frame_id": np.arange(3000), "embedding": rng.normal(size=(3000, 8)).tolist()})
+    tracemalloc.start()
+    try:
+        best.add(batch)
+        most = tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+    assert most < 70
+
+
 def test_a_search_holds_few_scores_at_a_time(spark, monkeypatch):
     """Results do not depend on the sizes of blocks, and no product is of more than BLOCK queries and STEP rows."""
     rng = np.random.default_rng(5)
