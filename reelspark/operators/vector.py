@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ def normalised(a: str) -> Column:
 BLOCK, SHIPPED, ROWS = 256, 4096, 4096
 #: Corpus rows of one product: with BLOCK queries the scores are 2 MB, whatever the size of the tables.
 STEP = 1024
+#: Rows that a search may hold besides those among the best.
+HELD = 65536
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -41,7 +44,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The k best rows so far of each of some queries (ids, matrix), ties to the smaller frame_id; holds no other rows."""
+    """The k best rows so far of each of some queries (ids, matrix), ties to the smaller frame_id.
+
+    Scores that beat a query's k-th wait beside the best of its block of queries, until there are some for each; only then the
+    k best are sorted out.  That comes whenever the rows seen have grown by about a half, and not at every step.  Rows
+    that are in no list any more go when they are as many as those that are."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, kept: list[str], k: int, digits: int):
         self.ids, self.matrix, self.kept, self.k, self.digits = ids, matrix, kept, k, digits
@@ -49,47 +56,73 @@ class _Best:
         self.frames = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.at = np.full((len(ids), k), -1, np.int32)
         self.rows: pa.Table | None = None
+        self.most = HELD
+        self.waiting: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        self.counts = np.zeros(len(ids), np.int64)
 
     def add(self, batch: pa.RecordBatch) -> None:
         for i in range(0, batch.num_rows, STEP):
             self._add(batch.slice(i, STEP))
 
     def _add(self, batch: pa.RecordBatch) -> None:
-        """Only scores that beat a query's k-th so far are sorted into its list."""
         vectors, frames = _matrix(batch.column("embedding")).T, batch.column("frame_id").to_numpy(zero_copy_only=False)
-        held, changed = 0 if self.rows is None else self.rows.num_rows, False
+        held, taken, wait = 0 if self.rows is None else self.rows.num_rows, False, max(self.k, 64) // 2
         for i in range(0, len(self.ids), BLOCK):
             own = np.round(self.matrix[i : i + BLOCK] @ vectors, self.digits)
-            q, x = np.nonzero(own >= self.scores[i : i + BLOCK, -1:])
-            score = own[q, x]
+            found = np.flatnonzero(own >= self.scores[i : i + BLOCK, -1:])
+            score, (q, x) = own.ravel()[found], np.divmod(found, own.shape[1])
             better = (score > self.scores[i + q, -1]) | (frames[x] < self.frames[i + q, -1])
             if not better.any():
                 continue
-            changed, q, x, score = True, q[better], x[better], score[better]
-            counts = np.bincount(q)
-            some = np.flatnonzero(counts)
-            line = (np.cumsum(counts > 0) - 1)[q]
-            place = self.k + np.arange(len(q)) - (np.cumsum(counts) - counts)[q]
-            widest = self.k + int(counts.max())
-            scores, ids, at = np.full((len(some), widest), -np.inf), np.full((len(some), widest), np.iinfo(np.int64).max), np.full((len(some), widest), -1, np.int32)
-            at_once = i + some
-            scores[:, : self.k], ids[:, : self.k], at[:, : self.k] = self.scores[at_once], self.frames[at_once], self.at[at_once]
-            scores[line, place], ids[line, place], at[line, place] = score, frames[x], held + x
-            order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-            for mine, seen in ((self.scores, scores), (self.frames, ids), (self.at, at)):
-                mine[at_once] = np.take_along_axis(seen, order, 1)
-        if changed:
-            rows = pa.Table.from_batches([batch]).select(self.kept)
-            rows = rows if self.rows is None else pa.concat_tables([self.rows, rows])
-            used = np.zeros(rows.num_rows, bool)
-            used[self.at[self.at >= 0]] = True
-            moved = (np.cumsum(used) - 1).astype(np.int32)
-            self.at = np.where(self.at >= 0, moved[self.at], np.int32(-1))
-            self.rows = rows.filter(pa.array(used)).combine_chunks()
+            taken, q, x, score = True, q[better], x[better], score[better]
+            self.waiting.setdefault(i, []).append((q.astype(np.int32), score, frames[x], (held + x).astype(np.int32)))
+            counts = self.counts[i : i + BLOCK]
+            counts += np.bincount(q, minlength=len(counts))
+            if counts.max() > 4 * wait or counts.sum() > wait * len(counts):
+                self._choose(i)
+        if taken:  # a copy, as a slice would keep the vectors of its batch
+            rows = pa.Table.from_batches([batch.select(self.kept)]).take(pa.array(np.arange(batch.num_rows)))
+            self.rows = rows if self.rows is None else pa.concat_tables([self.rows, rows])
+            if self.rows.num_rows > self.most:
+                self._drop()
+
+    def _choose(self, i: int) -> None:
+        """The k best of a block's queries, of their best so far and those that wait."""
+        q, score, frame, at = (np.concatenate(x) for x in zip(*self.waiting.pop(i)))
+        counts = self.counts[i : i + BLOCK].copy()
+        self.counts[i : i + BLOCK] = 0
+        some, order = np.flatnonzero(counts), np.argsort(q, kind="stable")
+        q = q[order]
+        line = (np.cumsum(counts > 0) - 1)[q]
+        place = self.k + np.arange(len(q)) - (np.cumsum(counts) - counts)[q]
+        both = []
+        for mine, new, none in ((self.scores, score, -np.inf), (self.frames, frame, np.iinfo(np.int64).max), (self.at, at, -1)):
+            seen = np.full((len(some), self.k + int(counts.max())), none, mine.dtype)
+            seen[:, : self.k], seen[line, place] = mine[i + some], new[order]
+            both.append(seen)
+        scores, ids, _ = both
+        order = np.lexsort((ids, -scores), axis=1)[:, : self.k]
+        for mine, seen in zip((self.scores, self.frames, self.at), both):
+            mine[i + some] = np.take_along_axis(seen, order, 1)
+
+    def _drop(self) -> None:
+        """Nothing waits, and only rows in some list are held."""
+        for i in list(self.waiting):
+            self._choose(i)
+        used = np.zeros(self.rows.num_rows, bool)
+        used[self.at[self.at >= 0]] = True
+        moved = (np.cumsum(used) - 1).astype(np.int32)
+        for i in range(0, len(self.ids), BLOCK):
+            at = self.at[i : i + BLOCK]
+            at[at >= 0] = moved[at[at >= 0]]
+        self.rows = self.rows.filter(pa.array(used)).combine_chunks()
+        self.most = 2 * self.rows.num_rows + HELD
 
     def found(self, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
         """query_id, the kept columns and score, a bounded number of rows at a time."""
         width = max(1, 65536 // self.k)
+        if self.rows is not None:
+            self._drop()
         for i in range(0, len(self.ids) if self.rows is not None else 0, width):
             at, there = self.at[i : i + width], self.at[i : i + width] >= 0
             rows = self.rows.take(pa.array(at[there]))
@@ -100,11 +133,12 @@ class _Best:
 def _block_join(queries: DataFrame, corpus: DataFrame, kept: list[str], shape: StructType, k: int, digits: int) -> DataFrame:
     """The k best of each block of queries in each part of the corpus.  A pair of these is one run of rows of a partition,
     first its queries, then the part of the corpus, which passes by in Arrow batches: a task holds one block of queries and
-    their best.  The corpus is in few parts, as many as keep some tasks busy, as each part gives k rows a query."""
+    their best.  Blocks and parts are as many as keep some tasks busy: a block more is a copy of the corpus more, a part
+    more is k rows a query more (a vector weighs about as much as six of them), and both together are to be least."""
     spark = queries.sparkSession
     number, rows = queries.count(), corpus.count()
-    qb = max(1, -(-number // SHIPPED))
     tasks = 2 * spark.sparkContext.defaultParallelism
+    qb = max(1, -(-number // SHIPPED), min(tasks, round(math.sqrt(tasks * number * k / (6 * max(rows, 1))))))
     xb = max(1, min(-(-rows // ROWS), -(-tasks // qb)))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))

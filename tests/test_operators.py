@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from reelspark.functions import text
 from reelspark.operators import evidence, fusion, joins, ports, vector
@@ -287,6 +288,33 @@ def test_a_search_holds_few_scores_at_a_time(spark, monkeypatch):
     assert pa.Table.from_batches(few.found(shape)).num_rows == 200 * 20
 
 
+def test_best_rows_are_sorted_out_seldom(monkeypatch):
+    """Of 64 steps few sort the best 300 anew, the rows held stay few, and the result is that of all scores."""
+    rng = np.random.default_rng(7)
+    q, x = rng.normal(size=(64, 4)), rng.normal(size=(16384, 4))
+    monkeypatch.setattr(vector, "STEP", 256)
+    monkeypatch.setattr(vector, "HELD", 1000, raising=False)
+    sorts = []
+    monkeypatch.setattr(vector.np, "lexsort", lambda *a, f=np.lexsort, **b: (sorts.append(1), f(*a, **b))[1])
+    best = vector._Best(np.arange(64), q, ["frame_id"], 300, 6)
+    best.add(pa.RecordBatch.from_pydict({"frame_id": np.arange(len(x)), "embedding": x.tolist()}))
+    assert len(sorts) <= 20
+    got = pa.Table.from_batches(best.found(pa.schema([("query_id", pa.int64()), ("frame_id", pa.int64()), ("score", pa.float64())]))).to_pandas()
+    assert best.rows.num_rows == got.frame_id.nunique()
+    want = np.argsort(-np.round(q @ x.T, 6), axis=1, kind="stable")[:, :300]
+    assert got.frame_id.to_numpy().reshape(64, 300).tolist() == want.tolist()
+
+
+def test_a_block_join_gives_few_rows(spark):
+    """With many best rows asked for, the corpus is in few parts, as each gives as many of every query."""
+    rng = np.random.default_rng(8)
+    q, x = rng.normal(size=(vector.SHIPPED + 10, 2)), rng.normal(size=(40000, 2))
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate(q.tolist())], "query_id long, query array<double>")
+    corpus = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "frame_id long, embedding array<double>")
+    shape = StructType([StructField("query_id", LongType()), StructField("frame_id", LongType()), StructField("score", DoubleType())])
+    assert vector._block_join(queries, corpus, ["frame_id"], shape, 500, 6).count() <= 2 * len(q) * 500
+
+
 def test_gold_is_looked_up_for_the_pairs_that_were_found(spark, tmp_path):
     rows = [(i, i % 3 if i < 100 else 7, [1.0]) for i in range(101)]
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
