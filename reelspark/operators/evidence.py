@@ -160,7 +160,10 @@ def scene_scores(
     (task, relation, subject, object).  ``units`` is a task's number of units, or the column of ``evaluated`` that has it."""
     keys = [task, "video_id", scene]
     best = evidence.groupBy(*keys, unit).agg(F.max("score").alias("best"), F.min("timestamp_ms").alias("t0"), F.max("timestamp_ms").alias("t1"))
-    best = best.join(bounds(evidence, task, unit), [task, unit])
+    # the bounds of a unit: the least and the greatest of its best in each video
+    of_video = F.max("best").over(W.partitionBy(task, unit, "video_id"))
+    of_unit = W.partitionBy(task, unit)
+    best = best.withColumn("_top", of_video).withColumns({"low": F.least(F.lit(0.0), F.min("_top").over(of_unit)), "high": F.max("_top").over(of_unit)})
     s = best.groupBy(*keys).agg(
         F.round(F.avg(scaled(F.col("best"), F.col("low"), F.col("high"))), 9).alias("semantic"),
         F.count("*").alias("matched"),

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -22,15 +23,19 @@ from . import sequences
 Encoder = Callable[[list[str]], np.ndarray]
 
 
+@functools.lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+
+
 def hashing_encoder(size: int = 64) -> Encoder:
     """Signed hashed word counts, of length 1."""
 
     def encode(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), size))
         for row, t in zip(out, texts):
-            for w in t.lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                row[h % size] += 1 if h >> 63 else -1
+            hashes = np.array([_word_hash(w) for w in t.lower().split()], np.uint64)
+            row += np.bincount((hashes % np.uint64(size)).astype(np.int64), np.where(hashes >> np.uint64(63), 1.0, -1.0), size)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
     return encode

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
+
+from . import sequences
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -68,10 +70,12 @@ class _Best:
         vectors, frames = _matrix(batch.column("embedding")).T, batch.column("frame_id").to_numpy(zero_copy_only=False)
         held, taken, wait = 0 if self.rows is None else self.rows.num_rows, False, max(self.k, 64) // 2
         for i in range(0, len(self.ids), BLOCK):
-            own = np.round(self.matrix[i : i + BLOCK] @ vectors, self.digits)
-            found = np.flatnonzero(own >= self.scores[i : i + BLOCK, -1:])
-            score, (q, x) = own.ravel()[found], np.divmod(found, own.shape[1])
-            better = (score > self.scores[i + q, -1]) | (frames[x] < self.frames[i + q, -1])
+            # only what may reach a query's k-th is rounded
+            own, least = self.matrix[i : i + BLOCK] @ vectors, self.scores[i : i + BLOCK, -1:]
+            found = np.flatnonzero(own >= least - 10.0**-self.digits)
+            score, (q, x) = np.round(own.reshape(1, -1)[:, found], self.digits)[0], np.divmod(found, own.shape[1])
+            kth = least[q, 0]
+            better = (score > kth) | ((score == kth) & (frames[x] < self.frames[i + q, -1]))
             if not better.any():
                 continue
             taken, q, x, score = True, q[better], x[better], score[better]
@@ -119,7 +123,7 @@ class _Best:
         self.most = 2 * self.rows.num_rows + HELD
 
     def found(self, shape: pa.Schema) -> Iterator[pa.RecordBatch]:
-        """query_id, the kept columns and score, a bounded number of rows at a time."""
+        """query_id, the kept columns and score (and the rank, if ``shape`` has it), a bounded number of rows at a time."""
         width = max(1, 65536 // self.k)
         if self.rows is not None:
             self._drop()
@@ -127,19 +131,24 @@ class _Best:
             at, there = self.at[i : i + width], self.at[i : i + width] >= 0
             rows = self.rows.take(pa.array(at[there]))
             ids = pa.array(np.repeat(self.ids[i : i + width], there.sum(1)))
-            yield from pa.Table.from_arrays([ids, *rows.columns, pa.array(self.scores[i : i + width][there])], names=shape.names).cast(shape).to_batches()
+            rank = [pa.array(np.cumsum(there, 1)[there])] if "rank" in shape.names else []
+            yield from pa.Table.from_arrays([ids, *rows.columns, pa.array(self.scores[i : i + width][there]), *rank], names=shape.names).cast(shape).to_batches()
 
 
 def _block_join(queries: DataFrame, corpus: DataFrame, kept: list[str], shape: StructType, k: int, digits: int) -> DataFrame:
     """The k best of each block of queries in each part of the corpus.  A pair of these is one run of rows of a partition,
     first its queries, then the part of the corpus, which passes by in Arrow batches: a task holds one block of queries and
     their best.  Blocks and parts are as many as keep some tasks busy: a block more is a copy of the corpus more, a part
-    more is k rows a query more (a vector weighs about as much as six of them), and both together are to be least."""
+    more is k rows a query more (a vector weighs about as much as six of them), and both together are to be least.  Where
+    the corpus is one part, and no two queries have one id, the k best of a query come whole and in order, with ``rank``."""
     spark = queries.sparkSession
-    number, rows = queries.count(), corpus.count()
+    number, ids = queries.agg(F.count("*"), F.count_distinct("query_id")).first()
+    rows = corpus.count()
     tasks = 2 * spark.sparkContext.defaultParallelism
     qb = max(1, -(-number // SHIPPED), min(tasks, round(math.sqrt(tasks * number * k / (6 * max(rows, 1))))))
     xb = max(1, min(-(-rows // ROWS), -(-tasks // qb)))
+    if xb == 1 and ids == number:
+        shape = StructType([*shape.fields, StructField("rank", IntegerType())])
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
@@ -188,6 +197,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, digits: int = 6) ->
     given = queries.limit(SHIPPED + 1).toPandas()
     if len(given) > SHIPPED:
         local = _block_join(queries, corpus, kept, shape, k, digits)
+        if "rank" in local.columns:
+            return local
     else:
         given = given.sort_values("query_id", kind="stable")
         ids = given["query_id"].to_numpy()
@@ -220,35 +231,60 @@ def knn_expression(queries: DataFrame, corpus: DataFrame, k: int, digits: int =
 ASKED = 256
 
 
-def scored_within(queries: DataFrame, corpus: DataFrame, videos: DataFrame, digits: int = 6) -> DataFrame:
+def scored_within(queries: DataFrame, corpus: DataFrame, videos: DataFrame, digits: int = 6, most: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
     """``score`` of every row of ``queries`` (query_id, query, ...) with every frame of the videos given for it in
     ``videos`` (query_id, video_id, distinct).
 
     The queries of a video meet its frames in blocks of ASKED by ROWS, each one matrix product; a video that is long, or
-    asked by many, is several blocks."""
-    kept = [c for c in corpus.columns if c != "embedding"]
-    shape = StructType([StructField("query_id", LongType()), *[corpus.schema[c] for c in kept], StructField("score", DoubleType())])
-    arrow = to_arrow_schema(shape)
+    asked by many, is several blocks.  A task's blocks are one run of its rows, so many small ones cost little.  Where only
+    the ``most`` best frames of a query and video are wanted (``ties`` by columns of ``corpus``), no block gives more."""
+    kept, named = [c for c in corpus.columns if c != "embedding"], [c for c in queries.columns if c not in ("query_id", "query")]
+    shape = StructType([StructField("query_id", LongType()), *[corpus.schema[c] for c in kept], StructField("score", DoubleType()), *[queries.schema[c] for c in named]])
+    arrow, own_names = to_arrow_schema(shape), [f"_of_{c}" for c in named]
     wanted = videos.select("query_id", "video_id")
     part = lambda key, size: F.ceil(F.count("*") / size).cast("int").alias(f"{key}_parts")
     parts = wanted.groupBy("video_id").agg(part("q", ASKED)).join(corpus.groupBy("video_id").agg(part("x", ROWS)), "video_id")
     block = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
-    left = wanted.join(parts, "video_id").join(queries.select("query_id", "query"), "query_id")
-    left = left.withColumn("_q", block("query_id", "q_parts")).withColumn("_x", every("x_parts")).select("video_id", "_q", "_x", "query_id", "query")
+    left = wanted.join(parts, "video_id").join(queries.withColumnsRenamed({c: f"_of_{c}" for c in named}), "query_id")
+    left = left.withColumn("_q", block("query_id", "q_parts")).withColumn("_x", every("x_parts"))
     right = corpus.join(parts, "video_id").withColumn("_x", block("frame_id", "x_parts")).withColumn("_q", every("q_parts")).drop("q_parts", "x_parts")
 
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return arrow.empty_table()
-        scores = np.round(_matrix(a["query"]) @ _matrix(b["embedding"]).T, digits)
-        q, x = (g.ravel() for g in np.indices(scores.shape))
-        columns = [a["query_id"].take(pa.array(q)), *[b[c].take(pa.array(x)) for c in kept], pa.array(scores.ravel())]
-        return pa.Table.from_arrays(columns, names=arrow.names).cast(arrow)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, at in sequences.groups(batches, keys):
+            if not table.num_rows:
+                continue
+            asks = table["query_id"].is_valid().to_numpy()
+            ask, row = table.filter(pa.array(asks)), table.filter(pa.array(~asks))
+            if not ask.num_rows or not row.num_rows:
+                continue
+            a, b = _matrix(ask["query"]), _matrix(row["embedding"]).T
+            to = np.concatenate([[0], np.cumsum(asks)])[at]
+            of = np.asarray(at) - to
+            q, x, scores, n = [], [], [], 0
+            for i in range(len(to) - 1):
+                own = a[to[i] : to[i + 1]] @ b[:, of[i] : of[i + 1]]
+                if own.size:
+                    own, rows = np.round(own, digits), np.broadcast_to(np.arange(of[i], of[i + 1]), own.shape)
+                    if most and own.shape[1] > most:
+                        order = np.argsort(-own, axis=1, kind="stable")[:, :most]
+                        own, rows = np.take_along_axis(own, order, 1), np.take_along_axis(rows, order, 1)
+                    q.append(np.repeat(np.arange(to[i], to[i + 1]), own.shape[1]))
+                    x.append(rows.ravel())
+                    scores.append(own.ravel())
+                    n += own.size
+                if n and (n >= HELD or i == len(to) - 2):
+                    which, rows = pa.array(np.concatenate(q)), row.select(kept).take(pa.array(np.concatenate(x)))
+                    columns = [ask["query_id"].take(which), *rows.columns, pa.array(np.concatenate(scores)), *ask.select(own_names).take(which).columns]
+                    yield from pa.Table.from_arrays(columns, names=arrow.names).cast(arrow).to_batches()
+                    q, x, scores, n = [], [], [], 0
 
     keys = ["video_id", "_q", "_x"]
-    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, shape)
-    return scored.join(queries.drop("query"), "query_id")
+    none = lambda c, df: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    left = left.select(*keys, F.col("query_id").cast("long").alias("query_id"), "query", *own_names, *[none(c, corpus) for c in (*kept, "embedding") if c != "video_id"])
+    right = right.select(*keys, F.lit(None).cast("long").alias("query_id"), none("query", queries), *[none(c, queries).alias(f"_of_{c}") for c in named], *[c for c in (*kept, "embedding") if c != "video_id"])
+    both = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, F.col("query_id").isNull(), *ties)
+    return both.mapInArrow(run, shape)
 
 
 def index_problems(index: DataFrame) -> DataFrame:

@@ -3,16 +3,19 @@ same function, as a replay over a table of hints."""
 
 from __future__ import annotations
 
+import itertools
 import json
-import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DataType
 
 MOST_UNITS = 10
 #: How long a session lives after its last commit, and how many of them a store holds.
@@ -25,6 +28,15 @@ def _key(text: str) -> str:
     return "".join(c for c in text.casefold() if unicodedata.category(c)[0] not in "PZ" and not c.isspace())
 
 
+def _same_key(hint: str, now: str) -> bool:
+    """Whether two texts have one key.  A key is made a character at a time, so texts are looked at only until keys differ, and
+    of one that goes on from the other only the rest."""
+    if now.startswith(hint):
+        hint, now = "", now[len(hint) :]
+    keys = ((k for c in t for k in _key(c)) for t in (hint, now))
+    return all(x == y for x, y in itertools.zip_longest(*keys))
+
+
 def step(
     version: int, units: list[str], hint: str | None, now: str, base: int | None = None
 ) -> tuple[int, list[str], str | None, str, str | None]:
@@ -35,12 +47,12 @@ def step(
     one by now (CONFLICT), or is unknown or forgotten (GONE)."""
     if base is not None and base != version:
         return version, units, hint, "CONFLICT" if version else "GONE", None
-    now = re.sub(r"\s+", " ", unicodedata.normalize("NFC", now)).strip()
+    now = " ".join(unicodedata.normalize("NFC", now).split())
     if not now:
         return version, units, hint, "EMPTY", None
     if hint is None:
         return 1, [now], now, "FIRST", now
-    if _key(hint) == _key(now):
+    if _same_key(hint, now):
         return version, units, hint, "NO_CHANGE", None
     if not now.startswith(hint):
         return version, units, hint, "REPLACEMENT", None
@@ -123,7 +135,22 @@ def _whole(hints: DataFrame) -> DataFrame:
 def replay(hints: DataFrame, life_ms: int = LIFE_MS, most: int = MOST_SESSIONS) -> DataFrame:
     """The decisions over a table of HINTS: what the stream would have said.  Hints of a store are heard in order of ``at``
     (milliseconds), session and seq; stores are independent, and each holds ``most`` sessions at most at a time."""
-    return _whole(hints).groupBy("store").applyInPandas(lambda rows: _said(Store(life_ms, most), rows), OUTPUT)
+    shape = to_arrow_schema(DataType.fromDDL(OUTPUT))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, store = object(), None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["store"] != key:
+                    key, store = r["store"], Store(life_ms, most)
+                version, decision, unit, units, gone = store.say(r["session"], r["at"], r["hint"] or "", r["base"], r["context"])
+                out.append((r["store"], r["session"], r["seq"], version, decision, unit, units, gone))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), shape)], schema=shape)
+
+    dealt = _whole(hints).repartition("store").sortWithinPartitions("store", "at", "session", "seq")
+    return dealt.mapInArrow(run, OUTPUT)
 
 
 def stream(hints: DataFrame, life_ms: int = LIFE_MS, most: int = MOST_SESSIONS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import json
 import random
+import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from reelspark.functions import text
 from reelspark.operators import evidence, fusion, ports, progressive, sequences, traces, vector
+from reelspark.streaming import sessions
 from reelspark.streaming.sessions import Store, replay
 
 SCENE = ["task", "video_id", "scene"]
@@ -297,3 +300,72 @@ def test_steps_carry_no_session_whose_last_hint_was_heard(spark, monkeypatch):
     state = progressive.acquire(hints, corpus, progressive.Budget(everywhere=4, within=2, kept=2, pool=2))
     assert carried == [[0, 1], [0]]
     assert {r.task for r in state.pool.collect()} == {r.task for r in state.evaluated.collect()} == {r.task for r in state.found.collect()} == {0, 1}
+
+
+def test_all_hints_are_searched_for_at_once(spark, monkeypatch):
+    """One search of the whole corpus serves all steps, and one that is equal in two videos is made up for as before."""
+    corpus = spark.createDataFrame([(i, i // 3, 1000 * i, [1.0, float(i % 5)]) for i in range(12)], "frame_id long, video_id long, timestamp_ms long, embedding array<double>")
+    hints = [(10 * t + e, [1.0, 0.5 * e], t, e) for t in range(2) for e in range(3)]
+    searches = []
+    monkeypatch.setattr(progressive.vector, "knn_join", lambda *a, f=vector.knn_join, **b: (searches.append(1), f(*a, **b))[1])
+    budget = progressive.Budget(everywhere=4, within=3, kept=2, backfill_videos=1, backfill_hints=1, pool=2, least=1.5)
+    state = progressive.acquire(spark.createDataFrame(hints, "query_id long, query array<double>, task long, event int"), corpus, budget)
+    want = _plain_states(hints, [(r.frame_id, r.video_id, r.timestamp_ms, r.embedding) for r in corpus.collect()], budget)
+    assert len(searches) == 1
+    assert {(r.task, r.event, r.video_id) for r in state.evaluated.collect()} == {(t, *p) for t, s in want.items() for p in s[0]}
+    assert {(r.task, r.event, r.video_id, r.frame_id, r.score) for r in state.found.collect()} == {(t, e, v, f, -s) for t, x in want.items() for (e, v), rows in x[1].items() for s, _, f in rows}
+
+
+def test_scores_of_videos_take_no_group_of_python_each(spark, monkeypatch):
+    """Blocks of a partition are one run; the best of a query and video come with ties by the columns given."""
+    monkeypatch.setattr(vector, "ROWS", 4)
+    corpus = spark.createDataFrame([(i, i % 3, 100 - i, [1.0, float(i % 2)]) for i in range(30)], "frame_id long, video_id long, timestamp_ms long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [1.0, float(i)], i) for i in range(4)], "query_id long, query array<double>, task int")
+    pairs = asked.select("query_id").crossJoin(spark.range(3).withColumnRenamed("id", "video_id"))
+    every = vector.scored_within(asked, corpus, pairs)
+    assert "CoGroup" not in every._jdf.queryExecution().toString() and every.count() == 4 * 30
+    best = fusion.top_per(vector.scored_within(asked, corpus, pairs, most=2, ties=("timestamp_ms",)), ["query_id", "video_id"], [F.desc("score"), F.col("timestamp_ms")], 2)
+    whole = fusion.top_per(every, ["query_id", "video_id"], [F.desc("score"), F.col("timestamp_ms")], 2)
+    rows = lambda df: sorted((r.query_id, r.video_id, r.frame_id, r.score, r.task) for r in df.collect())
+    assert rows(best) == rows(whole)
+
+
+def test_clusters_of_groups_against_one_at_a_time():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        sizes = rng.integers(0, 12, rng.integers(1, 8))
+        parts = [np.sort(rng.integers(-50, 200, n)) for n in sizes]
+        got = sequences.clusters_of_groups(np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)]), 20, 45)
+        assert got.tolist() == [c for p in parts for c in sequences.bounded_clusters(p, 20, 45).tolist()]
+
+
+def test_keys_are_compared_without_making_them_whole(monkeypatch):
+    pool = ["a", "A", "ß", "ss", " ", ".", ",", "É", "é", "x", "\u00a0", "ﬁ", "Σ", "ς"]
+    rng = random.Random(4)
+    for _ in range(3000):
+        a, b = ("".join(rng.choice(pool) for _ in range(rng.randrange(6))) for _ in range(2))
+        b = a + b if rng.random() < 0.4 else b
+        assert sessions._same_key(a, b) == (sessions._key(a) == sessions._key(b)), (a, b)
+        spaced = a + "\t\n " + b + "\x1f\u2003"
+        assert " ".join(unicodedata.normalize("NFC", spaced).split()) == re.sub(r"\s+", " ", unicodedata.normalize("NFC", spaced)).strip()
+    seen = []
+    monkeypatch.setattr(sessions, "_key", lambda t, f=sessions._key: (seen.append(len(t)), f(t))[1])
+    assert sessions.step(1, ["u"], "word " * 1000 + "end", "word " * 1000 + "end more")[3] == "APPEND"
+    assert sessions.step(1, ["u"], "one " * 1000, "two " * 1000)[3] == "REPLACEMENT"
+    assert sum(seen) < 20
+
+
+def test_a_search_in_whole_blocks_gives_ranks(spark, monkeypatch):
+    """With the corpus in one part no order is made anew; queries of one id still share their ranks."""
+    monkeypatch.setattr(vector, "SHIPPED", 8)
+    rng = np.random.default_rng(9)
+    q, x = rng.integers(-3, 4, (100, 3)).astype(float), rng.integers(-3, 4, (60, 3)).astype(float)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "frame_id long, embedding array<double>")
+    asked = lambda ids: spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, q)], "query_id long, query array<double>")
+    got = vector.knn_join(asked(range(100)), corpus, 7)
+    assert "Window" not in got._jdf.queryExecution().toString() and got.schema["rank"].dataType.simpleString() == "int"
+    want = np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :7]
+    rows = {(r.query_id, r["rank"]): r.frame_id for r in got.collect()}
+    assert rows == {(i, j + 1): f for i, fs in enumerate(want.tolist()) for j, f in enumerate(fs)}
+    twice = vector.knn_join(asked(np.arange(100) // 2), corpus, 7).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
+    assert len(twice) == 50 and all(r.n == r.r == 7 for r in twice)
